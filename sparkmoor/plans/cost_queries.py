@@ -1,0 +1,164 @@
+"""Cost formulas evaluated for every document, its characters taken as cached tokens."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.vectors import rounded
+from ..operators import costs
+from ..sources.configs import DEVICE, FPGA_TO_GPU, GPU_TO_FPGA, STAGES
+from ..sources.tables import table
+from .registry import query, r6
+
+HEAD, PROJ, PAGE, K = 768, 128, 8, 64  # fixed shapes of the measured load
+LOAD = 65536
+
+
+def documents(spark, root):
+    """Per document: tokens and pages of its cache."""
+    n = F.col("n_chars")
+    return table(spark, root, "documents").select("doc_id", n, F.ceil(n / PAGE).alias("pages"))
+
+
+DOCS = "d AS (SELECT doc_id, n_chars, ceil(n_chars / 8)::BIGINT AS pages FROM documents)"
+
+
+@query("schedule_lookup", """SELECT doc_id, CASE WHEN n_chars <= 4096 THEN 'fpga' ELSE 'gpu' END AS build,
+  CASE WHEN n_chars <= 4096 AND ceil(n_chars / 8) <= 4096 THEN 'fpga,fpga,gpu' ELSE 'gpu,gpu,gpu' END AS apply,
+  CASE WHEN n_chars <= 4096 THEN 'gpu,fpga,fpga,gpu' ELSE 'gpu,gpu,gpu,gpu' END AS whole FROM documents""")
+def schedule_lookup(spark, root):
+    d = documents(spark, root)
+    n = F.col("n_chars")
+    return d.select(
+        "doc_id", F.array_join(costs.first_rule("build_memory", n), ",").alias("build"),
+        F.array_join(costs.first_rule("manage_memory_and_apply", n, F.col("pages")), ",").alias("apply"),
+        F.array_join(costs.first_rule("build_and_apply_memory", n), ",").alias("whole"))
+
+
+def sizes():
+    """Bytes of each data set."""
+    return {"retrieved_data": F.col("n_chars") * HEAD * 4, "memory": F.col("pages") * PROJ * 4,
+            "query": F.lit(PROJ * 4), "score": F.col("pages") * 4, "retrieved_index": F.lit(K * 4),
+            "target_data": F.lit(HEAD * 4)}
+
+
+def flops():
+    """Arithmetic per stage."""
+    kept = F.least(F.col("pages"), F.lit(K)) * PAGE
+    return {"paged_kv_index_builder": F.col("n_chars") * HEAD + F.col("pages") * PROJ * HEAD * 2,
+            "inner_product": F.col("pages") * PROJ * 2, "topk_retrieval": F.lit(1),
+            "block_sparse_attention": kept * HEAD * 4}
+
+
+_SIZES = {"retrieved_data": "n_chars * 3072", "memory": "pages * 512", "query": "512", "score": "pages * 4",
+          "retrieved_index": "256", "target_data": "3072"}
+_FLOPS = {"paged_kv_index_builder": "(n_chars * 768 + pages * 196608)", "inner_product": "pages * 256",
+          "topk_retrieval": "1", "block_sparse_attention": "least(pages, 64) * 24576"}
+_BW, _PEAK = DEVICE.bytes_per_cycle, DEVICE.flops_per_cycle
+_RIDGE = _PEAK / _BW
+
+
+def stage_bytes(size):
+    return {s.name: sum((size[n].cast("double") for n in sorted({*s.reads, *s.writes})), F.lit(0.0)) for s in STAGES}
+
+
+_BYTES = {s.name: "(" + " + ".join(_SIZES[n] for n in sorted({*s.reads, *s.writes})) + ")::DOUBLE" for s in STAGES}
+_US = {s.name: f"((greatest({_BYTES[s.name]} / {_BW!r}, {_FLOPS[s.name]} / {_PEAK!r}::DOUBLE) + 7) / 250.0::DOUBLE)" for s in STAGES}
+
+
+def _bound(ai: str) -> str:
+    return f"CASE WHEN {ai} < {_RIDGE * 0.9!r} THEN 'MEMORY-BOUND' WHEN {ai} > {_RIDGE * 1.1!r} THEN 'COMPUTE-BOUND' ELSE 'BALANCED' END"
+
+
+_ROOF = " UNION ALL ".join(
+    f"SELECT doc_id, '{s.name}' AS stage, {r6(f'{_FLOPS[s.name]} / {_BYTES[s.name]}')} AS intensity, {r6(_US[s.name])} AS latency_us, "
+    f"{_bound(f'{_FLOPS[s.name]} / {_BYTES[s.name]}')} AS bottleneck FROM d" for s in STAGES)
+
+
+@query("roofline", f"WITH {DOCS} {_ROOF}")
+def roofline(spark, root):
+    size, work = stage_bytes(sizes()), flops()
+    rows = []
+    for s in STAGES:
+        r = costs.roofline(work[s.name].cast("double"), size[s.name])
+        rows.append(F.struct(F.lit(s.name).alias("stage"), rounded(r["intensity"]).alias("intensity"),
+                             rounded(r["latency_us"]).alias("latency_us"), r["bottleneck"].alias("bottleneck")))
+    return documents(spark, root).select("doc_id", F.inline(F.array(*rows)))
+
+
+def _link_sql(kb: str, segments) -> str:
+    rate = None
+    for s in reversed(segments):
+        line = f"greatest({kb} * {s.slope!r}::DOUBLE + {s.intercept!r}::DOUBLE, 0.001::DOUBLE)"
+        rate = line if rate is None else f"CASE WHEN {kb} <= {s.upper} THEN {line} ELSE {rate} END"
+    return f"({kb} / 1048576.0::DOUBLE / ({rate}) * 1e6::DOUBLE)"
+
+
+@query("link_latency", f"""SELECT doc_id, {r6(_link_sql("(n_chars * 64 / 1024.0::DOUBLE)", GPU_TO_FPGA))} AS to_fpga_us,
+  {r6(_link_sql("(n_chars * 64 / 1024.0::DOUBLE)", FPGA_TO_GPU))} AS to_gpu_us FROM documents""")
+def link_latency(spark, root):
+    kb = F.col("n_chars") * 64 / 1024.0
+    return documents(spark, root).select("doc_id", rounded(costs.link_latency(kb, GPU_TO_FPGA)).alias("to_fpga_us"),
+                                         rounded(costs.link_latency(kb, FPGA_TO_GPU)).alias("to_gpu_us"))
+
+
+def workload():
+    size, work = sizes(), flops()
+    by_stage = stage_bytes(size)
+    fpga = {s.name: costs.roofline(work[s.name].cast("double"), by_stage[s.name])["latency_us"] for s in STAGES}
+    return costs.profiled(size, fpga, F.col("n_chars") / LOAD)
+
+
+def _total_sql(placement) -> tuple[str, str]:
+    """Times of one placement written out: stage times, then the moves it needs."""
+    gpu = {"paged_kv_index_builder": 250.0, "inner_product": 82.5, "topk_retrieval": 36.2, "block_sparse_attention": 7.6}
+    times = " + ".join(f"{gpu[s.name]} * (n_chars / 65536.0::DOUBLE)" if p == "GPU" else _US[s.name] for s, p in zip(STAGES, placement))
+    b, i, t, a = placement
+    moves = []
+
+    def move(name, to):
+        moves.append(_link_sql(f"({_SIZES[name]} / 1024.0::DOUBLE)", FPGA_TO_GPU if to == "GPU" else GPU_TO_FPGA))
+
+    if b == "FPGA" and i == "GPU":
+        move("memory", "GPU")
+    if i != t:
+        move("score", t)
+    if b != a:
+        move("retrieved_data", a)
+    if t != a:
+        move("retrieved_index", a)
+    return f"({times})", "(" + " + ".join(moves or ["0.0::DOUBLE"]) + ")"
+
+
+_PLACED = {",".join(p): _total_sql(p) for p in costs.placements()}
+_COSTS = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS placement, {t} + {m} AS total, {m} AS moved FROM d" for n, (t, m) in _PLACED.items())
+
+
+@query("placement_costs", f"WITH {DOCS} SELECT doc_id, placement, {r6('total')} AS total_us, {r6('moved')} AS transfer_us FROM ({_COSTS})")
+def placement_costs(spark, root):
+    return costs.placement_costs(documents(spark, root), ["doc_id"], workload()).select(
+        "doc_id", "placement", rounded("total_us").alias("total_us"), rounded("transfer_us").alias("transfer_us"))
+
+
+@query("placement_search", f"""WITH {DOCS}, c AS ({_COSTS}), b AS (SELECT doc_id, min(total) AS best, min_by(placement, total) AS placement,
+    min(total) FILTER (placement = 'GPU,GPU,GPU,GPU') AS gpu, min(total) FILTER (placement = 'FPGA,FPGA,FPGA,FPGA') AS fpga FROM c GROUP BY 1)
+  SELECT doc_id, placement, {r6('best')} AS total_us, {r6('gpu')} AS all_gpu_us, {r6('fpga')} AS all_fpga_us, {r6('gpu / best')} AS speedup FROM b""")
+def placement_search(spark, root):
+    best = costs.best_placement(documents(spark, root), ["doc_id"], workload())
+    return best.select("doc_id", "placement", *[rounded(c).alias(c) for c in ("total_us", "all_gpu_us", "all_fpga_us", "speedup")])
+
+
+_FUSED_FLOPS = f"({_FLOPS['inner_product']} + {_FLOPS['topk_retrieval']})::DOUBLE"
+_FUSED_BYTES = f"({_SIZES['memory']} + {_SIZES['query']} + {_SIZES['retrieved_index']})::DOUBLE"
+
+
+@query("fusion_report", f"""WITH {DOCS}
+  SELECT doc_id, 0 AS run_no, 'GPU' AS device, {r6('250.0 * (n_chars / 65536.0::DOUBLE)')} AS plain_us, {r6('250.0 * (n_chars / 65536.0::DOUBLE)')} AS fused_us, 0.0::DOUBLE AS saved_bytes, 'NOT-FUSED' AS bottleneck FROM d
+  UNION ALL SELECT doc_id, 1, 'FPGA', {r6(f"{_US['inner_product']} + {_US['topk_retrieval']}")},
+    {r6(f"greatest({_FUSED_BYTES} / 1564.0::DOUBLE, {_FUSED_FLOPS} / ({_RIDGE!r}::DOUBLE * 1564.0::DOUBLE)) / 250.0::DOUBLE")}, (pages * 4)::DOUBLE, {_bound(f'{_FUSED_FLOPS} / {_FUSED_BYTES}')} FROM d
+  UNION ALL SELECT doc_id, 2, 'GPU', {r6('7.6 * (n_chars / 65536.0::DOUBLE)')}, {r6('7.6 * (n_chars / 65536.0::DOUBLE)')}, 0.0::DOUBLE, 'NOT-FUSED' FROM d""")
+def fusion_report(spark, root):
+    """Runs of stages of the placement GPU, FPGA, FPGA, GPU with the middle two fused."""
+    r = costs.fusion_report(documents(spark, root), ["doc_id"], ("GPU", "FPGA", "FPGA", "GPU"), workload(), flops())
+    return r.select("doc_id", "run_no", "device", rounded("plain_us").alias("plain_us"), rounded("fused_us").alias("fused_us"),
+                    "saved_bytes", "bottleneck")
