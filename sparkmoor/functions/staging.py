@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 # Rows (of a few dozen bytes each) that every executor may hold as one hash table.
 BROADCAST_ROWS = 200_000
 
+_local_dirs: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
@@ -25,9 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    fallback = tempfile.mkdtemp(prefix="sparkmoor-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="sparkmoor-")
+    return _local_dirs[app]
 
 
 class Staged(NamedTuple):
