@@ -96,10 +96,29 @@ def vocab_mapping(vocab: DataFrame) -> DataFrame:
     return vocab.select("vocab_idx", numeric_token(F.col("token")).alias("token_id"))
 
 
+# Tokens that are looked up by broadcast when the whole vocabulary is too large for it.
+HOT_TOKENS = 100_000
+
+
 def with_vocab(postings: DataFrame, vocab: Staged) -> DataFrame:
-    """Postings with token ids.  Hot tokens are spread by document."""
-    return keyed_join(postings.where(F.col("token").isNotNull()),
-                      Staged(vocab.df.select("token", "vocab_idx"), vocab.rows), ["token"], "doc_id")
+    """Postings with token ids.
+
+    A vocabulary too large to broadcast is split.  At most HOT_TOKENS tokens can hold more
+    than 1/HOT_TOKENS of all entries each: they are broadcast, whatever their frequency.  The
+    others are too rare to skew a shuffle and are joined by token.
+    """
+    terms = postings.where(F.col("token").isNotNull())
+    ids = vocab.df.select("token", "vocab_idx")
+    if vocab.broadcastable:
+        return terms.join(F.broadcast(ids), "token")
+    entries = vocab.df.agg(F.sum("df")).first()[0]
+    is_hot = F.col("df") > entries / HOT_TOKENS
+    hot = vocab.df.where(is_hot).select("token", F.col("vocab_idx").alias("_hot"))
+    marked = terms.join(F.broadcast(hot), "token", "left")
+    common = marked.where(F.col("_hot").isNotNull()).withColumnRenamed("_hot", "vocab_idx")
+    rare = marked.where(F.col("_hot").isNull()).drop("_hot").join(
+        vocab.df.where(~is_hot).select("token", "vocab_idx"), "token")
+    return common.unionByName(rare)
 
 
 def term_freq_layout(numbered: DataFrame) -> DataFrame:
@@ -222,15 +241,19 @@ def score_documents(index: Index, terms: DataFrame, formula: Formula, by: list[s
                     postings: DataFrame | None = None) -> DataFrame:
     """BM25 of every matching document: (by..., doc_id, score).
 
-    The weighted query terms are staged, so the join broadcasts them when they are small and
-    salts by document otherwise.  Contributions are summed per (query, document) before they
-    are shuffled.  ``postings`` replaces the scored postings (not the statistics), e.g. to
-    leave out the tokens outside a document's lane.
+    The weighted query terms are staged and counted.  When they can be broadcast, only the
+    postings of query tokens are shuffled, by document; a document's scores for all queries
+    are then summed in one place, and a following top-k keeps k rows per query and task.
+    Otherwise postings and terms meet by token, salted by document.  ``postings`` replaces
+    the scored postings (not the statistics), e.g. to leave out tokens outside a lane.
     """
     by = by or ["query_id"]
-    scored = index.terms if postings is None else postings
-    hits = keyed_join(scored.select("doc_id", "dl", "token", "tf"),
-                      weighted_terms(index, terms, formula), ["token"], "doc_id")
+    scored = (index.terms if postings is None else postings).select("doc_id", "dl", "token", "tf")
+    weighted = weighted_terms(index, terms, formula)
+    if weighted.broadcastable:
+        wanted = weighted.df.select("token").distinct()
+        scored = scored.join(F.broadcast(wanted), "token", "left_semi").repartition("doc_id")
+    hits = keyed_join(scored, weighted, ["token"], "doc_id")
     part = F.col("idf") * formula.weight(F.col("tf"), F.col("dl"), index.mean_len)
     return hits.groupBy(*by, "doc_id").agg(rounded(F.sum(part)).alias("score"))
 

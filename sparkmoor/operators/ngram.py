@@ -169,9 +169,9 @@ def short_conv(df: DataFrame, groups: int, dim: int, taps: np.ndarray, norm: np.
         base = x + as_matrix(b.column("hidden")) if residual else np.zeros_like(x)
         t, seq = b.column("t").to_numpy(), b.column("seq_id").to_numpy()
         shares = np.concatenate([normed * taps[:, k] for k in range(n_taps)])
-        rest = np.zeros((n * (n_taps - 1), width))
+        own = pa.chunked_array([list_array(base), pa.nulls(n * (n_taps - 1), pa.list_(pa.float64()))])
         return {"seq_id": np.tile(seq, n_taps), "t": np.concatenate([t + k * dilation for k in range(n_taps)]),
-                "share": list_array(shares), "base": list_array(np.concatenate([base, rest])),
+                "share": list_array(shares), "base": own.combine_chunks(),
                 "own": np.repeat([1] + [0] * (n_taps - 1), n).astype(np.int32)}
 
     shares = map_blocks(df.select(*cols), block,

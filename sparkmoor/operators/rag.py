@@ -8,14 +8,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.staging import BROADCAST_ROWS
+from ..functions.staging import Staged
 from ..functions.text import continuation_prompt, numbered_context, question_prompt, sentences
 
 
-def fetch(docs: DataFrame, ranked: DataFrame, columns: list[str], ranked_rows: int | None = None) -> DataFrame:
-    """Columns of the ranked documents; ids without a document are skipped."""
-    small = ranked_rows is not None and ranked_rows <= BROADCAST_ROWS
-    return docs.select("doc_id", *columns).join(F.broadcast(ranked) if small else ranked, "doc_id")
+def fetch(docs: DataFrame, ranked: Staged, columns: list[str]) -> DataFrame:
+    """Columns of the ranked documents; ids without a document are skipped.
+
+    A small ranking is broadcast, so that the texts of other documents never move.
+    """
+    wanted = F.broadcast(ranked.df) if ranked.broadcastable else ranked.df
+    return docs.select("doc_id", *columns).join(wanted, "doc_id")
 
 
 def in_rank_order(fetched: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
@@ -24,10 +27,9 @@ def in_rank_order(fetched: DataFrame, by: list[str], value: str, name: str) -> D
     return fetched.groupBy(*by).agg(F.transform(entries, lambda e: e[value]).alias(name))
 
 
-def contexts(queries: DataFrame, docs: DataFrame, ranked: DataFrame, by: list[str],
-             ranked_rows: int | None = None) -> DataFrame:
+def contexts(queries: DataFrame, docs: DataFrame, ranked: Staged, by: list[str]) -> DataFrame:
     """Queries with the array ``docs`` of their documents; empty when none was found."""
-    found = in_rank_order(fetch(docs, ranked, ["text"], ranked_rows), by, "text", "docs")
+    found = in_rank_order(fetch(docs, ranked, ["text"]), by, "text", "docs")
     return queries.join(found, by, "left").withColumn(
         "docs", F.coalesce("docs", F.array().cast("array<string>")))
 
@@ -45,10 +47,9 @@ def with_continuation(df: DataFrame, prompt: str, written: str) -> DataFrame:
     return df.withColumn("continued", continuation_prompt(F.col(prompt), F.col(written), F.col("docs")))
 
 
-def append_tokens(queries: DataFrame, docs: DataFrame, ranked: DataFrame, by: list[str],
-                  ranked_rows: int | None = None) -> DataFrame:
+def append_tokens(queries: DataFrame, docs: DataFrame, ranked: Staged, by: list[str]) -> DataFrame:
     """The query's tokens followed by those of its documents in rank order."""
-    found = in_rank_order(fetch(docs, ranked, ["tokens"], ranked_rows), by, "tokens", "_more")
+    found = in_rank_order(fetch(docs, ranked, ["tokens"]), by, "tokens", "_more")
     more = F.coalesce(F.flatten("_more"), F.array().cast("array<string>"))
     return queries.join(found, by, "left").withColumn("tokens", F.concat("tokens", more)).drop("_more")
 

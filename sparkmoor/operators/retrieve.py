@@ -5,22 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.staging import Staged, keyed_join
+from ..functions.staging import Staged, keyed_join, stage, stage_counted
 
 WORD_BITS = 64
 
 
 def top_k(scores: DataFrame, k: int, id_col: str = "mem_id", by: list[str] | None = None,
-          score: str = "score") -> DataFrame:
+          score: str = "score", spread: int | None = None) -> DataFrame:
     """Best ``k`` entries per query by (score desc, id asc), ranked from 0.
 
     Without ``by`` this is a bounded heap per partition (TakeOrderedAndProject); with it a
     WindowGroupLimit keeps at most ``k`` rows per query and partition before the shuffle.
+    ``spread`` first takes the best k in that many shares of a query, for plans with so many
+    input partitions that k rows of each would be too much for the one task of a query.
     """
     order = [F.desc(score), F.asc(id_col)]
     if not by:
         best = scores.orderBy(*order).limit(k)
         return best.withColumn("rank", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
+    if spread:
+        share = F.pmod(F.xxhash64(id_col), F.lit(spread))
+        shares = scores.withColumn("_share", share).withColumn(
+            "_n", F.row_number().over(Window.partitionBy(*by, "_share").orderBy(*order)))
+        scores = shares.where(F.col("_n") <= k).drop("_share", "_n")
     ranked = scores.withColumn(
         "rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     return ranked.where(F.col("rank") <= k).withColumn("rank", (F.col("rank") - 1).cast("int"))
@@ -77,10 +84,11 @@ def overlap(left: DataFrame, right: DataFrame, universe: DataFrame, id_col: str,
 
     Passes at 90 % overlap with only valid, unique ids; 50 % with valid ids is partial.
     """
-    ids = universe.select(id_col).distinct().withColumn("_known", F.lit(1))
-    lefts = left.groupBy(*by, id_col).agg(F.count(F.lit(1)).alias("_copies"))
+    lefts = stage(left.groupBy(*by, id_col).agg(F.count(F.lit(1)).alias("_copies")))
+    named = stage_counted(lefts.select(id_col).distinct())
+    known = keyed_join(universe.select(id_col), named, [id_col], id_col).distinct().withColumn("_known", F.lit(1))
     rights = right.select(*by, id_col).distinct().withColumn("_hit", F.lit(1))
-    joined = lefts.join(rights, [*by, id_col], "left").join(ids, id_col, "left")
+    joined = lefts.join(rights, [*by, id_col], "left").join(known, id_col, "left")
     stats = joined.groupBy(*by).agg(
         F.sum("_copies").alias("n_returned"),
         F.count(F.lit(1)).alias("n_unique"),

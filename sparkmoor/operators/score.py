@@ -7,13 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import (DIGITS, as_matrix, collect_small, dot, doubles, list_array,
-                                 map_blocks, np_rounded, rounded)
-from .retrieve import top_k
+from ..functions.vectors import as_matrix, collect_small, doubles, map_blocks, np_rounded
+from .retrieve import WORD_BITS, threshold_bitmap, top_k
 
 # A query batch up to this many rows travels with the tasks; a larger one is joined in blocks.
 QUERY_ROWS = 4096
 BLOCK_ROWS = 1024
+CELLS = 4_000_000
+# Shares per query in which the best entries of all blocks are first reduced.
+SHARES = 64
 
 
 def _batch(queries: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray] | None:
@@ -25,15 +27,31 @@ def _batch(queries: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray] | No
     return ids, mat
 
 
+def _spans(n: int, width: int) -> list[slice]:
+    """Runs of rows whose score matrix stays near CELLS numbers."""
+    step = max(1, CELLS // max(1, width))
+    return [slice(i, i + step) for i in range(0, n, step)]
+
+
 def _best(ids: np.ndarray, scores: np.ndarray, query_ids: np.ndarray, k: int) -> dict:
-    """Up to ``k`` best rows per query of one block, by (score desc, id asc)."""
-    by_id = np.argsort(ids, kind="stable")
-    order = np.argsort(-scores[by_id], axis=0, kind="stable")[:k]
-    pick = by_id[order]
-    n = pick.shape[0]
-    cols = np.arange(len(query_ids))
-    return {"query_id": np.tile(query_ids, n), "mem_id": ids[pick].ravel(),
-            "score": scores[pick, cols].ravel()}
+    """Up to ``k`` best rows per query of one block, by (score desc, id asc).
+
+    Everything at or above the k-th score is a candidate, so ties are settled by id exactly.
+    """
+    n = len(ids)
+    bar = np.partition(scores, n - k, axis=0)[n - k] if k < n else np.full(len(query_ids), -np.inf)
+    picks, owners = [], []
+    for j, q in enumerate(query_ids):
+        rows = np.flatnonzero(scores[:, j] >= bar[j])
+        rows = rows[np.lexsort((ids[rows], -scores[rows, j]))][:k]
+        picks.append(np.stack([ids[rows], np.full(len(rows), j)]))
+        owners.append(scores[rows, j])
+    at = np.concatenate(picks, axis=1)
+    return {"query_id": query_ids[at[1]], "mem_id": at[0], "score": np.concatenate(owners)}
+
+
+def _joined(parts: list[dict]) -> dict:
+    return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
 
 
 PAIR = "query_id bigint, mem_id bigint, score double"
@@ -48,7 +66,7 @@ def inner_products(memory: DataFrame, queries: DataFrame, limit: int = QUERY_ROW
     batch = _batch(queries, limit)
     memory = memory.select("mem_id", "vec")
     if batch is None:
-        return _paired_blocks(memory, queries, None, limit)
+        return _paired_blocks(memory, queries, None, limit, np_rounded)
     qids, q = batch
 
     def block(b: pa.RecordBatch) -> dict:
@@ -73,16 +91,51 @@ def top_inner_products(memory: DataFrame, queries: DataFrame, k: int,
     batch = _batch(queries, limit)
     memory = memory.select("mem_id", "vec")
     if batch is None:
-        return top_k(_paired_blocks(memory, queries, k, limit), k, by=["query_id"])
+        return top_k(_paired_blocks(memory, queries, k, limit, np_rounded), k, by=["query_id"], spread=SHARES)
     qids, q = batch
     if len(qids) == 0:
         return top_k(memory.sparkSession.createDataFrame([], PAIR), k, by=["query_id"])
 
     def block(b: pa.RecordBatch) -> dict:
-        x = as_matrix(b.column("vec"))
-        return _best(b.column("mem_id").to_numpy(), np_rounded(x[:, : q.shape[1]] @ q.T), qids, k)
+        x, ids = as_matrix(b.column("vec")), b.column("mem_id").to_numpy()
+        return _joined([_best(ids[s], np_rounded(x[s, : q.shape[1]] @ q.T), qids, k)
+                        for s in _spans(len(ids), len(qids))])
+
+    return top_k(map_blocks(memory, block, PAIR), k, by=["query_id"], spread=SHARES)
+
+
+WORDS = "query_id bigint, word bigint, bits bigint"
+
+
+def threshold_words(memory: DataFrame, queries: DataFrame, threshold: float, inclusive: bool = True,
+                    limit: int = QUERY_ROWS) -> DataFrame:
+    """Inner products against a threshold as bitmaps, without the scores in between.
+
+    A block turns its scores into the words its ids fall into; words that several blocks
+    share are merged by bit_or.  The exchange carries a word per 64 entries.
+    """
+    batch = _batch(queries, limit)
+    if batch is None:
+        return threshold_bitmap(inner_products(memory, queries, limit), threshold, by=["query_id"],
+                                inclusive=inclusive)
+    qids, q = batch
+
+    def words(ids: np.ndarray, x: np.ndarray) -> dict:
+        s = np_rounded(x[:, : q.shape[1]] @ q.T)
+        bit = np.left_shift(np.uint64(1), (ids % WORD_BITS).astype(np.uint64))
+        found, where = np.unique(ids // WORD_BITS, return_inverse=True)
+        out = np.zeros((len(found), len(qids)), np.uint64)
+        np.bitwise_or.at(out, where, np.where(s >= threshold if inclusive else s > threshold, bit[:, None], np.uint64(0)))
+        return {"query_id": np.tile(qids, len(found)), "word": np.repeat(found, len(qids)), "bits": out.view(np.int64).ravel()}
 
-    return top_k(map_blocks(memory, block, PAIR), k, by=["query_id"])
+    def block(b: pa.RecordBatch) -> dict:
+        x, ids = as_matrix(b.column("vec")), b.column("mem_id").to_numpy()
+        return _joined([words(ids[s], x[s]) for s in _spans(len(ids), len(qids))])
+
+    if len(qids) == 0:
+        return memory.sparkSession.createDataFrame([], WORDS)
+    return map_blocks(memory.select("mem_id", "vec"), block, WORDS).groupBy("query_id", "word").agg(
+        F.bit_or("bits").alias("bits"))
 
 
 def _packed(df: DataFrame, id_col: str, vec: str, name: str) -> DataFrame:
@@ -100,7 +153,7 @@ def _packed(df: DataFrame, id_col: str, vec: str, name: str) -> DataFrame:
                       f"{name}_ids array<bigint>, {name}_flat array<double>")
 
 
-def _paired_blocks(memory: DataFrame, queries: DataFrame, k: int | None, limit: int) -> DataFrame:
+def _paired_blocks(memory: DataFrame, queries: DataFrame, k: int | None, limit: int, finish) -> DataFrame:
     """Query batches too large for one task: tiles of memory meet tiles of queries.
 
     Query rows are dealt into groups of about ``limit``; each memory tile is sent once per
@@ -125,29 +178,32 @@ def _paired_blocks(memory: DataFrame, queries: DataFrame, k: int | None, limit:
             mids, qids = np.array(r["m_ids"]), np.array(r["q_ids"])
             m = np.array(r["m_flat"]).reshape(len(mids), -1)
             qm = np.array(r["q_flat"]).reshape(len(qids), -1)
-            s = np_rounded(m[:, : qm.shape[1]] @ qm.T)
+            s = finish(m[:, : qm.shape[1]] @ qm.T)
             parts.append(_best(mids, s, qids, k or len(mids)))
-        return {c: np.concatenate([p[c] for p in parts]) for c in ("query_id", "mem_id", "score")}
+        return _joined(parts)
 
     return map_blocks(pairs, block, PAIR)
 
 
 def integer_products(memory: DataFrame, queries: DataFrame, limit: int = QUERY_ROWS) -> DataFrame:
-    """Exact integer products of 16-bit vectors (sums fit in 40 bits): BIGINT scores."""
-    rows = collect_small(queries.select("query_id", F.col("q").cast("array<bigint>").alias("q")), limit)
-    if rows is None:
-        raise ValueError("send integer query batches of at most QUERY_ROWS rows")
-    qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-    q = np.array([r["q"] for r in rows], dtype=np.int64)
+    """Exact integer products of 16-bit vectors: BIGINT scores.
+
+    Sums of such products need about 40 bits, so the float matrix product (53 bits) is exact.
+    """
+    batch = _batch(queries, limit)
+    memory = memory.select("mem_id", doubles("vec").alias("vec"))
+    if batch is None:
+        pairs = _paired_blocks(memory, queries, None, limit, lambda s: s)
+        return pairs.withColumn("score", F.col("score").cast("bigint"))
+    qids, q = batch
 
     def block(b: pa.RecordBatch) -> dict:
         ids = b.column("mem_id").to_numpy()
-        s = as_matrix(b.column("vec"), np.int64) @ q.T
+        s = as_matrix(b.column("vec")) @ q.T
         return {"query_id": np.tile(qids, len(ids)), "mem_id": np.repeat(ids, len(qids)),
-                "score": s.ravel()}
+                "score": s.ravel().astype(np.int64)}
 
-    return map_blocks(memory.select("mem_id", F.col("vec").cast("array<bigint>").alias("vec")),
-                      block, "query_id bigint, mem_id bigint, score bigint")
+    return map_blocks(memory, block, "query_id bigint, mem_id bigint, score bigint")
 
 
 def multi_head(memory: DataFrame, heads: DataFrame, scale_block: int | None = None) -> DataFrame:
@@ -203,6 +259,3 @@ def table_lookup(keys: DataFrame, heads: DataFrame, lut: np.ndarray) -> DataFram
 
     return map_blocks(keys.select("mem_id", "codes"), block, "mem_id bigint, score double")
 
-
-__all__ = ["DIGITS", "inner_products", "integer_products", "multi_head", "table_lookup",
-           "top_inner_products", "dot", "rounded", "list_array"]

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.staging import Staged, keyed_join
+from ..functions.staging import Staged, keyed_join, stage_counted
 
 
 def _sums(matrix: DataFrame, x: Staged, rows: DataFrame) -> DataFrame:
-    """sum val * x per wanted row; copies of a cell are added up before the join."""
-    wanted = matrix.join(rows.select("row").distinct(), "row", "left_semi")
-    cells = wanted.groupBy("row", "col").agg(F.sum("val").alias("val"))
+    """sum val * x per row; copies of a cell are added up before the join.
+
+    A small selection filters the cells first.  A large one does not: filtering would shuffle
+    the cells by row, where a hot row is one task, while the sums per row are already small.
+    """
+    wanted = stage_counted(rows.select("row").distinct())
+    if wanted.broadcastable:
+        matrix = matrix.join(F.broadcast(wanted.df), "row", "left_semi")
+    cells = matrix.groupBy("row", "col").agg(F.sum("val").alias("val"))
     hit = keyed_join(cells, x, ["col"], "row")
     return hit.groupBy("row").agg(F.sum(F.col("val") * F.col("x")).alias("y"))
 

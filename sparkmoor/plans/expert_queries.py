@@ -172,14 +172,14 @@ INT8 = f"""{layer_sql(16)}, le AS (SELECT expert_id, row, unnest(w1) AS v, gener
 @query("quantise_int8", f"""WITH {ELEMENTS}, {INT8} SELECT expert_id AS expert, row::INTEGER AS row, d::INTEGER AS dim, {r6('scale')} AS scale,
   {quant_sql('scale', 'v', 127)}::INTEGER AS value FROM le JOIN sc USING (expert_id)""")
 def quantise_int8(spark, root):
-    q = quant.grouped_int8(layers(spark, root), "expert", "w1")
+    q = quant.grouped_int8(layers(spark, root), "expert", "w1", "row")
     return unpack(q, ["expert", "row", "scale"], "quantised").select(
         "expert", "row", "dim", rounded("scale").alias("scale"), F.col("value").cast("int").alias("value"))
 
 
 def _fake_int8(df, group, cols):
     for c in cols:
-        q = quant.grouped_int8(df, group, c)
+        q = quant.grouped_int8(df, group, c, "row")
         df = q.withColumn(c, quant.dequantise(F.col("quantised"), F.col("scale"))).drop("quantised", "scale")
     return df
 

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.staging import stage_counted
 from ..operators import attention, bm25, memory, rag, score
 
 Step = Callable[..., DataFrame]
@@ -103,7 +104,7 @@ def document_prompts(k: int, formula: bm25.Formula = bm25.CPU) -> MemoryFlow:
         return bm25.rank_documents(scores, k, ["query_id"])
 
     def prompts(docs: DataFrame, query: DataFrame, index: DataFrame) -> DataFrame:
-        ranked = index.select("query_id", "doc_id", "rank")
+        ranked = stage_counted(index.select("query_id", "doc_id", "rank"))
         return rag.with_prompt(rag.contexts(query, docs, ranked, ["query_id"]))
 
     return MemoryFlow(build=bm25.build_index, fused=choose, apply=prompts)

@@ -240,7 +240,7 @@ CONTEXT = f"""{item_top(3)}, c AS (SELECT query_id, string_agg('[Document ' || (
 
 
 def _item_contexts(spark, root):
-    ranked = _item_ranking(spark, root, CPU, 3).select("query_id", "doc_id", "rank")
+    ranked = stage_counted(_item_ranking(spark, root, CPU, 3).select("query_id", "doc_id", "rank"))
     return rag.contexts(item_queries(spark, root), table(spark, root, "documents"), ranked, ["query_id"])
 
 
@@ -282,7 +282,7 @@ def rag_answer(spark, root):
   j AS (SELECT item_id AS query_id, list_concat({WORDS}, coalesce(more, [])) AS t FROM benchmark LEFT JOIN c ON query_id = item_id)
   SELECT query_id, len(t)::INTEGER AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM j""")
 def rag_token_concat(spark, root):
-    ranked = _item_ranking(spark, root, CPU, 3).select("query_id", "doc_id", "rank")
+    ranked = stage_counted(_item_ranking(spark, root, CPU, 3).select("query_id", "doc_id", "rank"))
     queries = tx.tokenize(item_queries(spark, root)).select("query_id", "tokens")
     docs = tx.tokenize(table(spark, root, "documents").select("doc_id", "text"))
     joined = rag.append_tokens(queries, docs, ranked, ["query_id"])

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import stage
 from ..functions.vectors import mean_vectors, rounded, total, unpack
 from ..operators import attention, memory, retrieve, score
 from ..sources.tables import table
@@ -99,8 +100,7 @@ BITMAP_SQL = """b AS (SELECT query_id, mem_id // 64 AS word, bit_or(CASE WHEN sc
 
 @query("threshold_bitmap", f"WITH {LABEL_Q}, {SCORES}, {BITMAP_SQL} SELECT query_id, word, bits FROM b")
 def threshold_bitmap(spark, root):
-    s = score.inner_products(vectors(spark, root), label_queries(spark, root))
-    return retrieve.threshold_bitmap(s, 0.1, by=["query_id"])
+    return score.threshold_words(vectors(spark, root), label_queries(spark, root), 0.1)
 
 
 @query("threshold_decode", f"WITH {LABEL_Q}, {SCORES} SELECT query_id, mem_id FROM s WHERE score >= 0.1")
@@ -158,7 +158,7 @@ PAGE_TOP = f"""qp AS (SELECT query_id, list(list_inner_product(row, q) ORDER BY
 def _page_choice(spark, root, weights, k=4):
     """Best pages per label query; query and pages are projected alike."""
     kv = cache_rows(spark, root)
-    q = label_queries(spark, root)
+    q = stage(label_queries(spark, root))  # read by the scoring and by the attention
     index = memory.paged_index(kv.select("pos", "k"), PAGE, DIM, weights)
     scored = memory.project(q, "q", weights, "q") if weights is not None else q
     return kv, q, score.top_inner_products(index, scored, k)
