@@ -33,11 +33,11 @@ def quantise(v: Column, scale: Column | float, bits: int) -> Column:
         F.least(F.bround(x * inv), F.lit(float(top))), F.lit(float(-top - 1))).cast(kind))
 
 
-def grouped_int8(df: DataFrame, group: str, vec: str, salt_from: str) -> DataFrame:
+def grouped_int8(df: DataFrame, group: str, vec: str) -> DataFrame:
     """8-bit values with one scale per group; adds ``scale`` and ``quantised``."""
     peaks = stage_counted(df.groupBy(group).agg(F.max(largest(F.col(vec))).alias("_peak")))
     scale = F.greatest("_peak", F.lit(1e-8)) / INT8_MAX
-    return keyed_join(df, peaks, [group], salt_from).withColumn("scale", scale) \
+    return keyed_join(df, peaks, [group]).withColumn("scale", scale) \
         .withColumn("quantised", quantise(F.col(vec), F.col("scale"), 8)).drop("_peak")
 
 

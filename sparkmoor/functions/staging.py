@@ -56,16 +56,41 @@ def stage_counted(df: DataFrame) -> Staged:
     return Staged(written, written.count())
 
 
-def keyed_join(big: DataFrame, small: Staged, on: list[str], salt_from: str,
-               salts: int = 32, how: str = "inner") -> DataFrame:
-    """Join a table with hot keys to a staged one.
+# A key is hot when it holds more than 1/HOT_SHARE of the rows; at most HOT_SHARE keys can.
+HOT_SHARE = 10_000
 
-    Below ``BROADCAST_ROWS`` the staged side is broadcast and ``big`` never moves. Above it
-    both sides are shuffled on the key plus a salt drawn from ``salt_from``, so that a key
-    holding a large share of ``big`` is spread over ``salts`` tasks.
+
+def salts_of(spark: SparkSession) -> int:
+    """Tasks a hot key is spread over, in line with the shuffles of the session."""
+    return min(512, max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+
+
+def keyed_join(big: DataFrame, small: Staged, on: list[str]) -> DataFrame:
+    """Inner join of a table with hot keys to a staged one that has each key once.
+
+    Below ``BROADCAST_ROWS`` the staged side is broadcast and ``big`` never moves.  Above it
+    the keys of ``big`` are counted: the rows of hot keys, at most ``HOT_SHARE`` of them, are
+    broadcast, and only the other rows are shuffled, among which no key stands out.
+    """
+    if small.broadcastable:
+        return big.join(F.broadcast(small.df), on)
+    counts = stage(big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = counts.where(F.col("_n") > total / HOT_SHARE).drop("_n")
+    of_hot = big.join(F.broadcast(small.df.join(F.broadcast(hot), on, "left_semi")), on)
+    of_rest = big.join(F.broadcast(hot), on, "left_anti").join(small.df, on)
+    return of_hot.unionByName(of_rest)
+
+
+def salted_join(big: DataFrame, small: Staged, on: list[str], salt_from: str) -> DataFrame:
+    """Inner join to a staged table that may repeat its keys.
+
+    Too large to broadcast, it is copied once per salt, and ``big`` draws its salt from
+    ``salt_from``, so that a key holding a large share of the rows reaches many tasks.
     """
     if small.broadcastable:
-        return big.join(F.broadcast(small.df), on, how)
+        return big.join(F.broadcast(small.df), on)
+    salts = salts_of(big.sparkSession)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
     spread = small.df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(spread, [*on, "_salt"], how).drop("_salt")
+    return salted.join(spread, [*on, "_salt"]).drop("_salt")

@@ -2,32 +2,42 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.staging import BROADCAST_ROWS
+from ..functions.staging import Staged, stage_counted
 from ..functions.vectors import (as_matrix, dot, doubles, list_array, map_blocks, sum_vectors)
 from .memory import page_of
 
 
-def _hint(selected: DataFrame, rows: int | None) -> DataFrame:
-    """Broadcast a selection whose row count is known to be small."""
-    return F.broadcast(selected) if rows is not None and rows <= BROADCAST_ROWS else selected
+# Selections up to this size also become scan filters, so that unselected row groups are skipped.
+PUSHED_ROWS = 512
+
+
+def _chosen(selected: Staged) -> DataFrame:
+    return F.broadcast(selected.df) if selected.broadcastable else selected.df
 
 
-def gather(rows: DataFrame, selected: DataFrame, id_col: str = "mem_id",
-           selected_rows: int | None = None) -> DataFrame:
+def gather(rows: DataFrame, selected: Staged, id_col: str = "mem_id") -> DataFrame:
     """Rows of the selected ids; ids that do not exist are dropped, copies are kept."""
-    return rows.join(_hint(selected, selected_rows), id_col)
+    if selected.rows <= PUSHED_ROWS:
+        ids = [r[0] for r in selected.df.select(id_col).distinct().collect()]
+        rows = rows.where(F.col(id_col).isin(ids))
+    return rows.join(_chosen(selected), id_col)
 
 
-def gather_pages(kv: DataFrame, selected: DataFrame, page_size: int,
-                 selected_rows: int | None = None) -> DataFrame:
+def gather_pages(kv: DataFrame, selected: Staged, page_size: int) -> DataFrame:
     """Tokens of the selected pages, once per selection of their page."""
-    return kv.withColumn("page_id", page_of("pos", page_size)).join(
-        _hint(selected, selected_rows), "page_id")
+    if selected.rows <= PUSHED_ROWS:
+        pages = [r[0] for r in selected.df.select("page_id").distinct().collect()]
+        inside = [F.col("pos").between(p * page_size, (p + 1) * page_size - 1) for p in sorted(pages)]
+        kv = kv.where(reduce(or_, inside, F.lit(False)))
+    return kv.withColumn("page_id", page_of("pos", page_size)).join(_chosen(selected), "page_id")
 
 
 def softmax_weights(scored: DataFrame, by: list[str], score: str = "score") -> DataFrame:
@@ -37,14 +47,14 @@ def softmax_weights(scored: DataFrame, by: list[str], score: str = "score") -> D
 
 
 def block_sparse_attention(kv: DataFrame, queries: DataFrame, selected: DataFrame,
-                           page_size: int, dim: int, selected_rows: int | None = None) -> DataFrame:
+                           page_size: int, dim: int) -> DataFrame:
     """softmax(q.k / sqrt(d)) V over the tokens of the selected pages.
 
     ``kv`` (pos, k, v), ``queries`` (query_id, q), ``selected`` (query_id, page_id).
     A query without a selected token gives the zero vector.
     Result: (query_id, out).
     """
-    tokens = gather_pages(kv, selected.select("query_id", "page_id"), page_size, selected_rows)
+    tokens = gather_pages(kv, stage_counted(selected.select("query_id", "page_id")), page_size)
     scored = tokens.join(queries, "query_id").select(
         "query_id", "v", (dot(F.col("q"), F.col("k")) / F.sqrt(F.size("q").cast("double"))).alias("score"))
     weighted = softmax_weights(scored, ["query_id"])

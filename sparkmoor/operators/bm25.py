@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import global_index, running_total
-from ..functions.staging import Staged, keyed_join, stage, stage_counted
+from ..functions.staging import Staged, keyed_join, salted_join, stage, stage_counted
 from ..functions.text import tokenize, tokens
 from ..functions.vectors import rounded
 from .retrieve import top_k
@@ -232,7 +232,7 @@ def weighted_terms(index: Index, terms: DataFrame, formula: Formula) -> Staged:
     """Query terms with their idf, staged: terms no document has are dropped."""
     held = stage_counted(terms)
     wanted = Staged(held.df.select("token").distinct(), held.rows)
-    df = doc_freq(keyed_join(index.terms, wanted, ["token"], "doc_id"))
+    df = doc_freq(keyed_join(index.terms, wanted, ["token"]))
     idf = df.select("token", formula.idf(F.col("df").cast("double"), index.n_docs).alias("idf"))
     return stage_counted(held.df.join(idf, "token"))
 
@@ -253,7 +253,7 @@ def score_documents(index: Index, terms: DataFrame, formula: Formula, by: list[s
     if weighted.broadcastable:
         wanted = weighted.df.select("token").distinct()
         scored = scored.join(F.broadcast(wanted), "token", "left_semi").repartition("doc_id")
-    hits = keyed_join(scored, weighted, ["token"], "doc_id")
+    hits = salted_join(scored, weighted, ["token"], "doc_id")
     part = F.col("idf") * formula.weight(F.col("tf"), F.col("dl"), index.mean_len)
     return hits.groupBy(*by, "doc_id").agg(rounded(F.sum(part)).alias("score"))
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.staging import salts_of
 from ..functions.vectors import as_matrix, collect_small, list_array, map_blocks, np_rounded, sum_vectors
 
 ROUTE_SCALE = 2.5
@@ -195,7 +196,7 @@ def feed_forward(wide: DataFrame, weights: DataFrame, n_experts: int, dim: int,
     return map_blocks(wide, block, "token_id bigint, y array<double>")
 
 
-def expert_parts(wide: DataFrame, weights: DataFrame, dim: int, salts: int = 16) -> DataFrame:
+def expert_parts(wide: DataFrame, weights: DataFrame, dim: int) -> DataFrame:
     """Weighted output of each (token, expert): (token_id, expert_id, y)."""
 
     def tiles(b: pa.RecordBatch) -> dict:
@@ -214,6 +215,7 @@ def expert_parts(wide: DataFrame, weights: DataFrame, dim: int, salts: int = 16)
             out[c] = pa.array(out[c], pa.list_(t))
         return out
 
+    salts = salts_of(wide.sparkSession)
     packed = map_blocks(wide, tiles, "expert int, ids array<bigint>, w array<double>, flat array<double>")
     layer = F.array_sort(F.collect_list(F.struct("row", "w1", "w3", "w2")))
     flat = [F.flatten(F.col(f"rows.{c}")).alias(c) for c in ("w1", "w3", "w2")]

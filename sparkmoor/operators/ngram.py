@@ -16,6 +16,7 @@ VOCAB_SIZE = 129280
 TABLE_FACTOR = 5
 # Embedding tables up to this many numbers travel with the tasks; larger ones are joined.
 TABLE_LIMIT = 4_000_000
+TOO_MANY = 1 << 62
 
 
 def multipliers(layer: int, vocab_size: int = VOCAB_SIZE, size: int = 3, seed: int = 0) -> list[int]:
@@ -93,8 +94,7 @@ def lookup(addressed: DataFrame, keys: list[str], table: DataFrame, dim: int,
     """Embedding rows of every head, side by side: (keys..., flat).
 
     A table within the limit is gathered inside the blocks.  A larger one is joined on the row
-    id, salted because frequent n-grams repeat one row, and regrouped per position (at most
-    one row per head).
+    id, rows of frequent n-grams apart, and regrouped per position (one row per head).
     """
     held = collect_small(table.select("row_id", F.col("vec").cast("array<float>").alias("vec")), limit // dim)
     types = dict(addressed.dtypes)
@@ -109,10 +109,9 @@ def lookup(addressed: DataFrame, keys: list[str], table: DataFrame, dim: int,
 
         schema = ", ".join(f"{c} {types[c]}" for c in keys)
         return map_blocks(addressed.select(*keys, "rows"), block, f"{schema}, flat array<float>")
-    asked = addressed.select(*keys, F.posexplode("rows").alias("head", "row_id")) \
-        .withColumn("_spread", F.xxhash64(*keys, "head"))
-    found = keyed_join(asked, Staged(table.select("row_id", F.col("vec").cast("array<float>").alias("vec")), 1 << 62),
-                       ["row_id"], "_spread")
+    asked = addressed.select(*keys, F.posexplode("rows").alias("head", "row_id"))
+    rows = table.select("row_id", F.col("vec").cast("array<float>").alias("vec"))
+    found = keyed_join(asked, Staged(rows, TOO_MANY), ["row_id"])
     parts = F.array_sort(F.collect_list(F.struct("head", "vec")))
     return found.groupBy(*keys).agg(parts.alias("parts")).select(*keys, F.flatten("parts.vec").alias("flat"))
 

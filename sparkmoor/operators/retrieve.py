@@ -75,7 +75,7 @@ def page_scores(scores: DataFrame, page_size: int, id_col: str = "pos",
 def matching_postings(postings: DataFrame, query_tokens: Staged) -> DataFrame:
     """Postings of the query's tokens."""
     return keyed_join(postings, Staged(query_tokens.df.select("token").distinct(), query_tokens.rows),
-                      ["token"], "doc_id")
+                      ["token"])
 
 
 def overlap(left: DataFrame, right: DataFrame, universe: DataFrame, id_col: str,
@@ -86,7 +86,7 @@ def overlap(left: DataFrame, right: DataFrame, universe: DataFrame, id_col: str,
     """
     lefts = stage(left.groupBy(*by, id_col).agg(F.count(F.lit(1)).alias("_copies")))
     named = stage_counted(lefts.select(id_col).distinct())
-    known = keyed_join(universe.select(id_col), named, [id_col], id_col).distinct().withColumn("_known", F.lit(1))
+    known = keyed_join(universe.select(id_col), named, [id_col]).distinct().withColumn("_known", F.lit(1))
     rights = right.select(*by, id_col).distinct().withColumn("_hit", F.lit(1))
     joined = lefts.join(rights, [*by, id_col], "left").join(known, id_col, "left")
     stats = joined.groupBy(*by).agg(

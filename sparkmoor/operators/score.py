@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.staging import salts_of
 from ..functions.vectors import as_matrix, collect_small, doubles, map_blocks, np_rounded
 from .retrieve import WORD_BITS, threshold_bitmap, top_k
 
@@ -160,7 +161,7 @@ def _paired_blocks(memory: DataFrame, queries: DataFrame, k: int | None, limit:
     group (equi-join on the group and a salt), multiplied there, and reduced to its best k.
     """
     groups = max(1, -(-queries.count() // limit))
-    salts = 16
+    salts = salts_of(memory.sparkSession)
     q = queries.withColumn("_group", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
     q = q.repartition(groups, "_group").sortWithinPartitions("_group")
     tiles = _packed(q.select("query_id", doubles("q").alias("q")), "query_id", "q", "q")
@@ -168,7 +169,7 @@ def _paired_blocks(memory: DataFrame, queries: DataFrame, k: int | None, limit:
     tiles = tiles.withColumn("_group", F.pmod(F.xxhash64(F.col("q_ids")[0]), F.lit(groups)))
     tiles = tiles.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     mem = _packed(memory.select("mem_id", doubles("vec").alias("vec")), "mem_id", "vec", "m")
-    mem = (mem.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("bigint"))
+    mem = (mem.withColumn("_group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
            .withColumn("_salt", F.pmod(F.xxhash64(F.col("m_ids")[0]), F.lit(salts)).cast("int")))
     pairs = mem.join(tiles, ["_group", "_salt"]).select("m_ids", "m_flat", "q_ids", "q_flat")
 

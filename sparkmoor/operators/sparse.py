@@ -18,7 +18,7 @@ def _sums(matrix: DataFrame, x: Staged, rows: DataFrame) -> DataFrame:
     if wanted.broadcastable:
         matrix = matrix.join(F.broadcast(wanted.df), "row", "left_semi")
     cells = matrix.groupBy("row", "col").agg(F.sum("val").alias("val"))
-    hit = keyed_join(cells, x, ["col"], "row")
+    hit = keyed_join(cells, x, ["col"])
     return hit.groupBy("row").agg(F.sum(F.col("val") * F.col("x")).alias("y"))
 
 

@@ -59,7 +59,7 @@ def latency_summary(df: DataFrame, name: str, value: str, key: str, percents: tu
     wanted = stats.select(name, F.explode(F.array(*[
         F.struct(F.lit(p).alias("p"), (F.col("_first") + F.floor(F.col("n") * p / 100)).alias("_at")) for p in percents])).alias("w")) \
         .select(name, "w.p", "w._at")
-    picked = keyed_join(ranked, stage_counted(wanted), [name, "_at"], key).groupBy(name).agg(
+    picked = keyed_join(ranked, stage_counted(wanted), [name, "_at"]).groupBy(name).agg(
         *[F.max(F.when(F.col("p") == p, F.col(value))).alias(f"p{p}") for p in percents])
     return stats.drop("_first").join(picked, name)
 
@@ -68,7 +68,7 @@ def best_setting(runs: DataFrame, setting: str, value: str, order: str, warmup:
     """Mean per setting without its first ``warmup`` runs; the fastest is marked."""
     first = F.row_number().over(Window.partitionBy(setting).orderBy(order))
     warm = runs.withColumn("_n", first).where(F.col("_n") <= warmup).groupBy(setting).agg(F.max(order).alias("_warm"))
-    means = keyed_join(runs, stage_counted(warm), [setting], order).where(F.col(order) > F.col("_warm")).groupBy(setting).agg(
+    means = keyed_join(runs, stage_counted(warm), [setting]).where(F.col(order) > F.col("_warm")).groupBy(setting).agg(
         F.count(F.lit(1)).alias("n_runs"), rounded(F.avg(value)).alias("mean"))
     means = stage(means)
     fastest = means.agg(F.min("mean")).scalar()

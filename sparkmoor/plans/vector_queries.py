@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.staging import stage
+from ..functions.staging import stage, stage_counted
 from ..functions.vectors import mean_vectors, rounded, total, unpack
 from ..operators import attention, memory, retrieve, score
 from ..sources.tables import table
@@ -176,10 +176,9 @@ ATTEND = f"""tok AS (SELECT top.query_id, k, v, list_inner_product(q, k) / {math
   SELECT query_id, dim::INTEGER AS dim, {r6('sum(w * y) / sum(w)')} AS value FROM x GROUP BY 1, 2"""
 
 
-def _attend(kv, q, chosen, labels=4096):
+def _attend(kv, q, chosen):
     out = attention.block_sparse_attention(
-        kv, q, chosen.select("query_id", F.col("mem_id").alias("page_id")), PAGE, DIM,
-        selected_rows=4 * labels)
+        kv, q, chosen.select("query_id", F.col("mem_id").alias("page_id")), PAGE, DIM)
     return unpack(out, ["query_id"], "out").withColumn("value", rounded("value"))
 
 
@@ -200,8 +199,7 @@ def paged_attention(spark, root):
   FROM top JOIN embeddings ON vec_id = mem_id, q""")
 def gather_gemv(spark, root):
     x = np.array(mean_query(spark, root).first()["q"])[::-1]
-    best = topk_single(spark, root).select("mem_id")
-    rows = attention.gather(vectors(spark, root), best, selected_rows=64)
+    rows = attention.gather(vectors(spark, root), stage_counted(topk_single(spark, root).select("mem_id")))
     return attention.gemv(rows, x).withColumn("y", rounded("y"))
 
 
@@ -289,7 +287,7 @@ _FOLDED = np.einsum("hn,hnc->hc", MLA_Q, MLA_K)
   SELECT query_id, head::INTEGER AS head, (n % 8)::INTEGER AS dim, {r6('list_inner_product(r, y)')} AS value FROM i JOIN wv ON n // 8 = head""")
 def latent_attention(spark, root):
     best = score.top_inner_products(vectors(spark, root), label_queries(spark, root), 32)
-    rows = attention.gather(vectors(spark, root), best.select("query_id", "mem_id"), selected_rows=32 * 4096)
+    rows = attention.gather(vectors(spark, root), stage_counted(best.select("query_id", "mem_id")))
     kv = rows.select("query_id", F.slice("vec", 1, LATENT).alias("latent"),
                      F.slice("vec", LATENT + 1, ROPE).alias("k_pe"))
     out = attention.latent_attention(kv, MLA_Q, MLA_PE, MLA_K, MLA_V, MLA_SCALE)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,7 +84,7 @@ def read_rules(spark: SparkSession, path: str) -> list[Rule]:
     for api in apis:
         rows = df.select(F.posexplode(api).alias("no", "r")).select("no", "r.*").orderBy("no").collect()
         for r in rows:
-            devices = tuple(d.strip(' "') for d in r["config"].strip("[]").split(","))
+            devices = tuple(re.findall(r"\w+", r["config"]))  # one name or a list of names
             rules.append(Rule(api, r["retrieved_data"], r["memory"], devices))
     return rules
 
