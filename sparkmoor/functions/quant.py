@@ -33,12 +33,14 @@ def quantise(v: Column, scale: Column | float, bits: int) -> Column:
         F.least(F.bround(x * inv), F.lit(float(top))), F.lit(float(-top - 1))).cast(kind))
 
 
-def grouped_int8(df: DataFrame, group: str, vec: str) -> DataFrame:
-    """8-bit values with one scale per group; adds ``scale`` and ``quantised``."""
-    peaks = stage_counted(df.groupBy(group).agg(F.max(largest(F.col(vec))).alias("_peak")))
-    scale = F.greatest("_peak", F.lit(1e-8)) / INT8_MAX
-    return keyed_join(df, peaks, [group]).withColumn("scale", scale) \
-        .withColumn("quantised", quantise(F.col(vec), F.col("scale"), 8)).drop("_peak")
+def grouped_int8(df: DataFrame, group: str, vecs: list[str]) -> DataFrame:
+    """8-bit values with one scale per group and column: ``v`` is replaced, ``v_scale`` added."""
+    scales = stage_counted(df.groupBy(group).agg(*[
+        (F.greatest(F.max(largest(F.col(v))), F.lit(1e-8)) / INT8_MAX).alias(f"{v}_scale") for v in vecs]))
+    joined = keyed_join(df, scales, [group])
+    for v in vecs:
+        joined = joined.withColumn(v, quantise(F.col(v), F.col(f"{v}_scale"), 8))
+    return joined
 
 
 def dequantise(v: Column, scale: Column) -> Column:

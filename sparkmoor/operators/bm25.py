@@ -36,12 +36,21 @@ class Index(NamedTuple):
 
 
 def postings_of(docs: DataFrame, text: str = "text", tokenizer=None) -> DataFrame:
-    """(doc_id, dl, token, tf, head); copies of a token are counted before the shuffle."""
+    """(doc_id, dl, token, tf, head).
+
+    A document is one row, so its tokens are counted inside the row, as the runs of its sorted
+    tokens: building the index shuffles nothing, and a document's postings stay together.
+    """
     words = tokenize(docs.select("doc_id", text), text, "tokens", tokenizer).select(
-        "doc_id", F.size("tokens").alias("dl"), F.posexplode_outer("tokens").alias("at", "token"))
-    return words.groupBy("doc_id", "dl", "token").agg(
-        F.count("token").cast("int").alias("tf"),
-        (F.min(F.coalesce("at", F.lit(0))) == 0).alias("head"))
+        "doc_id", F.size("tokens").alias("dl"), F.sort_array("tokens").alias("tokens"))
+    places = F.when(F.col("dl") > 0, F.sequence(F.lit(0), F.col("dl") - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get("tokens", i) != F.get("tokens", i - 1)))
+    marked = words.withColumn("starts", starts)
+    runs = F.transform("starts", lambda s, j: F.struct(
+        F.get("tokens", s).alias("token"), (F.coalesce(F.get("starts", j + 1), F.col("dl")) - s).alias("tf")))
+    return marked.select("doc_id", "dl", F.posexplode_outer(runs).alias("at", "run")).select(
+        "doc_id", "dl", "run.token", F.coalesce("run.tf", F.lit(0)).alias("tf"),
+        (F.coalesce("at", F.lit(0)) == 0).alias("head"))
 
 
 def describe(postings: DataFrame) -> Index:
@@ -54,9 +63,8 @@ def build_index(docs: DataFrame, text: str = "text", tokenizer=None) -> Index:
     return describe(stage(postings_of(docs, text, tokenizer)))
 
 
-def save_index(index: Index, path: str) -> None:
-    """Postings lie together by document, so that scoring combines a document in its task."""
-    index.postings.repartition("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(path)
+def save_index(postings: DataFrame, path: str) -> None:
+    postings.write.mode("overwrite").parquet(path)
 
 
 def load_or_build(spark: SparkSession, path: str, docs: DataFrame, text: str = "text") -> Index:
@@ -64,7 +72,7 @@ def load_or_build(spark: SparkSession, path: str, docs: DataFrame, text: str = "
     try:
         return describe(spark.read.parquet(path))
     except Exception:  # any failure to read means rebuild
-        save_index(Index(postings_of(docs, text), 0, 0.0), path)
+        save_index(postings_of(docs, text), path)
         return describe(spark.read.parquet(path))
 
 

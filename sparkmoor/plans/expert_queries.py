@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import quant
+from ..functions.staging import stage
 from ..functions.vectors import mean_vectors, rounded, unpack
 from ..operators import experts
 from ..sources.tables import table
@@ -172,16 +173,14 @@ INT8 = f"""{layer_sql(16)}, le AS (SELECT expert_id, row, unnest(w1) AS v, gener
 @query("quantise_int8", f"""WITH {ELEMENTS}, {INT8} SELECT expert_id AS expert, row::INTEGER AS row, d::INTEGER AS dim, {r6('scale')} AS scale,
   {quant_sql('scale', 'v', 127)}::INTEGER AS value FROM le JOIN sc USING (expert_id)""")
 def quantise_int8(spark, root):
-    q = quant.grouped_int8(layers(spark, root), "expert", "w1")
-    return unpack(q, ["expert", "row", "scale"], "quantised").select(
-        "expert", "row", "dim", rounded("scale").alias("scale"), F.col("value").cast("int").alias("value"))
+    q = quant.grouped_int8(layers(spark, root), "expert", ["w1"])
+    return unpack(q, ["expert", "row", "w1_scale"], "w1").select(
+        "expert", "row", "dim", rounded("w1_scale").alias("scale"), F.col("value").cast("int").alias("value"))
 
 
 def _fake_int8(df, group, cols):
-    for c in cols:
-        q = quant.grouped_int8(df, group, c)
-        df = q.withColumn(c, quant.dequantise(F.col("quantised"), F.col("scale"))).drop("quantised", "scale")
-    return df
+    q = quant.grouped_int8(stage(df), group, cols)
+    return q.select(*[quant.dequantise(F.col(c), F.col(f"{c}_scale")).alias(c) if c in cols else c for c in df.columns])
 
 
 def _fake_sql(col: str) -> str:

@@ -10,7 +10,7 @@ from ..functions.text import token_id, tokens
 from ..functions.vectors import (dot, rms_norm, rounded, signed_sqrt_gate, total, unpack,
                                  vector_literal)
 from ..operators import memory, ngram
-from ..sources.tables import table
+from ..sources.tables import spread_out, table
 from .registry import query, r6, sql_matrix, sql_vector
 from .vector_queries import DIM, ELEMENTS
 
@@ -21,7 +21,7 @@ KEYS = ["conv_id", "turn"]
 
 
 def token_sequences(spark, root):
-    said = table(spark, root, "conversations")
+    said = spread_out(table(spark, root, "conversations").select(*KEYS, "text"))
     return said.select(*KEYS, F.transform(tokens("text"), lambda t: token_id(t, ngram.VOCAB_SIZE)).alias("ids"))
 
 

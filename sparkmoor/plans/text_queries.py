@@ -12,7 +12,7 @@ from ..functions.staging import Staged, shared_dir, stage_counted
 from ..operators import bm25, rag, retrieve
 from ..operators.bm25 import CPU, LUCENE, PACKED, Index
 from ..sources.corpus import parse_ids, titled_corpus
-from ..sources.tables import table
+from ..sources.tables import spread_out, table
 from .registry import query, r6
 from .vector_queries import ranked_sql
 
@@ -30,7 +30,8 @@ def _once(spark: SparkSession, root: str, what: str, make):
 def text_index(spark: SparkSession, root: str) -> Index:
     def make():
         tag = hashlib.md5(f"{spark.sparkContext.applicationId}:{root}".encode()).hexdigest()
-        return bm25.load_or_build(spark, f"{shared_dir(spark)}/postings-{tag}", table(spark, root, "documents"))
+        return bm25.load_or_build(spark, f"{shared_dir(spark)}/postings-{tag}",
+                                  spread_out(table(spark, root, "documents").select("doc_id", "text")))
 
     return _once(spark, root, "index", make)
 

@@ -5,5 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def spread_out(scan: DataFrame) -> DataFrame:
+    """Use all cores on a scan of few splits, such as one small file.
+
+    For tables with at least half as many splits as cores nothing is added to the plan.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if 2 * scan.rdd.getNumPartitions() < cores else scan
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
