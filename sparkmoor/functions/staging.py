@@ -56,6 +56,19 @@ def stage_counted(df: DataFrame) -> Staged:
     return Staged(written, written.count())
 
 
+# Rows the driver may hold: query batches, selections of a few pages, model parameters.
+DRIVER_ROWS = 4096
+
+
+def hold(df: DataFrame) -> Staged:
+    """Materialise a table that is expected to be small: its rows if there are at most
+    ``DRIVER_ROWS``, else a staged table."""
+    rows = df.limit(DRIVER_ROWS + 1).collect()
+    if len(rows) > DRIVER_ROWS:
+        return stage_counted(df)
+    return Staged(df.sparkSession.createDataFrame(rows, df.schema), len(rows))
+
+
 # A key is hot when it holds more than 1/HOT_SHARE of the rows; at most HOT_SHARE keys can.
 HOT_SHARE = 10_000
 

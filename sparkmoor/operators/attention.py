@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.staging import Staged, stage_counted
+from ..functions.staging import Staged, hold, stage_counted
 from ..functions.vectors import (as_matrix, dot, doubles, list_array, map_blocks, sum_vectors)
 from .memory import page_of
 
@@ -47,19 +47,22 @@ def softmax_weights(scored: DataFrame, by: list[str], score: str = "score") -> D
 
 
 def block_sparse_attention(kv: DataFrame, queries: DataFrame, selected: DataFrame,
-                           page_size: int, dim: int) -> DataFrame:
+                           page_size: int, dim: int, few: bool = False) -> DataFrame:
     """softmax(q.k / sqrt(d)) V over the tokens of the selected pages.
 
     ``kv`` (pos, k, v), ``queries`` (query_id, q), ``selected`` (query_id, page_id).
-    A query without a selected token gives the zero vector.
+    A query without a selected token gives the zero vector.  ``few`` says that the selection
+    is expected to be small (a few pages of a few queries); a wrong guess costs a second run
+    of the selection, not the result.
     Result: (query_id, out).
     """
-    tokens = gather_pages(kv, stage_counted(selected.select("query_id", "page_id")), page_size)
+    picked = selected.select("query_id", "page_id")
+    tokens = gather_pages(kv, hold(picked) if few else stage_counted(picked), page_size)
     scored = tokens.join(queries, "query_id").select(
         "query_id", "v", (dot(F.col("q"), F.col("k")) / F.sqrt(F.size("q").cast("double"))).alias("score"))
     weighted = softmax_weights(scored, ["query_id"])
     v = F.transform(doubles("v"), lambda x: x * F.col("w"))
-    sums = sum_vectors(weighted.select("query_id", "w", v.alias("wv")), ["query_id"], F.col("wv"),
+    sums = sum_vectors(weighted.select("query_id", "w", v.alias("wv")), ["query_id"], "wv",
                        dim, "wv", F.sum("w").alias("z"))
     out = F.transform("wv", lambda x: x / F.col("z"))
     zero = F.array_repeat(F.lit(0.0), dim)
@@ -106,7 +109,7 @@ def latent_attention(kv: DataFrame, heads: np.ndarray, pe: np.ndarray, w_k: np.n
     merged = sum_vectors(
         peaks.select(*key, (F.col("z") * factor).alias("z"),
                      F.transform("acc", lambda x: x * factor).alias("acc")),
-        key, F.col("acc"), w_v.shape[2], "acc", F.sum("z").alias("z"))
+        key, "acc", w_v.shape[2], "acc", F.sum("z").alias("z"))
 
     def expand(b: pa.RecordBatch) -> dict:
         h = b.column("head").to_numpy()

@@ -194,8 +194,8 @@ def index_statistics(index: Index, packed: DataFrame) -> DataFrame:
     rows = packed_rows(packed, index.n_docs).agg(
         F.count(F.lit(1)).alias("n_batches"), F.sum("n_rows").alias("n_rows"),
         rounded(F.avg("n_rows")).alias("avg_rows"))
-    one = F.lit(1).alias("_one")
-    return freq.select("*", one).join(rows.select("*", one), "_one").drop("_one").select(
+    layout = rows.select(F.struct("*")).scalar()
+    return freq.withColumn("_r", layout).select("*", "_r.*").drop("_r").select(
         F.lit(index.n_docs).cast("bigint").alias("n_docs"), "*",
         (F.col("n_rows") * 4 * 16 * 4 + F.col("n_batches") * 4).alias("packed_bytes"))
 

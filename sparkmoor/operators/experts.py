@@ -241,7 +241,7 @@ def expert_parts(wide: DataFrame, weights: DataFrame, dim: int) -> DataFrame:
 
 def accumulate(parts: DataFrame, dim: int) -> DataFrame:
     """Sum of the partial outputs per token."""
-    return sum_vectors(parts, ["token_id"], F.col("y"), dim, "y")
+    return sum_vectors(parts, ["token_id"], "y", dim, "y")
 
 
 def shared_expert(tokens: DataFrame, weights: DataFrame, dim: int, limit: int = WEIGHT_LIMIT) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import global_index
-from ..functions.vectors import (as_matrix, list_array, map_blocks, matrix_literal, matvec,
+from ..functions.vectors import (as_matrix, each, list_array, map_blocks, matrix_literal, matvec,
                                  mean_vectors)
 
 # Above this many weights a projection runs as NumPy blocks instead of a SQL literal.
@@ -76,11 +76,9 @@ def fold_query(query: DataFrame, weights: np.ndarray) -> DataFrame:
 
 def minmax_index(kv: DataFrame, block: int, dim: int, page_entries: int = 1) -> DataFrame:
     """Element-wise minimum and maximum per block; ``page_entries`` entries form a page."""
-    lows = F.array(*[F.min(F.col("k")[i]) for i in range(dim)])
-    highs = F.array(*[F.max(F.col("k")[i]) for i in range(dim)])
     return (
         kv.groupBy(page_of("pos", block).alias("entry_id"))
-        .agg(lows.alias("vmin"), highs.alias("vmax"))
+        .agg(each("min", "k", dim).alias("vmin"), each("max", "k", dim).alias("vmax"))
         .select("entry_id", page_of("entry_id", page_entries).alias("page_id"), "vmin", "vmax")
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.staging import Staged, keyed_join
-from ..functions.vectors import as_matrix, collect_small, list_array, map_blocks, silu, sum_vectors
+from ..functions.vectors import as_matrix, collect_small, each, list_array, map_blocks, silu, sum_vectors
 
 # Seed step per layer, vocabulary, and how far above it the table sizes start.
 LAYER_STEP = 10007
@@ -175,8 +175,8 @@ def short_conv(df: DataFrame, groups: int, dim: int, taps: np.ndarray, norm: np.
 
     shares = map_blocks(df.select(*cols), block,
                         "seq_id bigint, t bigint, share array<double>, base array<double>, own int")
-    summed = sum_vectors(shares, ["seq_id", "t"], F.col("share"), width, "acc", F.max("own").alias("own"),
-                         F.array(*[F.sum(F.col("base")[i]) for i in range(width)]).alias("base"))
+    summed = sum_vectors(shares, ["seq_id", "t"], "share", width, "acc", F.max("own").alias("own"),
+                         each("sum", "base", width).alias("base"))
     # a share may point behind the end of its sequence: no row of its own is there
     return summed.where("own = 1").select(
         "seq_id", "t", F.zip_with("acc", "base", lambda a, r: silu(a) + r).alias("out"))

@@ -87,7 +87,7 @@ def overlap(left: DataFrame, right: DataFrame, universe: DataFrame, id_col: str,
     lefts = stage(left.groupBy(*by, id_col).agg(F.count(F.lit(1)).alias("_copies")))
     named = stage_counted(lefts.select(id_col).distinct())
     known = keyed_join(universe.select(id_col), named, [id_col]).distinct().withColumn("_known", F.lit(1))
-    rights = right.select(*by, id_col).distinct().withColumn("_hit", F.lit(1))
+    rights = stage(right.select(*by, id_col).distinct().withColumn("_hit", F.lit(1)))
     joined = lefts.join(rights, [*by, id_col], "left").join(known, id_col, "left")
     stats = joined.groupBy(*by).agg(
         F.sum("_copies").alias("n_returned"),

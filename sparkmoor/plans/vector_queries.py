@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.staging import stage, stage_counted
+from ..functions.staging import hold
 from ..functions.vectors import mean_vectors, rounded, total, unpack
 from ..operators import attention, memory, retrieve, score
 from ..sources.tables import table
@@ -158,7 +158,7 @@ PAGE_TOP = f"""qp AS (SELECT query_id, list(list_inner_product(row, q) ORDER BY
 def _page_choice(spark, root, weights, k=4):
     """Best pages per label query; query and pages are projected alike."""
     kv = cache_rows(spark, root)
-    q = stage(label_queries(spark, root))  # read by the scoring and by the attention
+    q = hold(label_queries(spark, root)).df  # read by the scoring and by the attention
     index = memory.paged_index(kv.select("pos", "k"), PAGE, DIM, weights)
     scored = memory.project(q, "q", weights, "q") if weights is not None else q
     return kv, q, score.top_inner_products(index, scored, k)
@@ -178,7 +178,7 @@ ATTEND = f"""tok AS (SELECT top.query_id, k, v, list_inner_product(q, k) / {math
 
 def _attend(kv, q, chosen):
     out = attention.block_sparse_attention(
-        kv, q, chosen.select("query_id", F.col("mem_id").alias("page_id")), PAGE, DIM)
+        kv, q, chosen.select("query_id", F.col("mem_id").alias("page_id")), PAGE, DIM, few=True)
     return unpack(out, ["query_id"], "out").withColumn("value", rounded("value"))
 
 
@@ -199,7 +199,7 @@ def paged_attention(spark, root):
   FROM top JOIN embeddings ON vec_id = mem_id, q""")
 def gather_gemv(spark, root):
     x = np.array(mean_query(spark, root).first()["q"])[::-1]
-    rows = attention.gather(vectors(spark, root), stage_counted(topk_single(spark, root).select("mem_id")))
+    rows = attention.gather(vectors(spark, root), hold(topk_single(spark, root).select("mem_id")))
     return attention.gemv(rows, x).withColumn("y", rounded("y"))
 
 
@@ -287,7 +287,7 @@ _FOLDED = np.einsum("hn,hnc->hc", MLA_Q, MLA_K)
   SELECT query_id, head::INTEGER AS head, (n % 8)::INTEGER AS dim, {r6('list_inner_product(r, y)')} AS value FROM i JOIN wv ON n // 8 = head""")
 def latent_attention(spark, root):
     best = score.top_inner_products(vectors(spark, root), label_queries(spark, root), 32)
-    rows = attention.gather(vectors(spark, root), stage_counted(best.select("query_id", "mem_id")))
+    rows = attention.gather(vectors(spark, root), hold(best.select("query_id", "mem_id")))
     kv = rows.select("query_id", F.slice("vec", 1, LATENT).alias("latent"),
                      F.slice("vec", LATENT + 1, ROPE).alias("k_pe"))
     out = attention.latent_attention(kv, MLA_Q, MLA_PE, MLA_K, MLA_V, MLA_SCALE)

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 def spread_out(scan: DataFrame) -> DataFrame:
     """Use all cores on a scan of few splits, such as one small file.
 
-    For tables with at least half as many splits as cores nothing is added to the plan.
+    Splits without a row group of their own do no work, hence the plain comparison.  Tables
+    with at least as many splits as cores are left alone: nothing is added to their plan.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if 2 * scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL, or at least executed."""
+"""Every registered query against its SQL, and the shape of its plan."""
 
 import pytest
 from check import compare, connect
@@ -13,13 +13,18 @@ def con(root):
 
 
 @pytest.mark.parametrize("name", sorted(REGISTRY))
-def test_query(spark, root, con, name):
+def test_query(spark, root, con, name, capsys):
     q = REGISTRY[name]
     df = q.run(spark, root)
     if q.sql:
         assert compare(df, con, q.sql) is None
     else:
         assert df.count() >= 0
+    capsys.readouterr()
+    df.explain()
+    plan = capsys.readouterr().out
+    assert "Physical Plan" in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_entry_points(spark):
