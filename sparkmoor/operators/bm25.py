@@ -245,19 +245,15 @@ def weighted_terms(index: Index, terms: DataFrame, formula: Formula) -> Staged:
     return stage_counted(held.df.join(idf, "token"))
 
 
-def score_documents(index: Index, terms: DataFrame, formula: Formula, by: list[str] | None = None,
-                    postings: DataFrame | None = None) -> DataFrame:
-    """BM25 of every matching document: (by..., doc_id, score).
+def score_weighted(index: Index, postings: DataFrame, weighted: Staged, formula: Formula,
+                   by: list[str]) -> DataFrame:
+    """Sum of idf * weight per (query, document).
 
-    The weighted query terms are staged and counted.  When they can be broadcast, only the
-    postings of query tokens are shuffled, by document; a document's scores for all queries
-    are then summed in one place, and a following top-k keeps k rows per query and task.
-    Otherwise postings and terms meet by token, salted by document.  ``postings`` replaces
-    the scored postings (not the statistics), e.g. to leave out tokens outside a lane.
+    When the terms can be broadcast, only the postings of query tokens are shuffled, by
+    document; a document's scores for all queries are then summed in one place.  Otherwise
+    postings and terms meet by token, salted by document.
     """
-    by = by or ["query_id"]
-    scored = (index.terms if postings is None else postings).select("doc_id", "dl", "token", "tf")
-    weighted = weighted_terms(index, terms, formula)
+    scored = postings.select("doc_id", "dl", "token", "tf")
     if weighted.broadcastable:
         wanted = weighted.df.select("token").distinct()
         scored = scored.join(F.broadcast(wanted), "token", "left_semi").repartition("doc_id")
@@ -266,6 +262,18 @@ def score_documents(index: Index, terms: DataFrame, formula: Formula, by: list[s
     return hits.groupBy(*by, "doc_id").agg(rounded(F.sum(part)).alias("score"))
 
 
+def score_documents(index: Index, terms: DataFrame, formula: Formula, by: list[str] | None = None,
+                    postings: DataFrame | None = None) -> DataFrame:
+    """BM25 of every matching document: (by..., doc_id, score).
+
+    ``postings`` replaces the scored postings (not the statistics), e.g. to leave out tokens
+    outside a lane.  To rank documents for many queries use ``ranking.top_documents``, which
+    does not make a row per pair.
+    """
+    scored = index.terms if postings is None else postings
+    return score_weighted(index, scored, weighted_terms(index, terms, formula), formula, by or ["query_id"])
+
+
 def lane_postings(numbered: DataFrame) -> DataFrame:
     """Postings whose token id falls into the lane of their document."""
     return numbered.where(F.col("vocab_idx") % 16 == F.pmod("doc_id", F.lit(16)))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.staging import stage_counted
-from ..operators import attention, bm25, memory, rag, score
+from ..operators import attention, bm25, memory, rag, ranking, score
 
 Step = Callable[..., DataFrame]
 KINDS = ("build", "score", "retrieve", "apply", "fused")
@@ -100,8 +100,7 @@ def document_prompts(k: int, formula: bm25.Formula = bm25.CPU) -> MemoryFlow:
     """
 
     def choose(index: bm25.Index, query: DataFrame) -> DataFrame:
-        scores = bm25.score_documents(index, bm25.query_terms(query), formula)
-        return bm25.rank_documents(scores, k, ["query_id"])
+        return ranking.top_documents(index, bm25.query_terms(query), formula, k)
 
     def prompts(docs: DataFrame, query: DataFrame, index: DataFrame) -> DataFrame:
         ranked = stage_counted(index.select("query_id", "doc_id", "rank"))

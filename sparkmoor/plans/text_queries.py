@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..functions.staging import Staged, shared_dir, stage_counted
 from ..operators import bm25, rag, retrieve
 from ..operators.bm25 import CPU, LUCENE, PACKED, Index
+from ..operators.ranking import top_documents
 from ..sources.corpus import parse_ids, titled_corpus
 from ..sources.tables import spread_out, table
 from .registry import query, r6
@@ -186,8 +187,7 @@ def bm25_packed_lanes(spark, root):
 
 
 def _item_ranking(spark, root, formula, k):
-    scores = bm25.score_documents(text_index(spark, root), bm25.query_terms(item_queries(spark, root)), formula)
-    return bm25.rank_documents(scores, k, ["query_id"])
+    return top_documents(text_index(spark, root), bm25.query_terms(item_queries(spark, root)), formula, k)
 
 
 def item_top(k: int, idf: str = IDF_CPU, tf: str = TF_CPU) -> str:
@@ -307,7 +307,7 @@ def sentence_retrieval(spark, root):
     """After each sentence of a conversation, the three documents closest to it."""
     by = ["conv_id", "turn", "sentence_no"]
     terms = bm25.query_terms(sentences(spark, root), "sentence", by)
-    return bm25.rank_documents(bm25.score_documents(text_index(spark, root), terms, CPU, by), 3, by)
+    return top_documents(text_index(spark, root), terms, CPU, 3, by)
 
 
 @query("parsed_ids", """SELECT event_id, unnest(list_sort(list_distinct(list_filter(list_transform(string_split(l, ','),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import tokens
-from ..operators import bm25, rag
+from ..operators import bm25, rag, ranking
 
 
 def running_doc_freq(docs: DataFrame) -> DataFrame:
@@ -30,8 +30,8 @@ def sentence_retrieval(texts: DataFrame, keys: list[str], index: bm25.Index, pat
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         said = rag.split_sentences(batch, keys)
-        scores = bm25.score_documents(index, bm25.query_terms(said, "sentence", by), formula, by)
-        bm25.rank_documents(scores, k, by).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        terms = bm25.query_terms(said, "sentence", by)
+        ranking.top_documents(index, terms, formula, k, by).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (texts.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

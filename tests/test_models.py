@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkmoor.functions import ordering, quant, staging
 from sparkmoor.functions import text as tx
 from sparkmoor.functions.staging import Staged, stage_counted
-from sparkmoor.operators import bm25, costs, decoding, experts, ngram, rag, sparse, utility
+from sparkmoor.operators import bm25, costs, decoding, experts, ngram, rag, ranking, sparse, utility
 from sparkmoor.plans import steps
 from sparkmoor.sources import configs, corpus
 
@@ -113,6 +113,23 @@ def test_bm25(spark, index, formula, monkeypatch):
     assert single.count() == 70
 
 
+@pytest.mark.parametrize("formula", [bm25.CPU, bm25.PACKED])
+def test_top_documents(spark, index, formula, monkeypatch):
+    asked = spark.createDataFrame([(q, 7 - q, " ".join(random.Random(q).sample(WORDS, 4))) for q in range(8)] + [(9, 9, "zzz")],
+                                  "query_id bigint, part int, text string")
+    by = ["query_id", "part"]
+    terms = bm25.query_terms(asked, by=by)
+    for k in (1, 5, 100):
+        want = rows(bm25.rank_documents(bm25.score_documents(index, terms, formula, by), k, by)
+                    .select(*by, "doc_id", "score", "rank"))
+        assert rows(ranking.top_documents(index, terms, formula, k, by)) == want
+        monkeypatch.setattr(ranking, "CELLS", 40)  # five documents per matrix
+        assert rows(ranking.top_documents(index, terms, formula, k, by)) == want
+        monkeypatch.undo()
+    monkeypatch.setattr(staging, "BROADCAST_ROWS", 0)
+    assert rows(ranking.top_documents(index, terms, formula, 100, by)) == want
+
+
 def test_vocabulary_split(index, monkeypatch):
     vocab = stage_counted(bm25.vocabulary(index.postings))
     want = rows(bm25.with_vocab(index.postings, vocab).select("doc_id", "token", "vocab_idx"))
