@@ -78,6 +78,15 @@ def salts_of(spark: SparkSession) -> int:
     return min(512, max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle rows by key into the session's number of partitions.
+
+    The explicit number keeps them from being merged by size: what follows costs far more
+    time per byte than a plain scan.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def keyed_join(big: DataFrame, small: Staged, on: list[str]) -> DataFrame:
     """Inner join of a table with hot keys to a staged one that has each key once.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import global_index, running_total
-from ..functions.staging import Staged, keyed_join, salted_join, stage, stage_counted
+from ..functions.staging import Staged, by_key, keyed_join, salted_join, stage, stage_counted
 from ..functions.text import tokenize, tokens
 from ..functions.vectors import rounded
 from .retrieve import top_k
@@ -256,7 +256,7 @@ def score_weighted(index: Index, postings: DataFrame, weighted: Staged, formula:
     scored = postings.select("doc_id", "dl", "token", "tf")
     if weighted.broadcastable:
         wanted = weighted.df.select("token").distinct()
-        scored = scored.join(F.broadcast(wanted), "token", "left_semi").repartition("doc_id")
+        scored = by_key(scored.join(F.broadcast(wanted), "token", "left_semi"), "doc_id")
     hits = salted_join(scored, weighted, ["token"], "doc_id")
     part = F.col("idf") * formula.weight(F.col("tf"), F.col("dl"), index.mean_len)
     return hits.groupBy(*by, "doc_id").agg(rounded(F.sum(part)).alias("score"))

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.staging import by_key
 from ..functions.vectors import np_rounded
 from .bm25 import Formula, Index, rank_documents, score_weighted, weighted_terms
 from .retrieve import top_k
@@ -22,6 +23,9 @@ from .retrieve import top_k
 CELLS = 4_000_000   # size of a score matrix
 DOCS = 2048         # documents per matrix at most
 SHARES = 16
+TERM_ROWS = 1_000_000  # (query, token) rows that travel with the tasks
+SLACK = 1e-6           # more than rounding can move a score
+SMALLEST = 5e-324
 
 BEST = "query_no int, doc_id bigint, score double"
 
@@ -47,11 +51,17 @@ class _Best:
         self.bar = np.full(n_queries, -np.inf)  # k-th best score, once there are k
         self.query, self.doc, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
-    def add(self, docs: np.ndarray, scores: np.ndarray, matched: np.ndarray) -> None:
-        row, col = np.nonzero(matched & (scores >= self.bar))
-        query = np.concatenate([self.query, col])
-        doc = np.concatenate([self.doc, docs[row]])
-        score = np.concatenate([self.score, scores[row, col]])
+    def add(self, docs: np.ndarray, scores: np.ndarray, matched: np.ndarray | None) -> None:
+        """Take in a matrix of exact scores; without ``matched`` a match is a score above 0."""
+        if matched is None:
+            row, col = np.nonzero(scores >= np.maximum(self.bar - SLACK, SMALLEST))
+        else:
+            row, col = np.nonzero(matched & (scores >= self.bar - SLACK))
+        value = np_rounded(scores[row, col])
+        good = value >= self.bar[col]
+        query = np.concatenate([self.query, col[good]])
+        doc = np.concatenate([self.doc, docs[row[good]]])
+        score = np.concatenate([self.score, value[good]])
         order = np.lexsort((doc, -score, query))
         query, doc, score = query[order], doc[order], score[order]
         place = np.arange(len(query)) - np.searchsorted(query, query)
@@ -61,7 +71,8 @@ class _Best:
         self.query, self.doc, self.score = query[keep], doc[keep], score[keep]
 
 
-def _score(best: _Best, terms: _Terms, doc: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+def _score(best: _Best, terms: _Terms, positive: bool, doc: np.ndarray, term: np.ndarray,
+           weight: np.ndarray) -> None:
     """Score whole documents; their rows are sorted by document."""
     docs, first, row = np.unique(doc, return_index=True, return_inverse=True)
     size = min(DOCS, max(1, CELLS // max(1, terms.n_queries)))
@@ -70,29 +81,31 @@ def _score(best: _Best, terms: _Terms, doc: np.ndarray, term: np.ndarray, weight
         part = slice(first[a], first[z] if z < len(docs) else len(doc))
         order = np.argsort(term[part], kind="stable")
         t, r, w = term[part][order], row[part][order] - a, weight[part][order]
-        scores = np.zeros((z - a, terms.n_queries))
-        matched = np.zeros(scores.shape, bool)
+        scores = np.zeros((z - a) * terms.n_queries)
+        matched = None if positive else np.zeros(scores.shape, bool)
         bounds = np.flatnonzero(np.diff(t, prepend=-1))
         for i, j in zip(bounds, np.append(bounds[1:], len(t))):
             query, idf = terms.of(t[i])
-            at = np.ix_(r[i:j], query)
-            scores[at] += np.outer(w[i:j], idf)
-            matched[at] = True
-        best.add(docs[a:z], np_rounded(scores), matched)
+            at = np.add.outer(r[i:j] * terms.n_queries, query).ravel()  # each cell once
+            scores[at] += np.outer(w[i:j], idf).ravel()
+            if matched is not None:
+                matched[at] = True
+        shape = (z - a, terms.n_queries)
+        best.add(docs[a:z], scores.reshape(shape), None if matched is None else matched.reshape(shape))
 
 
 def top_documents(index: Index, terms: DataFrame, formula: Formula, k: int,
                   by: list[str] | None = None, postings: DataFrame | None = None) -> DataFrame:
     """The ``k`` best matching documents per query: (by..., doc_id, score, rank).
 
-    The weighted query terms travel with the tasks while they can be broadcast; beyond that
-    postings and terms meet in a salted join and the pairs are ranked as rows.
+    Up to ``TERM_ROWS`` weighted query terms travel with the tasks; beyond that postings and
+    terms meet in a salted join and the pairs are ranked as rows.
     """
     by = by or ["query_id"]
     spark = terms.sparkSession
     weighted = weighted_terms(index, terms, formula)
     scored = index.terms if postings is None else postings
-    if not weighted.broadcastable or weighted.rows == 0:
+    if weighted.rows > TERM_ROWS or weighted.rows == 0:
         return rank_documents(score_weighted(index, scored, weighted, formula, by), k, by)
 
     held = weighted.df.toArrow()
@@ -107,6 +120,8 @@ def top_documents(index: Index, terms: DataFrame, formula: Formula, k: int,
     names = held.select(by).take(pa.array(first)).append_column(
         "query_no", pa.array(np.arange(n_queries, dtype=np.int32)))
 
+    positive = formula.idf_plus_one  # every contribution is above 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, held_back, rows = _Best(k, n_queries), [], 0
 
@@ -119,16 +134,16 @@ def top_documents(index: Index, terms: DataFrame, formula: Formula, k: int,
             if rows >= 200_000:
                 doc, term, weight = columns()
                 cut = int(np.searchsorted(doc, doc[-1]))  # the last document may go on
-                _score(best, by_term, doc[:cut], term[:cut], weight[:cut])
+                _score(best, by_term, positive, doc[:cut], term[:cut], weight[:cut])
                 held_back, rows = [[doc[cut:], term[cut:], weight[cut:]]], len(doc) - cut
         if held_back:
-            _score(best, by_term, *columns())
+            _score(best, by_term, positive, *columns())
         yield pa.RecordBatch.from_arrays(
             [pa.array(best.query.astype(np.int32)), pa.array(best.doc.astype(np.int64)), pa.array(best.score)],
             names=["query_no", "doc_id", "score"])
 
     hits = scored.join(F.broadcast(numbers), "token").select(
         "doc_id", "term", formula.weight(F.col("tf"), F.col("dl"), index.mean_len).alias("weight"))
-    best = hits.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, BEST)
+    best = by_key(hits, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, BEST)
     ranked = top_k(best, k, "doc_id", ["query_no"], spread=SHARES)
     return ranked.join(F.broadcast(spark.createDataFrame(names)), "query_no").select(*by, "doc_id", "score", "rank")

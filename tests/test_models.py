@@ -127,6 +127,7 @@ def test_top_documents(spark, index, formula, monkeypatch):
         assert rows(ranking.top_documents(index, terms, formula, k, by)) == want
         monkeypatch.undo()
     monkeypatch.setattr(staging, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ranking, "TERM_ROWS", 0)
     assert rows(ranking.top_documents(index, terms, formula, 100, by)) == want
 
 
