@@ -588,3 +588,13 @@ def test_model_sizes(spark):
     a = [F.lit(v).cast("bigint") for v in (7168, 1536, 512, 128, 128, 64, 128)]
     got = spark.range(1).select(costs.attention_params(*a)).first()[0]
     assert got == 7168 * 1536 + 1536 * 128 * 192 + 7168 * 576 + 512 * 128 * 256 + 128 * 128 * 7168
+
+
+def test_metadata_sink(spark, index, tmp_path):
+    from sparkmoor.functions.staging import stage_counted as held
+
+    numbered = bm25.with_vocab(index.postings, held(bm25.vocabulary(index.postings)))
+    stats = bm25.index_statistics(index, bm25.pack_documents(numbered))
+    configs.write_metadata(stats, str(tmp_path / "meta"))
+    back = spark.read.json(str(tmp_path / "meta")).first()
+    assert back.n_docs == 70 and back.n_entries == numbered.count() and back.n_batches == 2
