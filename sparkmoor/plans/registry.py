@@ -7,6 +7,8 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
+
 
 class Query(NamedTuple):
     run: Callable[[SparkSession, str], DataFrame]
@@ -20,7 +22,12 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         if name in REGISTRY:
             raise ValueError(f"query {name} is registered twice")
-        REGISTRY[name] = Query(fn, sql)
+
+        def run(spark: SparkSession, root: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, root)
+
+        REGISTRY[name] = Query(run, sql)
         return fn
 
     return add

@@ -2,8 +2,24 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        home = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='sparkmoor-')}/{home.name}", "zip", home.parent, home.name)
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
+
 
 def get_spark(master: str | None = None, app: str = "sparkmoor", shuffle_partitions: int = 8,
               memory: str = "8g") -> SparkSession:
@@ -22,4 +38,5 @@ def get_spark(master: str | None = None, app: str = "sparkmoor", shuffle_partiti
         builder = builder.master(master)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
