@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import table
-from . import pii, quality, warc
+from . import decontaminate, pii, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,3 +59,11 @@ FROM h LEFT JOIN o USING (payload_digest)
 def warc_revisits(spark, root):
     return warc.deduplicated(table(spark, root, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op1_positional_index")
+def positional_index(spark, root):
+    index = decontaminate.build_index(table(spark, root, "documents"))
+    found = decontaminate.report(index, decontaminate.phrases_of(table(spark, root, "benchmark")))
+    return found.select(F.col("doc_key").cast("long").alias("doc_id"), "n_words", "n_hit", "n_items",
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated", "n_near")
