@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import table
-from . import decontaminate, pii, quality, warc
+from . import decontaminate, jaccard, pii, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,3 +67,8 @@ def positional_index(spark, root):
     found = decontaminate.report(index, decontaminate.phrases_of(table(spark, root, "benchmark")))
     return found.select(F.col("doc_key").cast("long").alias("doc_id"), "n_words", "n_hit", "n_items",
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated", "n_near")
+
+
+@query("op10_rare_first_join")
+def rare_first_join(spark, root):
+    return jaccard.near_duplicates(table(spark, root, "documents")).drop("text_hash")
