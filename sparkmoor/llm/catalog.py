@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import table
-from . import decontaminate, jaccard, pii, quality, warc
+from . import decontaminate, jaccard, packing, pii, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,3 +72,8 @@ def positional_index(spark, root):
 @query("op10_rare_first_join")
 def rare_first_join(spark, root):
     return jaccard.near_duplicates(table(spark, root, "documents")).drop("text_hash")
+
+
+@query("op6_dominance_packing")
+def dominance_packing(spark, root):
+    return packing.pack(table(spark, root, "documents"))
