@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import table
-from . import decontaminate, jaccard, packing, pii, quality, warc
+from . import decontaminate, jaccard, packing, pii, quality, repair, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,3 +77,8 @@ def rare_first_join(spark, root):
 @query("op6_dominance_packing")
 def dominance_packing(spark, root):
     return packing.pack(table(spark, root, "documents"))
+
+
+@query("op5_repair_shards")
+def repair_shards(spark, root):
+    return repair.round_trip(table(spark, root, "documents"))
