@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import table
-from . import decontaminate, jaccard, packing, pii, quality, repair, warc
+from . import decontaminate, jaccard, packing, pii, quality, repair, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,3 +82,77 @@ def dominance_packing(spark, root):
 @query("op5_repair_shards")
 def repair_shards(spark, root):
     return repair.round_trip(table(spark, root, "documents"))
+
+
+def byte_of(column, at):
+    """A number from 0 to 255 that hangs on a text alone."""
+    return F.conv(F.substring(F.md5(column), at, 2), 16, 10).cast("int")
+
+
+def dated_captures(pages):
+    """Pages with a day of fetching in 2024, which hangs on the page id."""
+    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"),
+                                                     F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int")).alias("fetched_on"))
+
+
+def list_changes(pages):
+    """Dated changes of three lists about the hosts, parent domains and first path parts of the pages.
+
+    A pattern is added on a day given by its digest, removed 20 to 83 days later unless the digest
+    says it stays, and added once more 40 days after that for one digest in four.
+    """
+    host = url_filter.host_of(F.col("url"))
+    first = F.split(url_filter.path_of(F.col("url")), "/")[0]
+    named = pages.select(F.explode(F.array(
+        F.struct(F.lit("host").alias("kind"), host.alias("pattern")),
+        F.struct(F.lit("domain").alias("kind"), F.regexp_replace(host, r"^[^.]+\.(?=[^.]+\.[^.]+\.)", "").alias("pattern")),
+        F.struct(F.lit("path").alias("kind"), F.concat_ws("/", host, first).alias("pattern")))).alias("n")) \
+        .select("n.*").where("pattern IS NOT NULL").distinct()
+    start = F.date_add(F.lit("2024-01-01").cast("date"), byte_of("pattern", 1))
+    stays, again = F.pmod(byte_of("pattern", 3), F.lit(3)) == 0, F.pmod(byte_of("pattern", 5), F.lit(4)) == 0
+    end = F.date_add(start, 20 + F.pmod(byte_of("pattern", 7), F.lit(64)))
+    change = lambda action, day, n: F.struct(F.lit(action).alias("action"), day.alias("changed_on"), F.lit(n).alias("seq"))
+    changes = F.filter(F.array(change("add", start, 1), F.when(~stays, change("remove", end, 2)),
+                               F.when(~stays & again, change("add", F.date_add(end, 40), 3))), lambda c: c.isNotNull())
+    listed = F.element_at(F.array(*map(F.lit, ("adult", "malware", "spam"))), F.pmod(byte_of("pattern", 9), F.lit(3)) + 1)
+    return named.where(byte_of("pattern", 11) < 160) \
+        .select(listed.alias("list"), "kind", "pattern", F.explode(changes).alias("c")).select("list", "kind", "pattern", "c.*")
+
+
+OP2_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS fetched_on,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host,
+         regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/+$', '') AS path
+  FROM pages),
+names AS (
+  SELECT 'host' AS kind, host AS pattern FROM p
+  UNION SELECT 'domain', CASE WHEN host LIKE '%.%.%.%' THEN regexp_replace(host, '^[^.]+\.', '') ELSE host END FROM p
+  UNION SELECT 'path', host || '/' || split_part(path, '/', 1) FROM p),
+b AS (
+  SELECT *, ('0x' || substr(md5(pattern), 1, 2))::INT AS b1, ('0x' || substr(md5(pattern), 3, 2))::INT % 3 = 0 AS stays,
+         ('0x' || substr(md5(pattern), 5, 2))::INT % 4 = 0 AS again, ('0x' || substr(md5(pattern), 7, 2))::INT % 64 AS b4,
+         ['adult', 'malware', 'spam'][('0x' || substr(md5(pattern), 9, 2))::INT % 3 + 1] AS list
+  FROM names WHERE ('0x' || substr(md5(pattern), 11, 2))::INT < 160),
+spans AS (
+  SELECT list, kind, pattern, DATE '2024-01-01' + b1 AS since,
+         CASE WHEN stays THEN DATE '9999-12-31' ELSE DATE '2024-01-01' + b1 + 20 + b4 END AS until FROM b
+  UNION ALL
+  SELECT list, kind, pattern, DATE '2024-01-01' + b1 + 60 + b4, DATE '9999-12-31' FROM b WHERE NOT stays AND again),
+hits AS (
+  SELECT DISTINCT p.page_id, s.list, s.since FROM p JOIN spans s ON s.since <= p.fetched_on AND p.fetched_on < s.until
+  AND ((s.kind = 'host' AND s.pattern = p.host) OR (s.kind = 'domain' AND ('.' || p.host) LIKE ('%.' || s.pattern))
+    OR (s.kind = 'path' AND (p.host || '/' || lower(p.path) || '/') LIKE (s.pattern || '/%') AND p.path <> '')))
+SELECT p.page_id, p.host, CAST(p.fetched_on AS VARCHAR) AS fetched_on,
+       coalesce(string_agg(DISTINCT h.list, ',' ORDER BY h.list), '') AS lists,
+       CAST(min(h.since) AS VARCHAR) AS since, count(h.list) > 0 AS blocked
+FROM p LEFT JOIN hits h ON p.page_id = h.page_id GROUP BY ALL
+"""
+
+
+@query("op2_temporal_lists", OP2_SQL)
+def temporal_lists(spark, root):
+    pages = table(spark, root, "pages").select("page_id", "url")
+    return url_filter.filter_urls(dated_captures(pages), list_changes(pages), keep=("page_id",)).select(
+        "page_id", "host", F.col("fetched_on").cast("string").alias("fetched_on"),
+        F.array_join("lists", ",").alias("lists"), F.col("since").cast("string").alias("since"), "blocked")
