@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import table
-from . import decontaminate, jaccard, packing, pii, quality, repair, url_filter, warc
+from . import decontaminate, jaccard, language, packing, pii, quality, repair, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -156,3 +156,8 @@ def temporal_lists(spark, root):
     return url_filter.filter_urls(dated_captures(pages), list_changes(pages), keep=("page_id",)).select(
         "page_id", "host", F.col("fetched_on").cast("string").alias("fetched_on"),
         F.array_join("lists", ",").alias("lists"), F.col("since").cast("string").alias("since"), "blocked")
+
+
+@query("op7_hyperdimensional")
+def hyperdimensional(spark, root):
+    return language.identify(table(spark, root, "documents"))
