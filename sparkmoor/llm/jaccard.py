@@ -5,13 +5,14 @@
     Ordered by count, rarest first, and then by hash, all n-grams have one global order.
 2.  *Prefixes.*  Two sets of the demanded similarity share one of the first
     ``n - ceil(t n) + 1`` n-grams in that order.  Documents with equal sets become one class.
-3.  *Join on prefix n-grams.*  Classes that share a prefix n-gram are tied to the smallest of them,
-    which takes one row per class and n-gram and no pairs; what hangs together is a cluster.
-4.  *Verification.*  Within a cluster (or two blocks of a large one) pairs go through the length,
-    positional and suffix filters, and what is left is verified, once per pair, on whole sets.
-    Pairs that are connected already need no verification, since only components are asked for.
+3.  *Join on prefix n-grams.*  The classes that share a prefix n-gram are its group.  Groups with the
+    same members (near copies share most of their prefix) count once.
+4.  *Verification.*  In a group (or two blocks of a large one) pairs go through the length,
+    positional and suffix filters, and what is left is verified on whole sets, in the first of the
+    groups that the two share and so once per pair.  Pairs that a task has connected already need
+    no verification, since only components are asked for.
 
-A cluster's texts are fetched once; sets are never written.
+Texts are fetched for the members of groups only; sets are never written.
 
 Defined cases: null, empty and blank texts have no n-grams and are linked with nothing; a text of
 fewer words than an n-gram is one n-gram; rows that repeat, or share an id, are members of the
@@ -36,7 +37,7 @@ from .common import HashOf, fresh, join_checked, pieces, stage
 from .graph import connected
 
 BUCKET_BITS, SLICE_BITS = 22, 14
-BLOCK_MEMBERS, BLOCK_GRAMS = 400, 400_000
+BLOCK_MEMBERS, BLOCK_GRAMS = 1000, 1_000_000
 SIGNATURE = "doc_id long, text_hash long, n long, digest binary, node long, prefix array<bigint>"
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK = re.compile(rb"[\x09-\x0d ]")
@@ -149,15 +150,23 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", para
                        F.xxhash64(text).alias("text_hash")).mapInArrow(run, SIGNATURE)
 
 
-def find_links(docs: list[tuple[bytes, int, np.ndarray]], cross: bool, params: Params) -> list[tuple[bytes, bytes]]:
-    """Links that connect what the similar pairs of ``docs`` (name, block, set) connect.
+class Member(NamedTuple):
+    name: bytes
+    block: int
+    grams: np.ndarray          # the whole set
+    groups: frozenset[int]     # groups it belongs to
+
+
+def find_links(docs: list[Member], group: int, cross: bool, params: Params) -> list[tuple[bytes, bytes]]:
+    """Links that connect what the similar pairs of ``docs`` connect for which ``group`` is the first of
+    the groups that both belong to.
 
     With ``cross`` only pairs of different blocks are compared.  N-grams are ordered by their
     count among these documents, rarest first; sets come in order of size.
     """
-    docs = sorted(docs, key=lambda d: (len(d[2]), d[0]))
-    sizes = [len(d[2]) for d in docs]
-    grams, where, counts = np.unique(np.concatenate([d[2] for d in docs]), return_inverse=True, return_counts=True)
+    docs = sorted(docs, key=lambda d: (len(d.grams), d.name))
+    sizes = [len(d.grams) for d in docs]
+    grams, where, counts = np.unique(np.concatenate([d.grams for d in docs]), return_inverse=True, return_counts=True)
     rank = np.empty(len(grams), np.int64)
     rank[np.lexsort((grams, counts))] = np.arange(len(grams))
     cuts = np.cumsum(sizes)[:-1]
@@ -183,14 +192,14 @@ def find_links(docs: list[tuple[bytes, int, np.ndarray]], cross: bool, params: P
                 continue                                                # in no other document
             for y, j in index.get(g, ()):
                 ny = sizes[y]
-                if 100 * ny < params.percent * nx or (cross and docs[x][1] == docs[y][1]):
+                if 100 * ny < params.percent * nx or (cross and docs[x].block == docs[y].block):
                     continue                                            # length
                 so_far = shared.get(y, 0)
                 if so_far >= 0:                                         # position
                     fits = so_far + 1 + min(nx - i, ny - j) - 1 >= params.overlap(nx, ny)
                     shared[y] = so_far + 1 if fits else -1
         for y, n in shared.items():
-            if n <= 0 or find(x) == find(y):
+            if n <= 0 or find(x) == find(y) or min(docs[x].groups & docs[y].groups) != group:
                 continue
             ry, ny = ranks[y], sizes[y]
             need = params.overlap(nx, ny)
@@ -203,35 +212,58 @@ def find_links(docs: list[tuple[bytes, int, np.ndarray]], cross: bool, params: P
             if 100 * both >= params.percent * (nx + ny - both):
                 a, b = find(x), find(y)
                 parent[max(a, b)] = min(a, b)
-                out.append((docs[x][0], docs[y][0]))
+                out.append((docs[x].name, docs[y].name))
         for i, g in enumerate(prefix):
             if g >= least:
                 index.setdefault(g, []).append((x, i))
     return out
 
 
-def _verified(members: DataFrame, docs: DataFrame, doc_id: str, text: str, params: Params) -> DataFrame:
-    """(a, b, whole) links between classes; ``members`` has (cluster, i, j, block, digest, rep)."""
+def groups_of(classes: DataFrame) -> DataFrame:
+    """(gram, node): the members of each distinct group of two or more classes."""
+    rows = classes.select("node", F.explode("prefix").alias("gram"))
+    shared = rows.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("size"), F.min("node").alias("low"), F.max("node").alias("high"),
+        F.bit_xor(F.xxhash64("node")).alias("mark")).where("size > 1")
+    kept = stage(shared.groupBy("size", "low", "high", "mark").agg(F.min("gram").alias("gram")).select("gram"))
+    return join_checked(rows, kept, ["gram"], "left_semi")
+
+
+def _tasks(classes: DataFrame) -> DataFrame:
+    """(gram, i, j, block, digest, rep, groups): members of groups, placed in pairs of blocks."""
+    rows = stage(groups_of(classes))
+    lists = rows.groupBy("node").agg(F.collect_list("gram").alias("groups"))   # at most a prefix each
+    members = stage(classes.select("node", "digest", "rep", "n").join(lists, "node"))
+    placed = members.select("digest", "rep", "n", "groups", F.explode("groups").alias("gram"))
+    blocks = placed.groupBy("gram").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_GRAMS), F.lit(1)).cast("int").alias("blocks"))
+    return join_checked(placed, stage(blocks), ["gram"], "inner") \
+        .withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
+                "digest", "rep", "groups")
+
+
+def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, params: Params) -> DataFrame:
+    """(a, b) verified links between classes, enough to connect all that similar pairs connect."""
+    tasks = stage(_tasks(classes))
     fetched = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
-    wanted = stage(members.select("digest", "rep").distinct())
+    wanted = stage(tasks.select("digest", "rep").distinct())
     near = join_checked(fetched, wanted, (F.col("h") == F.col("rep.text_hash"))
                         & F.col("d").eqNullSafe(F.col("rep.doc_id")), "inner", row_bytes=96)
     texts = stage(near.groupBy("digest").agg(F.first("t").alias("t")))
-    tasks = members.drop("rep").join(texts, "digest")
 
     def run(table: pa.Table) -> pa.Table:
-        hash_of, docs_here = HashOf(), []
-        for digest, block, t in zip(table.column("digest").to_pylist(), table.column("block").to_pylist(),
-                                    table.column("t")):
-            docs_here.append((digest, block, gram_set(t.as_py(), params.width, hash_of)))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        links = find_links(docs_here, i != j, params)
-        whole = table.column("blocks")[0].as_py() == 1
-        return pa.table({"a": pa.array([x[0] for x in links], pa.binary()),
-                         "b": pa.array([x[1] for x in links], pa.binary()),
-                         "whole": pa.array([whole] * len(links), pa.bool_())})
+        hash_of = HashOf()
+        here = [Member(digest, block, gram_set(t.as_py(), params.width, hash_of), frozenset(groups))
+                for digest, block, groups, t in zip(*[table.column(c).to_pylist() for c in ("digest", "block", "groups")],
+                                                    table.column("t"))]
+        gram, i, j = (table.column(c)[0].as_py() for c in ("gram", "i", "j"))
+        found = find_links(here, gram, i != j, params)
+        return pa.table({"a": pa.array([x[0] for x in found], pa.binary()),
+                         "b": pa.array([x[1] for x in found], pa.binary())})
 
-    return tasks.groupBy("cluster", "i", "j").applyInArrow(run, "a binary, b binary, whole boolean")
+    return tasks.drop("rep").join(texts, "digest").groupBy("gram", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def similar_classes(signed: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -241,26 +273,12 @@ def similar_classes(signed: DataFrame, docs: DataFrame, doc_id: str = "doc_id",
         F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"),
         F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("node").alias("node"),
         F.first("prefix").alias("prefix")))
-    rows = classes.select("node", F.explode("prefix").alias("gram"))
-    shared = stage(rows.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-                   .where("low < high").drop("high"))
-    ties = join_checked(rows, shared, ["gram"], "inner").where("node != low")
-    clusters = connected(ties.select("node", "low"), "node", "low")
-    placed = stage(join_checked(classes.select("node", "digest", "rep", "n"),
-                                stage(clusters.withColumnRenamed("root", "cluster")), ["node"], "inner"))
-    size = placed.groupBy("cluster").agg(F.greatest(
-        F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_GRAMS), F.lit(1)).cast("int").alias("blocks"))
-    blocked = placed.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = stage(blocked.select("cluster", "blocks", F.least("block", "other").alias("i"),
-                                   F.greatest("block", "other").alias("j"), "block", "digest", "rep"))
-    links = stage(_verified(members, docs, doc_id, text, params))
-    joined = connected(links)
-    named = classes.select("digest", "class_id", "copies").join(
-        joined.withColumnRenamed("node", "digest"), "digest", "left").where("copies > 1 OR root IS NOT NULL")
+    joined = stage(connected(links(classes, docs, doc_id, text, params)).withColumnRenamed("node", "digest"))
+    named = join_checked(classes.select("digest", "class_id", "copies"), joined, ["digest"], "left") \
+        .where("copies > 1 OR root IS NOT NULL")
     named = stage(named.withColumn("root", F.coalesce("root", "digest")))
-    names = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    return named.join(names, "root").select("digest", "component_id")
+    names = stage(named.groupBy("root").agg(F.min("class_id").alias("component_id")))
+    return join_checked(named, names, ["root"], "inner").select("digest", "component_id")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params: Params = Params()) -> DataFrame:
