@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import table
-from . import decontaminate, jaccard, language, packing, pii, quality, repair, url_filter, warc
+from . import decontaminate, jaccard, language, packing, pii, quality, repair, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -161,3 +161,8 @@ def temporal_lists(spark, root):
 @query("op7_hyperdimensional")
 def hyperdimensional(spark, root):
     return language.identify(table(spark, root, "documents"))
+
+
+@query("op9_kneser_ney")
+def kneser_ney(spark, root):
+    return toxicity.score(table(spark, root, "documents"), table(spark, root, "labels"))

@@ -8,16 +8,12 @@ many at a time; whatever is out of the ordinary goes to the library whole.
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Iterable
 from itertools import chain, repeat
 
 import numpy as np
 
-MOST_PIECES = 600_000
-_RUNS = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
-_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
-_EDGE = re.compile(r"^\s|\s$")
+MOST_PIECES = 1_200_000
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"   # ASCII signs but for the apostrophe, which some words contain
 
 
 def vocabulary(name_or_path: str) -> str:
@@ -49,91 +45,105 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.pieces: dict[str, int] = {}   # piece -> its place in starts and lengths
-        self.words: dict[str, int] = {}
+        self.places: dict[str, int] = {}   # piece -> its place in starts and lengths
         self.flat = np.zeros(1 << 20, np.int32)
-        self.starts, self.lengths, self.used, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0, 0
-        self.pieces[""] = self._put(np.zeros(0, np.int32))
-
-    def _put(self, ids: np.ndarray) -> int:
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
-        if self.n == len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.used = 0
+        self._put([""], np.zeros(0, np.int32), np.zeros(1, np.int64))
+
+    def _put(self, new: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Remember pieces whose ids stand in ``ids`` one after the other."""
+        n = len(self.places)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(new) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
         self.flat[self.used:self.used + len(ids)] = ids
-        self.starts[self.n], self.lengths[self.n] = self.used, len(ids)
+        self.lengths[n:n + len(new)] = lengths
+        self.starts[n:n + len(new)] = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
-        self.n += 1
-        return self.n - 1
+        self.places.update(zip(new, range(n, n + len(new))))
 
     def _library_ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def _encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """ids of each of many words of letters only, encoded as one text and parted again."""
-        ids = self._library_ids(" ".join(words) if self.word_ends else "".join(words))
-        at = np.flatnonzero(self.mark[ids])
-        parts = np.split(ids, at[:-1] + 1) if self.word_ends else np.split(ids, at[1:])
-        if len(parts) == len(words) and len(at) == len(words):
-            return parts
-        return [self._library_ids(w) for w in words]
-
-    def _learn(self, pieces: Iterable[str]) -> None:
-        """Remember the ids of ``pieces``, none of which is known."""
-        runs: dict[str, list[str]] = {}
-        unknown: dict[str, None] = {}
-        for piece in pieces:
-            if _PLAIN.fullmatch(piece):
-                # digits and signs depend on nothing around them; words are looked up or collected
-                runs[piece] = parts = [blank + run for blank, run in _RUNS.findall(piece)]
-                for p in parts:
-                    if p not in self.words:
-                        if p[-1].isalpha() and (self.word_ends or p[0] == " "):
-                            unknown[p.strip() if self.word_ends else p] = None
-                        else:
-                            self.words[p] = self._put(self._library_ids(p))
-            else:
-                self.pieces[piece] = self._put(self._library_ids(piece))
-        new = [w for w in unknown if w not in self.words]
-        for a in range(0, len(new), 2000):
-            some = new[a:a + 2000]
-            for w, ids in zip(some, self._encode_words(some)):
-                self.words[w] = self._put(ids)
-        for piece, parts in runs.items():
-            places = [self.words[p.strip() if self.word_ends and p[-1].isalpha() else p] for p in parts]
-            if len(places) == 1:
-                self.pieces[piece] = places[0]
+    def _put_whole(self, new: list[str]) -> None:
+        for piece in new:
+            ids = self._library_ids(piece)
+            self._put([piece], ids, np.array([len(ids)]))
+
+    def _put_words(self, words: list[str]) -> None:
+        """Words of letters only, encoded many as one text, which the marked tokens part again."""
+        for a in range(0, len(words), 4000):
+            some = words[a:a + 4000]
+            ids = self._library_ids(" ".join(some) if self.word_ends else "".join(some))
+            at = np.flatnonzero(self.mark[ids])
+            edges = np.concatenate([[0], at + 1]) if self.word_ends else np.concatenate([at, [len(ids)]])
+            if len(at) == len(some) and edges[0] == 0 and edges[-1] == len(ids):
+                self._put(some, ids, np.diff(edges))
             else:
-                self.pieces[piece] = self._put(np.concatenate(
-                    [self.flat[self.starts[k]:self.starts[k] + self.lengths[k]] for k in places]))
+                self._put_whole(some)
+
+    def _gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the pieces at ``place``, one after the other, and the number of ids of each."""
+        starts, lengths = self.starts[place], self.lengths[place]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)], lengths
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember the ids of distinct ``pieces``, none of which is known.
+
+        A piece is mostly a word with signs behind it; no tokenizer of this kind joins the two.
+        """
+        words, whole, signed = {}, {}, []
+        known = self.places
+        for piece in pieces:
+            body = piece.rstrip(_SIGNS)
+            core = body[1:] if body[:1] == " " and not self.word_ends else body
+            if not (core.isalpha() and core.lower().isalpha()):   # some letters fold to more than letters
+                whole[piece] = None
+                continue
+            tail = piece[len(body):]
+            if body not in known:
+                # without a mark of its own at the front a word cannot be told from the one before
+                (words if self.word_ends or body is not core else whole)[body] = None
+            if tail:
+                if tail not in known:
+                    whole[tail] = None
+                signed.append((piece, body, tail))
+        self._put_whole(list(whole))
+        self._put_words(list(words))
+        signed = [x for x in signed if x[0] not in known]
+        if signed:
+            place = np.array([(known[b], known[t]) for _, b, t in signed], np.int64)
+            ids, lengths = self._gather(place.ravel())
+            self._put([x[0] for x in signed], ids, lengths.reshape(-1, 2).sum(axis=1))
 
     def _cut(self, text: str) -> list[str]:
+        blanks = text.replace("\n", " ").split(" ")
         if self.word_ends:   # blanks are dropped by the tokenizer itself
-            return text.replace("\n", " ").split(" ")
-        first, *rest = text.split(" ")
-        if not all(rest) or any(map(_EDGE.search, rest)) or _EDGE.search(first):
-            return [text]    # blanks in a row belong together in a way of their own
-        return [first, *[" " + r for r in rest]]
+            return blanks
+        # without blanks in a row, at an end or of another kind, both ways of splitting agree
+        if "\0" in text or text.split() != blanks:
+            return [text]
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
-        if len(self.pieces) + len(self.words) > MOST_PIECES:
+        if len(self.places) > MOST_PIECES:
             self.forget()
         cut = [self._cut(t) if t else [] for t in texts]
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         flat = list(chain.from_iterable(cut))
-        place = np.fromiter(map(self.pieces.get, flat, repeat(-1)), np.int64, len(flat))
-        missed = np.flatnonzero(place < 0)
-        if len(missed):
+        place = np.fromiter(map(self.places.get, flat, repeat(-1)), np.int64, len(flat))
+        missed = np.flatnonzero(place < 0).tolist()
+        if missed:
             new = [flat[i] for i in missed]
             self._learn(sorted(set(new)))
-            place[missed] = [self.pieces[p] for p in new]
-        starts, lengths = self.starts[place], self.lengths[place].astype(np.int64)
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+            place[missed] = [self.places[p] for p in new]
+        ids, lengths = self._gather(place)
+        upto = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
         return ids, np.diff(upto)
 
 
