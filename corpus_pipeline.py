@@ -1,6 +1,64 @@
-STAGES = []
-ORACLE_SQL = None
+"""A training corpus from raw documents: quality, near copies, contamination, personal data, packing.
 
+Each stage works on what its predecessor kept and, but for the last, returns the columns of
+``documents``; every result is written down and read again before the next stage starts.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkmoor.functions.staging import stage
+from sparkmoor.llm import decontaminate, jaccard, packing, pii, quality
+from sparkmoor.session import ship_package
+from sparkmoor.sources.tables import table
+
+
+def host_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a rule, or whose host fails too often, go."""
+    ship_package(spark)
+    return quality.quality_filter(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    ship_package(spark)
+    return jaccard.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with ten consecutive words of a benchmark item go."""
+    ship_package(spark)
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data give way to the names of their kinds; ``n_chars`` follows."""
+    ship_package(spark)
+    masked = pii.mask_texts(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences of 2,048 tokens."""
+    ship_package(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", host_quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("PII", personal_data),
+    ("best-fit packing", best_fit_packing),
+]
+
+ORACLE_SQL = None  # SQL has no tokenizer; tests compare with a plain version
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir))
+    return docs

@@ -294,12 +294,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params: Params = Params()) -> DataFrame:
     """The rows whose id names their component; of rows that repeat id and text one stays.  Rows with
     a null id stay unless a copy or near copy has an id."""
-    found = near_duplicates(docs, doc_id, text, params)
-    gone = stage(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-                 .select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct())
+    found = stage(near_duplicates(docs, doc_id, text, params))
     d, h = fresh(docs, "_d"), fresh(docs, "_h")
-    gone = gone.select(F.col("_d").alias(d), F.col("_h").alias(h))
+    keys = [F.col("doc_id").alias(d), F.col("text_hash").alias(h)]
+    gone = stage(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*keys).distinct())
+    again = stage(found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     keyed = docs.withColumn(h, F.xxhash64(text))
-    stay = join_checked(keyed, gone, (keyed[doc_id].cast("long").eqNullSafe(gone[d])) & (keyed[h] == gone[h]),
-                        "left_anti")
-    return stay.dropDuplicates([doc_id, h]).select(*[f"`{c}`" for c in docs.columns])
+
+    def meets(rows: DataFrame, keyed: DataFrame, how: str) -> DataFrame:
+        return join_checked(keyed, rows, keyed[doc_id].cast("long").eqNullSafe(rows[d]) & (keyed[h] == rows[h]), how)
+
+    stay = meets(gone, keyed, "left_anti")
+    if again.count():   # only the rows in question are brought together
+        stay = meets(again, stay, "left_anti").unionByName(meets(again, stay, "left_semi").dropDuplicates([doc_id, h]))
+    return stay.select(*[f"`{c}`" for c in docs.columns])
