@@ -130,26 +130,30 @@ MATH_CALLS = {
     "fma": ["fma", "fmaf"],
 }
 ARITHMETIC = {"add": "+", "sub": "-", "mul": "*", "div": "/"}
-BETWEEN = r"[\w\)\]]\s*\{}\s*[\w\(\[]"
+# One lexeme of a source line, for one operator: a string, a sign of two characters, or the operator
+# between two operands.
+LEXEME = r"""\"[^\"]*\"|'[^']*'|[-+*/]=|->|\+\+|--|[\w)\]]\s*{}\s*[\w(\[]"""
+
+
+def is_comment(line: Column) -> Column:
+    return line.rlike(r"^\s*//")
 
 
 def arithmetic_counts(line: Column) -> dict[str, Column]:
-    """Arithmetic operators of one source line, by class; comments and strings left out.
+    """Arithmetic operators of one source line, by class; comment lines and strings left out.
 
-    Compound assignments count as their operator; arrows, increments and unary signs do not.
+    For each operator the line is read once, lexeme by lexeme.  An assignment counts as its operator,
+    and an operator counts between operands; arrows, steps and signs do not.
     """
-    code = F.when(F.ltrim(line).startswith("//"), F.lit("")).otherwise(line)
-    bare = F.regexp_replace(F.regexp_replace(code, '"[^"]*"', ""), "'[^']*'", "")
-    simple = F.regexp_replace(bare, r"[+\-*/]=", "  ")
-    simple = F.regexp_replace(simple, r"->|\+\+|--", "  ")
-    counts = {}
-    for name, op in ARITHMETIC.items():
-        counts[name] = F.regexp_count(bare, F.lit(rf"\{op}=")) + \
-            F.regexp_count(simple, F.lit(BETWEEN.format(op)))
-    return counts
+    def count(op: str) -> Column:
+        lexemes = F.regexp_extract_all(line, F.lit(LEXEME.format("\\" + op)), F.lit(0))
+        hits = F.filter(lexemes, lambda x: (x == op + "=") | x.rlike(r"^[\w)\]]"))
+        return F.when(is_comment(line), F.lit(0)).otherwise(F.size(hits))
+
+    return {name: count(op) for name, op in ARITHMETIC.items()}
 
 
 def math_call_counts(line: Column) -> dict[str, Column]:
-    code = F.when(F.ltrim(line).startswith("//"), F.lit("")).otherwise(line)
+    code = F.when(is_comment(line), F.lit("")).otherwise(line)
     return {name: F.regexp_count(code, F.lit(rf"\b({'|'.join(calls)})\s*\("))
             for name, calls in MATH_CALLS.items()}

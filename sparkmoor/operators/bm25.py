@@ -5,16 +5,17 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import global_index, running_total
 from ..functions.staging import Staged, by_key, keyed_join, salted_join, stage, stage_counted
-from ..functions.text import tokenize, tokens
+from ..functions.text import tokenize
 from ..functions.vectors import rounded
 from .retrieve import top_k
 
-VOCAB_LIMIT = 65536  # fixed size of the packed format's vocabulary
+PAGE = 65536  # ids per page of the padded frequency table
 TF_LIMIT = 255
 UNKNOWN_ID = 4294967295
 
@@ -67,13 +68,16 @@ def save_index(postings: DataFrame, path: str) -> None:
     postings.write.mode("overwrite").parquet(path)
 
 
-def load_or_build(spark: SparkSession, path: str, docs: DataFrame, text: str = "text") -> Index:
-    """Read a saved index; build and save it when it is missing or unreadable."""
+def load_or_build(spark: SparkSession, path: str, docs: DataFrame, text: str = "text", tokenizer=None) -> Index:
+    """Read a saved index; build and save it where there is none.  Any other failure to read is
+    raised: a good index must not be replaced because a store could not be reached."""
     try:
         return describe(spark.read.parquet(path))
-    except Exception:  # any failure to read means rebuild
-        save_index(postings_of(docs, text), path)
-        return describe(spark.read.parquet(path))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    save_index(postings_of(docs, text, tokenizer), path)
+    return describe(spark.read.parquet(path))
 
 
 def add_documents(index: Index, docs: DataFrame, text: str = "text") -> Index:
@@ -148,16 +152,21 @@ def inverted_blocks(postings: DataFrame, docs_per_block: int = 1024) -> DataFram
     )
 
 
-def first_ids(df: DataFrame, limit: int = VOCAB_LIMIT) -> DataFrame:
-    """Document frequencies of the ids 0..limit-1, zero where an id is unused."""
-    spark = df.sparkSession
-    ids = spark.range(limit).withColumnRenamed("id", "vocab_idx")
+def first_ids(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Document frequencies of the ids 0..limit-1, zero where an id is unused.
+
+    By default all ids are kept and the table is filled up to whole pages; a ``limit`` cuts it.
+    """
+    if limit is None:
+        limit = math.ceil(((df.agg(F.max("vocab_idx")).first()[0] or 0) + 1) / PAGE) * PAGE
+    ids = df.sparkSession.range(limit).withColumnRenamed("id", "vocab_idx")
     return ids.join(df.where(F.col("vocab_idx") < limit).select("vocab_idx", "df"), "vocab_idx", "left") \
         .select("vocab_idx", F.coalesce("df", F.lit(0)).alias("df"))
 
 
 def packed_token(token_id: Column, tf: Column) -> Column:
-    return F.least(tf, F.lit(TF_LIMIT)).cast("bigint") * 65536 + F.pmod(token_id, F.lit(VOCAB_LIMIT))
+    """One 64-bit word: the frequency above, the token id in the lower 32 bits."""
+    return F.least(tf, F.lit(TF_LIMIT)).cast("bigint") * (1 << 32) + token_id
 
 
 def pack_documents(numbered: DataFrame) -> DataFrame:
@@ -166,8 +175,7 @@ def pack_documents(numbered: DataFrame) -> DataFrame:
     A lane keeps the tokens with ``id % 16 == doc % 16``; rows count them by id.  The window
     runs inside one document.
     """
-    kept = numbered.where((F.col("vocab_idx") < VOCAB_LIMIT)
-                          & (F.col("vocab_idx") % 16 == F.col("doc_id") % 16))
+    kept = lane_postings(numbered)
     inside = Window.partitionBy("doc_id").orderBy("vocab_idx")
     return kept.select(
         F.floor(F.col("doc_id") / 64).cast("bigint").alias("batch"),
@@ -197,7 +205,7 @@ def index_statistics(index: Index, packed: DataFrame) -> DataFrame:
     layout = rows.select(F.struct("*")).scalar()
     return freq.withColumn("_r", layout).select("*", "_r.*").drop("_r").select(
         F.lit(index.n_docs).cast("bigint").alias("n_docs"), "*",
-        (F.col("n_rows") * 4 * 16 * 4 + F.col("n_batches") * 4).alias("packed_bytes"))
+        (F.col("n_rows") * 4 * 16 * 8 + F.col("n_batches") * 4).alias("packed_bytes"))
 
 
 # ---- scoring ------------------------------------------------------------------------
@@ -230,10 +238,14 @@ PACKED = Formula(k1=1.2, b=0.0, idf_plus_one=False, numerator=True, tf_limit=TF_
 LUCENE = Formula(k1=1.5, b=0.75, idf_plus_one=True, numerator=False)
 
 
-def query_terms(queries: DataFrame, text: str = "text", by: list[str] | None = None) -> DataFrame:
-    """Distinct tokens per query; a blank query has none.  Multiplicity does not count."""
+def query_terms(queries: DataFrame, text: str = "text", by: list[str] | None = None, tokenizer=None) -> DataFrame:
+    """Distinct tokens per query; a blank query has none.  Multiplicity does not count.
+
+    ``tokenizer`` must be the one the index was built with.
+    """
     by = by or ["query_id"]
-    return queries.select(*by, F.explode(F.array_distinct(tokens(text))).alias("token"))
+    words = tokenize(queries.select(*by, text), text, "_tokens", tokenizer)
+    return words.select(*by, F.explode(F.array_distinct("_tokens")).alias("token"))
 
 
 def weighted_terms(index: Index, terms: DataFrame, formula: Formula) -> Staged:
@@ -298,8 +310,7 @@ def sample_query(numbered: DataFrame, size: int = 64, seed: int = 42) -> DataFra
 
     A lane offers the tokens of its documents with a matching id.
     """
-    offered = numbered.where((F.col("vocab_idx") % 16 == F.col("doc_id") % 16)
-                             & (F.col("vocab_idx") < VOCAB_LIMIT)).select("vocab_idx").distinct()
+    offered = lane_postings(numbered).select("vocab_idx").distinct()
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("vocab_idx").cast("string")).cast("binary"))
     lane = offered.withColumn("lane", (F.col("vocab_idx") % 16).cast("int")).withColumn("_draw", draw)
     turn = F.row_number().over(Window.partitionBy("lane").orderBy("_draw", "vocab_idx"))

@@ -15,15 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.staging import by_key
+from ..functions.ordering import global_index
+from ..functions.staging import by_key, keyed_join, stage_counted
 from ..functions.vectors import np_rounded
-from .bm25 import Formula, Index, rank_documents, score_weighted, weighted_terms
+from .bm25 import Formula, Index, weighted_terms
 from .retrieve import top_k
 
 CELLS = 4_000_000   # size of a score matrix
 DOCS = 2048         # documents per matrix at most
 SHARES = 16
-TERM_ROWS = 1_000_000  # (query, token) rows that travel with the tasks
+TERM_ROWS = 1_000_000  # (query, token) rows that travel with the tasks at a time
 SLACK = 1e-6           # more than rounding can move a score
 SMALLEST = 5e-324
 
@@ -98,26 +99,48 @@ def top_documents(index: Index, terms: DataFrame, formula: Formula, k: int,
                   by: list[str] | None = None, postings: DataFrame | None = None) -> DataFrame:
     """The ``k`` best matching documents per query: (by..., doc_id, score, rank).
 
-    Up to ``TERM_ROWS`` weighted query terms travel with the tasks; beyond that postings and
-    terms meet in a salted join and the pairs are ranked as rows.
+    Queries go in groups of about ``TERM_ROWS`` weighted terms, which travel with the tasks; each
+    group reads the postings of its tokens.  A query of nulls is a query.  Document ids of any type
+    that can be put in order will do: those that are no whole numbers are numbered in that order.
     """
     by = by or ["query_id"]
-    spark = terms.sparkSession
-    weighted = weighted_terms(index, terms, formula)
     scored = index.terms if postings is None else postings
-    if weighted.rows > TERM_ROWS or weighted.rows == 0:
-        return rank_documents(score_weighted(index, scored, weighted, formula, by), k, by)
+    kind = dict(scored.dtypes)["doc_id"]
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return _top(index, terms, formula, k, by, scored)
+    numbers = stage_counted(global_index(index.postings.where("head").select(F.col("doc_id").alias("_id")), ["_id"], "_no"))
+    numbered = scored.withColumnRenamed("doc_id", "_id")
+    numbered = keyed_join(numbered, numbers, ["_id"]).withColumnRenamed("_no", "doc_id")
+    ranked = _top(index, terms, formula, k, by, numbered).withColumnRenamed("doc_id", "_no")
+    return keyed_join(ranked, numbers, ["_no"]).select(*by, F.col("_id").alias("doc_id"), "score", "rank")
+
 
-    held = weighted.df.toArrow()
+def _top(index: Index, terms: DataFrame, formula: Formula, k: int, by: list[str], scored: DataFrame) -> DataFrame:
+    weighted = weighted_terms(index, terms, formula)
+    groups = max(1, -(-weighted.rows // TERM_ROWS))
+    if groups == 1:
+        return _top_of_group(index, weighted.df, formula, k, by, scored)
+    of_group = F.pmod(F.xxhash64(*by), F.lit(groups))
+    parts = [_top_of_group(index, weighted.df.where(of_group == g), formula, k, by, scored) for g in range(groups)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every
+
+
+def _top_of_group(index: Index, weighted: DataFrame, formula: Formula, k: int, by: list[str],
+                  scored: DataFrame) -> DataFrame:
+    spark = weighted.sparkSession
+    held = weighted.toArrow()
     keys = held.select(by).to_pandas()
-    query_no = keys.groupby(by, sort=False).ngroup().to_numpy()
+    query_no = keys.groupby(by, sort=False, dropna=False).ngroup().to_numpy().astype(np.int64)
     term_no, words = pd.factorize(held["token"].to_pandas())
-    n_queries = int(query_no.max()) + 1
+    n_queries = int(query_no.max(initial=-1)) + 1
     by_term = _Terms(term_no, query_no, held["idf"].to_numpy(), n_queries)
     numbers = spark.createDataFrame(pa.table({"token": pa.array(words.tolist(), pa.string()),
                                               "term": pa.array(np.arange(len(words), dtype=np.int32))}))
     first = np.unique(query_no, return_index=True)[1]
-    names = held.select(by).take(pa.array(first)).append_column(
+    names = held.select(by).take(pa.array(first, pa.int64())).append_column(
         "query_no", pa.array(np.arange(n_queries, dtype=np.int32)))
 
     positive = formula.idf_plus_one  # every contribution is above 0

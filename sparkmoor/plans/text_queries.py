@@ -98,13 +98,13 @@ def inverted_index(spark, root):
 
 
 PACK = f"""{NUMBERED}, k AS (SELECT doc_id, vocab_idx, tf, row_number() OVER (PARTITION BY doc_id ORDER BY vocab_idx) - 1 AS row
-  FROM nu WHERE {LANE} AND vocab_idx < 65536),
+  FROM nu WHERE {LANE}),
   nr AS (SELECT b.range AS batch, greatest(coalesce(max(row) + 1, 0), 1) AS n_rows FROM range((SELECT ceil(n / 64.0)::BIGINT FROM st)) b
     LEFT JOIN k ON doc_id // 64 = b.range GROUP BY 1)"""
 
 
 @query("packed_documents", f"""WITH {PACK} SELECT doc_id // 64 AS batch, (doc_id % 64 // 16)::INTEGER AS channel, (doc_id % 16)::INTEGER AS lane,
-  row::INTEGER AS row, least(tf, 255)::BIGINT * 65536 + vocab_idx % 65536 AS packed FROM k""")
+  row::INTEGER AS row, least(tf, 255)::BIGINT * 4294967296 + vocab_idx AS packed FROM k""")
 def packed_documents(spark, root):
     return bm25.pack_documents(numbered(spark, root))
 
@@ -116,12 +116,12 @@ def packed_rows(spark, root):
 
 @query("index_statistics", f"""WITH {PACK}, a AS (SELECT count(*) AS n_tokens, max(df) AS max_df, min(df) AS min_df, {r6('avg(df)')} AS avg_df, sum(df)::BIGINT AS n_entries FROM f),
   b AS (SELECT count(*) AS n_batches, sum(n_rows)::BIGINT AS n_rows, {r6('avg(n_rows)')} AS avg_rows FROM nr)
-  SELECT n AS n_docs, a.*, b.*, (n_rows * 256 + n_batches * 4)::BIGINT AS packed_bytes FROM a, b, st""")
+  SELECT n AS n_docs, a.*, b.*, (n_rows * 512 + n_batches * 4)::BIGINT AS packed_bytes FROM a, b, st""")
 def index_statistics(spark, root):
     return bm25.index_statistics(text_index(spark, root), packed_documents(spark, root))
 
 
-@query("doc_freq_padded", f"WITH {NUMBERED} SELECT i.range AS vocab_idx, coalesce(df, 0)::BIGINT AS df FROM range(65536) i LEFT JOIN vo ON vocab_idx = i.range")
+@query("doc_freq_padded", f"WITH {NUMBERED} SELECT i.range AS vocab_idx, coalesce(df, 0)::BIGINT AS df FROM range((SELECT ((max(vocab_idx) + 65536) // 65536 * 65536)::BIGINT FROM vo)) i LEFT JOIN vo ON vocab_idx = i.range")
 def doc_freq_padded(spark, root):
     return bm25.first_ids(vocabulary(spark, root).df)
 
@@ -201,11 +201,11 @@ def bm25_multi_query(spark, root):
 
 
 @query("query_bitmap", f"""WITH {NUMBERED}, {ALL_TERMS} SELECT vocab_idx // 64 AS word, bit_or(CASE WHEN vocab_idx % 64 = 63
-  THEN (-9223372036854775808)::BIGINT ELSE 1::BIGINT << (vocab_idx % 64)::INTEGER END) AS bits FROM vo JOIN qt USING (token) WHERE vocab_idx < 65536 GROUP BY 1""")
+  THEN (-9223372036854775808)::BIGINT ELSE 1::BIGINT << (vocab_idx % 64)::INTEGER END) AS bits FROM vo JOIN qt USING (token) GROUP BY 1""")
 def query_bitmap(spark, root):
     """The ids of the query tokens as a membership bitmap; unknown tokens have no bit."""
     terms = item_queries(spark, root).select(F.explode(tx.tokens("text")).alias("token")).distinct()
-    ids = vocabulary(spark, root).df.join(terms, "token", "left_semi").where(F.col("vocab_idx") < bm25.VOCAB_LIMIT)
+    ids = vocabulary(spark, root).df.join(terms, "token", "left_semi")
     return retrieve.threshold_bitmap(ids.withColumn("score", F.lit(1.0)), 1.0, "vocab_idx")
 
 
@@ -228,7 +228,7 @@ def topk_overlap(spark, root):
                             table(spark, root, "documents"), "doc_id", ["query_id"])
 
 
-@query("sampled_query", f"""WITH {NUMBERED}, o AS (SELECT DISTINCT vocab_idx FROM nu WHERE {LANE} AND vocab_idx < 65536),
+@query("sampled_query", f"""WITH {NUMBERED}, o AS (SELECT DISTINCT vocab_idx FROM nu WHERE {LANE}),
   t AS (SELECT (vocab_idx % 16)::INTEGER AS lane, row_number() OVER (PARTITION BY vocab_idx % 16 ORDER BY md5('42:' || vocab_idx), vocab_idx)::INTEGER AS turn, vocab_idx FROM o)
   SELECT * FROM t WHERE turn <= 4 ORDER BY turn, lane LIMIT 64""")
 def sampled_query(spark, root):
@@ -327,22 +327,17 @@ def snake_case_names(spark, root):
     return table(spark, root, "part").select("p_partkey", tx.snake_case(name).alias("snake"))
 
 
-def _count_sql(col: str, pattern: str) -> str:
-    return f"len(regexp_extract_all({col}, '{pattern}'))"
-
-
-_OPS = {"add": r"\+", "sub": "-", "mul": r"\*", "div": "/"}
+_QUOTED = "'"
 _OPS_SQL = ", ".join(
-    f"sum({_count_sql('bare', o + '=')} + {_count_sql('simple', rf'[\w\)\]]\s*{o}\s*[\w\(\[]')})::BIGINT AS n_{n}" for n, o in _OPS.items())
+    "sum(len(list_filter(regexp_extract_all(code, '" + tx.LEXEME.format(chr(92) + op).replace(_QUOTED, 2 * _QUOTED)
+    + rf"'), lambda x: x = '{op}=' OR regexp_matches(x, '^[\w)\]]'))))::BIGINT AS n_{n}" for n, op in tx.ARITHMETIC.items())
 _CALLS_SQL = ", ".join(
-    f"sum({_count_sql('code', rf'\b({'|'.join(c)})\s*\(')})::BIGINT AS n_{n}_calls" for n, c in tx.MATH_CALLS.items())
+    rf"sum(len(regexp_extract_all(code, '\b({'|'.join(c)})\s*\(')))::BIGINT AS n_{n}_calls" for n, c in tx.MATH_CALLS.items())
 
 
-@query("operator_counts", f"""WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line FROM pages),
-  c AS (SELECT page_id, CASE WHEN regexp_matches(line, '^ *//') THEN '' ELSE line END AS code FROM l),
-  b AS (SELECT *, regexp_replace(regexp_replace(code, '"[^"]*"', '', 'g'), '''[^'']*''', '', 'g') AS bare FROM c),
-  s AS (SELECT *, regexp_replace(regexp_replace(bare, '[+*/-]=', '  ', 'g'), '->|\\+\\+|--', '  ', 'g') AS simple FROM b)
-  SELECT page_id, {_OPS_SQL}, {_CALLS_SQL} FROM s GROUP BY page_id""")
+@query("operator_counts", r"""WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line FROM pages),
+  c AS (SELECT page_id, CASE WHEN regexp_matches(line, '^\s*//') THEN '' ELSE line END AS code FROM l)
+  SELECT page_id, @OPS, @CALLS FROM c GROUP BY page_id""".replace("@OPS", _OPS_SQL).replace("@CALLS", _CALLS_SQL))
 def operator_counts(spark, root):
     """Arithmetic operators and math calls per page, counted line by line."""
     lines = table(spark, root, "pages").select("page_id", F.explode(F.split("html", "\n")).alias("line"))
