@@ -5,8 +5,9 @@
     Ordered by count, rarest first, and then by hash, all n-grams have one global order.
 2.  *Prefixes.*  Two sets of the demanded similarity share one of the first
     ``n - ceil(t n) + 1`` n-grams in that order.  Documents with equal sets become one class.
-3.  *Join on prefix n-grams.*  The classes that share a prefix n-gram are its group.  Groups with the
-    same members (near copies share most of their prefix) count once.
+3.  *Join on prefix n-grams.*  The classes that share a prefix n-gram are its group.  Near copies share
+    most of their prefix, so groups with the same members count once, and groups that are part of
+    another one are left out.
 4.  *Verification.*  In a group (or two blocks of a large one) pairs go through the length,
     positional and suffix filters, and what is left is verified on whole sets, in the first of the
     groups that the two share and so once per pair.  Pairs that a task has connected already need
@@ -219,19 +220,38 @@ def find_links(docs: list[Member], group: int, cross: bool, params: Params) -> l
     return out
 
 
-def groups_of(classes: DataFrame) -> DataFrame:
-    """(gram, node): the members of each distinct group of two or more classes."""
-    rows = classes.select("node", F.explode("prefix").alias("gram"))
+def groups_of(classes: DataFrame, params: Params) -> DataFrame:
+    """(gram, node): groups of two or more classes that share a prefix n-gram.
+
+    Left out are members whose size none of the others comes near, groups with the members of
+    another one, and groups that are part of another one.
+    """
+    rows = classes.select("node", "n", F.explode("prefix").alias("gram"))
     shared = rows.groupBy("gram").agg(
         F.count(F.lit(1)).alias("size"), F.min("node").alias("low"), F.max("node").alias("high"),
         F.bit_xor(F.xxhash64("node")).alias("mark")).where("size > 1")
     kept = stage(shared.groupBy("size", "low", "high", "mark").agg(F.min("gram").alias("gram")).select("gram"))
-    return join_checked(rows, kept, ["gram"], "left_semi")
-
-
-def _tasks(classes: DataFrame) -> DataFrame:
+    members = stage(join_checked(rows, kept, ["gram"], "inner"))
+    # sizes that are near enough fall into the same or neighbouring steps of this scale
+    step = F.floor(F.log("n") / float(np.log(100 / params.percent)) + 1e-6) if params.percent < 100 else F.col("n")
+    members = members.select("node", "gram", step.cast("long").alias("step"))
+    steps = members.groupBy("gram", "step").agg(F.count(F.lit(1)).alias("m"))
+    near = stage(steps.select("gram", F.explode(F.array(F.col("step") - 1, "step", F.col("step") + 1)).alias("step"), "m")
+                 .groupBy("gram", "step").agg(F.sum("m").alias("m")).where("m > 1").drop("m"))
+    members = stage(join_checked(members, near, ["gram", "step"], "left_semi").drop("step"))
+    # a group is part of another one if they have as many members in common as it has
+    sizes = stage(members.groupBy("gram").agg(F.count(F.lit(1)).alias("size")))
+    sized = stage(join_checked(members, sizes, ["gram"], "inner"))
+    part = sized.select("node", F.col("gram").alias("part"), F.col("size").alias("of"))
+    common = sized.join(part, "node").where("of < size OR (of = size AND gram < part)") \
+        .groupBy("part", "gram", "of").agg(F.count(F.lit(1)).alias("m"))
+    parts = stage(common.where("m = of").select(F.col("part").alias("gram")).distinct())
+    return join_checked(members, parts, ["gram"], "left_anti")
+
+
+def _tasks(classes: DataFrame, params: Params) -> DataFrame:
     """(gram, i, j, block, digest, rep, groups): members of groups, placed in pairs of blocks."""
-    rows = stage(groups_of(classes))
+    rows = stage(groups_of(classes, params))
     lists = rows.groupBy("node").agg(F.collect_list("gram").alias("groups"))   # at most a prefix each
     members = stage(classes.select("node", "digest", "rep", "n").join(lists, "node"))
     placed = members.select("digest", "rep", "n", "groups", F.explode("groups").alias("gram"))
@@ -246,7 +266,7 @@ def _tasks(classes: DataFrame) -> DataFrame:
 
 def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, params: Params) -> DataFrame:
     """(a, b) verified links between classes, enough to connect all that similar pairs connect."""
-    tasks = stage(_tasks(classes))
+    tasks = stage(_tasks(classes, params))
     fetched = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     wanted = stage(tasks.select("digest", "rep").distinct())
     near = join_checked(fetched, wanted, (F.col("h") == F.col("rep.text_hash"))
