@@ -60,7 +60,7 @@ def _pairs(texts, hash_of: HashOf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def count_pairs(labelled: DataFrame) -> DataFrame:
     """(v, w, toxic, ordinary, fresh_toxic, fresh_ordinary) of the word pairs of ``labelled`` (text, label),
-    added up in each batch before they are shuffled.
+    added up in each batch before they are shuffled, and written.
 
     ``fresh_*`` is about how many different words have stood before the pair, at most its count and at
     most 110: a passage that is copied many times raises the count, but not this.
@@ -81,13 +81,14 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
                     [pa.array(v[first]), pa.array(w[first]), pa.array(np.add.reduceat(one, first)),
                      pa.array(np.bitwise_or.reduceat(bit, first))], names=["v", "w", "n", "bits"])
 
+    rows = labelled.select("text", "label").mapInArrow(run, "v long, w long, n long, bits long") \
+        .groupBy("v", "w").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits"))
     half = {"toxic": lambda c: F.shiftrightunsigned(c, 32), "ordinary": lambda c: c.bitwiseAND(F.lit((1 << 32) - 1))}
     # the number of words before, from how many of 32 buckets they fall into
     different = lambda c: F.when(F.bit_count(c) < 32, -32 * F.log(1 - F.bit_count(c) / 32.0)).otherwise(32 * np.log(32.0))
-    return labelled.select("text", "label").mapInArrow(run, "v long, w long, n long, bits long") \
-        .groupBy("v", "w").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits")).select(
-            "v", "w", *[half[c](F.col("n")).alias(c) for c in half],
-            *[F.least(half[c](F.col("n")).cast("double"), different(half[c](F.col("bits")))).alias(f"fresh_{c}") for c in half])
+    return stage(rows).select(
+        "v", "w", *[half[c](F.col("n")).alias(c) for c in half],
+        *[F.least(half[c](F.col("n")).cast("double"), different(half[c](F.col("bits")))).alias(f"fresh_{c}") for c in half])
 
 
 class Model(NamedTuple):
@@ -109,7 +110,7 @@ def _evidence(toxic: Column, ordinary: Column, share: float) -> Column:
 def fit(labelled: DataFrame, discount: float = DISCOUNT, backoff: float = BACKOFF,
         evidence: float = EVIDENCE) -> Model | None:
     """Models of all rows of ``labelled`` (text, label); None without words of both classes."""
-    counts = stage(count_pairs(labelled))
+    counts = count_pairs(labelled)
     toxic, ordinary = F.col("toxic"), F.col("ordinary")
     words = stage(counts.groupBy("w").agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("toxic", "ordinary")]))
     m_toxic, m_ordinary = words.agg(F.sum("toxic"), F.sum("ordinary")).first()
@@ -249,7 +250,7 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = stage(labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held)
                   .groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("long").alias("label")))
     rows = docs.where(~held).select(F.col(doc_id).alias("_id"), F.col(text).alias("text"), rest.alias("_rest"))
-    labelled = rows.join(known, "_id")
+    labelled = join_checked(rows, known, ["_id"], "inner")
     model = fit(labelled.where("NOT _rest").select("text", "label"))
     every = docs.select(F.col(doc_id).alias("doc_id"), held.alias("held_out"), F.col(text).alias("_text"))
     if model is None:
