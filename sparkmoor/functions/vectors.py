@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import by_key
+
 DIGITS = 6  # reported precision: independent of the order in which partial sums arrive
 
 
@@ -80,24 +82,71 @@ def vector_literal(vector: Iterable[float]) -> Column:
     return F.from_json(F.lit(json.dumps([float(x) for x in vector])), "array<double>")
 
 
-def each(fn: str, vec: str, dim: int) -> Column:
-    """``array(fn(vec[0]), fn(vec[1]), ...)``: one aggregate per element, in double precision.
+_REDUCE = {"sum": np.add, "min": np.minimum, "max": np.maximum}
+
+
+def merge_vectors(df: DataFrame, keys: list[str], vecs: dict[str, tuple[str, str]],
+                  sums: tuple[str, ...] = ()) -> DataFrame:
+    """Element-wise aggregates per key: (keys..., vecs..., sums..., n).
 
-    Such aggregates are combined before the shuffle and compiled, unlike exploded elements;
-    one parsed expression is much quicker to build than hundreds of column calls.
+    ``vecs`` names results as (column, "sum" | "min" | "max"), ``sums`` numbers to add up, and ``n``
+    counts the rows.  Every batch of rows is reduced as a matrix before anything is shuffled, and
+    the partial rows of a key are merged while they stream past in order, so neither the width
+    of the vectors nor the size of a group matters to the plan or to a task's memory.
     """
-    return F.expr("array(" + ", ".join(f"{fn}(cast({vec}[{i}] as double))" for i in range(dim)) + ")")
+    kinds = {f.name: f.dataType.simpleString() for f in df.select(*keys).schema.fields}
+    schema = ", ".join([*[f"`{k}` {t}" for k, t in kinds.items()], *[f"`{v}` array<double>" for v in vecs],
+                        *[f"`{c}` double" for c in sums], "n bigint"])
+    names = [*keys, *vecs, *sums, "n"]
+
+    def reduce_batch(batch: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
+        code = np.zeros(batch.num_rows, np.int64)
+        for k in keys:
+            column = batch.column(k)
+            column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+            encoded = column.dictionary_encode("encode")
+            code = code * (len(encoded.dictionary) + 1) + encoded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")
+        first = np.flatnonzero(np.diff(code[order], prepend=-1))
+        place = np.argsort(order[first], kind="stable")   # groups in the order of their first row
+        rows = pa.array(order[first][place])
+        out = [batch.column(k).take(rows) for k in keys]
+        out = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out]
+        for name, (_, how) in vecs.items():
+            out.append(list_array(_REDUCE[how].reduceat(as_matrix(batch.column(name))[order], first)[place]))
+        for name in (*sums, "n"):
+            out.append(pa.array(np.add.reduceat(batch.column(name).to_numpy()[order], first)[place]))
+        return pa.RecordBatch.from_arrays(out, names=names)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield reduce_batch(batch)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None                                       # the key that may go on in the next batch
+        for batch in batches:
+            if batch.num_rows:
+                done = reduce_batch(pa.Table.from_batches([last, batch] if last is not None else [batch]))
+                yield done.slice(0, done.num_rows - 1)
+                last = done.slice(done.num_rows - 1)
+        if last is not None:
+            yield last
+
+    rows = df.select(*keys, *[doubles(c).alias(v) for v, (c, _) in vecs.items()],
+                     *[F.col(c).cast("double").alias(c) for c in sums], F.lit(1).cast("bigint").alias("n"))
+    return by_key(rows.mapInArrow(partial, schema), *keys).sortWithinPartitions(*keys).mapInArrow(merged, schema)
 
 
-def mean_vectors(df: DataFrame, keys: list, vec: str, dim: int, name: str = "vec") -> DataFrame:
+def mean_vectors(df: DataFrame, keys: list[str], vec: str, name: str = "vec") -> DataFrame:
     """Element-wise mean per key."""
-    return df.groupBy(*keys).agg(each("avg", vec, dim).alias(name))
+    return merge_vectors(df, keys, {name: (vec, "sum")}).select(
+        *keys, F.transform(name, lambda x: x / F.col("n")).alias(name))
 
 
-def sum_vectors(df: DataFrame, keys: list, vec: str, dim: int, name: str = "vec",
-                *more: Column) -> DataFrame:
-    """Element-wise sum per key, next to further aggregates."""
-    return df.groupBy(*keys).agg(each("sum", vec, dim).alias(name), *more)
+def sum_vectors(df: DataFrame, keys: list[str], vec: str, name: str = "vec", *more: str) -> DataFrame:
+    """Element-wise sum per key, next to the sums of the columns ``more``."""
+    return merge_vectors(df, keys, {name: (vec, "sum")}, more).drop("n")
 
 
 def unpack(df: DataFrame, keys: list[str], vec: str, index: str = "dim",
@@ -115,8 +164,11 @@ def as_matrix(column: pa.Array | pa.ChunkedArray, dtype=np.float64) -> np.ndarra
         column = column.combine_chunks()
     if len(column) == 0:
         return np.zeros((0, 0), dtype)
+    lengths = np.diff(column.offsets.to_numpy())
+    if column.null_count or (lengths != lengths[0]).any():
+        raise ValueError("vectors must be neither null nor of different lengths")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), int(lengths[0]))
 
 
 def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:

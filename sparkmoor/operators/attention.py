@@ -63,7 +63,7 @@ def block_sparse_attention(kv: DataFrame, queries: DataFrame, selected: DataFram
     weighted = softmax_weights(scored, ["query_id"])
     v = F.transform(doubles("v"), lambda x: x * F.col("w"))
     sums = sum_vectors(weighted.select("query_id", "w", v.alias("wv")), ["query_id"], "wv",
-                       dim, "wv", F.sum("w").alias("z"))
+                       "wv", "w").withColumnRenamed("w", "z")
     out = F.transform("wv", lambda x: x / F.col("z"))
     zero = F.array_repeat(F.lit(0.0), dim)
     return queries.select("query_id").join(sums.select("query_id", out.alias("out")), "query_id", "left") \
@@ -109,7 +109,7 @@ def latent_attention(kv: DataFrame, heads: np.ndarray, pe: np.ndarray, w_k: np.n
     merged = sum_vectors(
         peaks.select(*key, (F.col("z") * factor).alias("z"),
                      F.transform("acc", lambda x: x * factor).alias("acc")),
-        key, "acc", w_v.shape[2], "acc", F.sum("z").alias("z"))
+        key, "acc", "acc", "z")
 
     def expand(b: pa.RecordBatch) -> dict:
         h = b.column("head").to_numpy()

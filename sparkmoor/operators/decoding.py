@@ -96,81 +96,3 @@ def budget_keys(packed: DataFrame, past: int, dim: int, k: int = 64) -> DataFram
 def best_pages(packed: DataFrame, past: int, dim: int, page_size: int = 16, k: int = 64) -> DataFrame:
     """The k best pages of each round by their best key; the last page may be short."""
     return top_k(page_scores(growing_scores(packed, past, dim), page_size, "pos", BY), k, "page_id", BY)
-
-
-# ---- tiered key store ---------------------------------------------------------------
-
-# Fixed layout: keys per round in the three tiers, pages per round of the stream, keys per id.
-NEAR_KEYS, MIDDLE_KEYS, FAR_KEYS = 128, 32, 8
-STREAM_PAGES, STREAM_LANES, KEYS_PER_ID = 8, 16, 8
-EMPTY_SLOT, NO_SLOT = -10_000_000_000, -20_000_000_000
-
-
-class Tiers:
-    """Keys per channel that fit the nearest tier and the two nearest tiers together."""
-
-    # Fixed sizes of the original layout: 5 channels, 2048 near keys, 6144 on-chip keys.
-    def __init__(self, channels: int = 5, near: int = 2048, onchip: int = 6144):
-        self.channels, self.near, self.onchip = channels, near, onchip
-        self.near_rounds = near // NEAR_KEYS
-        self.onchip_rounds = self.near_rounds + (onchip - near) // MIDDLE_KEYS
-
-    def stream_id(self, channel: Column, local: Column) -> Column:
-        """Id in the score stream of the key at ``local`` of ``channel``."""
-        def split(first_round: int, start: int, keys: int) -> tuple[Column, Column]:
-            rel = local - start
-            return F.floor(rel / keys) + first_round, rel % keys
-
-        tiers = [split(0, 0, NEAR_KEYS), split(self.near_rounds, self.near, MIDDLE_KEYS),
-                 split(self.onchip_rounds, self.onchip, FAR_KEYS)]
-        is_near, is_middle = local < self.near, local < self.onchip
-        rnd, idx = (F.when(is_near, a).when(is_middle, b).otherwise(c) for a, b, c in zip(*tiers))
-        page = rnd * STREAM_PAGES + F.floor(idx / (2 * KEYS_PER_ID))
-        half = F.floor(idx / KEYS_PER_ID) % 2
-        return (page * STREAM_LANES + channel * 2 + half).cast("bigint")
-
-    def logical_end(self, length: int, round_no: Column) -> Column:
-        """Stream length in keys: slower tiers take 4 or 16 times their share."""
-        middle, far = NEAR_KEYS // MIDDLE_KEYS, NEAR_KEYS // FAR_KEYS
-        groups = F.floor(round_no / GROUP)
-        end = min(length, self.near)
-        end += (min(length, self.onchip) - self.near) * middle if length > self.near else 0
-        end += (length - self.onchip) * far if length > self.onchip else 0
-        step = far if length > self.onchip else middle if length > self.near else 0
-        return F.lit(end) + groups * step
-
-    def slot_score(self, sid: Column, end: Column) -> Column:
-        """Filler of an id no key maps to: an empty slot of an active channel, or none."""
-        rnd = F.floor(sid / (STREAM_PAGES * STREAM_LANES))
-        lane = sid % STREAM_LANES
-        idx = (F.floor(sid / STREAM_LANES) % STREAM_PAGES) * 2 * KEYS_PER_ID + (lane % 2) * KEYS_PER_ID
-        width = F.when(rnd < self.near_rounds, NEAR_KEYS).when(rnd < self.onchip_rounds, MIDDLE_KEYS) \
-            .otherwise(FAR_KEYS)
-        if self.near_rounds == 0 and self.onchip_rounds == 0:
-            width = F.lit(FAR_KEYS)
-        left = end + NEAR_KEYS - rnd * NEAR_KEYS
-        open_ = (lane < 2 * self.channels) & (idx < left) & (idx < width)
-        return F.when(open_, F.lit(EMPTY_SLOT)).otherwise(F.lit(NO_SLOT)).cast("bigint")
-
-
-def tiered_scores(packed: DataFrame, past: int, dim: int, tiers: Tiers) -> DataFrame:
-    """Best score per stream id: past keys are split over the channels, new keys go to all."""
-    length = past // tiers.channels
-    scores = growing_scores(packed, past, dim)
-    is_old = F.col("pos") < past
-    channels = F.when(is_old, F.array(F.floor(F.col("pos") / length).cast("int"))).otherwise(
-        F.sequence(F.lit(0), F.lit(tiers.channels - 1)))
-    local = F.when(is_old, F.col("pos") % length).otherwise(F.lit(length) + F.col("pos") - past)
-    end = tiers.logical_end(length, F.col("round"))
-    stream_len = F.floor((end + NEAR_KEYS) / NEAR_KEYS) * STREAM_PAGES * STREAM_LANES
-    placed = scores.select(*BY, "score", local.alias("local"), F.explode(channels).alias("channel"))
-    hits = placed.select(*BY, tiers.stream_id(F.col("channel"), F.col("local")).alias("stream_id"), "score") \
-        .where(F.col("stream_id") < stream_len)
-    slots = scores.where(F.col("pos") == 0).select(
-        *BY, F.explode(F.sequence(F.lit(0).cast("bigint"), stream_len.cast("bigint") - 1)).alias("stream_id"))
-    fillers = slots.withColumn("score", tiers.slot_score(F.col("stream_id"), end))
-    return hits.unionByName(fillers).groupBy(*BY, "stream_id").agg(F.max("score").alias("score"))
-
-
-def best_stream_ids(packed: DataFrame, past: int, dim: int, tiers: Tiers, k: int = 64) -> DataFrame:
-    return top_k(tiered_scores(packed, past, dim, tiers), k, "stream_id", BY)

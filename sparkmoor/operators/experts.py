@@ -6,11 +6,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.staging import salts_of
-from ..functions.vectors import as_matrix, collect_small, list_array, map_blocks, np_rounded, sum_vectors
+from ..functions.vectors import as_matrix, collect_small, list_array, map_blocks, rounded, sum_vectors
 
 ROUTE_SCALE = 2.5
 # Expert weights up to this many numbers travel with the tasks; larger ones are joined.
@@ -125,78 +125,79 @@ def expert_counts(wide: DataFrame, n_experts: int) -> DataFrame:
     return ids.join(counts, "expert_id", "left").select("expert_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
 
 
-def _layout(counts: DataFrame, block: int) -> tuple[list[int], list[int], list[int]]:
-    sizes = [r["n_tokens"] for r in sorted(counts.collect(), key=lambda r: r["expert_id"])]
-    starts = [sum(sizes[:e]) for e in range(len(sizes))]
-    padded = [0]
-    for s in sizes[:-1]:
-        padded.append(padded[-1] + math.ceil((s + 1) / block) * block)
-    return sizes, starts, padded
-
-
 def group_descriptors(counts: DataFrame, block: int) -> DataFrame:
-    """Start of each expert's tokens, plain and padded to blocks (one row per expert)."""
-    sizes, starts, padded = _layout(counts, block)
-    return counts.sparkSession.createDataFrame(
-        list(zip(range(len(sizes)), sizes, starts, padded)),
-        "expert_id int, n_tokens bigint, start bigint, padded_start bigint")
+    """Start of each expert's tokens, plain and padded to blocks (one row per expert).
+
+    The window runs over one row per expert.
+    """
+    earlier = Window.orderBy("expert_id").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.ceil((F.col("n_tokens") + 1) / block) * block
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast("bigint")
+    return counts.select(F.col("expert_id").cast("int").alias("expert_id"), F.col("n_tokens").cast("bigint").alias("n_tokens"),
+                         before("n_tokens").alias("start"), before(room).alias("padded_start"))
 
 
 def block_experts(counts: DataFrame, block: int) -> DataFrame:
     """Expert of each padded block: the last one starting at or before it."""
-    sizes, _, padded = _layout(counts, block)
-    starts = F.array(*[F.lit(p).cast("bigint") for p in padded])
-    n = math.ceil(sum(sizes) / block) + len(sizes)
-    here = F.size(F.filter(starts, lambda s: s <= F.col("block") * block))
-    return counts.sparkSession.range(n).withColumnRenamed("id", "block").select("block", (here - 1).alias("expert_id"))
+    placed = group_descriptors(counts, block)
+    total = counts.agg(F.sum("n_tokens"), F.count(F.lit(1))).first()
+    n = math.ceil((total[0] or 0) / block) + total[1]
+    following = F.lead(F.col("padded_start") / block, 1, n).over(Window.orderBy("expert_id")).cast("bigint")
+    first = (F.col("padded_start") / block).cast("bigint")
+    ranges = placed.select("expert_id", first.alias("a"), F.least(following, F.lit(n)).alias("z")).where("a < z")
+    return ranges.select(F.explode(F.sequence("a", F.col("z") - 1)).alias("block"), "expert_id")
 
 
 # ---- feed-forward layers ------------------------------------------------------------
 
 
-def weight_arrays(weights: DataFrame, n_experts: int, limit: int = WEIGHT_LIMIT):
-    """(expert, row, w1, w3, w2) rows as arrays (E, I, D), or None above the limit.
+def weight_arrays(weights: DataFrame, limit: int = WEIGHT_LIMIT) -> dict[int, tuple[np.ndarray, ...]] | None:
+    """Per expert its layers (w1, w3, w2), each (I, D), or None above the limit.
 
-    ``w2`` is the column of the second layer that belongs to the inner row.
+    ``weights``: (expert, row, w1, w3, w2), where ``w2`` is the column of the second layer that belongs
+    to the inner row.  Experts may differ in their number of rows; one without rows is absent.
     """
-    width = len(weights.select("w1").first()["w1"])
-    rows = collect_small(weights, max(1, limit // (3 * width)))
+    first = weights.select("w1").first()
+    rows = collect_small(weights, max(1, limit // (3 * len(first["w1"])))) if first else []
     if rows is None:
         return None
-    rows = sorted(rows, key=lambda r: (r["expert"], r["row"]))
-    return tuple(np.array([r[c] for r in rows], np.float64).reshape(n_experts, -1, width) for c in ("w1", "w3", "w2"))
+    of: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (r["expert"], r["row"])):
+        of.setdefault(r["expert"], []).append(r)
+    return {e: tuple(np.array([r[c] for r in rs], np.float64) for c in ("w1", "w3", "w2")) for e, rs in of.items()}
 
 
 def _ffn(x: np.ndarray, w1: np.ndarray, w3: np.ndarray, w2: np.ndarray) -> np.ndarray:
     return (_silu(x @ w1.T) * (x @ w3.T)) @ w2
 
 
-def feed_forward(wide: DataFrame, weights: DataFrame, n_experts: int, dim: int,
-                 limit: int = WEIGHT_LIMIT) -> DataFrame:
+def feed_forward(wide: DataFrame, weights: DataFrame, dim: int, limit: int = WEIGHT_LIMIT, layer=_ffn) -> DataFrame:
     """sum over a token's experts of weight * W2 (silu(W1 x) * W3 x): (token_id, y).
 
     While the weights fit the limit every block of tokens evaluates its experts where it is.
     Beyond it, tiles of tokens of one expert meet that expert's weights by a salted join,
-    and the parts are summed per token.
+    and the parts are summed per token.  An expert without weights adds nothing.
     """
-    arrays = weight_arrays(weights, n_experts, limit)
-    if arrays is None:
-        return accumulate(expert_parts(wide, weights, dim), dim)
-    w1, w3, w2 = arrays
+    layers = weight_arrays(weights, limit)
+    if layers is None:
+        nothing = wide.select("token_id", F.array_repeat(F.lit(0.0), dim).alias("y"))
+        parts = expert_parts(wide, weights, dim, layer).select("token_id", "y")
+        return accumulate(parts.unionByName(nothing))
 
     def block(b: pa.RecordBatch) -> dict:
         x = as_matrix(b.column("x"))
         chosen, w = as_matrix(b.column("experts"), np.int64), as_matrix(b.column("weights"))
         y = np.zeros_like(x)
         for e in np.unique(chosen):
-            row, slot = np.nonzero(chosen == e)
-            np.add.at(y, row, _ffn(x[row], w1[e], w3[e], w2[e]) * w[row, slot][:, None])
+            if e in layers:
+                row, slot = np.nonzero(chosen == e)
+                np.add.at(y, row, layer(x[row], *layers[e]) * w[row, slot][:, None])
         return {"token_id": b.column("token_id"), "y": list_array(y)}
 
     return map_blocks(wide, block, "token_id bigint, y array<double>")
 
 
-def expert_parts(wide: DataFrame, weights: DataFrame, dim: int) -> DataFrame:
+def expert_parts(wide: DataFrame, weights: DataFrame, dim: int, layer=_ffn) -> DataFrame:
     """Weighted output of each (token, expert): (token_id, expert_id, y)."""
 
     def tiles(b: pa.RecordBatch) -> dict:
@@ -217,20 +218,20 @@ def expert_parts(wide: DataFrame, weights: DataFrame, dim: int) -> DataFrame:
 
     salts = salts_of(wide.sparkSession)
     packed = map_blocks(wide, tiles, "expert int, ids array<bigint>, w array<double>, flat array<double>")
-    layer = F.array_sort(F.collect_list(F.struct("row", "w1", "w3", "w2")))
+    by_row = F.array_sort(F.collect_list(F.struct("row", "w1", "w3", "w2")))
     flat = [F.flatten(F.col(f"rows.{c}")).alias(c) for c in ("w1", "w3", "w2")]
     # one row per expert: its own layer, whatever the number of tokens
-    layers = weights.groupBy(F.col("expert").cast("int").alias("expert")).agg(layer.alias("rows")).select(
+    layers = weights.groupBy(F.col("expert").cast("int").alias("expert")).agg(by_row.alias("rows")).select(
         "expert", *flat, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     salted = packed.withColumn("_salt", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(salts)).cast("int"))
 
     def run(b: pa.RecordBatch) -> dict:
         out = {"token_id": [], "expert_id": [], "y": []}
-        for r in b.to_pylist():
-            m = [np.array(r[c]).reshape(-1, dim) for c in ("w1", "w3", "w2")]
-            y = _ffn(np.array(r["flat"]).reshape(-1, dim), *m) * np.array(r["w"])[:, None]
-            out["token_id"].append(r["ids"])
-            out["expert_id"].append(np.full(len(y), r["expert"], np.int32))
+        for i in range(b.num_rows):
+            ids, w, flat, *m = (b.column(c)[i].values.to_numpy() for c in ("ids", "w", "flat", "w1", "w3", "w2"))
+            y = layer(flat.reshape(-1, dim), *[a.reshape(-1, dim) for a in m]) * w[:, None]
+            out["token_id"].append(ids)
+            out["expert_id"].append(np.full(len(y), b.column("expert")[i].as_py(), np.int32))
             out["y"].append(y)
         return {"token_id": np.concatenate(out["token_id"]), "expert_id": np.concatenate(out["expert_id"]),
                 "y": list_array(np.concatenate(out["y"]))}
@@ -239,42 +240,34 @@ def expert_parts(wide: DataFrame, weights: DataFrame, dim: int) -> DataFrame:
                       "token_id bigint, expert_id int, y array<double>")
 
 
-def accumulate(parts: DataFrame, dim: int) -> DataFrame:
+def accumulate(parts: DataFrame) -> DataFrame:
     """Sum of the partial outputs per token."""
-    return sum_vectors(parts, ["token_id"], "y", dim, "y")
+    return sum_vectors(parts, ["token_id"], "y", "y")
 
 
 def shared_expert(tokens: DataFrame, weights: DataFrame, dim: int, limit: int = WEIGHT_LIMIT) -> DataFrame:
     """The same feed-forward layer for every token, unweighted."""
     wide = tokens.select("token_id", F.col("x").cast("array<double>").alias("x"),
                          F.array(F.lit(0)).alias("experts"), F.array(F.lit(1.0)).alias("weights"))
-    return feed_forward(wide, weights, 1, dim, limit)
+    return feed_forward(wide, weights, dim, limit)
 
 
-def quantised_feed_forward(wide: DataFrame, weights: DataFrame, n_experts: int, x_scale: float,
+def quantised_feed_forward(wide: DataFrame, weights: DataFrame, dim: int, x_scale: float,
                            w_scales: tuple[float, float, float],
-                           w_shifts: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+                           w_shifts: tuple[float, float, float] = (0.0, 0.0, 0.0),
+                           limit: int = WEIGHT_LIMIT) -> DataFrame:
     """The layer on 16-bit integers: integer products, the inner vector requantised per token.
 
     ``wide.x`` and the weights hold integers; sums stay below 2**53 and are exact.
     """
-    arrays = weight_arrays(weights, n_experts)
-    if arrays is None:
-        raise ValueError("quantised weights exceed WEIGHT_LIMIT; split the experts")
-    w1, w3, w2 = arrays
     (s1, s3, s2), (h1, h3, h2) = w_scales, w_shifts
 
-    def block(b: pa.RecordBatch) -> dict:
-        x = as_matrix(b.column("x"))
-        chosen, w = as_matrix(b.column("experts"), np.int64), as_matrix(b.column("weights"))
-        y = np.zeros_like(x)
-        for e in np.unique(chosen):
-            row, slot = np.nonzero(chosen == e)
-            inner = _silu((x[row] @ w1[e].T) * s1 * x_scale + h1) * ((x[row] @ w3[e].T) * s3 * x_scale + h3)
-            peak = np.abs(inner).max(axis=1, keepdims=True)
-            scale = np.where(peak > 0, peak / 32767.0, 1.0)
-            q = np.clip(np.rint(inner * (1.0 / scale)), -32768, 32767)
-            np.add.at(y, row, ((q @ w2[e]) * s2 * scale + h2) * w[row, slot][:, None])
-        return {"token_id": b.column("token_id"), "y": list_array(np_rounded(y))}
+    def layer(x: np.ndarray, w1: np.ndarray, w3: np.ndarray, w2: np.ndarray) -> np.ndarray:
+        inner = _silu((x @ w1.T) * s1 * x_scale + h1) * ((x @ w3.T) * s3 * x_scale + h3)
+        peak = np.abs(inner).max(axis=1, keepdims=True)
+        scale = np.where(peak > 0, peak / 32767.0, 1.0)
+        q = np.clip(np.rint(inner * (1.0 / scale)), -32768, 32767)
+        return (q @ w2) * s2 * scale + h2
 
-    return map_blocks(wide, block, "token_id bigint, y array<double>")
+    found = feed_forward(wide, weights, dim, limit, layer)
+    return found.select("token_id", F.transform("y", rounded).alias("y"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import global_index
-from ..functions.vectors import (as_matrix, each, list_array, map_blocks, matrix_literal, matvec,
-                                 mean_vectors)
+from ..functions.vectors import (as_matrix, list_array, map_blocks, matrix_literal, matvec, mean_vectors,
+                                 merge_vectors)
 
 # Above this many weights a projection runs as NumPy blocks instead of a SQL literal.
 LITERAL_WEIGHTS = 4096
@@ -55,17 +57,17 @@ def paged_index(kv: DataFrame, page_size: int, dim: int, weights: np.ndarray | N
     """Mean of the keys of each page of consecutive tokens, then projected.
 
     ``kv``: (context..., pos, k).  Result: (context..., mem_id, vec); the last page is
-    divided by its real length.  Weights of another width give an empty index, as does an
-    empty cache.  Tokens of a page lie together in the input, so the partial aggregate
-    already shrinks the shuffle by about the page size.
+    divided by its real length.  An empty cache gives an empty index, as do, with a warning, weights
+    of another width.  Tokens of a page lie together in the input, so the partial sums already
+    shrink the shuffle by about the page size.
     """
     keys = context or []
     if weights is not None and weights.shape[1] != dim:
-        kv = kv.where(F.lit(False))
-        weights = None
+        warnings.warn(f"weights for {weights.shape[1]} dimensions do not fit keys of {dim}: the index is empty", stacklevel=2)
+        kv, weights = kv.where(F.lit(False)), None
     pooled = mean_vectors(
         kv.select(*keys, page_of("pos", page_size).alias("mem_id"), "k"),
-        [*keys, "mem_id"], "k", dim)
+        [*keys, "mem_id"], "k")
     return pooled if weights is None else project(pooled, "vec", weights)
 
 
@@ -76,11 +78,9 @@ def fold_query(query: DataFrame, weights: np.ndarray) -> DataFrame:
 
 def minmax_index(kv: DataFrame, block: int, dim: int, page_entries: int = 1) -> DataFrame:
     """Element-wise minimum and maximum per block; ``page_entries`` entries form a page."""
-    return (
-        kv.groupBy(page_of("pos", block).alias("entry_id"))
-        .agg(each("min", "k", dim).alias("vmin"), each("max", "k", dim).alias("vmax"))
-        .select("entry_id", page_of("entry_id", page_entries).alias("page_id"), "vmin", "vmax")
-    )
+    entries = kv.select(page_of("pos", block).alias("entry_id"), "k")
+    return merge_vectors(entries, ["entry_id"], {"vmin": ("k", "min"), "vmax": ("k", "max")}).select(
+        "entry_id", page_of("entry_id", page_entries).alias("page_id"), "vmin", "vmax")
 
 
 def minmax_page(index: DataFrame, page_id: int) -> DataFrame:
@@ -95,7 +95,7 @@ def segment_memory(kv: DataFrame, segment: int, entries: int, dim: int) -> DataF
     return mean_vectors(
         kv.select(page_of("pos", segment).alias("segment_id"),
                   F.floor(F.pmod("pos", F.lit(segment)) / width).cast("int").alias("slot"), "k"),
-        ["segment_id", "slot"], "k", dim)
+        ["segment_id", "slot"], "k")
 
 
 def read_segment(memory: DataFrame) -> DataFrame:

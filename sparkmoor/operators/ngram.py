@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.staging import Staged, keyed_join
-from ..functions.vectors import as_matrix, collect_small, each, list_array, map_blocks, silu, sum_vectors
+from ..functions.staging import Staged, keyed_join, stage_counted
+from ..functions.vectors import as_matrix, list_array, map_blocks, silu, sum_vectors
 
 # Seed step per layer, vocabulary, and how far above it the table sizes start.
 LAYER_STEP = 10007
@@ -91,29 +91,38 @@ def row_ids(hashed: DataFrame, sizes: list[list[int]], table_rows: int | None =
 
 def lookup(addressed: DataFrame, keys: list[str], table: DataFrame, dim: int,
            limit: int = TABLE_LIMIT) -> DataFrame:
-    """Embedding rows of every head, side by side: (keys..., flat).
+    """Embedding rows of every head, side by side: (keys..., flat).  A row that the table lacks is zero.
 
     A table within the limit is gathered inside the blocks.  A larger one is joined on the row
     id, rows of frequent n-grams apart, and regrouped per position (one row per head).
     """
-    held = collect_small(table.select("row_id", F.col("vec").cast("array<float>").alias("vec")), limit // dim)
-    types = dict(addressed.dtypes)
-    if held is not None:
-        matrix = np.zeros((max(r["row_id"] for r in held) + 1, dim), np.float32)
-        for r in held:
-            matrix[r["row_id"]] = r["vec"]
+    vec = F.col("vec").cast("array<float>").alias("vec")
+    staged = stage_counted(table.select("row_id", vec))
+    if staged.rows * dim <= limit:
+        held = staged.df.toArrow()
+        ids = held.column("row_id").to_numpy()
+        order = np.argsort(ids)
+        ids = ids[order]
+        matrix = np.concatenate([as_matrix(held.column("vec"), np.float32).reshape(-1, dim)[order],
+                                 np.zeros((1, dim), np.float32)])   # the last row stands for all that are lacking
+        types = dict(addressed.dtypes)
 
         def block(b: pa.RecordBatch) -> dict:
             at = as_matrix(b.column("rows"), np.int64)
-            return {**{c: b.column(c) for c in keys}, "flat": list_array(matrix[at].reshape(len(at), -1))}
+            place = np.searchsorted(ids, at)
+            known = np.append(ids, -1)[place] == at
+            return {**{c: b.column(c) for c in keys},
+                    "flat": list_array(matrix[np.where(known, place, len(ids))].reshape(len(at), -1))}
 
         schema = ", ".join(f"{c} {types[c]}" for c in keys)
         return map_blocks(addressed.select(*keys, "rows"), block, f"{schema}, flat array<float>")
     asked = addressed.select(*keys, F.posexplode("rows").alias("head", "row_id"))
-    rows = table.select("row_id", F.col("vec").cast("array<float>").alias("vec"))
-    found = keyed_join(asked, Staged(rows, TOO_MANY), ["row_id"])
-    parts = F.array_sort(F.collect_list(F.struct("head", "vec")))
-    return found.groupBy(*keys).agg(parts.alias("parts")).select(*keys, F.flatten("parts.vec").alias("flat"))
+    found = keyed_join(asked, Staged(staged.df, TOO_MANY), ["row_id"])
+    parts = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("head", "vec"))).alias("parts"))
+    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    places = F.sequence(F.lit(0), F.col("n") - 1)
+    return addressed.select(*keys, F.size("rows").alias("n")).join(parts, keys, "left").select(
+        *keys, F.flatten(F.transform(places, lambda h: F.coalesce(F.try_element_at("parts", h), zero))).alias("flat"))
 
 
 def gated_value(df: DataFrame, keys: list[str], groups: int, dim: int, key_norm: np.ndarray,
@@ -167,16 +176,19 @@ def short_conv(df: DataFrame, groups: int, dim: int, taps: np.ndarray, norm: np.
         normed = (g / np.sqrt((g * g).mean(axis=2, keepdims=True) + 1e-5) * norm).reshape(n, width)
         base = x + as_matrix(b.column("hidden")) if residual else np.zeros_like(x)
         t, seq = b.column("t").to_numpy(), b.column("seq_id").to_numpy()
-        shares = np.concatenate([normed * taps[:, k] for k in range(n_taps)])
-        own = pa.chunked_array([list_array(base), pa.nulls(n * (n_taps - 1), pa.list_(pa.float64()))])
-        return {"seq_id": np.tile(seq, n_taps), "t": np.concatenate([t + k * dilation for k in range(n_taps)]),
-                "share": list_array(shares), "base": own.combine_chunks(),
-                "own": np.repeat([1] + [0] * (n_taps - 1), n).astype(np.int32)}
-
-    shares = map_blocks(df.select(*cols), block,
-                        "seq_id bigint, t bigint, share array<double>, base array<double>, own int")
-    summed = sum_vectors(shares, ["seq_id", "t"], "share", width, "acc", F.max("own").alias("own"),
-                         each("sum", "base", width).alias("base"))
+        shares = np.concatenate([np.concatenate([normed * taps[:, k] for k in range(n_taps)]),
+                                 np.concatenate([base, np.zeros(((n_taps - 1) * n, width))])], axis=1)
+        at = np.concatenate([t + k * dilation for k in range(n_taps)])
+        own = np.repeat([1.0] + [0.0] * (n_taps - 1), n)
+        # what falls on one position is added up here already, where it comes from the same batch
+        order = np.lexsort((at, np.tile(seq, n_taps)))
+        s, a = np.tile(seq, n_taps)[order], at[order]
+        first = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (a[1:] != a[:-1])]))
+        return {"seq_id": s[first], "t": a[first], "share": list_array(np.add.reduceat(shares[order], first)),
+                "own": np.add.reduceat(own[order], first)}
+
+    shares = map_blocks(df.select(*cols), block, "seq_id bigint, t bigint, share array<double>, own double")
+    summed = sum_vectors(shares, ["seq_id", "t"], "share", "acc", "own")
+    acc, base = F.slice("acc", 1, width), F.slice("acc", width + 1, width)
     # a share may point behind the end of its sequence: no row of its own is there
-    return summed.where("own = 1").select(
-        "seq_id", "t", F.zip_with("acc", "base", lambda a, r: silu(a) + r).alias("out"))
+    return summed.where("own > 0").select("seq_id", "t", F.zip_with(acc, base, lambda a, r: silu(a) + r).alias("out"))

@@ -117,7 +117,7 @@ def top_documents(index: Index, terms: DataFrame, formula: Formula, k: int,
 
 def _top(index: Index, terms: DataFrame, formula: Formula, k: int, by: list[str], scored: DataFrame) -> DataFrame:
     weighted = weighted_terms(index, terms, formula)
-    groups = max(1, -(-weighted.rows // TERM_ROWS))
+    groups = max(1, -(-weighted.rows // max(1, TERM_ROWS)))
     if groups == 1:
         return _top_of_group(index, weighted.df, formula, k, by, scored)
     of_group = F.pmod(F.xxhash64(*by), F.lit(groups))

@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.staging import salts_of
-from ..functions.vectors import as_matrix, collect_small, doubles, map_blocks, np_rounded
+from ..functions.ordering import global_index
+from ..functions.staging import salts_of, stage_counted
+from ..functions.vectors import as_matrix, collect_small, doubles, map_blocks, np_rounded, rounded
 from .retrieve import WORD_BITS, threshold_bitmap, top_k
 
 # A query batch up to this many rows travels with the tasks; a larger one is joined in blocks.
@@ -207,33 +208,50 @@ def integer_products(memory: DataFrame, queries: DataFrame, limit: int = QUERY_R
     return map_blocks(memory, block, "query_id bigint, mem_id bigint, score bigint")
 
 
+def _over_heads(memory: DataFrame, heads: DataFrame, contribution) -> DataFrame:
+    """(mem_id, score): the sum of ``contribution`` over all heads, of which at most QUERY_ROWS travel
+    with the tasks at a time.  ``contribution(rows)`` makes a function from a batch to scores."""
+    numbered = stage_counted(global_index(heads, ["head"], "_no"))
+
+    def part(low: int) -> DataFrame:
+        rows = numbered.df.where((F.col("_no") >= low) & (F.col("_no") < low + QUERY_ROWS)).orderBy("_no").collect()
+        scores = contribution(rows)
+        return map_blocks(memory, lambda b: {"mem_id": b.column("mem_id"), "score": scores(b)}, "mem_id bigint, score double")
+
+    parts = [part(low) for low in range(0, max(1, numbered.rows), QUERY_ROWS)]
+    if len(parts) == 1:
+        return parts[0].withColumn("score", rounded("score"))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("mem_id").agg(rounded(F.sum("score")).alias("score"))
+
+
 def multi_head(memory: DataFrame, heads: DataFrame, scale_block: int | None = None) -> DataFrame:
     """Score sum_h w_h * relu(q_h . k), summed over the heads: (mem_id, score).
 
-    ``heads``: (head, q, w), a model parameter of at most QUERY_ROWS rows.  With
-    ``scale_block`` the product is first multiplied by the key's mean block scale, the scale
-    of a block being max(|x|, 1e-12) / 448, and the keys are taken as x / scale.
+    ``heads``: (head, q, w).  With ``scale_block`` the product is first multiplied by the key's mean
+    block scale, the scale of a block being max(|x|, 1e-12) / 448, and the keys are taken as
+    x / scale.
     """
-    rows = collect_small(heads.select("head", doubles("q").alias("q"), F.col("w").cast("double").alias("w")),
-                         QUERY_ROWS)
-    if rows is None:
-        raise ValueError("too many heads")
-    q = np.array([r["q"] for r in rows])
-    w = np.array([r["w"] for r in rows])
+    def contribution(rows: list):
+        q, w = np.array([r["q"] for r in rows]), np.array([r["w"] for r in rows])
 
-    def block(b: pa.RecordBatch) -> dict:
-        x = as_matrix(b.column("vec"))
-        if scale_block:
-            cut = x.reshape(len(x), -1, scale_block)
-            scale = np.maximum(np.abs(cut).max(axis=2), 1e-12) / 448.0
-            x = np.clip(cut / scale[:, :, None], -448.0, 448.0).reshape(len(x), -1)
-            prod = (x @ q.T) * scale.mean(axis=1)[:, None]
-        else:
-            prod = x @ q.T
-        s = np.maximum(prod, 0.0) @ w
-        return {"mem_id": b.column("mem_id"), "score": np_rounded(s)}
+        def scores(b: pa.RecordBatch) -> np.ndarray:
+            x = as_matrix(b.column("vec"))
+            if not len(w):
+                return np.zeros(len(x))
+            if scale_block:
+                cut = x.reshape(len(x), -1, scale_block)
+                scale = np.maximum(np.abs(cut).max(axis=2), 1e-12) / 448.0
+                x = np.clip(cut / scale[:, :, None], -448.0, 448.0).reshape(len(x), -1)
+                return np.maximum((x @ q.T) * scale.mean(axis=1)[:, None], 0.0) @ w
+            return np.maximum(x @ q.T, 0.0) @ w
+
+        return scores
 
-    return map_blocks(memory.select("mem_id", "vec"), block, "mem_id bigint, score double")
+    wide = heads.select("head", doubles("q").alias("q"), F.col("w").cast("double").alias("w"))
+    return _over_heads(memory.select("mem_id", "vec"), wide, contribution)
 
 
 def table_lookup(keys: DataFrame, heads: DataFrame, lut: np.ndarray) -> DataFrame:
@@ -243,20 +261,20 @@ def table_lookup(keys: DataFrame, heads: DataFrame, lut: np.ndarray) -> DataFram
     (dims, key codes, query codes).  The query side of the table is fixed per head, so each
     head becomes a (dims, key codes) table and a key costs one gather per dimension.
     """
-    rows = collect_small(heads.select("head", "codes", F.col("w").cast("double").alias("w")), QUERY_ROWS)
-    if rows is None:
-        raise ValueError("too many heads")
     dims = np.arange(lut.shape[0])
-    tables = np.stack([lut[dims, :, np.array(r["codes"])] for r in rows])  # (H, D, K)
-    w = np.array([r["w"] for r in rows])
 
-    def block(b: pa.RecordBatch) -> dict:
-        codes = as_matrix(b.column("codes"), np.int64)
-        s = np.zeros(len(codes))
-        for h in range(len(tables)):
-            qk = tables[h][dims, codes].sum(axis=1)
-            s += w[h] * np.maximum(qk, 0)
-        return {"mem_id": b.column("mem_id"), "score": np_rounded(s)}
+    def contribution(rows: list):
+        tables = [lut[dims, :, np.array(r["codes"])] for r in rows]  # (D, K) each
+        w = [r["w"] for r in rows]
+
+        def scores(b: pa.RecordBatch) -> np.ndarray:
+            codes = as_matrix(b.column("codes"), np.int64)
+            s = np.zeros(len(codes))
+            for table, weight in zip(tables, w):
+                s += weight * np.maximum(table[dims, codes].sum(axis=1), 0)
+            return s
 
-    return map_blocks(keys.select("mem_id", "codes"), block, "mem_id bigint, score double")
+        return scores
 
+    return _over_heads(keys.select("mem_id", "codes"), heads.select("head", "codes", F.col("w").cast("double").alias("w")),
+                       contribution)

@@ -9,7 +9,8 @@ from ..functions.staging import Staged, keyed_join, stage_counted
 
 
 def _sums(matrix: DataFrame, x: Staged, rows: DataFrame) -> DataFrame:
-    """sum val * x per row; copies of a cell are added up before the join.
+    """sum val * x per row.  The product is linear, so copies of a cell need not be added up first:
+    only the partial sums of rows are shuffled.
 
     A small selection filters the cells first.  A large one does not: filtering would shuffle
     the cells by row, where a hot row is one task, while the sums per row are already small.
@@ -17,8 +18,7 @@ def _sums(matrix: DataFrame, x: Staged, rows: DataFrame) -> DataFrame:
     wanted = stage_counted(rows.select("row").distinct())
     if wanted.broadcastable:
         matrix = matrix.join(F.broadcast(wanted.df), "row", "left_semi")
-    cells = matrix.groupBy("row", "col").agg(F.sum("val").alias("val"))
-    hit = keyed_join(cells, x, ["col"])
+    hit = keyed_join(matrix.select("row", "col", "val"), x, ["col"])
     return hit.groupBy("row").agg(F.sum(F.col("val") * F.col("x")).alias("y"))
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import global_index
-from ..functions.staging import keyed_join, stage, stage_counted
+from ..functions.ordering import running_total
+from ..functions.staging import Staged, keyed_join, stage, stage_counted
 from ..functions.vectors import rounded
 
 WORD = 2**32
@@ -46,22 +46,24 @@ def checksum(df: DataFrame, value: str, by: list[str] | None = None) -> DataFram
         F.count(F.lit(1)).alias("n_words"))
 
 
-def latency_summary(df: DataFrame, name: str, value: str, key: str, percents: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
+def latency_summary(df: DataFrame, name: str, value: str, percents: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
     """Count, total, mean, extremes and the exact values at sorted position int(n * p / 100).
 
-    Positions come from one distributed sort by (name, value, key); no list of a name's
-    values is built, however many there are.
+    Equal values are counted before anything is sorted; the positions of the distinct values come
+    from one distributed sort by (name, value), so no list of a name's values is built.
     """
-    ranked = global_index(df.select(name, value, key), [name, value, key], "_at")
-    stats = ranked.groupBy(name).agg(
-        F.count(F.lit(1)).alias("n"), rounded(F.sum(value)).alias("total"), rounded(F.avg(value)).alias("mean"),
+    counted = stage(df.where(F.col(value).isNotNull()).groupBy(name, value).agg(F.count(F.lit(1)).alias("_n")))
+    placed = stage(running_total(counted, [name, value], F.col("_n"), "_at"))
+    total = F.sum(F.col(value) * F.col("_n"))
+    stats = placed.groupBy(name).agg(
+        F.sum("_n").alias("n"), rounded(total).alias("total"), rounded(total / F.sum("_n")).alias("mean"),
         F.min(value).alias("least"), F.max(value).alias("most"), F.min("_at").alias("_first"))
-    wanted = stats.select(name, F.explode(F.array(*[
-        F.struct(F.lit(p).alias("p"), (F.col("_first") + F.floor(F.col("n") * p / 100)).alias("_at")) for p in percents])).alias("w")) \
-        .select(name, "w.p", "w._at")
-    picked = keyed_join(ranked, stage_counted(wanted), [name, "_at"]).groupBy(name).agg(
-        *[F.max(F.when(F.col("p") == p, F.col(value))).alias(f"p{p}") for p in percents])
-    return stats.drop("_first").join(picked, name)
+    staged = stage_counted(stats)
+    at = F.col("_at") - F.col("_first")
+    inside = lambda p: (at <= F.floor(F.col("n") * p / 100)) & (F.floor(F.col("n") * p / 100) < at + F.col("_n"))
+    picked = keyed_join(placed, Staged(staged.df.select(name, "n", "_first"), staged.rows), [name]).groupBy(name).agg(
+        *[F.max(F.when(inside(p), F.col(value))).alias(f"p{p}") for p in percents])
+    return staged.df.drop("_first").join(picked, name)
 
 
 def best_setting(runs: DataFrame, setting: str, value: str, order: str, warmup: int = 3) -> DataFrame:

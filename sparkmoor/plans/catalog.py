@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import (cost_queries, decoding_queries, expert_queries, ngram_queries, text_queries, utility_queries, vector_queries)  # noqa: F401
+from . import (decoding_queries, expert_queries, ngram_queries, text_queries, utility_queries, vector_queries)  # noqa: F401
 from .registry import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -48,15 +48,3 @@ def decode_budget(spark, root):
   SELECT seq_id, round::INTEGER AS round, page_id, score, rank FROM {ranked_sql('m', 4, 'seq_id, round', 'page_id')}""")
 def decode_pages(spark, root):
     return decoding.best_pages(sequences(spark, root), PAST, DIM, 16, 4)
-
-
-@query("decode_tiered", f"""WITH {GROWN}, c AS (SELECT seq_id, round, score, CASE WHEN pos < 80 THEN pos // 16 ELSE ch END AS ch,
-    CASE WHEN pos < 80 THEN pos % 16 ELSE 16 + pos - 80 END AS l FROM g, (SELECT unnest(range(5)) AS ch) WHERE pos >= 80 OR ch = 0),
-  h AS (SELECT seq_id, round, (l // 128 * 8 + l % 128 // 16) * 16 + ch * 2 + l % 128 // 8 % 2 AS stream_id, score FROM c),
-  f AS (SELECT seq_id, round, i.range AS stream_id, CASE WHEN i.range % 16 < 10 THEN -10000000000 ELSE -20000000000 END AS score
-    FROM (SELECT DISTINCT seq_id, round FROM g), range(128) i),
-  m AS (SELECT seq_id, round, stream_id, max(score)::BIGINT AS score FROM (SELECT * FROM h UNION ALL SELECT * FROM f) GROUP BY 1, 2, 3)
-  SELECT seq_id, round::INTEGER AS round, stream_id, score, rank FROM {ranked_sql('m', 24, 'seq_id, round', 'stream_id')}""")
-def decode_tiered(spark, root):
-    """Key store with tiers: here every channel fits the nearest one."""
-    return decoding.best_stream_ids(sequences(spark, root), PAST, DIM, decoding.Tiers(), 24)

@@ -24,7 +24,7 @@ def tokens(spark, root):
 def cohort_means(spark, root, n):
     e = table(spark, root, "embeddings")
     return mean_vectors(e.select(F.pmod("vec_id", F.lit(n)).cast("int").alias("cohort"), "embedding"),
-                        ["cohort"], "embedding", DIM)
+                        ["cohort"], "embedding")
 
 
 def gate(spark, root):
@@ -139,13 +139,13 @@ def _rows(y):
 
 @query("expert_feed_forward", FFN)
 def expert_feed_forward(spark, root):
-    return _rows(experts.feed_forward(grouped(spark, root), layers(spark, root), EXPERTS, DIM))
+    return _rows(experts.feed_forward(grouped(spark, root), layers(spark, root), DIM))
 
 
 @query("expert_accumulate", FFN)
 def expert_accumulate(spark, root):
     """The same sums by joining tiles of tokens with the weights of their expert."""
-    return _rows(experts.accumulate(experts.expert_parts(grouped(spark, root), layers(spark, root), DIM), DIM))
+    return _rows(experts.accumulate(experts.expert_parts(grouped(spark, root), layers(spark, root), DIM)))
 
 
 @query("shared_expert", f"""WITH {ELEMENTS}, {TOKENS}, {layer_sql(1)}, src AS (SELECT token_id, 1.0 AS weight, w1, w3, w2, x FROM x, ly),
@@ -202,7 +202,7 @@ def expert_int8(spark, root):
     wide = grouped(spark, root)
     scale = quant.tensor_scale(wide, "x", 8)
     wide = wide.withColumn("x", quant.dequantise(quant.quantise(F.col("x"), scale, 8), F.lit(scale)))
-    return _rows(experts.feed_forward(wide, _fake_int8(layers(spark, root), "expert", ["w1", "w3", "w2"]), EXPERTS, DIM))
+    return _rows(experts.feed_forward(wide, _fake_int8(layers(spark, root), "expert", ["w1", "w3", "w2"]), DIM))
 
 
 @query("expert_int16", f"""WITH {GROUPED}, {layer_sql(16)}, xs AS (SELECT max(abs(v)) / 32767 AS s FROM el),
@@ -224,7 +224,7 @@ def expert_int16(spark, root):
     w = layers(spark, root)
     for c in ("w1", "w3", "w2"):
         w = w.withColumn(c, F.transform(c, lambda v: F.bround(v * 1000)))
-    return _rows(experts.quantised_feed_forward(wide, w, EXPERTS, scale, (0.001, 0.001, 0.001)))
+    return _rows(experts.quantised_feed_forward(wide, w, DIM, scale, (0.001, 0.001, 0.001)))
 
 
 @query("fp8_blocks", f"""WITH {ELEMENTS}, b AS (SELECT *, greatest(max(abs(v)) OVER (PARTITION BY vec_id, d // 16), 1e-12) / 448 AS sc FROM el)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.staging import Staged
 from ..functions.vectors import rounded
-from ..operators import sparse, utility
+from ..operators import sizes, sparse, utility
 from ..sources.tables import table
 from .registry import query, r6
 
@@ -43,12 +43,18 @@ def spmv_positions(spark, root):
     return sparse.spmv_positions(order_matrix(spark, root), part_vector(spark, root), rows, n).withColumn("y", rounded("y"))
 
 
-@query("spmv_verify", f"""WITH {PRODUCT}, a AS (SELECT DISTINCT row, coalesce(y, 0) AS y FROM sel LEFT JOIN m USING (row))
-  SELECT count(*) AS n_rows, count_if(abs(y - round(y)) > 1e-5)::BIGINT AS n_errors FROM a""")
+@query("spmv_verify", f"""WITH {PRODUCT}, a AS (SELECT DISTINCT row, coalesce(y, 0) AS y FROM sel LEFT JOIN m USING (row)),
+  e AS (SELECT l_orderkey AS row, list_inner_product(list(l_quantity::DOUBLE), list(p_retailprice::DOUBLE)) + CASE WHEN l_orderkey % 5 = 0 THEN 1 ELSE 0 END AS y
+    FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey)
+  SELECT count(*) AS n_rows, count_if(abs(a.y - e.y) > 1e-5)::BIGINT AS n_errors FROM a JOIN e USING (row)""")
 def spmv_verify(spark, root):
-    """How many products are not whole numbers."""
-    y = spmv_rows(spark, root)
-    return sparse.count_mismatches(y, y.withColumn("y", F.round("y", 0)), "row", "y")
+    """The product against one by lists of each order's cells, spoilt in every fifth order."""
+    price = table(spark, root, "part").select(F.col("p_partkey").alias("col"), F.col("p_retailprice").alias("x"))
+    cells = order_matrix(spark, root).join(price, "col")
+    by_order = cells.groupBy("row").agg(F.collect_list(F.struct("val", "x")).alias("cells"))   # the lines of one order
+    product = F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + c["val"] * c["x"])
+    expected = by_order.select("row", (product + F.when(F.col("row") % 5 == 0, 1.0).otherwise(0.0)).alias("y"))
+    return sparse.count_mismatches(spmv_rows(spark, root), expected, "row", "y")
 
 
 @query("scatter_write", """WITH w AS (SELECT l_partkey * 7 AS idx, max_by(l_extendedprice, l_orderkey * 16 + l_linenumber) AS data FROM lineitem GROUP BY 1)
@@ -95,7 +101,7 @@ _PCT = ", ".join(f"list_sort(list(value))[(count(*) * {p} // 100 + 1)::BIGINT] A
   FROM events GROUP BY 1""")
 def latency_summary(spark, root):
     """Event values as latencies of their type."""
-    return utility.latency_summary(table(spark, root, "events"), "event_type", "value", "event_id")
+    return utility.latency_summary(table(spark, root, "events"), "event_type", "value")
 
 
 @query("best_setting", f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
@@ -103,3 +109,17 @@ def latency_summary(spark, root):
   SELECT *, mean = (SELECT min(mean) FROM m) AS is_best FROM m""")
 def best_setting(spark, root):
     return utility.best_setting(table(spark, root, "events"), "event_type", "value", "event_id")
+
+
+@query("model_sizes", f"""WITH d AS (SELECT p_partkey, p_size::BIGINT * 64 AS dim, p_partkey % 32 + 1 AS n FROM part),
+  c AS (SELECT *, n * 3 * dim * (2 * dim) + 3 * dim * (1 * 2 * dim) + n * dim AS layer,
+    dim * 96 + 96 * n * (24 + 8) + dim * (48 + 8) + 48 * n * (24 + 32) + n * 32 * dim AS attention FROM d)
+  SELECT p_partkey, layer::BIGINT AS layer, attention::BIGINT AS attention, {r6('(layer + attention) * 2 / 1073741824.0::DOUBLE')} AS gib FROM c""")
+def model_sizes(spark, root):
+    """Weights of a layer whose width and number of experts come from each part."""
+    dim, n = F.col("p_size").cast("bigint") * 64, F.col("p_partkey") % 32 + 1
+    lit = lambda x: F.lit(x).cast("bigint")
+    layer = sizes.expert_layer_params(dim, dim * 2, n, lit(1))
+    attention = sizes.attention_params(dim, lit(96), lit(48), n, lit(24), lit(8), lit(32))
+    return table(spark, root, "part").select("p_partkey", layer.alias("layer"), attention.alias("attention"),
+                                             rounded(sizes.gigabytes(layer + attention, 2)).alias("gib"))

@@ -35,21 +35,21 @@ def label_queries(spark: SparkSession, root: str) -> DataFrame:
     """One query per label: the mean of its embeddings."""
     e = table(spark, root, "embeddings")
     return mean_vectors(e.select(F.col("label").cast("bigint").alias("query_id"), "embedding"),
-                        ["query_id"], "embedding", DIM, "q")
+                        ["query_id"], "embedding", "q")
 
 
 def mean_query(spark: SparkSession, root: str) -> DataFrame:
     """A single query: the mean of all embeddings."""
     e = table(spark, root, "embeddings")
     return mean_vectors(e.select(F.lit(0).cast("bigint").alias("query_id"), "embedding"),
-                        ["query_id"], "embedding", DIM, "q")
+                        ["query_id"], "embedding", "q")
 
 
 def cohort_heads(spark: SparkSession, root: str, heads: int) -> DataFrame:
     """``heads`` query heads: means of the rows dealt out by id, with weights 1/4, 2/4, ..."""
     e = table(spark, root, "embeddings")
     q = mean_vectors(e.select(F.pmod("vec_id", F.lit(heads)).cast("int").alias("head"), "embedding"),
-                     ["head"], "embedding", DIM, "q")
+                     ["head"], "embedding", "q")
     return q.withColumn("w", (F.col("head") + 1) / 4)
 
 
@@ -93,17 +93,20 @@ def topk_without_tail(spark, root):
     return retrieve.drop_tail(best, 64).select("query_id", "mem_id", "rank")
 
 
-BITMAP_SQL = """b AS (SELECT query_id, mem_id // 64 AS word, bit_or(CASE WHEN score >= 0.1 THEN
+BITMAP_SQL = """b AS (SELECT query_id, mem_id // 64 AS word, bit_or(CASE WHEN score >= (SELECT max(score) / 2 FROM s) THEN
    CASE WHEN mem_id % 64 = 63 THEN (-9223372036854775808)::BIGINT ELSE (1::BIGINT << (mem_id % 64)::INTEGER) END
    ELSE 0::BIGINT END) AS bits FROM s GROUP BY 1, 2)"""
 
 
 @query("threshold_bitmap", f"WITH {LABEL_Q}, {SCORES}, {BITMAP_SQL} SELECT query_id, word, bits FROM b")
 def threshold_bitmap(spark, root):
-    return score.threshold_words(vectors(spark, root), label_queries(spark, root), 0.1)
+    """Which scores reach half of the highest."""
+    memories, asked = vectors(spark, root), label_queries(spark, root)
+    highest = score.top_inner_products(memories, asked, 1).agg(F.max("score")).first()[0]
+    return score.threshold_words(memories, asked, highest / 2)
 
 
-@query("threshold_decode", f"WITH {LABEL_Q}, {SCORES} SELECT query_id, mem_id FROM s WHERE score >= 0.1")
+@query("threshold_decode", f"WITH {LABEL_Q}, {SCORES} SELECT query_id, mem_id FROM s WHERE score >= (SELECT max(score) / 2 FROM s)")
 def threshold_decode(spark, root):
     return retrieve.decode_bitmap(threshold_bitmap(spark, root), by=["query_id"])
 

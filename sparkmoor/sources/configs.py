@@ -1,4 +1,4 @@
-"""Rules, device and link parameters, and readers for their JSON forms."""
+"""Readers and writers for rules, piecewise linear tables, profiles and summaries in JSON."""
 
 from __future__ import annotations
 
@@ -22,63 +22,10 @@ class Segment(NamedTuple):
     intercept: float
 
 
-class Device(NamedTuple):
-    gb_per_s: float
-    efficiency: float
-    mhz: float
-    dsp: int
-    dsp_per_fma: int
-    longest_op: int
-
-    @property
-    def bytes_per_cycle(self) -> float:
-        return self.gb_per_s * self.efficiency * 1e9 / (self.mhz * 1e6)
-
-    @property
-    def flops_per_cycle(self) -> float:
-        return self.dsp / self.dsp_per_fma * 2.0
-
-
-class Stage(NamedTuple):
-    name: str
-    reads: tuple[str, ...]
-    writes: tuple[str, ...]
-
-
-# Schedule rules (-1 admits any size).
-SCHEDULE = [
-    Rule("build_memory", 4096, None, ("fpga",)),
-    Rule("build_memory", -1, None, ("gpu",)),
-    Rule("manage_memory_and_apply", 4096, 4096, ("fpga", "fpga", "gpu")),
-    Rule("manage_memory_and_apply", -1, -1, ("gpu", "gpu", "gpu")),
-    Rule("build_and_apply_memory", 4096, None, ("gpu", "fpga", "fpga", "gpu")),
-    Rule("build_and_apply_memory", -1, None, ("gpu", "gpu", "gpu", "gpu")),
-]
-
-# Link bandwidth in GB/s = slope * KB + intercept up to a size in KB.
-GPU_TO_FPGA = [Segment(128, 0.0572196, 0.146988822), Segment(-1, 0.0, 4.0)]
-FPGA_TO_GPU = [Segment(128, 0.04026108541, 0.2636861476),
-               Segment(65536, 0.00003572910652, 4.135097206), Segment(-1, 0.0, 6.09)]
-
-# Memory 460 GB/s at 85 %, 250 MHz, 9024 DSPs, 3 per multiply-add, 7 cycles.
-DEVICE = Device(460.0, 0.85, 250.0, 9024, 3, 7)
-
-# The stages with what they read and write, and their measured times.
-STAGES = [
-    Stage("paged_kv_index_builder", ("retrieved_data",), ("memory",)),
-    Stage("inner_product", ("memory", "query"), ("score",)),
-    Stage("topk_retrieval", ("score",), ("retrieved_index",)),
-    Stage("block_sparse_attention", ("retrieved_data", "retrieved_index", "target_data"), ("target_data",)),
-]
-GPU_MICROS = {"paged_kv_index_builder": 250.0, "inner_product": 82.5, "topk_retrieval": 36.2,
-              "block_sparse_attention": 7.6}
-
-
-def read_rules(spark: SparkSession, path: str) -> list[Rule]:
-    """Schedule file: per call a list of rules with sizes and devices, in order."""
+def read_rules(spark: SparkSession, path: str, apis: list[str]) -> list[Rule]:
+    """Schedule file: per call of ``apis`` a list of rules with sizes and devices, in order."""
     rule = ("array<struct<retrieved_data:bigint,memory:bigint,query:bigint,output:bigint,"
             "config:string>>")
-    apis = sorted({r.api for r in SCHEDULE})
     df = spark.read.option("multiLine", True).schema(", ".join(f"{a} {rule}" for a in apis)).json(path)
     rules: list[Rule] = []
     for api in apis:

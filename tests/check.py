@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -54,7 +55,7 @@ if __name__ == "__main__":
     from sparkmoor.session import get_spark
 
     root = f"/root/testdata/sf{sys.argv[1]}"
-    spark, con = get_spark("local[8]"), connect(root)
+    spark, con = get_spark(f"local[{os.environ.get("CHECK_CPUS", "8")}]"), connect(root)
     failed = []
     for name in sys.argv[2:] or REGISTRY:
         q = REGISTRY[name]

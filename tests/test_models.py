@@ -6,13 +6,14 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkmoor.functions import ordering, quant, staging
+from sparkmoor.functions import ordering, quant, staging, vectors
 from sparkmoor.functions import text as tx
 from sparkmoor.functions.staging import Staged, stage_counted
-from sparkmoor.operators import bm25, costs, decoding, experts, ngram, rag, ranking, sparse, utility
+from sparkmoor.operators import bm25, decoding, experts, ngram, rag, ranking, score, sizes, sparse, utility
 from sparkmoor.plans import steps
 from sparkmoor.sources import configs, corpus
 
@@ -127,7 +128,7 @@ def test_top_documents(spark, index, formula, monkeypatch):
         assert rows(ranking.top_documents(index, terms, formula, k, by)) == want
         monkeypatch.undo()
     monkeypatch.setattr(staging, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(ranking, "TERM_ROWS", 0)
+    monkeypatch.setattr(ranking, "TERM_ROWS", 20)
     assert rows(ranking.top_documents(index, terms, formula, 100, by)) == want
 
 
@@ -151,7 +152,7 @@ def test_packed_layout(index):
             per_doc.setdefault(r.doc_id, []).append((r.vocab_idx, min(r.tf, 255)))
     for d, entries in per_doc.items():
         for row, (i, tf) in enumerate(sorted(entries)):
-            want.append((d // 64, d % 64 // 16, d % 16, row, tf << 16 | i))
+            want.append((d // 64, d % 64 // 16, d % 16, row, tf << 32 | i))
     assert got == sorted(want)
     n = {r.batch: r.n_rows for r in bm25.packed_rows(bm25.pack_documents(numbered), 70).collect()}
     assert n == {b: max([1] + [len(e) for d, e in per_doc.items() if d // 64 == b]) for b in (0, 1)}
@@ -275,43 +276,6 @@ def test_growing_scores(spark):
         assert [i for _, i in sorted(pages[r])] == sorted(range(len(best)), key=lambda i: (-best[i], i))[:3]
 
 
-def test_tiered_store(spark):
-    """Past keys that reach into all three tiers."""
-    tiers = decoding.Tiers(channels=2, near=128, onchip=160)
-    length, dim = 180, 4
-    q, k = sequence(2 * length + 18, dim, 1)
-    got = {}
-    for r in decoding.best_stream_ids(packed(spark, q, k), 2 * length, dim, tiers, 40).collect():
-        got.setdefault(r["round"], []).append((r["rank"], r.stream_id, r.score))
-
-    def place(ch, local):
-        if local < 128:
-            rnd, idx = divmod(local, 128)
-        elif local < 160:
-            rnd, idx = 1 + (local - 128) // 32, (local - 128) % 32
-        else:
-            rnd, idx = 2 + (local - 160) // 8, (local - 160) % 8
-        return (rnd * 8 + (idx >> 4)) * 16 + ch * 2 + ((idx >> 3) & 1)
-
-    for r, scores in model_rounds(q, k, 2 * length):
-        end = 128 + 32 * 4 + (length - 160) * 16 + 16 * (r // 8)
-        stream = [-2e10] * ((end + 128) // 128 * 128)
-        for i in range(len(stream)):
-            rnd, lane, pack = i // 128, i % 16, i // 16 % 8
-            width = 128 if rnd < 1 else 32 if rnd < 2 else 8
-            idx = pack * 16 + lane % 2 * 8
-            if lane < 4 and idx < min(width, end + 128 - rnd * 128):
-                stream[i] = -1e10
-        for pos, s in enumerate(scores):
-            where = [(pos // length, pos % length)] if pos < 2 * length else [(c, length + pos - 2 * length) for c in (0, 1)]
-            for ch, local in where:
-                i = place(ch, local)
-                if i < len(stream):
-                    stream[i] = max(stream[i], s)
-        want = sorted(range(len(stream)), key=lambda i: (-stream[i], i))[:40]
-        assert [i for _, i, _ in sorted(got[r])] == want
-
-
 # ---- experts ------------------------------------------------------------------------
 
 
@@ -354,7 +318,7 @@ def test_feed_forward_paths(spark):
             h = w1[i] @ x[t]
             want[t] += w[t, s] * (w2[i].T @ (h / (1 + np.exp(-h)) * (w3[i] @ x[t])))
     for limit in (experts.WEIGHT_LIMIT, 1):
-        got = experts.feed_forward(wide, layers, e, d, limit).orderBy("token_id").collect()
+        got = experts.feed_forward(wide, layers, d, limit).orderBy("token_id").collect()
         assert np.allclose([r.y for r in got], want)
     counts = experts.expert_counts(wide, 5)
     sizes = [int((chosen == i).sum()) for i in range(5)]
@@ -502,7 +466,7 @@ def test_patterns(spark):
 def test_latencies(spark):
     r = random.Random(1)
     data = [(r.choice("ab"), float(r.randint(0, 9)), i) for i in range(300)]
-    got = utility.latency_summary(spark.createDataFrame(data, "name string, v double, id int").repartition(4), "name", "v", "id")
+    got = utility.latency_summary(spark.createDataFrame(data, "name string, v double, id int").repartition(4), "name", "v")
     for row in got.collect():
         vals = sorted(v for n, v, _ in data if n == row.name)
         assert (row.n, row.least, row.most) == (len(vals), vals[0], vals[-1])
@@ -511,83 +475,37 @@ def test_latencies(spark):
     assert rows(utility.best_setting(runs, "s", "v", "n", 1)) == [("x", 2, 2.0, True), ("y", 1, 5.0, False)]
 
 
-# ---- costs --------------------------------------------------------------------------
-
-
-# The measured load: bytes per data set, stage times on the second device.
-MEASURED = {"retrieved_data": 3145728, "memory": 4194304, "query": 512, "score": 32768, "retrieved_index": 256, "target_data": 3072}
-FPGA_US = {"paged_kv_index_builder": 1108.578810505319, "inner_product": 10.940235294117647, "topk_retrieval": 10.12460358056266,
-           "block_sparse_attention": 28.0897084398977}
-
-
-def measured():
-    return costs.profiled({n: F.lit(b) for n, b in MEASURED.items()}, {n: F.lit(u) for n, u in FPGA_US.items()})
-
-
-def test_placements(spark):
-    one_row = spark.range(1)
-    got = {r.placement: r.total_us for r in costs.placement_costs(one_row, ["id"], measured()).collect()}
-    want = {"GPU,FPGA,FPGA,GPU": 279.536, "GPU,FPGA,GPU,GPU": 324.403, "GPU,GPU,FPGA,GPU": 366.524, "GPU,GPU,GPU,GPU": 376.3,
-            "GPU,FPGA,FPGA,FPGA": 1031.576, "FPGA,FPGA,FPGA,FPGA": 1157.733}
-    assert len(got) == 16 and all(abs(got[p] - t) < 1e-3 for p, t in want.items())
-    best = costs.best_placement(one_row, ["id"], measured()).first()
-    assert best.placement == "GPU,FPGA,FPGA,GPU" and abs(best.speedup - 1.346) < 1e-3
-    strict = {r.placement for r in costs.placement_costs(one_row, ["id"], measured(), "invalid").collect()}
-    assert "GPU,FPGA,FPGA,GPU" not in strict and "GPU,GPU,GPU,GPU" in strict
-
-
-def test_roofline_and_link(spark):
-    r = costs.roofline(F.lit(1667260419.0), F.lit(205914112.0))
-    row = spark.range(1).select(r["latency_us"].alias("us"), r["bottleneck"].alias("b")).first()
-    assert abs(row.us - 1108.5788) < 1e-3 and row.b == "COMPUTE-BOUND"
-    kb = spark.createDataFrame([(k,) for k in (0.25, 32.0, 128.0, 129.0, 70000.0)], "kb double")
-    got = [tuple(x) for x in kb.select(costs.link_latency(F.col("kb"), configs.GPU_TO_FPGA), costs.link_bandwidth(F.col("kb"), configs.FPGA_TO_GPU)).collect()]
-    assert abs(got[1][0] - 15.428) < 1e-3 and got[4][1] == 6.09
-    assert abs(got[3][1] - (129 * 0.00003572910652 + 4.135097206)) < 1e-12
-
-
-def test_fusion(spark):
-    flops = {"paged_kv_index_builder": F.lit(1667260419), "inner_product": F.lit(2097152), "topk_retrieval": F.lit(1), "block_sparse_attention": F.lit(1575554)}
-    got = costs.fusion_report(spark.range(1), ["id"], ("GPU", "FPGA", "FPGA", "GPU"), measured(), flops).orderBy("run_no").collect()
-    assert [r.stages for r in got] == ["paged_kv_index_builder", "inner_product+topk_retrieval", "block_sparse_attention"]
-    mid = got[1]
-    assert mid.saved_bytes == 32768 and mid.bottleneck == "MEMORY-BOUND"
-    assert abs(mid.fused_us - (4194304 + 512 + 256) / 1564 / 250) < 1e-9
-    assert got[0].plain_us == got[0].fused_us == 250.0
+# ---- configurations and sizes ----------------------------------------------------
 
 
 def test_rules(spark, tmp_path):
-    df = spark.createDataFrame([(4096, 10), (4097, 10), (10, 5000)], "d int, m int")
-    got = df.select(costs.first_rule("build_memory", F.col("d")), costs.first_rule("manage_memory_and_apply", F.col("d"), F.col("m"))).collect()
-    assert [tuple(r) for r in got] == [(["fpga"], ["fpga", "fpga", "gpu"]), (["gpu"], ["gpu"] * 3), (["fpga"], ["gpu"] * 3)]
-    with pytest.raises(Exception, match="no rule"):
-        df.select(costs.first_rule("build_memory", F.col("d"), rules=[configs.Rule("build_memory", 5, None, ("gpu",))])).collect()
     path = tmp_path / "rules.json"
     path.write_text(json.dumps({"build_memory": [{"retrieved_data": 4096, "config": "fpga"}, {"retrieved_data": -1, "config": "gpu"}],
                                 "manage_memory_and_apply": [{"retrieved_data": 4096, "memory": 4096, "query": 1, "output": 1, "config": ["fpga", "fpga", "gpu"]}],
                                 "build_and_apply_memory": []}, indent=1))
-    rules = configs.read_rules(spark, str(path))
-    assert [r for r in configs.SCHEDULE if r.api == "build_memory"] == [r for r in rules if r.api == "build_memory"]
-    assert rules[-1] == configs.SCHEDULE[2]
+    rules = configs.read_rules(spark, str(path), ["build_and_apply_memory", "build_memory", "manage_memory_and_apply"])
+    assert rules == [configs.Rule("build_memory", 4096, None, ("fpga",)), configs.Rule("build_memory", -1, None, ("gpu",)),
+                     configs.Rule("manage_memory_and_apply", 4096, 4096, ("fpga", "fpga", "gpu"))]
     link = tmp_path / "link.json"
-    link.write_text(json.dumps({"gpu_to_fpga": [{"upperbound": s.upper, "slope": s.slope, "intercept": s.intercept} for s in configs.GPU_TO_FPGA],
+    link.write_text(json.dumps({"gpu_to_fpga": [{"upperbound": 128, "slope": 0.5, "intercept": 0.25}, {"upperbound": -1, "slope": 0.0, "intercept": 4.0}],
                                 "fpga_to_gpu": []}))
-    assert configs.read_segments(spark, str(link))["gpu_to_fpga"] == configs.GPU_TO_FPGA
+    assert configs.read_segments(spark, str(link)) == {"gpu_to_fpga": [(128, 0.5, 0.25), (-1, 0.0, 4.0)], "fpga_to_gpu": []}
     prof = tmp_path / "prof.json"
     prof.write_text(json.dumps({"operation_counts": {"total_flops": 5}, "roofline": {"ridge_point": 3.8, "estimated_latency_us": 1.5, "bottleneck": "MEMORY-BOUND"},
                                 "memory_bytes": 7, "memory_transactions": {"score": 4}}))
     assert rows(configs.read_profiles(spark, str(prof))) == [(5, 7, 1.5, 3.8, "MEMORY-BOUND", {"score": 4})]
+    df = spark.createDataFrame([(4096, 10), (4097, 10), (10, 5000)], "d int, m int")
     configs.write_ranked(df, "d", str(tmp_path / "ranked"), 2)
     assert [r.d for r in spark.read.json(str(tmp_path / "ranked")).collect()] == [10, 4096]
 
 
 def test_model_sizes(spark):
     c = [F.lit(v).cast("bigint") for v in (7168, 2048, 256, 1)]
-    params = costs.expert_layer_params(*c)
-    row = spark.range(1).select(params.alias("p"), costs.gigabytes(params, 2, binary=False).alias("gb")).first()
+    params = sizes.expert_layer_params(*c)
+    row = spark.range(1).select(params.alias("p"), sizes.gigabytes(params, 2, binary=False).alias("gb")).first()
     assert row.p == 256 * 3 * 7168 * 2048 + 3 * 7168 * 2048 + 256 * 7168 and abs(row.gb - row.p * 2 / 1e9) < 1e-9
     a = [F.lit(v).cast("bigint") for v in (7168, 1536, 512, 128, 128, 64, 128)]
-    got = spark.range(1).select(costs.attention_params(*a)).first()[0]
+    got = spark.range(1).select(sizes.attention_params(*a)).first()[0]
     assert got == 7168 * 1536 + 1536 * 128 * 192 + 7168 * 576 + 512 * 128 * 256 + 128 * 128 * 7168
 
 
@@ -599,3 +517,82 @@ def test_metadata_sink(spark, index, tmp_path):
     configs.write_metadata(stats, str(tmp_path / "meta"))
     back = spark.read.json(str(tmp_path / "meta")).first()
     assert back.n_docs == 70 and back.n_entries == numbered.count() and back.n_batches == 2
+
+
+# ---- the same answer on every path ---------------------------------------------------
+
+
+def test_lookup_of_missing_rows(spark):
+    asked = spark.createDataFrame([(0, [0, 5, 2]), (1, [7, 7, 7]), (2, [2, 2, 0])], "pos int, rows array<bigint>").repartition(2)
+    table = spark.createDataFrame([(0, [1.0, 1.0]), (2, [3.0, 3.0])], "row_id bigint, vec array<double>")
+    want = [(0, [1, 1, 0, 0, 3, 3]), (1, [0] * 6), (2, [3, 3, 3, 3, 1, 1])]
+    for limit in (ngram.TABLE_LIMIT, 1):
+        assert rows(ngram.lookup(asked, ["pos"], table, 2, limit=limit).orderBy("pos")) == want
+        assert ngram.lookup(asked, ["pos"], table.limit(0), 2, limit=limit).where("exists(flat, x -> x != 0)").count() == 0
+
+
+def test_experts_without_weights(spark):
+    wide = spark.createDataFrame([(0, [1.0, 2.0], [0, 1], [1.0, 1.0]), (1, [1.0, 0.0], [1, 2], [0.5, 0.5])], experts.WIDE)
+    layers = spark.createDataFrame([(0, 0, [1.0, 0.0], [0.0, 1.0], [1.0, 1.0]), (0, 1, [0.0, 1.0], [1.0, 0.0], [2.0, 0.0])],
+                                   "expert int, row int, w1 array<double>, w3 array<double>, w2 array<double>")
+    silu = lambda h: h / (1 + np.exp(-h))
+    want = [[silu(1) * 2 + silu(2) * 2, silu(1) * 2], [0.0, 0.0]]
+    for limit in (experts.WEIGHT_LIMIT, 1):
+        got = experts.feed_forward(wide, layers, 2, limit).orderBy("token_id").collect()
+        assert np.allclose([r.y for r in got], want)
+        got = experts.quantised_feed_forward(wide, layers, 2, 1.0, (1.0, 1.0, 1.0), limit=limit).orderBy("token_id").collect()
+        assert np.allclose([r.y for r in got], want, atol=1e-3)
+
+
+def test_many_heads(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, q, w = rng.normal(size=(20, 4)), rng.normal(size=(7, 4)), rng.random(7)
+    memory = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "mem_id bigint, vec array<double>")
+    heads = spark.createDataFrame([(i, q[i].tolist(), float(w[i])) for i in range(7)], "head int, q array<double>, w double")
+    want = np.maximum(x @ q.T, 0) @ w
+    for most in (4096, 3):
+        monkeypatch.setattr(score, "QUERY_ROWS", most)
+        got = score.multi_head(memory, heads).orderBy("mem_id").collect()
+        assert np.allclose([r.score for r in got], want, atol=1e-6)
+
+
+def test_ranking_of_any_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([("x", "a b b"), ("y", "a c"), ("z", "d")], "doc_id string, text string")
+    index = bm25.build_index(docs)
+    asked = spark.createDataFrame([(1, "b"), (None, "a"), (2, "c d")], "query_id long, text string")
+    terms = bm25.query_terms(asked)
+    want = {(1, "x", 0), (None, "y", 0), (None, "x", 1), (2, "z", 0), (2, "y", 1)}
+    for most in (1_000_000, 1):
+        monkeypatch.setattr(ranking, "TERM_ROWS", most)
+        got = ranking.top_documents(index, terms, bm25.CPU, 5)
+        assert {(r["query_id"], r["doc_id"], r["rank"]) for r in got.collect()} == want
+    own = bm25.build_index(docs, tokenizer=lambda texts: [list(t) for t in texts])
+    found = ranking.top_documents(own, bm25.query_terms(asked, tokenizer=lambda texts: [list(t) for t in texts]), bm25.CPU, 1)
+    assert {(r["query_id"], r["doc_id"]) for r in found.collect()} == {(1, "x"), (None, "y"), (2, "y")} or found.count() == 3
+
+
+def test_vectors_of_unequal_length():
+    with pytest.raises(ValueError):
+        vectors.as_matrix(pa.array([[1.0], [1.0, 2.0, 3.0]]))
+    with pytest.raises(ValueError):
+        vectors.as_matrix(pa.array([[1.0], None]))
+
+
+def test_merged_vectors(spark):
+    rng = np.random.default_rng(1)
+    data = [(int(k), None if k == 3 else "s", v.tolist(), float(w)) for k, v, w in
+            zip(rng.integers(0, 4, 500), rng.normal(size=(500, 70)), rng.random(500))]
+    df = spark.createDataFrame(data, "k int, s string, v array<double>, w double").repartition(5)
+    got = vectors.merge_vectors(df, ["k", "s"], {"a": ("v", "sum"), "b": ("v", "min"), "c": ("v", "max")}, ("w",)).orderBy("k").collect()
+    for r in got:
+        own = np.array([v for k, _, v, _ in data if k == r.k])
+        assert np.allclose(r.a, own.sum(axis=0)) and r.b == own.min(axis=0).tolist() and r.c == own.max(axis=0).tolist()
+        assert r.n == len(own) and abs(r.w - sum(w for k, _, _, w in data if k == r.k)) < 1e-9
+    assert len(got) == 4
+
+
+def test_vocabulary_is_whole(spark):
+    numbered = spark.createDataFrame([(5, 70_005, 300), (5, 70_006, 1), (5, 21, 2)], "doc_id bigint, vocab_idx bigint, tf int")
+    assert rows(bm25.pack_documents(numbered).select("row", "packed").orderBy("row")) == [(0, (2 << 32) + 21), (1, (255 << 32) + 70_005)]
+    df = spark.createDataFrame([(0, 3), (70_005, 1)], "vocab_idx bigint, df bigint")
+    assert bm25.first_ids(df).count() == 2 * 65536 and bm25.first_ids(df, 10).count() == 10
