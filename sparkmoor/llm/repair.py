@@ -33,9 +33,10 @@ from ..functions.staging import shared_dir
 from .common import pieces
 from .tokens import encoder
 
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 19
 SYMBOLS = 1 << 16      # so that a symbol takes two bytes
 MIN_COUNT = 6          # a pair that occurs less often is not worth a rule
+BUCKET_BITS = 17       # of the counters that single out rare pairs
 MAGIC = b"RPSH0001"
 _HEAD = struct.Struct("<8sIIIIQI")
 SHARD = "part int, shard int, first long, n_ids long, data binary"
@@ -45,21 +46,23 @@ def replace_round(seq: np.ndarray, stop: int, next_symbol: int, most: int,
                   min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One round: (sequence, left sides, right sides) after replacing frequent pairs.
 
-    Pairs are first counted by a hash, which shows for most of them that they are rare, and then
-    exactly.  Where two frequent pairs overlap the more frequent one is replaced, and of equal
+    Pairs are first counted by a hash, which shows for most of them that they are rare, or too rare to
+    be among the ``most`` that get a symbol, and then exactly.  Where two frequent pairs overlap the more frequent one is replaced, and of equal
     ones the first, third and so on.  Pairs with the end id are left alone, so that a symbol never
     reaches over the end of a document.
     """
     left, right = seq[:-1], seq[1:]
     open_ = (left != stop) & (right != stop)
     mixed = (left.astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (right.astype(np.uint32) * np.uint32(0x85EBCA77))
-    bucket = mixed >> np.uint32(12)
-    counts = np.bincount(bucket[open_], minlength=1 << 20)
-    where = np.flatnonzero(open_ & (counts >= min_count)[bucket])
+    bucket = mixed >> np.uint32(32 - BUCKET_BITS)
+    counts = np.bincount(bucket[open_], minlength=1 << BUCKET_BITS)
+    at_least = np.cumsum(np.bincount(np.minimum(counts, 1 << 16))[::-1])[::-1]   # buckets by their count
+    enough = max(min_count, int(np.searchsorted(-at_least, -most, "right") - 1) // 2)
+    where = np.flatnonzero(open_ & (counts >= enough)[bucket])
     pair = (left[where].astype(np.int64) << 32) | right[where]
     kinds, of, n = np.unique(pair, return_inverse=True, return_counts=True)
     weight = np.zeros(len(seq) + 1, np.int32)          # weight[i + 1] is the count of the pair at i
-    weight[where + 1] = np.where(n >= min_count, n, 0)[of]
+    weight[where + 1] = np.where(n >= enough, n, 0)[of]
     here = weight[where + 1]
     peak = (here > 0) & (here >= weight[where]) & (here >= weight[where + 2])
     at = where[peak]

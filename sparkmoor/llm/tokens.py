@@ -12,7 +12,7 @@ from itertools import chain, repeat
 
 import numpy as np
 
-MOST_PIECES = 1_200_000
+MOST_PIECES = 2_000_000
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"   # ASCII signs but for the apostrophe, which some words contain
 
 
