@@ -40,6 +40,16 @@ def ngram_hash(spark, root):
     return hashed.select(*KEYS, "pos", *[F.col("heads")[i].alias(f"h{i}") for i in range(len(_FLAT))])
 
 
+HASHES_40 = ", ".join(f"(m{n} & {2**40 - 1}) % {s} AS h{i}" for i, (n, s) in enumerate(_FLAT))
+
+
+@query("ngram_hash_40bit", f"WITH {TOKEN_IDS} SELECT conv_id, turn, pos, {HASHES_40} FROM mx")
+def ngram_hash_40bit(spark, root):
+    """The hashes with products cut to 40 bits."""
+    hashed = ngram.ngram_hash(token_sequences(spark, root), KEYS, FACTORS, SIZES, PAD, bits=40)
+    return hashed.select(*KEYS, "pos", *[F.col("heads")[i].alias(f"h{i}") for i in range(len(_FLAT))])
+
+
 _ROWS = ", ".join(f"(m{n} % {s} + {sum(x for _, x in _FLAT[:i])}) % r" for i, (n, s) in enumerate(_FLAT))
 
 

@@ -1,6 +1,7 @@
 """Composing the four stages: build a memory, score it, choose entries, apply them.
 
-A step is any function of DataFrames.  Everything stays lazy: a flow returns one plan.
+A step is any function of DataFrames.  Steps may write intermediate tables and count them, so calling
+a flow can start jobs; what it returns is a plan.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.staging import stage_counted
+from ..functions.text import sentences
 from ..operators import attention, bm25, memory, rag, ranking, score
 
 Step = Callable[..., DataFrame]
@@ -93,17 +95,33 @@ def paged_attention(page_size: int, dim: int, k: int, weights: np.ndarray | None
     return MemoryFlow(build=build, fused=choose, apply=attend)
 
 
-def document_prompts(k: int, formula: bm25.Formula = bm25.CPU) -> MemoryFlow:
+def document_prompts(k: int, formula: bm25.Formula = bm25.CPU, tokenizer=None) -> MemoryFlow:
     """Prompts around the best documents; data (doc_id, text), query (query_id, text).
 
     A blank query finds nothing and gets an empty context.
     """
 
     def choose(index: bm25.Index, query: DataFrame) -> DataFrame:
-        return ranking.top_documents(index, bm25.query_terms(query), formula, k)
+        return ranking.top_documents(index, bm25.query_terms(query, tokenizer=tokenizer), formula, k)
+
+    def build(docs: DataFrame) -> bm25.Index:
+        return bm25.build_index(docs, tokenizer=tokenizer)
 
     def prompts(docs: DataFrame, query: DataFrame, index: DataFrame) -> DataFrame:
         ranked = stage_counted(index.select("query_id", "doc_id", "rank"))
         return rag.with_prompt(rag.contexts(query, docs, ranked, ["query_id"]))
 
-    return MemoryFlow(build=bm25.build_index, fused=choose, apply=prompts)
+    return MemoryFlow(build=build, fused=choose, apply=prompts)
+
+
+def follow_up(index: bm25.Index, docs: DataFrame, answered: DataFrame, k: int = 3,
+              formula: bm25.Formula = bm25.CPU, model=None, tokenizer=None) -> DataFrame:
+    """After an answer, look again: the first sentence of each answer retrieves ``k`` documents, which
+    continue the prompt.  ``answered`` (query_id, prompt, answer) gains sentence, continued and the new
+    answer (of ``model``, or an extract).  An answer without a sentence retrieves nothing."""
+    said = answered.select("query_id", "prompt", F.coalesce(
+        F.try_element_at(sentences("answer"), F.lit(1)), F.lit("")).alias("sentence"))
+    terms = bm25.query_terms(said, "sentence", tokenizer=tokenizer)
+    ranked = stage_counted(ranking.top_documents(index, terms, formula, k).select("query_id", "doc_id", "rank"))
+    found = rag.contexts(said, docs, ranked, ["query_id"])
+    return rag.generate(rag.with_continuation(found, "prompt", "sentence"), "continued", model)

@@ -14,6 +14,7 @@ from ..operators.bm25 import CPU, LUCENE, PACKED, Index
 from ..operators.ranking import top_documents
 from ..sources.corpus import parse_ids, titled_corpus
 from ..sources.tables import spread_out, table
+from . import steps
 from .registry import query, r6
 from .vector_queries import ranked_sql
 
@@ -279,6 +280,26 @@ def rag_answer(spark, root):
     return rag.generate(_item_contexts(spark, root), "prompt").select("query_id", "answer")
 
 
+def _first_sentence(col: str) -> str:
+    return f"coalesce({TRIMMED.format(PIECES.format(col))}[1], '')"
+
+
+@query("answer_follow_up", f"""WITH {POSTINGS}, an AS (WITH {ITEM_TERMS}, {bm25_sql(IDF_CPU, TF_CPU, by='query_id')}, top AS {ranked_sql('m', 3, 'query_id', 'doc_id')}
+    SELECT item_id AS query_id, benchmark.text AS prompt, {_first_sentence('documents.text')} AS sentence
+    FROM benchmark LEFT JOIN (SELECT * FROM top WHERE rank = 0) t ON t.query_id = item_id LEFT JOIN documents USING (doc_id)),
+  qt AS (SELECT DISTINCT query_id, unnest({WORDS.replace('text', 'sentence')}) AS token FROM an), {bm25_sql(IDF_CPU, TF_CPU, by='query_id')},
+  top AS {ranked_sql('m', 3, 'query_id', 'doc_id')},
+  c AS (SELECT query_id, string_agg('[Doc ' || (rank + 1) || '] ' || substring(text, 1, 500), {NL} ORDER BY rank) AS more,
+    max(CASE WHEN rank = 0 THEN {_first_sentence('text')} END) AS answer FROM top JOIN documents USING (doc_id) GROUP BY 1)
+  SELECT query_id, sentence, prompt || sentence || {NL} || {NL} || '[Additional Context from Retrieval]' || {NL} || coalesce(more, '')
+    || {NL} || {NL} || '[Continue Answer]' || {NL} AS continued, coalesce(answer, '') AS answer FROM an LEFT JOIN c USING (query_id)""")
+def answer_follow_up(spark, root):
+    """The answer's first sentence retrieves again and the prompt, here the question, is continued."""
+    answered = rag.generate(_item_contexts(spark, root), "text").select("query_id", F.col("text").alias("prompt"), "answer")
+    again = steps.follow_up(text_index(spark, root), table(spark, root, "documents"), answered)
+    return again.select("query_id", "sentence", "continued", "answer")
+
+
 @query("rag_token_concat", f"""WITH {item_top(3)}, c AS (SELECT query_id, flatten(list(t ORDER BY rank)) AS more FROM top JOIN dt USING (doc_id) GROUP BY 1),
   j AS (SELECT item_id AS query_id, list_concat({WORDS}, coalesce(more, [])) AS t FROM benchmark LEFT JOIN c ON query_id = item_id)
   SELECT query_id, len(t)::INTEGER AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM j""")

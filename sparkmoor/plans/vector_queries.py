@@ -232,6 +232,14 @@ def multi_head_topk(spark, root):
     return retrieve.top_k(s, 64)
 
 
+@query("multi_head_top2048", f"""WITH {HEADS}, s AS (SELECT vec_id AS mem_id,
+  {r6('sum(w * greatest(list_inner_product(q, embedding::DOUBLE[]), 0))')} AS score FROM embeddings, h GROUP BY vec_id)
+  SELECT mem_id, score, rank FROM {ranked_sql('s', 2048, '')}""")
+def multi_head_top2048(spark, root):
+    """The selection at the length an indexer of long contexts asks for."""
+    return retrieve.top_k(score.multi_head(vectors(spark, root), cohort_heads(spark, root, 16)), 2048)
+
+
 @query("multi_head_scaled", f"""WITH {HEADS}, b AS (SELECT vec_id, d // 16 AS blk, greatest(max(abs(v)), 1e-12) / 448.0 AS sc FROM el GROUP BY 1, 2),
   m AS (SELECT vec_id, avg(sc) AS sc FROM b GROUP BY 1),
   k AS (SELECT vec_id, list(least(greatest(v / sc, -448.0), 448.0) ORDER BY d) AS k FROM el JOIN b USING (vec_id) WHERE blk = d // 16 GROUP BY 1)
