@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import HashOf, fresh, join_checked, pieces, stage
 from .graph import connected
 
-BUCKET_BITS, SLICE_BITS = 22, 14
+BUCKET_BITS, SLICE_BITS = 24, 16
 BLOCK_MEMBERS, BLOCK_GRAMS = 1000, 1_000_000
 SIGNATURE = "doc_id long, text_hash long, n long, digest binary, node long, prefix array<bigint>"
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -90,21 +90,21 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def gram_levels(docs: DataFrame, text: str, width: int) -> np.ndarray:
     """For each hashed bucket a byte that rises with the number of n-grams counted there."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, hash_of = np.zeros(1 << BUCKET_BITS, np.int64), HashOf()
+        counts, hash_of = np.zeros(1 << BUCKET_BITS, np.uint32), HashOf()
         for batch in batches:
             for t in batch.column(0):
                 at = gram_set(t.as_py(), width, hash_of) >> np.uint64(64 - BUCKET_BITS)
                 np.add.at(counts, at.astype(np.int64), 1)
         for k, part in enumerate(counts.reshape(-1, 1 << SLICE_BITS)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])],
-                                                 names=["slice", "counts"])
+                packed = zlib.compress(np.minimum(part, 65535).astype(np.uint16).tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed])], names=["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(zlib.decompress(c.as_py()), np.int64)
+                part = np.frombuffer(zlib.decompress(c.as_py()), np.uint16).astype(np.int64)
                 sums[k] = sums[k] + part if k in sums else part
         for k, part in sums.items():
             level = np.minimum(8 * np.log2(part + 1.0), 255).astype(np.uint8)
