@@ -22,16 +22,22 @@ _held: dict[tuple, object] = {}
 
 
 def _once(spark: SparkSession, root: str, what: str, make):
-    """One build per application and data folder, as an index is built once and then queried."""
-    key = (spark.sparkContext.applicationId, root, what)
+    """One build per application and state of the documents, as an index is built once and then
+    queried.  The state is told by the files' number, length and time, so changed tables are noticed."""
+    key = (spark.sparkContext.applicationId, root, what, _state(spark, root))
     if key not in _held:
         _held[key] = make()
     return _held[key]
 
 
+def _state(spark: SparkSession, root: str) -> tuple:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root.rstrip('/')}/documents.parquet")
+    return tuple(files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime").cast("string")).first())
+
+
 def text_index(spark: SparkSession, root: str) -> Index:
     def make():
-        tag = hashlib.md5(f"{spark.sparkContext.applicationId}:{root}".encode()).hexdigest()
+        tag = hashlib.md5(f"{spark.sparkContext.applicationId}:{root}:{_state(spark, root)}".encode()).hexdigest()
         return bm25.load_or_build(spark, f"{shared_dir(spark)}/postings-{tag}",
                                   spread_out(table(spark, root, "documents").select("doc_id", "text")))
 

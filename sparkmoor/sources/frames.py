@@ -22,7 +22,8 @@ def _unsigned(data: Column, start: Column | int, size: int) -> Column:
 
 
 def decode_frames(files: DataFrame, content: str = "content") -> DataFrame:
-    """One row per complete frame: (frame_no, sender_ns, ids); a cut-off frame is left out."""
+    """One row per complete frame: (frame_no, sender_ns, ids).  What a cut-off frame leaves at the end of a
+    file is reported by ``cut_off``."""
     whole = F.floor(F.length(content) / FRAME_BYTES).cast("int")
     numbers = F.when(whole > 0, F.sequence(F.lit(0), whole - 1)).otherwise(F.array().cast("array<int>"))
     frames = files.select("*", F.explode(numbers).alias("frame_no")).withColumn(
@@ -38,6 +39,14 @@ def decode_frames(files: DataFrame, content: str = "content") -> DataFrame:
                          _unsigned(F.col("_frame"), 1, TIME_BYTES).cast("bigint").alias("sender_ns"), ids.alias("ids"))
 
 
+def cut_off(files: DataFrame, content: str = "content") -> DataFrame:
+    """Files that end inside a frame, with the bytes behind their last complete one (``rest``): put in
+    front of the file that continues them, they are decoded with it."""
+    whole = (F.floor(F.length(content) / FRAME_BYTES) * FRAME_BYTES).cast("int")
+    rest = F.substr(F.col(content), whole + 1, F.length(content) - whole)
+    return files.where(F.length(content) % FRAME_BYTES != 0).select(*[c for c in files.columns if c != content], rest.alias("rest"))
+
+
 def encode_frames(df: DataFrame) -> DataFrame:
     """(sender_ns, ids) rows with their frame as a binary column."""
     digits = F.lpad(F.hex("sender_ns"), 16, "0")

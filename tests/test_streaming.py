@@ -75,3 +75,16 @@ def test_frames(spark, tmp_path):
     assert all(r.latency_ns == r.received_ns - r.sender_ns for r in got)
     back = frames.encode_frames(spark.createDataFrame([(5, two)], "sender_ns bigint, ids array<int>")).first()
     assert bytes(back.frame) == frame(5, two)
+
+
+def test_cut_off_frames(spark):
+    import struct
+
+    whole = struct.pack(">Q64i", 7, *range(64))
+    first, second = whole + whole[:100], whole[100:]
+    files = spark.createDataFrame([("a", bytearray(first)), ("b", bytearray(whole))], "path string, content binary")
+    assert frames.decode_frames(files).count() == 2
+    rest = frames.cut_off(files).collect()
+    assert [(r.path, bytes(r.rest)) for r in rest] == [("a", whole[:100])]
+    joined = spark.createDataFrame([("b", bytearray(bytes(rest[0].rest) + second))], "path string, content binary")
+    assert [r.sender_ns for r in frames.decode_frames(joined).collect()] == [7]
