@@ -269,9 +269,10 @@ def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, params: P
     tasks = stage(_tasks(classes, params))
     fetched = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     wanted = stage(tasks.select("digest", "rep").distinct())
-    near = join_checked(fetched, wanted, (F.col("h") == F.col("rep.text_hash"))
-                        & F.col("d").eqNullSafe(F.col("rep.doc_id")), "inner", row_bytes=96)
-    texts = stage(near.groupBy("digest").agg(F.first("t").alias("t")))
+    texts = stage(join_checked(fetched, wanted, (F.col("h") == F.col("rep.text_hash"))
+                               & F.col("d").eqNullSafe(F.col("rep.doc_id")), "inner", row_bytes=96).select("digest", "t"))
+    if texts.count() > wanted.count():   # only where rows repeat
+        texts = stage(texts.groupBy("digest").agg(F.first("t").alias("t")))
 
     def run(table: pa.Table) -> pa.Table:
         hash_of = HashOf()
@@ -283,7 +284,9 @@ def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, params: P
         return pa.table({"a": pa.array([x[0] for x in found], pa.binary()),
                          "b": pa.array([x[1] for x in found], pa.binary())})
 
-    return tasks.drop("rep").join(texts, "digest").groupBy("gram", "i", "j").applyInArrow(run, "a binary, b binary")
+    # the texts stay in place until they go to their groups, if what tells the groups is small enough
+    placed = join_checked(texts, tasks.drop("rep"), ["digest"], "inner", row_bytes=200)
+    return placed.groupBy("gram", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def similar_classes(signed: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
