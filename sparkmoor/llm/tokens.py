@@ -2,7 +2,8 @@
 
 A text is cut only where the tokenizer's own splitting cuts as well, so the ids of the text are
 those of its pieces, one after the other.  Pieces that are plain words are encoded by the library
-many at a time; whatever is out of the ordinary goes to the library whole.
+many at a time; whatever is out of the ordinary goes to the library whole.  So does every text with
+the content of an added token, such as ``<|endoftext|>``, which the library looks for before it splits.
 """
 
 from __future__ import annotations
@@ -33,11 +34,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = self.library.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        # looked for in the normalized text, which no piece can be held against: nothing is cut then
+        self.folded = any(t.normalized for t in added)
         # word ends are tokens of their own kind; else a leading blank belongs to the word
         self.word_ends = self.library.model.end_of_word_suffix is not None
         vocab = self.library.get_vocab(with_added_tokens=False)
-        mark = np.zeros(max(vocab.values()) + 1, bool)
+        mark = np.zeros(max(self.library.get_vocab(with_added_tokens=True).values()) + 1, bool)
         suffix = self.library.model.end_of_word_suffix
         for token, i in vocab.items():
             mark[i] = token.endswith(suffix) if self.word_ends else token.startswith("Ġ")
@@ -67,6 +71,10 @@ class Encoder:
     def _library_ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
 
+    def _special(self, text: str) -> bool:
+        """Whether the library may find an added token in the text."""
+        return self.folded or any(c in text for c in self.added)
+
     def _put_whole(self, new: list[str]) -> None:
         for piece in new:
             ids = self._library_ids(piece)
@@ -76,7 +84,11 @@ class Encoder:
         """Words of letters only, encoded many as one text, which the marked tokens part again."""
         for a in range(0, len(words), 4000):
             some = words[a:a + 4000]
-            ids = self._library_ids(" ".join(some) if self.word_ends else "".join(some))
+            text = " ".join(some) if self.word_ends else "".join(some)
+            if self._special(text):
+                self._put_whole(some)
+                continue
+            ids = self._library_ids(text)
             at = np.flatnonzero(self.mark[ids])
             edges = np.concatenate([[0], at + 1]) if self.word_ends else np.concatenate([at, [len(ids)]])
             if len(at) == len(some) and edges[0] == 0 and edges[-1] == len(ids):
@@ -101,7 +113,7 @@ class Encoder:
         for piece in pieces:
             body = piece.rstrip(_SIGNS)
             core = body[1:] if body[:1] == " " and not self.word_ends else body
-            if not (core.isalpha() and core.lower().isalpha()):   # some letters fold to more than letters
+            if self._special(piece) or not (core.isalpha() and core.lower().isalpha()):   # some letters fold to more than letters
                 whole[piece] = None
                 continue
             tail = piece[len(body):]
@@ -121,6 +133,8 @@ class Encoder:
             self._put([x[0] for x in signed], ids, lengths.reshape(-1, 2).sum(axis=1))
 
     def _cut(self, text: str) -> list[str]:
+        if self._special(text):
+            return [text]
         blanks = text.replace("\n", " ").split(" ")
         if self.word_ends:   # blanks are dropped by the tokenizer itself
             return blanks

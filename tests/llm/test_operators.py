@@ -192,6 +192,39 @@ def test_remembered_ids(name, docs):
     odd_texts()
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_added_tokens(name):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokens.vocabulary(name))
+    end, start = "<|endoftext|>", "<|startoftext|>"
+    texts = ["hello <|endoftext|> world", "a<|endoftext|>b", end, end * 2, f"{start}word {end}", f"one\n{start}\n\ntwo {end}. ",
+             "<|ENDOFTEXT|> x", "<|endof text|>", "<|endof", "text|> plain words", f"plain {end}words", None, "hello world"]
+    enc = tokens.Encoder(tokens.vocabulary(name))
+    for _ in range(2):
+        ids, counts = enc.encode(texts)
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        assert [p.tolist() for p in parts] == [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+    @given(st.lists(st.sampled_from([end, start, "ab", " ", "\n", "<|", "|>", "end", "é.", "of", "text"]), max_size=12).map("".join))
+    @settings(deadline=None, max_examples=300)
+    def mixed(t):
+        assert enc.encode([t])[0].tolist() == fresh.encode(t, add_special_tokens=False).ids
+
+    mixed()
+
+
+def test_added_tokens_in_shards_and_sequences(spark):
+    from tokenizers import Tokenizer
+
+    docs = [(1, "first one"), (2, "hello <|endoftext|> world <|startoftext|>"), (3, "the<|endoftext|>last")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for name, run, end in (("word_bpe_49k.json", repair.round_trip, 1), ("byte_bpe_50k.json", packing.pack, 0)):
+        library = Tokenizer.from_file(tokens.vocabulary(name))
+        ids = [library.encode(t, add_special_tokens=False).ids + [end] for _, t in docs]
+        assert [r["ids_crc32"] for r in run(df).orderBy("doc_id").collect()] == [crc(i) for i in ids]
+
+
 def ids_of(enc, texts, end):
     return [enc.library.encode(t or "", add_special_tokens=False).ids + [end] for t in texts]
 
