@@ -25,6 +25,7 @@ are rows of their own; other columns are never looked at.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashOf, join_checked, per_row, pieces, stage
+from .common import HashOf, join_checked, per_row, pieces, small_enough, stage
 from .decontaminate import phrase_words
 from .language import in_fold
 
@@ -42,6 +43,7 @@ DISCOUNT = 0.75
 BACKOFF = 0.002      # share of the backoff in an expression with evidence
 EVIDENCE = 14.0      # about one in five thousand by chance
 MODEL_ROWS = 1_000_000
+MASK_BITS, MASK_SLICE = 26, 1 << 16   # bits of the mask of pairs, bytes of its slices
 CALIBRATION_ROWS = 20_000
 START = 0  # stands before the first word
 
@@ -58,13 +60,9 @@ def _pairs(texts, hash_of: HashOf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(words)), sizes), v.view(np.int64), w.view(np.int64)
 
 
-def count_pairs(labelled: DataFrame) -> DataFrame:
-    """(v, w, toxic, ordinary, fresh_toxic, fresh_ordinary) of the word pairs of ``labelled`` (text, label),
-    added up in each batch before they are shuffled, and written.
-
-    ``fresh_*`` is about how many different words have stood before the pair, at most its count and at
-    most 110: a passage that is copied many times raises the count, but not this.
-    """
+def pair_counts(labelled: DataFrame) -> DataFrame:
+    """(v, w, toxic, ordinary) of the word pairs of ``labelled`` (text, label), added up in each batch
+    before they are shuffled, and written."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_of = HashOf()
         for whole in batches:
@@ -72,23 +70,91 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
                 of, v, w = _pairs(batch.column(0), hash_of)
                 if not len(of):
                     continue
-                shift = 32 * np.array(batch.column(1).to_pylist(), np.int64)[of]   # toxic in the upper half
-                earlier = np.where(v == START, START, np.roll(v, 1)) & 31           # five bits of the word before both
+                one = 1 << (32 * np.array(batch.column(1).to_pylist(), np.int64)[of])   # toxic in the upper half
                 order = np.lexsort((w, v))
-                v, w, one, bit = v[order], w[order], (1 << shift)[order], (1 << (shift + earlier))[order]
+                v, w, one = v[order], w[order], one[order]
                 first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v[first]), pa.array(w[first]), pa.array(np.add.reduceat(one, first)),
-                     pa.array(np.bitwise_or.reduceat(bit, first))], names=["v", "w", "n", "bits"])
+                    [pa.array(v[first]), pa.array(w[first]), pa.array(np.add.reduceat(one, first))], names=["v", "w", "n"])
+
+    # the halves are parted before they are added up, as the sums may take more than 32 bits
+    return stage(labelled.select("text", "label").mapInArrow(run, "v long, w long, n long").groupBy("v", "w").agg(
+        F.sum(F.shiftrightunsigned("n", 32)).alias("toxic"),
+        F.sum(F.col("n").bitwiseAND(F.lit((1 << 32) - 1))).alias("ordinary")))
+
+
+def _places(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The bit of each pair in a mask of 2^MASK_BITS bits."""
+    h = (v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ w.view(np.uint64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(27))) >> np.uint64(64 - MASK_BITS)).astype(np.int64)
+
+
+def _mask(pairs: DataFrame) -> np.ndarray:
+    """Bits at the places of ``pairs``; its size is fixed."""
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.zeros(1 << (MASK_BITS - 3), np.uint8)
+        for batch in batches:
+            at = _places(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            np.bitwise_or.at(mask, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        for k, part in enumerate(mask.reshape(-1, MASK_SLICE)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])],
+                                                 names=["slice", "bits"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, c in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(zlib.decompress(c.as_py()), np.uint8)
+                parts[k] = parts[k] | part if k in parts else part
+        for k, part in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()])], names=["slice", "bits"])
+
+    fields = "slice int, bits binary"
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pairs.select("v", "w").mapInArrow(mark, fields).repartition(tasks, "slice").mapInArrow(join, fields).collect()
+    mask = np.zeros(1 << (MASK_BITS - 3), np.uint8)   # at most this many bytes come back
+    for k, bits in rows:
+        mask[k * MASK_SLICE:(k + 1) * MASK_SLICE] = np.frombuffer(bits, np.uint8)
+    return mask
+
+
+def with_contexts(labelled: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Append to the written ``pairs`` (v, w, ...) of ``labelled`` ``fresh_toxic`` and ``fresh_ordinary``: how many
+    different words have stood before the pair in texts of the class, counted in full.  A passage that
+    is copied many times raises a pair's count, but not this.
+
+    The mask keeps other pairs, but for a few, out of the shuffle; the join drops the rest.
+    """
+    mask = labelled.sparkSession.sparkContext.broadcast(_mask(pairs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hash_of, bits = HashOf(), mask.value
+        for whole in batches:
+            for batch in pieces(whole, 16 << 20):
+                of, v, w = _pairs(batch.column(0), hash_of)
+                at = _places(v, w)
+                hit = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                if not len(hit):
+                    continue
+                u = np.where(v == START, START, np.roll(v, 1))[hit]
+                v, w, label = v[hit], w[hit], np.array(batch.column(1).to_pylist(), np.int64)[of[hit]]
+                order = np.lexsort((label, u, w, v))
+                u, v, w, label = u[order], v[order], w[order], label[order]
+                new = np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (u[1:] != u[:-1]) | (label[1:] != label[:-1])])
+                yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (v, w, u, 1 << label)], names=["v", "w", "u", "of"])
+
+    seen = labelled.select("text", "label").mapInArrow(run, "v long, w long, u long, of long") \
+        .groupBy("v", "w", "u").agg(F.bit_or("of").alias("of"))
+    fresh = seen.groupBy("v", "w").agg(F.sum(F.shiftright("of", 1)).alias("fresh_toxic"),
+                                       F.sum(F.col("of").bitwiseAND(F.lit(1))).alias("fresh_ordinary"))
+    return join_checked(fresh, pairs, ["v", "w"], "inner").select(*pairs.columns, "fresh_toxic", "fresh_ordinary")
 
-    rows = labelled.select("text", "label").mapInArrow(run, "v long, w long, n long, bits long") \
-        .groupBy("v", "w").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits"))
-    half = {"toxic": lambda c: F.shiftrightunsigned(c, 32), "ordinary": lambda c: c.bitwiseAND(F.lit((1 << 32) - 1))}
-    # the number of words before, from how many of 32 buckets they fall into
-    different = lambda c: F.when(F.bit_count(c) < 32, -32 * F.log(1 - F.bit_count(c) / 32.0)).otherwise(32 * np.log(32.0))
-    return stage(rows).select(
-        "v", "w", *[half[c](F.col("n")).alias(c) for c in half],
-        *[F.least(half[c](F.col("n")).cast("double"), different(half[c](F.col("bits")))).alias(f"fresh_{c}") for c in half])
+
+def count_pairs(labelled: DataFrame) -> DataFrame:
+    """(v, w, toxic, ordinary, fresh_toxic, fresh_ordinary) of all word pairs of ``labelled`` (text, label)."""
+    return with_contexts(labelled, pair_counts(labelled))
 
 
 class Model(NamedTuple):
@@ -107,10 +173,22 @@ def _evidence(toxic: Column, ordinary: Column, share: float) -> Column:
     return 2 * (part(toxic, share) + part(ordinary, 1 - share))
 
 
+def _evidence_in_places(share: float) -> Column:
+    """Evidence of a pair of which each occurrence counts only as far as it stood in a place of its own.
+
+    Both counts are drawn down by the same factor, the places for each occurrence in the class that the
+    pair speaks for.  The numbers of places are not held against each other: of a frequent pair both
+    classes come to know all places there are, whatever their counts.
+    """
+    toxic, ordinary = F.col("toxic"), F.col("ordinary")
+    own = F.when(toxic > share * (toxic + ordinary), F.col("fresh_toxic") / toxic).otherwise(F.col("fresh_ordinary") / ordinary)
+    return own * _evidence(toxic, ordinary, share)
+
+
 def fit(labelled: DataFrame, discount: float = DISCOUNT, backoff: float = BACKOFF,
         evidence: float = EVIDENCE) -> Model | None:
     """Models of all rows of ``labelled`` (text, label); None without words of both classes."""
-    counts = count_pairs(labelled)
+    counts = pair_counts(labelled)
     toxic, ordinary = F.col("toxic"), F.col("ordinary")
     words = stage(counts.groupBy("w").agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("toxic", "ordinary")]))
     m_toxic, m_ordinary = words.agg(F.sum("toxic"), F.sum("ordinary")).first()
@@ -125,11 +203,9 @@ def fit(labelled: DataFrame, discount: float = DISCOUNT, backoff: float = BACKOF
         for name, c, total in (("toxic", toxic, m_toxic), ("ordinary", ordinary, m_ordinary))], telling.alias("telling"))
     ratios = stage(own.where("telling").select("w", F.log(F.col("p_toxic") / F.col("p_ordinary")).alias("word_ratio")))
     share = n_toxic / (n_toxic + n_ordinary)
-    fresh_toxic, fresh_ordinary = F.col("fresh_toxic"), F.col("fresh_ordinary")
-    # what speaks for a class must have been seen in different places
-    up = (fresh_toxic > share * (fresh_toxic + ordinary)) & (_evidence(fresh_toxic, ordinary, share) >= evidence)
-    down = (fresh_ordinary > (1 - share) * (toxic + fresh_ordinary)) & (_evidence(toxic, fresh_ordinary, share) >= evidence)
-    pairs = stage(counts.where(up | down))
+    told = stage(counts.where(_evidence(toxic, ordinary, share) >= evidence))
+    pairs = stage(with_contexts(labelled, told).where(_evidence_in_places(share) >= evidence)
+                  .drop("fresh_toxic", "fresh_ordinary"))
     heads = join_checked(counts.select("v", "toxic", "ordinary"), stage(pairs.select("v").distinct()), ["v"], "left_semi") \
         .groupBy("v").agg(F.sum("toxic").alias("v_toxic"), F.sum("ordinary").alias("v_ordinary"))
 
@@ -251,6 +327,8 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                   .groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("long").alias("label")))
     rows = docs.where(~held).select(F.col(doc_id).alias("_id"), F.col(text).alias("text"), rest.alias("_rest"))
     labelled = join_checked(rows, known, ["_id"], "inner")
+    if not small_enough(known):   # the texts move, but once
+        labelled = stage(labelled)
     model = fit(labelled.where("NOT _rest").select("text", "label"))
     every = docs.select(F.col(doc_id).alias("doc_id"), held.alias("held_out"), F.col(text).alias("_text"))
     if model is None:

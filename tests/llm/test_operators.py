@@ -397,6 +397,26 @@ def test_copies_are_no_evidence(spark):
     assert counts.where("toxic > 50 AND fresh_toxic < 2").count() == counts.where("toxic > 50").count() > 0
 
 
+@pytest.mark.parametrize("times", [1, 10, 100])
+def test_frequent_pairs_keep_their_evidence(spark, times):
+    share = 0.1
+    pairs = [("toxic", 50 * times, 10 * times), ("ordinary", 10 * times, 900 * times), ("neither", 10 * times, 90 * times)]
+    df = spark.createDataFrame([(n, t, o, t, o) for n, t, o in pairs],
+                               "name string, toxic long, ordinary long, fresh_toxic long, fresh_ordinary long")
+    told = {r[0] for r in df.where(toxicity._evidence_in_places(share) >= toxicity.EVIDENCE).select("name").collect()}
+    assert told == {"toxic", "ordinary"}
+
+
+def test_places_are_counted_in_full(spark):
+    texts = [(f"u{i} bad pair", 1) for i in range(600)] + [(f"u{i} bad pair", 0) for i in range(150)] * 2 \
+        + [(f"u{i} good pair", 0) for i in range(5400)] + [(f"u{i} good pair", 1) for i in range(40)]
+    labelled = spark.createDataFrame(texts, "text string, label long").repartition(5)
+    got = toxicity.count_pairs(labelled).where("fresh_toxic + fresh_ordinary > 2").select(
+        "toxic", "ordinary", "fresh_toxic", "fresh_ordinary")
+    assert rows(got) == sorted([(600, 300, 600, 150), (40, 5400, 40, 5400)], key=repr)
+    assert toxicity.fit(labelled).pairs.count() == 2
+
+
 def test_curve():
     at, rate = toxicity.curve(np.array([0.0, 1, 2, 3, 3]), np.array([0.0, 1, 0, 1, 1]))
     assert (np.diff(rate) >= 0).all() and len(at) == len(rate)
