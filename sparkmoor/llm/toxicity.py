@@ -11,8 +11,8 @@ and the expression speaks for neither.  Most rare expressions are of that sort;
 sum of their chance differences drowns the few words that do tell the classes apart.
 
 All counts come from all labelled rows outside the held-out fold, but for one row in five, on
-which the mean ratio is turned into a probability by a monotone step curve (at most
-``CALIBRATION_ROWS`` of these rows are read for it).
+which the mean ratio is turned into a probability by a monotone step curve (all these rows count,
+added up by their ratio to ``RATIO_DIGITS`` digits).
 
 The models are what has evidence.  If that is small enough (``MODEL_ROWS``) it is sent to all tasks
 and texts are scored where they lie; else their words meet it in shuffled joins, with equal results.
@@ -44,7 +44,7 @@ BACKOFF = 0.002      # share of the backoff in an expression with evidence
 EVIDENCE = 14.0      # about one in five thousand by chance
 MODEL_ROWS = 1_000_000
 MASK_BITS, MASK_SLICE = 26, 1 << 16   # bits of the mask of pairs, bytes of its slices
-CALIBRATION_ROWS = 20_000
+RATIO_DIGITS = 4
 START = 0  # stands before the first word
 
 
@@ -299,13 +299,14 @@ def _ratio_by_joins(docs: DataFrame, model: Model, name: str, text: str, rest: l
     return rows.join(means, "_row", "left").select(*rest, F.coalesce(name, F.lit(0.0)).alias(name))
 
 
-def curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def curve(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the rising curve that fits labels ``y`` best (pool adjacent violators), each step drawn
-    towards the rate of all by one example."""
+    towards the rate of all by one example.  With ``n``, ``y`` are sums of the labels of so many rows."""
     if not len(x):
         return np.zeros(1), np.zeros(1)
     kinds, of = np.unique(x, return_inverse=True)
-    n, hits = np.bincount(of), np.bincount(of, y)
+    n, hits = np.bincount(of, n), np.bincount(of, y)
+    mean = hits.sum() / n.sum()
     blocks: list[list[float]] = []   # from, to, rate, weight
     for a, k, h in zip(kinds, n, hits):
         blocks.append([a, a, h / k, k])
@@ -315,10 +316,17 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             into[2] = (into[2] * into[3] + last[2] * last[3]) / (into[3] + last[3])
             into[1], into[3] = last[1], into[3] + last[3]
     at = [e for b in blocks for e in ([b[0], b[1]] if b[1] > b[0] else [b[0]])]
-    rate = [(b[2] * b[3] + y.mean()) / (b[3] + 1) for b in blocks for _ in range(2 if b[1] > b[0] else 1)]
+    rate = [(b[2] * b[3] + mean) / (b[3] + 1) for b in blocks for _ in range(2 if b[1] > b[0] else 1)]
     return np.array(at), np.maximum.accumulate(rate)
 
 
+def calibrate(rated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The curve of all rows of ``rated`` (ratio, label); a row for each rounded ratio reaches the driver."""
+    sums = rated.groupBy(F.round("ratio", RATIO_DIGITS).alias("ratio")).agg(
+        F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n")).toArrow()
+    return curve(*[sums.column(c).to_numpy().astype(float) for c in ("ratio", "hits", "n")])
+
+
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
           threshold: float = 0.7, most_rows: int = MODEL_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted, ratio) of every document."""
@@ -334,9 +342,7 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if model is None:
         return every.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"),
                             F.lit(0.0).alias("ratio"))
-    sample = with_ratio(labelled.where("_rest").select("text", "label"), model, "ratio", "text", most_rows) \
-        .limit(CALIBRATION_ROWS).toArrow()
-    at, rate = curve(sample.column("ratio").to_numpy(), sample.column("label").to_numpy().astype(float))
+    at, rate = calibrate(with_ratio(labelled.where("_rest").select("text", "label"), model, "ratio", "text", most_rows))
     rated = per_row(with_ratio(every, model, "ratio", "_text", most_rows),
                     lambda: lambda ratios: [(float(p),) for p in np.round(np.interp(ratios, at, rate), 9)], ["ratio"],
                     "score double")

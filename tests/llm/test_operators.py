@@ -422,6 +422,13 @@ def test_curve():
     assert (np.diff(rate) >= 0).all() and len(at) == len(rate)
 
 
+def test_calibration_reads_all_rows(spark):
+    df = spark.range(0, 60_000, 1, 3).select((F.col("id") >= 50_000).cast("double").alias("ratio"),
+                                             (F.col("id") >= 50_000).cast("long").alias("label"))
+    at, rate = toxicity.calibrate(df)     # the toxic rows stand at the end
+    assert at.tolist() == [0.0, 1.0] and rate[0] < 0.01 and rate[1] > 0.99
+
+
 # archives
 
 def test_archives(spark, tmp_path):
