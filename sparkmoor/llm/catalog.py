@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import table
-from . import decontaminate, jaccard, language, packing, pii, quality, repair, toxicity, url_filter, warc
+from . import (decontaminate, jaccard, language, packing, pii, quality, repair, resampling, toxicity, url_filter,
+               warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -166,3 +167,47 @@ def hyperdimensional(spark, root):
 @query("op9_kneser_ney")
 def kneser_ney(spark, root):
     return toxicity.score(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT i, i::UINTEGER AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+texts AS (SELECT 0 AS side, doc_id AS id, row_number() OVER () AS n, text FROM documents
+          UNION ALL SELECT 1, item_id, row_number() OVER (), text FROM benchmark),
+words AS (SELECT side, id, n, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+features AS (
+  SELECT side, n, unnest(w) AS f FROM words
+  UNION ALL SELECT side, n, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) FROM words),
+counted AS (SELECT side, n, f, count(*) AS c FROM features GROUP BY ALL),
+hex AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)),
+hashed AS (
+  SELECT f, xor(list_reduce([('0x' || substr(h, 2 * i - 1, 2))::UINTEGER for i in range(1, len(h) // 2 + 1)],
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b)::INT + 1]), 4294967295::UINTEGER), 4294967295::UINTEGER) % 10000 AS b
+  FROM hex, crc),
+bucketed AS (SELECT side, n, b, sum(c)::BIGINT AS c FROM counted JOIN hashed USING (f) GROUP BY ALL),
+sums AS (SELECT b, coalesce(sum(c) FILTER (side = 0), 0)::BIGINT AS s, coalesce(sum(c) FILTER (side = 1), 0)::BIGINT AS t
+         FROM bucketed GROUP BY b),
+gains AS (SELECT b, floor(1000 * ln((t + 1)::DOUBLE * (tot_s + 10000) / ((s + 1)::DOUBLE * (tot_t + 10000))))::BIGINT AS g
+          FROM sums, (SELECT sum(s)::DOUBLE AS tot_s, sum(t)::DOUBLE AS tot_t FROM sums)),
+weights AS (SELECT n, sum(c)::BIGINT AS m, floor(sum(c * g)::DOUBLE / sum(c))::BIGINT AS weight
+            FROM bucketed JOIN gains USING (b) WHERE side = 0 GROUP BY n),
+scored AS (
+  SELECT id AS doc_id, len(w) AS n_words, coalesce(m, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE)))::BIGINT
+           AS score
+  FROM words LEFT JOIN weights USING (n) WHERE side = 0),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () * 25 // 100 AS drawn
+           FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
+
+@query("op11_dictionary_resampling", OP11_SQL)
+def dictionary_resampling(spark, root):
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    return resampling.resample(docs, table(spark, root, "benchmark"), keep=["doc_id"]).select(
+        "doc_id", *[f"draw.{c}" for c in ("n_features", "weight", "score", "rank")])

@@ -45,12 +45,12 @@ INDEX = ("block string, term string, n long, postings binary, doc_keys array<str
 SPANS = "array<struct<phrase:bigint,exact:boolean,start:int,stop:int>>"
 
 # A-Z become a-z; digits, a-z and everything beyond ASCII stay; the rest parts words
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
+FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
               for c in range(256))
 
 
 def phrase_words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
+    return text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
 
 
 def pack(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
