@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import table
-from . import (decontaminate, jaccard, language, packing, pii, quality, repair, resampling, toxicity, url_filter,
-               warc)
+from . import (decontaminate, html_text, jaccard, language, packing, pii, quality, repair, resampling, toxicity,
+               url_filter, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -211,3 +211,9 @@ def dictionary_resampling(spark, root):
     docs = table(spark, root, "documents").select("doc_id", "text")
     return resampling.resample(docs, table(spark, root, "benchmark"), keep=["doc_id"]).select(
         "doc_id", *[f"draw.{c}" for c in ("n_features", "weight", "score", "rank")])
+
+
+@query("op12_tag_ratio_text")
+def tag_ratio_text(spark, root):
+    pages = table(spark, root, "pages").select("page_id", "url", "html")
+    return html_text.with_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
