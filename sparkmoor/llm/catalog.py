@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import table
-from . import (decontaminate, html_text, jaccard, language, packing, pii, quality, repair, resampling, toxicity,
-               url_filter, warc)
+from . import (decontaminate, html_text, jaccard, language, lexical, packing, pii, quality, repair, resampling,
+               toxicity, url_filter, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -217,3 +217,29 @@ def dictionary_resampling(spark, root):
 def tag_ratio_text(spark, root):
     pages = table(spark, root, "pages").select("page_id", "url", "html")
     return html_text.with_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+totals AS (SELECT count(*) AS big_n, sum(len(w))::BIGINT AS big_l FROM d WHERE len(w) > 0),
+tf AS (SELECT r, doc_id, len(w) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, w, unnest(w) AS term FROM d) GROUP BY ALL),
+asked AS (SELECT r, item_id, term, count(*) AS rep FROM (SELECT r, item_id, unnest(w) AS term FROM i) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+            FROM tf, totals GROUP BY term, big_n),
+scored AS (
+  SELECT a.r, a.item_id, t.r AS dr, t.doc_id,
+         sum(rep * weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * big_n) // big_l))))::BIGINT AS score
+  FROM asked a JOIN tf t USING (term) JOIN weights USING (term), totals GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 20
+"""
+
+
+@query("op13_treap_search", OP13_SQL)
+def treap_search(spark, root):
+    index = lexical.build_index(table(spark, root, "documents"))
+    return lexical.search(index, table(spark, root, "benchmark"), k=20)
