@@ -5,13 +5,17 @@
     Ordered by count, rarest first, and then by hash, all n-grams have one global order.
 2.  *Prefixes.*  Two sets of the demanded similarity share one of the first
     ``n - ceil(t n) + 1`` n-grams in that order.  Documents with equal sets become one class.
-3.  *Join on prefix n-grams.*  The classes that share a prefix n-gram are its group.  Near copies share
-    most of their prefix, so groups with the same members count once, and groups that are part of
-    another one are left out.
-4.  *Verification.*  In a group (or two blocks of a large one) pairs go through the length,
-    positional and suffix filters, and what is left is verified on whole sets, in the first of the
-    groups that the two share and so once per pair.  Pairs that a task has connected already need
-    no verification, since only components are asked for.
+3.  *Join on prefix n-grams.*  The classes that share a prefix n-gram are its group, and groups with the
+    same members count once.  A class belongs to many groups, but lives in one home only: a block of
+    its largest group.
+4.  *Verification.*  Pairs go through the length, positional and suffix filters, and what is left is
+    verified on whole sets.  First the residents of each home are compared, and what they link is
+    contracted.  Two classes of different components that share a group and not a home then meet at
+    the home of the one in the larger component, and so once per pair.  Only components are asked for:
+    pairs that are connected already need no verification, and no class goes where all are of its own.
+
+So a text is sent once to its home, and beyond that only to homes that hold others it may be linked to,
+however many n-grams near copies have in common.
 
 Texts are fetched for the members of groups only; sets are never written.
 
@@ -153,19 +157,20 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", para
 
 class Member(NamedTuple):
     name: bytes
-    block: int
     grams: np.ndarray          # the whole set
-    groups: frozenset[int]     # groups it belongs to
+    visitor: bool = False
+    rank: tuple[int, bytes] = (0, b"")   # size and root of its component
 
 
-def find_links(docs: list[Member], group: int, cross: bool, params: Params) -> list[tuple[bytes, bytes]]:
-    """Links that connect what the similar pairs of ``docs`` connect for which ``group`` is the first of
-    the groups that both belong to.
+def find_links(docs: list[Member], params: Params) -> list[tuple[bytes, bytes]]:
+    """Links that connect what the similar pairs of ``docs`` connect.
 
-    With ``cross`` only pairs of different blocks are compared.  N-grams are ordered by their
-    count among these documents, rarest first; sets come in order of size.
+    Members of one component are connected already.  Where there are visitors, only pairs of a visitor
+    and a resident of a component of higher rank are compared.  N-grams are ordered by their count among
+    these documents, rarest first; sets come in order of size.
     """
     docs = sorted(docs, key=lambda d: (len(d.grams), d.name))
+    visited = any(d.visitor for d in docs)
     sizes = [len(d.grams) for d in docs]
     grams, where, counts = np.unique(np.concatenate([d.grams for d in docs]), return_inverse=True, return_counts=True)
     rank = np.empty(len(grams), np.int64)
@@ -173,7 +178,8 @@ def find_links(docs: list[Member], group: int, cross: bool, params: Params) -> l
     cuts = np.cumsum(sizes)[:-1]
     ranks = [np.sort(r) for r in np.split(rank[where], cuts)]
     common = np.sort(rank[counts > 1])
-    parent = list(range(len(docs)))
+    first: dict[bytes, int] = {}
+    parent = [first.setdefault(d.rank[1], i) if d.rank[1] else i for i, d in enumerate(docs)]
 
     def find(a: int) -> int:
         while parent[a] != a:
@@ -193,15 +199,19 @@ def find_links(docs: list[Member], group: int, cross: bool, params: Params) -> l
                 continue                                                # in no other document
             for y, j in index.get(g, ()):
                 ny = sizes[y]
-                if 100 * ny < params.percent * nx or (cross and docs[x].block == docs[y].block):
+                if 100 * ny < params.percent * nx:
                     continue                                            # length
                 so_far = shared.get(y, 0)
                 if so_far >= 0:                                         # position
                     fits = so_far + 1 + min(nx - i, ny - j) - 1 >= params.overlap(nx, ny)
                     shared[y] = so_far + 1 if fits else -1
         for y, n in shared.items():
-            if n <= 0 or find(x) == find(y) or min(docs[x].groups & docs[y].groups) != group:
+            if n <= 0 or find(x) == find(y):
                 continue
+            if visited:
+                guest, host = (docs[x], docs[y]) if docs[x].visitor else (docs[y], docs[x])
+                if not guest.visitor or host.visitor or host.rank <= guest.rank:
+                    continue
             ry, ny = ranks[y], sizes[y]
             need = params.overlap(nx, ny)
             # suffix: cut both sets at the same n-grams; the parts' sizes bound what they can share
@@ -223,8 +233,8 @@ def find_links(docs: list[Member], group: int, cross: bool, params: Params) -> l
 def groups_of(classes: DataFrame, params: Params) -> DataFrame:
     """(gram, node): groups of two or more classes that share a prefix n-gram.
 
-    Left out are members whose size none of the others comes near, groups with the members of
-    another one, and groups that are part of another one.
+    Left out are members whose size none of the others comes near, and groups with the members of
+    another one.
     """
     rows = classes.select("node", "n", F.explode("prefix").alias("gram"))
     shared = rows.groupBy("gram").agg(
@@ -238,55 +248,93 @@ def groups_of(classes: DataFrame, params: Params) -> DataFrame:
     steps = members.groupBy("gram", "step").agg(F.count(F.lit(1)).alias("m"))
     near = stage(steps.select("gram", F.explode(F.array(F.col("step") - 1, "step", F.col("step") + 1)).alias("step"), "m")
                  .groupBy("gram", "step").agg(F.sum("m").alias("m")).where("m > 1").drop("m"))
-    members = stage(join_checked(members, near, ["gram", "step"], "left_semi").drop("step"))
-    # a group is part of another one if they have as many members in common as it has
-    sizes = stage(members.groupBy("gram").agg(F.count(F.lit(1)).alias("size")))
-    sized = stage(join_checked(members, sizes, ["gram"], "inner"))
-    part = sized.select("node", F.col("gram").alias("part"), F.col("size").alias("of"))
-    common = sized.join(part, "node").where("of < size OR (of = size AND gram < part)") \
-        .groupBy("part", "gram", "of").agg(F.count(F.lit(1)).alias("m"))
-    parts = stage(common.where("m = of").select(F.col("part").alias("gram")).distinct())
-    return join_checked(members, parts, ["gram"], "left_anti")
-
-
-def _tasks(classes: DataFrame, params: Params) -> DataFrame:
-    """(gram, i, j, block, digest, rep, groups): members of groups, placed in pairs of blocks."""
-    rows = stage(groups_of(classes, params))
-    lists = rows.groupBy("node").agg(F.collect_list("gram").alias("groups"))   # at most a prefix each
-    members = stage(classes.select("node", "digest", "rep", "n").join(lists, "node"))
-    placed = members.select("digest", "rep", "n", "groups", F.explode("groups").alias("gram"))
-    blocks = placed.groupBy("gram").agg(F.greatest(
-        F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_GRAMS), F.lit(1)).cast("int").alias("blocks"))
-    return join_checked(placed, stage(blocks), ["gram"], "inner") \
-        .withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
-                "digest", "rep", "groups")
+    return join_checked(members, near, ["gram", "step"], "left_semi").drop("step")
 
 
-def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, params: Params) -> DataFrame:
-    """(a, b) verified links between classes, enough to connect all that similar pairs connect."""
-    tasks = stage(_tasks(classes, params))
-    fetched = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
-    wanted = stage(tasks.select("digest", "rep").distinct())
-    texts = stage(join_checked(fetched, wanted, (F.col("h") == F.col("rep.text_hash"))
-                               & F.col("d").eqNullSafe(F.col("rep.doc_id")), "inner", row_bytes=96).select("digest", "t"))
-    if texts.count() > wanted.count():   # only where rows repeat
-        texts = stage(texts.groupBy("digest").agg(F.first("t").alias("t")))
+def homes_of(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(digest, node, rep, gram, block): the home of every member of a group, which is a block of the
+    largest group that it belongs to."""
+    sizes = stage(members.groupBy("gram").agg(F.count(F.lit(1)).alias("size")))
+    largest = join_checked(members, sizes, ["gram"], "inner").groupBy("node").agg(
+        F.max(F.struct("size", "gram")).alias("of")).select("node", "of.gram")
+    homes = stage(classes.select("digest", "node", "rep", "n").join(stage(largest), "node"))
+    blocks = stage(homes.groupBy("gram").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks")))
+    return join_checked(homes, blocks, ["gram"], "inner").select(
+        "digest", "node", "rep", "gram", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("block"))
+
 
+def _compared(texts: DataFrame, placed: DataFrame, by: list[str], params: Params) -> DataFrame:
+    """(a, b): links found in each of the tasks ``by`` of ``placed`` (digest, visitor, size, root, ...)."""
     def run(table: pa.Table) -> pa.Table:
         hash_of = HashOf()
-        here = [Member(digest, block, gram_set(t.as_py(), params.width, hash_of), frozenset(groups))
-                for digest, block, groups, t in zip(*[table.column(c).to_pylist() for c in ("digest", "block", "groups")],
-                                                    table.column("t"))]
-        gram, i, j = (table.column(c)[0].as_py() for c in ("gram", "i", "j"))
-        found = find_links(here, gram, i != j, params)
+        here = [Member(d, gram_set(t.as_py(), params.width, hash_of), v, (s, r))
+                for d, v, s, r, t in zip(*[table.column(c).to_pylist() for c in ("digest", "visitor", "size", "root")],
+                                         table.column("t"))]
+        found = find_links(here, params)
         return pa.table({"a": pa.array([x[0] for x in found], pa.binary()),
                          "b": pa.array([x[1] for x in found], pa.binary())})
 
-    # the texts stay in place until they go to their groups, if what tells the groups is small enough
-    placed = join_checked(texts, tasks.drop("rep"), ["digest"], "inner", row_bytes=200)
-    return placed.groupBy("gram", "i", "j").applyInArrow(run, "a binary, b binary")
+    # the texts stay in place until they go to their tasks, if what tells the tasks is small enough
+    rows = join_checked(texts, stage(placed), ["digest"], "inner", row_bytes=96)
+    return rows.groupBy(*by).applyInArrow(run, "a binary, b binary")
+
+
+def _visits(members: DataFrame, homes: DataFrame, found: DataFrame, heads: bool) -> DataFrame:
+    """(gram, block, part, digest, visitor, size, root) of all visits that may still find a link.
+
+    A member visits the homes of the members that it shares a group with, where these are of
+    components of higher rank; with ``heads`` only one member of each component of several does.
+    """
+    roots = stage(connected(found).withColumnRenamed("node", "digest"))
+    ranked = stage(join_checked(homes, roots, ["digest"], "left", row_bytes=96)
+                   .withColumn("root", F.coalesce("root", "digest")))
+    sizes = stage(ranked.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("digest").alias("head")))
+    ranked = stage(join_checked(ranked, sizes, ["root"], "inner", row_bytes=96).select(
+        "node", "digest", F.struct(F.col("gram").alias("gram"), "block").alias("home"), "size", "root",
+        ((F.col("digest") == F.col("head")) & (F.col("size") > 1)).alias("head")))
+    in_groups = stage(members.join(ranked, "node"))
+    there = in_groups.groupBy("gram", "home").agg(F.max(F.struct("size", "root")).alias("highest"))
+    open_ = stage(there.groupBy("gram").agg(F.max("highest").alias("highest"), F.count(F.lit(1)).alias("homes"))
+                  .where("homes > 1").select("gram", F.col("highest").alias("top")))
+    guests = join_checked(in_groups, open_, ["gram"], "inner").where(F.struct("size", "root") < F.col("top"))
+    guests = guests.where("head") if heads else guests
+    visits = guests.select("gram", "digest", "size", "root", F.col("home").alias("own")) \
+        .join(there, "gram").where((F.col("home") != F.col("own")) & (F.col("highest") > F.struct("size", "root"))) \
+        .select("home", "digest", "size", "root").distinct()
+    visits = stage(visits)
+    parts = stage(visits.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("int").alias("parts")))
+    guests = join_checked(visits, parts, ["home"], "inner") \
+        .withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")).withColumn("visitor", F.lit(True))
+    hosts = join_checked(ranked, parts, ["home"], "inner") \
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("visitor", F.lit(False))
+    names = ["home.gram", "home.block", "part", "digest", "visitor", "size", "root"]
+    return guests.select(*names).unionByName(hosts.select(*names))
+
+
+def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, params: Params) -> DataFrame:
+    """(a, b) verified links between classes, enough to connect all that similar pairs connect.
+
+    First the residents of each home are compared, so that most near copies are of one component;
+    then the heads of components visit the homes of others, and then all members that may still have
+    a link to a component that is not their own.
+    """
+    members = stage(groups_of(classes, params))
+    homes = stage(homes_of(members, classes))
+    fetched = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    texts = stage(join_checked(fetched, homes.select("digest", "rep"), (F.col("h") == F.col("rep.text_hash"))
+                               & F.col("d").eqNullSafe(F.col("rep.doc_id")), "inner", row_bytes=96).select("digest", "t"))
+    if texts.count() > homes.count():   # only where rows repeat
+        texts = stage(texts.groupBy("digest").agg(F.first("t").alias("t")))
+    several = stage(homes.groupBy("gram", "block").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"))
+    residents = join_checked(homes, several, ["gram", "block"], "left_semi").select(
+        "digest", "gram", "block", F.lit(False).alias("visitor"), F.lit(0).cast("long").alias("size"),
+        F.lit(b"").alias("root"))
+    found = stage(_compared(texts, residents, ["gram", "block"], params))
+    for heads in (True, False):
+        visits = _visits(members, homes, found, heads)
+        found = stage(found.unionByName(_compared(texts, visits, ["gram", "block", "part"], params)))
+    return found
 
 
 def similar_classes(signed: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
