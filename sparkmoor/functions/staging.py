@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,11 +47,43 @@ class Staged(NamedTuple):
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return the written table."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = new_folder(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_records: list[list[str]] = []
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A folder of the shared one that is not taken yet."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    for r in _records:
+        r.append(path)
+    return path
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders that are taken while the block runs."""
+    paths: list[str] = []
+    _records.append(paths)
+    try:
+        yield paths
+    finally:
+        _records[:] = [r for r in _records if r is not paths]
+
+
+def drop_folders(spark: SparkSession, paths: list[str], reader: DataFrame) -> None:
+    """Delete written folders, unless ``reader`` still reads from one of them."""
+    used = reader.inputFiles()
+    if any(f"/{p.rsplit('/', 1)[-1]}/" in f for p in paths for f in used):
+        return
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage_counted(df: DataFrame) -> Staged:
     """Stage and count; the count is answered from the Parquet footers."""
     written = stage(df)
