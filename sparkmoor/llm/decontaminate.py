@@ -22,7 +22,6 @@ documents of their own; empty tables give no matches or no rows.  Other columns
 
 from __future__ import annotations
 
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordering import global_index
-from ..functions.staging import shared_dir
+from ..functions.staging import new_folder
 from .common import join_checked, stage
 
 BLOCK_WORDS, BLOCK_DOCS = 1 << 21, 1 << 16
@@ -133,7 +132,7 @@ def build_index(docs: DataFrame, path: str | None = None, key: str = "doc_id", t
                 block_words: int = BLOCK_WORDS) -> DataFrame:
     """Write the index of ``docs`` to ``path`` (default: the shared folder) and return it."""
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    path = path or new_folder(spark, "postings")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, block = TaskContext.get().partitionId(), 0, _Block()

@@ -27,7 +27,6 @@ columns are never read.
 
 from __future__ import annotations
 
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -40,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import running_total
-from ..functions.staging import shared_dir
+from ..functions.staging import new_folder
 from ..operators.retrieve import top_k
 from .common import join_checked, per_row, stage
 from .decontaminate import FOLD, pack, unpack
@@ -201,7 +200,7 @@ def build_index(docs: DataFrame, path: str | None = None, key: str = "doc_id", t
                 cells: int = CELLS) -> Index:
     """Write the index of ``docs``, whose keys are whole numbers, to ``path`` (default: the shared folder)."""
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/treaps-{uuid.uuid4().hex}"
+    path = path or new_folder(spark, "treaps")
     n_docs, n_words = count_words(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,14 +73,14 @@ def base_spans(text):
     return [(kind, a, b) for a, _, kind, b in sorted(out)]
 
 
-def shingles(text):
+def shingles(text, width=3):
     w = BLANK_WORD.findall((text or "").translate(LOWER))
-    return {tuple(w[i:i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set()
+    return {tuple(w[i:i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
 
-def components(docs):
+def components(docs, width=3, percent=90):
     """[(doc_id, n_shingles, component_id)] with unique ids."""
-    sets = [(d, shingles(t)) for d, t in docs]
+    sets = [(d, shingles(t, width)) for d, t in docs]
     parent = {d: d for d, _ in sets}
 
     def find(a):
@@ -105,7 +105,7 @@ def components(docs):
                     shared[(b, a)] = 1
     for a, b in shared:
         i = len(of[a] & of[b])
-        if 100 * i >= 90 * (len(of[a]) + len(of[b]) - i):
+        if 100 * i >= percent * (len(of[a]) + len(of[b]) - i):
             x, y = sorted((find(a), find(b)))
             parent[y] = x
     low = {}

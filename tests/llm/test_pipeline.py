@@ -2,6 +2,7 @@
 
 import brute
 import numpy as np
+from conftest import DOC, ODD
 
 import corpus_pipeline
 from sparkmoor.llm import tokens
@@ -11,7 +12,7 @@ def plain(docs, items):
     """What the first three stages keep; no rule on hosts applies to these tables."""
     measures = {r[0]: r for r in brute.quality(docs)}
     docs = [(d, t) for d, t in docs if not measures[d][6] and measures[d][3] <= 0.5 * measures[d][1]]
-    names = {d: c for d, _, c in brute.components(docs)}
+    names = {d: c for d, _, c in brute.components(docs, 5, 80)}
     docs = [(d, t) for d, t in docs if names[d] == d]
     hit = {r[0]: r[5] for r in brute.contamination(docs, items)}
     return [(d, t) for d, t in docs if not hit[d]]
@@ -42,3 +43,50 @@ def test_pipeline(spark, root):
 def test_run(spark, root):
     out = corpus_pipeline.run(spark, root)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count()
+
+
+def near_copies(n=60):
+    """Texts, and copies of them whose sets of five-word runs are 0.80 to 0.88 alike."""
+    import random
+
+    rng, docs, pairs = random.Random(3), [], []
+    for i in range(n):
+        w = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        copy, at = list(w), 10
+        for _ in range(3 + i % 2):          # an edit changes five runs of words
+            copy[at] = f"x{rng.randrange(10**6)}"
+            at += 12
+        if i % 3 == 0:
+            copy += [f"y{rng.randrange(10**6)}" for _ in range(10)]
+        a, b = (brute.shingles(" ".join(x), 5) for x in (w, copy))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.88:
+            docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(copy))]
+            pairs.append((2 * i, 2 * i + 1))
+    return docs, pairs
+
+
+def test_near_copies_go(spark, root):
+    docs, pairs = near_copies()
+    assert len(pairs) > 30
+    table = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in docs], DOC)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, table, root).collect()}
+    assert kept == {a for a, _ in pairs}
+
+
+def test_odd_rows_and_an_empty_table(spark, root, odd, none):
+    for start in (odd, none):
+        table = start
+        for name, step in corpus_pipeline.STAGES[:-1]:
+            table = corpus_pipeline.stage(step(spark, table, root))
+            assert table.columns == start.columns, name
+        left = {r["doc_id"] for r in table.collect()}
+        assert left <= {d for d, *_ in ODD} and (start is odd) == bool(left)
+        assert corpus_pipeline.STAGES[-1][1](spark, table, root).count() >= len(left)
+
+
+def test_stages_without_writing(spark, root, none):
+    """A stage's folders stay as long as its result is read from them."""
+    docs = spark.createDataFrame([(1, "some words " * 3 + "and a few of other kinds in one text", "en", "a", 1)] * 2, DOC)
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        docs = step(spark, docs, root)
+    assert docs.count() == 1
