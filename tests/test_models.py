@@ -242,10 +242,10 @@ def sequence(n, dim, seed=0):
     return rng.integers(-9, 10, size=(n, dim)), rng.integers(-9, 10, size=(n, dim))
 
 
-def packed(spark, q, k):
-    df = spark.createDataFrame([(i, q[i].tolist(), k[i].tolist()) for i in range(len(q))],
-                               "pos bigint, q array<int>, k array<int>").repartition(3)
-    return decoding.pack_sequences(df, len(q))
+def positions(spark, sequences):
+    """(seq_id, at, q, k) of sequences given as pairs of matrices."""
+    data = [(s, i, q[i].tolist(), k[i].tolist()) for s, (q, k) in sequences.items() for i in range(len(q))]
+    return spark.createDataFrame(data, "seq_id bigint, at int, q array<int>, k array<int>").repartition(3)
 
 
 def model_rounds(q, k, past):
@@ -257,23 +257,50 @@ def model_rounds(q, k, past):
         yield r, [int(q[past + r] @ key) for key in held]
 
 
-def test_growing_scores(spark):
-    q, k = sequence(48, 6)
-    p = packed(spark, q, k)
-    got = {}
-    for r in decoding.growing_scores(p, 28, 6).collect():
-        got.setdefault(r["round"], {})[r.pos] = r.score
-    bits = {}
-    for r in decoding.threshold_bits(p, 28, 6, 20).collect():
-        bits.setdefault(r["round"], {})[r.word] = r.bits
-    pages = {}
-    for r in decoding.best_pages(p, 28, 6, 4, 3).collect():
-        pages.setdefault(r["round"], []).append((r["rank"], r.page_id))
-    for r, scores in model_rounds(q, k, 28):
-        assert [got[r][i] for i in range(len(scores))] == scores and len(got[r]) == len(scores)
-        assert bits[r] == {0: sum(1 << i for i, s in enumerate(scores) if s > 20), 1: 0}
+@pytest.mark.parametrize("tile", [1024, 16])
+def test_growing_scores(spark, tile, monkeypatch):
+    """One long sequence, short ones that share tiles, and one without a round."""
+    monkeypatch.setattr(decoding, "TILE", tile)
+    sequences = {0: sequence(48, 6), 7: sequence(420, 6, 1), 9: sequence(29, 6, 2), 11: sequence(28, 6, 3)}
+    p, past = positions(spark, sequences), 28
+    got, bits, pages, keys = {}, {}, {}, {}
+    for r in decoding.growing_scores(p, past).collect():
+        got.setdefault((r.seq_id, r["round"]), {})[r.pos] = r.score
+    for r in decoding.threshold_bits(p, past, 20).collect():
+        bits.setdefault((r.seq_id, r["round"]), {})[r.word] = r.bits
+    for r in decoding.best_pages(p, past, 4, 3).collect():
+        pages.setdefault((r.seq_id, r["round"]), []).append((r["rank"], r.page_id))
+    for r in decoding.budget_keys(p, past, 5).collect():
+        keys.setdefault((r.seq_id, r["round"]), []).append((r["rank"], r.pos))
+    want = {(s, r): x for s, (q, k) in sequences.items() for r, x in model_rounds(q, k, past)}
+    assert got.keys() == bits.keys() == pages.keys() == keys.keys() == want.keys() and len(want) == 20 + 392 + 1
+    for at, scores in want.items():
+        assert [got[at][i] for i in range(len(scores))] == scores and len(got[at]) == len(scores)
+        assert bits[at] == {0: (sum(1 << i for i, s in enumerate(scores[:64]) if s > 20) + 2**63) % 2**64 - 2**63,
+                            1: sum(1 << i for i, s in enumerate(scores[64:]) if s > 20)}
         best = [max(scores[i:i + 4]) for i in range(0, len(scores), 4)]
-        assert [i for _, i in sorted(pages[r])] == sorted(range(len(best)), key=lambda i: (-best[i], i))[:3]
+        assert [i for _, i in sorted(pages[at])] == sorted(range(len(best)), key=lambda i: (-best[i], i))[:3]
+        assert [i for _, i in sorted(keys[at])] == sorted(range(len(scores)), key=lambda i: (-scores[i], i))[:5]
+
+
+def test_a_long_sequence_uses_many_tasks(spark):
+    n, past = 60_000, 80
+    rows = spark.range(n).select(F.lit(3).cast("bigint").alias("seq_id"), F.col("id").cast("int").alias("at"),
+                                 F.array(F.col("id") % 7, F.col("id") % 5).cast("array<smallint>").alias("q"),
+                                 F.array(F.col("id") % 11, F.col("id") % 3).cast("array<smallint>").alias("k"))
+    tiles = decoding.over_tiles(rows, past, lambda t: {"round": t.rounds[:1], "n": np.array([t.seen.sum()])},
+                                "seq_id bigint, round int, n bigint")
+    found = tiles.withColumn("part", F.spark_partition_id()).collect()
+    rounds = np.arange(n - past)
+    assert sum(r.n for r in found) == (past + rounds // 8 + 1).sum()
+    assert max(r.n for r in found) <= decoding.TILE ** 2 and len(found) > 200 and len({r.part for r in found}) > 1
+
+
+def test_windows(spark):
+    for n, want in ((7, {0: range(7)}), (10, {0: range(10)}), (25, {0: range(10), 1: range(10, 20), 2: range(15, 25)})):
+        rows = spark.range(n).withColumnRenamed("id", "pos").withColumn("v", F.col("pos"))
+        got = sorted(map(tuple, decoding.windows(rows, 10, n).collect()))
+        assert got == [(s, i, v) for s, vs in want.items() for i, v in enumerate(vs)]
 
 
 # ---- experts ------------------------------------------------------------------------

@@ -23,12 +23,8 @@ def rows(df):
 
 
 def test_growing_keys(spark, root, tmp_path):
-    def fixed(c):
-        return F.transform(c.cast("array<double>"), lambda x: F.bround(x * 100))
-
-    e = table(spark, root, "embeddings").select(
-        F.floor(F.col("vec_id") / LENGTH).cast("bigint").alias("seq_id"), (F.col("vec_id") % LENGTH).cast("int").alias("at"),
-        fixed(F.reverse("embedding")).alias("q"), fixed(F.col("embedding")).alias("k"))
+    e = decoding_queries.sequences(spark, root).select(
+        "seq_id", "at", F.col("q").cast("array<double>").alias("q"), F.col("k").cast("array<double>").alias("k"))
     # three files, so that the state has to carry keys from one micro-batch to the next
     for i, (a, z) in enumerate([(0, 40), (40, 85), (85, LENGTH)]):
         e.where((F.col("at") >= a) & (F.col("at") < z)).coalesce(1).write.parquet(f"{tmp_path}/in/part={i}")
