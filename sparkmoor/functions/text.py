@@ -130,9 +130,9 @@ MATH_CALLS = {
     "fma": ["fma", "fmaf"],
 }
 ARITHMETIC = {"add": "+", "sub": "-", "mul": "*", "div": "/"}
-# One lexeme of a source line, for one operator: a string, a sign of two characters, or the operator
-# between two operands.
-LEXEME = r"""\"[^\"]*\"|'[^']*'|[-+*/]=|->|\+\+|--|[\w)\]]\s*{}\s*[\w(\[]"""
+# What a source line is read as: strings, words, signs of two characters, and any other sign.
+LEXEME = r"""\"[^\"]*\"|'[^']*'|\w+|[-+*/]=|->|\+\+|--|\S"""
+BEFORE, AFTER = r"[\w)\]]$", r"^[\w(\[]"   # how an operand ends, and how one begins
 
 
 def is_comment(line: Column) -> Column:
@@ -142,13 +142,17 @@ def is_comment(line: Column) -> Column:
 def arithmetic_counts(line: Column) -> dict[str, Column]:
     """Arithmetic operators of one source line, by class; comment lines and strings left out.
 
-    For each operator the line is read once, lexeme by lexeme.  An assignment counts as its operator,
-    and an operator counts between operands; arrows, steps and signs do not.
+    An assignment counts as its operator, and an operator counts between two operands, each of which
+    may stand beside other operators as well; arrows, steps and signs do not count.
     """
     def count(op: str) -> Column:
-        lexemes = F.regexp_extract_all(line, F.lit(LEXEME.format("\\" + op)), F.lit(0))
-        hits = F.filter(lexemes, lambda x: (x == op + "=") | x.rlike(r"^[\w)\]]"))
-        return F.when(is_comment(line), F.lit(0)).otherwise(F.size(hits))
+        lexemes = F.array(F.regexp_extract_all(line, F.lit(LEXEME), F.lit(0)))   # bound once below
+
+        def hits(all_: Column) -> Column:
+            return F.size(F.filter(all_, lambda x, i: (x == op + "=") | (
+                (x == op) & F.get(all_, i - 1).rlike(BEFORE) & F.get(all_, i + 1).rlike(AFTER))))
+
+        return F.when(is_comment(line), F.lit(0)).otherwise(F.get(F.transform(lexemes, hits), 0))
 
     return {name: count(op) for name, op in ARITHMETIC.items()}
 

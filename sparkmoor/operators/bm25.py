@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import global_index, running_total
@@ -30,6 +30,7 @@ class Index(NamedTuple):
     postings: DataFrame
     n_docs: int
     mean_len: float
+    tokenizer: Callable[[list[str]], list[list[str]]] | None = None   # what its tokens were cut with
 
     @property
     def terms(self) -> DataFrame:
@@ -54,35 +55,23 @@ def postings_of(docs: DataFrame, text: str = "text", tokenizer=None) -> DataFram
         (F.coalesce("at", F.lit(0)) == 0).alias("head"))
 
 
-def describe(postings: DataFrame) -> Index:
+def describe(postings: DataFrame, tokenizer=None) -> Index:
     row = postings.agg(F.count_if("head").alias("n"), F.sum("tf").alias("len")).first()
-    return Index(postings, row["n"], (row["len"] or 0) / row["n"] if row["n"] else 0.0)
+    return Index(postings, row["n"], (row["len"] or 0) / row["n"] if row["n"] else 0.0, tokenizer)
 
 
 def build_index(docs: DataFrame, text: str = "text", tokenizer=None) -> Index:
-    """Tokenise once and keep the postings as a table in the shared folder."""
-    return describe(stage(postings_of(docs, text, tokenizer)))
-
-
-def save_index(postings: DataFrame, path: str) -> None:
-    postings.write.mode("overwrite").parquet(path)
-
-
-def load_or_build(spark: SparkSession, path: str, docs: DataFrame, text: str = "text", tokenizer=None) -> Index:
-    """Read a saved index; build and save it where there is none.  Any other failure to read is
-    raised: a good index must not be replaced because a store could not be reached."""
-    try:
-        return describe(spark.read.parquet(path))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-    save_index(postings_of(docs, text, tokenizer), path)
-    return describe(spark.read.parquet(path))
+    """Tokenise once and keep the postings as a table in the shared folder; ``sources.bundle`` keeps
+    an index beyond the session."""
+    return describe(stage(postings_of(docs, text, tokenizer)), tokenizer)
 
 
 def add_documents(index: Index, docs: DataFrame, text: str = "text") -> Index:
-    """Index with more documents; earlier ones are never removed."""
-    return describe(stage(index.postings.unionByName(postings_of(docs, text))))
+    """Index with more documents, cut by its own tokenizer; earlier ones are neither read nor removed."""
+    more = build_index(docs, text, index.tokenizer)
+    n = index.n_docs + more.n_docs
+    words = index.mean_len * index.n_docs + more.mean_len * more.n_docs
+    return Index(index.postings.unionByName(more.postings), n, words / n if n else 0.0, index.tokenizer)
 
 
 # ---- exports ------------------------------------------------------------------------

@@ -1,172 +1,128 @@
-"""Best documents for many queries at once, without a row per (query, document) pair.
+"""Best documents for many queries, by block-max postings.
 
-The postings of query tokens are brought together by document.  Each task scores a few hundred
-documents against all queries as a small matrix, keeps the best k per query while it reads its
-documents, and emits those alone.
+Documents are put into blocks, and every (token, block) keeps the largest and the smallest weight of the
+token in the block.  What a query can score in a block is bounded by the sum of its tokens' extremes, a
+join of two tables.  The blocks with the best bounds of a query are scored first; its k-th best score
+there is a bar, and all blocks whose bound does not reach it are skipped.  Queries are rows like
+postings are: none of their terms passes through the driver, and more of them are more rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import global_index
-from ..functions.staging import by_key, keyed_join, stage_counted
-from ..functions.vectors import np_rounded
+from ..functions.staging import Staged, by_key, keyed_join, salted_join, stage, stage_counted
+from ..functions.vectors import rounded
 from .bm25 import Formula, Index, weighted_terms
 from .retrieve import top_k
 
-CELLS = 4_000_000   # size of a score matrix
-DOCS = 2048         # documents per matrix at most
+DOCS = 64       # documents of a block
+SEEDS = 2       # blocks of a query that are scored first
 SHARES = 16
-TERM_ROWS = 1_000_000  # (query, token) rows that travel with the tasks at a time
-SLACK = 1e-6           # more than rounding can move a score
-SMALLEST = 5e-324
-
-BEST = "query_no int, doc_id bigint, score double"
-
-
-class _Terms:
-    """Query terms by term number: the queries that hold it and its idf."""
-
-    def __init__(self, term: np.ndarray, query: np.ndarray, idf: np.ndarray, n_queries: int):
-        order = np.argsort(term, kind="stable")
-        self.query, self.idf, self.n_queries = query[order], idf[order], n_queries
-        self.start = np.searchsorted(term[order], np.arange(term.max(initial=-1) + 2))
-
-    def of(self, term: int) -> tuple[np.ndarray, np.ndarray]:
-        span = slice(self.start[term], self.start[term + 1])
-        return self.query[span], self.idf[span]
-
-
-class _Best:
-    """The best k documents per query seen so far, by (score desc, id asc)."""
-
-    def __init__(self, k: int, n_queries: int):
-        self.k = k
-        self.bar = np.full(n_queries, -np.inf)  # k-th best score, once there are k
-        self.query, self.doc, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-
-    def add(self, docs: np.ndarray, scores: np.ndarray, matched: np.ndarray | None) -> None:
-        """Take in a matrix of exact scores; without ``matched`` a match is a score above 0."""
-        if matched is None:
-            row, col = np.nonzero(scores >= np.maximum(self.bar - SLACK, SMALLEST))
-        else:
-            row, col = np.nonzero(matched & (scores >= self.bar - SLACK))
-        value = np_rounded(scores[row, col])
-        good = value >= self.bar[col]
-        query = np.concatenate([self.query, col[good]])
-        doc = np.concatenate([self.doc, docs[row[good]]])
-        score = np.concatenate([self.score, value[good]])
-        order = np.lexsort((doc, -score, query))
-        query, doc, score = query[order], doc[order], score[order]
-        place = np.arange(len(query)) - np.searchsorted(query, query)
-        keep = place < self.k
-        last = place == self.k - 1
-        self.bar[query[last]] = score[last]
-        self.query, self.doc, self.score = query[keep], doc[keep], score[keep]
-
-
-def _score(best: _Best, terms: _Terms, positive: bool, doc: np.ndarray, term: np.ndarray,
-           weight: np.ndarray) -> None:
-    """Score whole documents; their rows are sorted by document."""
-    docs, first, row = np.unique(doc, return_index=True, return_inverse=True)
-    size = min(DOCS, max(1, CELLS // max(1, terms.n_queries)))
-    for a in range(0, len(docs), size):
-        z = min(a + size, len(docs))
-        part = slice(first[a], first[z] if z < len(docs) else len(doc))
-        order = np.argsort(term[part], kind="stable")
-        t, r, w = term[part][order], row[part][order] - a, weight[part][order]
-        scores = np.zeros((z - a) * terms.n_queries)
-        matched = None if positive else np.zeros(scores.shape, bool)
-        bounds = np.flatnonzero(np.diff(t, prepend=-1))
-        for i, j in zip(bounds, np.append(bounds[1:], len(t))):
-            query, idf = terms.of(t[i])
-            at = np.add.outer(r[i:j] * terms.n_queries, query).ravel()  # each cell once
-            scores[at] += np.outer(w[i:j], idf).ravel()
-            if matched is not None:
-                matched[at] = True
-        shape = (z - a, terms.n_queries)
-        best.add(docs[a:z], scores.reshape(shape), None if matched is None else matched.reshape(shape))
-
-
-def top_documents(index: Index, terms: DataFrame, formula: Formula, k: int,
+SLACK = 1e-5    # more than rounding can move a score
+
+
+class Blocks(NamedTuple):
+    """``postings`` (block, doc_id, token, weight) and ``tops`` (token, block, high, low), both written.
+
+    ``names`` (_id, doc_id) numbers documents whose ids are no whole numbers.
+    """
+
+    index: Index
+    formula: Formula
+    postings: DataFrame
+    tops: Staged
+    names: Staged | None
+
+
+def block_postings(index: Index, formula: Formula, postings: DataFrame | None = None, docs: int = DOCS) -> Blocks:
+    """Cut postings into blocks of about ``docs`` documents with near ids.
+
+    Ids of any type that can be put in order will do; ``postings`` replaces the scored ones.
+    """
+    scored, names = (index.terms if postings is None else postings), None
+    if dict(scored.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        ids = index.postings.where("head").select(F.col("doc_id").alias("_id"))
+        names = stage_counted(global_index(ids, ["_id"], "doc_id"))
+        scored = keyed_join(scored.withColumnRenamed("doc_id", "_id"), names, ["_id"])
+    weighed = stage(by_key(scored.select(
+        F.floor(F.col("doc_id") / docs).cast("bigint").alias("block"), F.col("doc_id").cast("bigint").alias("doc_id"), "token",
+        formula.weight(F.col("tf"), F.col("dl"), index.mean_len).alias("weight")), "block").sortWithinPartitions("block", "token"))
+    # the rows of a block are together, so this combines before the shuffle and moves a row per (token, block)
+    tops = weighed.groupBy("token", "block").agg(F.max("weight").alias("high"), F.min("weight").alias("low"))
+    return Blocks(index, formula, weighed, stage_counted(tops), names)
+
+
+class Plan(NamedTuple):
+    """Weighted query terms (q, token, idf), bounds (q, block, bound) and the blocks scored first.
+
+    ``q`` holds the columns that name a query, in a struct that is never null.
+    """
+
+    terms: DataFrame
+    bounds: DataFrame
+    seeds: DataFrame
+
+
+def plan_blocks(blocks: Blocks, terms: DataFrame, by: list[str]) -> Plan:
+    """Bounds of every (query, block) that has a token of the query, and the best blocks of each."""
+    weighted = weighted_terms(blocks.index, terms, blocks.formula)
+    named = stage_counted(weighted.df.select(F.struct(*by).alias("q"), "token", "idf"))
+    # an extreme counts only if it helps: a document of the block may lack the token
+    best = F.greatest(F.lit(0.0), F.col("idf") * F.when(F.col("idf") > 0, F.col("high")).otherwise(F.col("low")))
+    # queries and blocks may repeat a token each
+    met = salted_join(blocks.tops.df, named, ["token"], "block")
+    bounds = stage(met.groupBy("q", "block").agg((F.sum(best) + SLACK).alias("bound")))
+    seeds = top_k(bounds.select("q", "block", F.col("bound").alias("score")), SEEDS, "block", ["q"], spread=SHARES)
+    return Plan(named.df, bounds, stage(seeds.select("q", "block", F.col("score").alias("bound"))))
+
+
+def score_blocks(blocks: Blocks, plan: Plan, chosen: DataFrame, k: int) -> DataFrame:
+    """(q, doc_id, score): the k best documents of each query in the ``chosen`` (q, block).
+
+    Both sides come together by block, whose documents are few, so a document's parts are added
+    where they are joined.
+    """
+    wanted = stage_counted(chosen.select("q", "block").join(plan.terms, "q"))
+    held = blocks.postings
+    if wanted.broadcastable:
+        hits = held.join(F.broadcast(wanted.df), ["block", "token"])
+    else:
+        hits = by_key(held, "block").join(by_key(wanted.df, "block"), ["block", "token"])
+    scores = hits.groupBy("q", "block", "doc_id").agg(rounded(F.sum(F.col("idf") * F.col("weight"))).alias("score"))
+    return top_k(scores.select("q", "doc_id", "score"), k, "doc_id", ["q"], spread=SHARES).drop("rank")
+
+
+def bars(seeded: DataFrame, plan: Plan, k: int) -> DataFrame:
+    """(q, bar, bound, block): the k-th best score of each query that has as many, and its last seed."""
+    bar = seeded.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("bar")) \
+        .select("q", F.when(F.col("n") >= k, F.col("bar")).otherwise(F.lit(float("-inf"))).alias("bar"))
+    last = plan.seeds.groupBy("q").agg(F.min(F.struct("bound", -F.col("block"))).alias("last"))
+    return bar.join(last, "q")
+
+
+def remaining(plan: Plan, bar: DataFrame) -> DataFrame:
+    """(q, block): blocks behind the seeds whose bound reaches the bar."""
+    behind = F.struct("bound", -F.col("block")) < F.col("last")
+    return plan.bounds.join(bar, "q").where(behind & (F.col("bound") >= F.col("bar"))).select("q", "block")
+
+
+def top_documents(index: Index | Blocks, terms: DataFrame, formula: Formula, k: int,
                   by: list[str] | None = None, postings: DataFrame | None = None) -> DataFrame:
     """The ``k`` best matching documents per query: (by..., doc_id, score, rank).
 
-    Queries go in groups of about ``TERM_ROWS`` weighted terms, which travel with the tasks; each
-    group reads the postings of its tokens.  A query of nulls is a query.  Document ids of any type
-    that can be put in order will do: those that are no whole numbers are numbered in that order.
+    A query of nulls is a query.  ``index`` may be cut into blocks already, for ``formula``.
     """
     by = by or ["query_id"]
-    scored = index.terms if postings is None else postings
-    kind = dict(scored.dtypes)["doc_id"]
-    if kind in ("tinyint", "smallint", "int", "bigint"):
-        return _top(index, terms, formula, k, by, scored)
-    numbers = stage_counted(global_index(index.postings.where("head").select(F.col("doc_id").alias("_id")), ["_id"], "_no"))
-    numbered = scored.withColumnRenamed("doc_id", "_id")
-    numbered = keyed_join(numbered, numbers, ["_id"]).withColumnRenamed("_no", "doc_id")
-    ranked = _top(index, terms, formula, k, by, numbered).withColumnRenamed("doc_id", "_no")
-    return keyed_join(ranked, numbers, ["_no"]).select(*by, F.col("_id").alias("doc_id"), "score", "rank")
-
-
-def _top(index: Index, terms: DataFrame, formula: Formula, k: int, by: list[str], scored: DataFrame) -> DataFrame:
-    weighted = weighted_terms(index, terms, formula)
-    groups = max(1, -(-weighted.rows // max(1, TERM_ROWS)))
-    if groups == 1:
-        return _top_of_group(index, weighted.df, formula, k, by, scored)
-    of_group = F.pmod(F.xxhash64(*by), F.lit(groups))
-    parts = [_top_of_group(index, weighted.df.where(of_group == g), formula, k, by, scored) for g in range(groups)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every
-
-
-def _top_of_group(index: Index, weighted: DataFrame, formula: Formula, k: int, by: list[str],
-                  scored: DataFrame) -> DataFrame:
-    spark = weighted.sparkSession
-    held = weighted.toArrow()
-    keys = held.select(by).to_pandas()
-    query_no = keys.groupby(by, sort=False, dropna=False).ngroup().to_numpy().astype(np.int64)
-    term_no, words = pd.factorize(held["token"].to_pandas())
-    n_queries = int(query_no.max(initial=-1)) + 1
-    by_term = _Terms(term_no, query_no, held["idf"].to_numpy(), n_queries)
-    numbers = spark.createDataFrame(pa.table({"token": pa.array(words.tolist(), pa.string()),
-                                              "term": pa.array(np.arange(len(words), dtype=np.int32))}))
-    first = np.unique(query_no, return_index=True)[1]
-    names = held.select(by).take(pa.array(first, pa.int64())).append_column(
-        "query_no", pa.array(np.arange(n_queries, dtype=np.int32)))
-
-    positive = formula.idf_plus_one  # every contribution is above 0
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, held_back, rows = _Best(k, n_queries), [], 0
-
-        def columns() -> list[np.ndarray]:
-            return [np.concatenate([p[c] for p in held_back]) for c in range(3)]
-
-        for batch in batches:
-            held_back.append([batch.column(c).to_numpy() for c in ("doc_id", "term", "weight")])
-            rows += batch.num_rows
-            if rows >= 200_000:
-                doc, term, weight = columns()
-                cut = int(np.searchsorted(doc, doc[-1]))  # the last document may go on
-                _score(best, by_term, positive, doc[:cut], term[:cut], weight[:cut])
-                held_back, rows = [[doc[cut:], term[cut:], weight[cut:]]], len(doc) - cut
-        if held_back:
-            _score(best, by_term, positive, *columns())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(best.query.astype(np.int32)), pa.array(best.doc.astype(np.int64)), pa.array(best.score)],
-            names=["query_no", "doc_id", "score"])
-
-    hits = scored.join(F.broadcast(numbers), "token").select(
-        "doc_id", "term", formula.weight(F.col("tf"), F.col("dl"), index.mean_len).alias("weight"))
-    best = by_key(hits, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, BEST)
-    ranked = top_k(best, k, "doc_id", ["query_no"], spread=SHARES)
-    return ranked.join(F.broadcast(spark.createDataFrame(names)), "query_no").select(*by, "doc_id", "score", "rank")
+    blocks = index if isinstance(index, Blocks) else block_postings(index, formula, postings)
+    plan = plan_blocks(blocks, terms, by)
+    seeded = stage(score_blocks(blocks, plan, plan.seeds, k))
+    rest = score_blocks(blocks, plan, remaining(plan, bars(seeded, plan, k)), k)
+    ranked = top_k(seeded.unionByName(rest), k, "doc_id", ["q"], spread=SHARES)
+    if blocks.names:
+        ranked = keyed_join(ranked, blocks.names, ["doc_id"]).drop("doc_id").withColumnRenamed("_id", "doc_id")
+    return ranked.select("q.*", "doc_id", "score", "rank")

@@ -1,19 +1,39 @@
-"""Numbers of weights of models, as expressions of their dimensions."""
+"""Numbers of weights of models, as sums over the projections that they consist of."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+from typing import NamedTuple
+
 from pyspark.sql import Column
 
 
-def expert_layer_params(dim: Column, inner: Column, routed: Column, shared: Column) -> Column:
-    """Routed and shared expert weights plus the gate."""
-    return routed * 3 * dim * inner + 3 * dim * (shared * inner) + routed * dim
+class Projection(NamedTuple):
+    """A matrix from vectors of ``inputs`` to vectors of ``outputs`` numbers, held ``copies`` times."""
+
+    name: str
+    inputs: Column
+    outputs: Column
+    copies: Column | int = 1
+
+
+def expert_layer(dim: Column, inner: Column, routed: Column, shared: Column) -> list[Projection]:
+    experts = routed + shared
+    return [Projection("gate", dim, routed), Projection("linear", dim, inner, experts),
+            Projection("gated", dim, inner, experts), Projection("back", inner, dim, experts)]
+
+
+def latent_attention(hidden: Column, q_rank: Column, kv_rank: Column, heads: Column, plain: Column,
+                     rotated: Column, value: Column) -> list[Projection]:
+    return [Projection("query to rank", hidden, q_rank), Projection("rank to query", q_rank, heads * (plain + rotated)),
+            Projection("key and value to rank", hidden, kv_rank), Projection("rotated key", hidden, rotated),
+            Projection("rank to key", kv_rank, heads * plain), Projection("rank to value", kv_rank, heads * value),
+            Projection("out", heads * value, hidden)]
 
 
-def attention_params(hidden: Column, q_rank: Column, kv_rank: Column, heads: Column, nope: Column,
-                     rope: Column, v_dim: Column) -> Column:
-    return (hidden * q_rank + q_rank * heads * (nope + rope) + hidden * (kv_rank + rope)
-            + kv_rank * heads * (nope + v_dim) + heads * v_dim * hidden)
+def weights(projections: list[Projection]) -> Column:
+    return reduce(add, [p.copies * p.inputs * p.outputs for p in projections])
 
 
 def gigabytes(params: Column, bytes_each: int, binary: bool = True) -> Column:

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.staging import stage_counted
-from ..functions.text import sentences
+from ..functions.staging import stage, stage_counted
+from ..functions.text import continuation_prompt, sentences
 from ..operators import attention, bm25, memory, rag, ranking, score
 
 Step = Callable[..., DataFrame]
@@ -125,3 +126,53 @@ def follow_up(index: bm25.Index, docs: DataFrame, answered: DataFrame, k: int =
     ranked = stage_counted(ranking.top_documents(index, terms, formula, k).select("query_id", "doc_id", "rank"))
     found = rag.contexts(said, docs, ranked, ["query_id"])
     return rag.generate(rag.with_continuation(found, "prompt", "sentence"), "continued", model)
+
+
+def _next_sentence(model) -> Column:
+    """The first sentence of what the model writes behind the prompt; without a model, of the
+    documents at hand, one after the other, the first sentence that is not written yet."""
+    if model is not None:
+        return F.coalesce(F.try_element_at(sentences("answer"), F.lit(1)), F.lit(""))
+    offered = F.flatten(F.transform("docs", sentences))
+    return F.coalesce(F.get(F.filter(offered, lambda s: ~F.array_contains("written", s)), 0), F.lit(""))
+
+
+def sentence_loop(index: bm25.Index | ranking.Blocks, docs: DataFrame, queries: DataFrame, rounds: int, k: int = 3,
+                  formula: bm25.Formula = bm25.CPU, model=None, tokenizer=None) -> DataFrame:
+    """Write answers a sentence at a time, and look documents up anew after each.
+
+    ``queries`` (query_id, text), ids being unique.  In a round every query that is not done gets its next
+    sentence, which retrieves ``k`` documents that are put behind the prompt; a sentence that finds
+    none is put there alone.  A query is done when nothing more is written.  The result has a row
+    per query and round: (query_id, round, sentence, doc_ids, prompt).  Each round is written down, and works
+    on the queries that are left.
+    """
+    tables = index if isinstance(index, ranking.Blocks) else ranking.block_postings(index, formula)
+
+    def lookup(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+        """``df`` with the texts ``docs``, and (query_id, doc_ids)."""
+        terms = bm25.query_terms(df, text, tokenizer=tokenizer)
+        ranked = stage_counted(ranking.top_documents(tables, terms, formula, k).select("query_id", "doc_id", "rank"))
+        ids = ranked.df.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))),
+                                                            lambda r: r["doc_id"]).alias("doc_ids"))   # k a query
+        return rag.contexts(df, docs, ranked, ["query_id"]), ids
+
+    found, _ = lookup(queries.select("query_id", "text"), "text")
+    state = stage(rag.with_prompt(found).select("query_id", "prompt", "docs", F.array().cast("array<string>").alias("written")))
+    done = []
+    for r in range(1, rounds + 1):
+        asked = rag.generate(state, "prompt", model) if model is not None else state
+        said = stage_counted(asked.withColumn("sentence", _next_sentence(model)).where("sentence <> ''")
+                             .select("query_id", "prompt", "written", "sentence"))
+        if not said.rows:
+            break
+        found, ids = lookup(said.df, "sentence")
+        longer = F.when(F.size("docs") > 0, continuation_prompt(F.col("prompt"), F.col("sentence"), F.col("docs"))) \
+            .otherwise(F.concat("prompt", "sentence"))
+        state = stage(found.join(ids, "query_id", "left").select(
+            "query_id", longer.alias("prompt"), "docs", F.array_append("written", F.col("sentence")).alias("written"), "sentence",
+            F.coalesce("doc_ids", F.array().cast("array<bigint>")).alias("doc_ids")))
+        done.append(state.select("query_id", F.lit(r).alias("round"), "sentence", "doc_ids", "prompt"))
+    if not done:
+        return queries.sparkSession.createDataFrame([], "query_id long, round int, sentence string, doc_ids array<bigint>, prompt string")
+    return reduce(DataFrame.unionByName, done)

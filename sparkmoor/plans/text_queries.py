@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.staging import Staged, shared_dir, stage_counted
+from ..functions.staging import Staged, new_folder, shared_dir, stage_counted
 from ..operators import bm25, rag, retrieve
 from ..operators.bm25 import CPU, LUCENE, PACKED, Index
-from ..operators.ranking import top_documents
+from ..operators.ranking import Blocks, block_postings, top_documents
+from ..sources import bundle
 from ..sources.corpus import parse_ids, titled_corpus
 from ..sources.tables import spread_out, table
 from . import steps
@@ -38,12 +39,17 @@ def _state(spark: SparkSession, root: str) -> tuple:
 def text_index(spark: SparkSession, root: str) -> Index:
     def make():
         tag = hashlib.md5(f"{spark.sparkContext.applicationId}:{root}:{_state(spark, root)}".encode()).hexdigest()
-        return bm25.load_or_build(spark, f"{shared_dir(spark)}/postings-{tag}",
-                                  spread_out(table(spark, root, "documents").select("doc_id", "text")))
+        docs = spread_out(table(spark, root, "documents").select("doc_id", "text"))
+        return bundle.open_or_create(docs, f"{shared_dir(spark)}/index-{tag}").index
 
     return _once(spark, root, "index", make)
 
 
+def text_blocks(spark: SparkSession, root: str, formula: bm25.Formula) -> Blocks:
+    """Block-max postings, which belong to the index as its vocabulary does."""
+    return _once(spark, root, f"blocks-{formula}", lambda: block_postings(text_index(spark, root), formula))
+
+
 def vocabulary(spark: SparkSession, root: str) -> Staged:
     return _once(spark, root, "vocab",
                  lambda: stage_counted(bm25.vocabulary(text_index(spark, root).postings)))
@@ -143,6 +149,39 @@ def grown_doc_freq(spark, root):
     return bm25.doc_freq(bm25.add_documents(index, extra).postings)
 
 
+@query("index_bundle", f"""WITH u AS (SELECT doc_id, text FROM documents UNION ALL SELECT n + item_id, text FROM benchmark, (SELECT count(*) AS n FROM documents)),
+  dt AS (SELECT doc_id, {WORDS} AS t FROM u), p AS (SELECT doc_id, len(t) AS dl, unnest(t) AS token FROM dt)
+  SELECT v AS version, count(DISTINCT d)::BIGINT AS n_docs, count(DISTINCT token)::BIGINT AS n_tokens, count(token)::BIGINT AS n_words,
+    {r6('count(token) / count(DISTINCT d)')} AS mean_len
+  FROM (SELECT 1 AS v, dt.doc_id AS d, unnest(CASE WHEN len(t) = 0 THEN [NULL] ELSE t END) AS token FROM dt, (SELECT count(*) AS n FROM documents) WHERE dt.doc_id < n
+    UNION ALL SELECT 2, doc_id, unnest(CASE WHEN len(t) = 0 THEN [NULL] ELSE t END) FROM dt) GROUP BY v""")
+def index_bundle(spark, root):
+    """A bundle is written, reopened, appended to and reopened at either version."""
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    path = new_folder(spark, "bundle")
+    n = bundle.create(docs, path).index.n_docs
+    bundle.append(bundle.open_bundle(spark, path), item_queries(spark, root).select((F.col("query_id") + n).alias("doc_id"), "text"))
+    rows = []
+    for v in (1, 2):
+        held = bundle.open_bundle(spark, path, v)
+        rows.append(held.doc_freq().agg(F.lit(v).alias("version"), F.lit(held.index.n_docs).cast("bigint").alias("n_docs"),
+                                        F.count(F.lit(1)).alias("n_tokens"),
+                                        F.lit(sum(s.words for s in held.segments)).cast("bigint").alias("n_words"),
+                                        F.round(F.lit(held.index.mean_len), 6).alias("mean_len")))
+    return rows[0].unionByName(rows[1])
+
+
+@query("segment_frequencies", f"""SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({WORDS}) AS token FROM documents) GROUP BY token""")
+def segment_frequencies(spark, root):
+    """Document frequencies of an index to which the documents came in six parts, four of which were merged."""
+    docs = spread_out(table(spark, root, "documents").select("doc_id", "text"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(6))
+    held = bundle.create(docs.where(part == 0), new_folder(spark, "bundle"))
+    for i in range(1, 6):
+        held = bundle.append(held, docs.where(part == i))
+    return bundle.open_bundle(spark, held.path).doc_freq()
+
+
 ALL_TERMS = f"qt AS (SELECT DISTINCT unnest({WORDS}) AS token FROM benchmark)"
 ITEM_TERMS = f"qt AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS}) AS token FROM benchmark)"
 N64 = "ceil(n / 64.0) * 64"
@@ -194,7 +233,7 @@ def bm25_packed_lanes(spark, root):
 
 
 def _item_ranking(spark, root, formula, k):
-    return top_documents(text_index(spark, root), bm25.query_terms(item_queries(spark, root)), formula, k)
+    return top_documents(text_blocks(spark, root, formula), bm25.query_terms(item_queries(spark, root)), formula, k)
 
 
 def item_top(k: int, idf: str = IDF_CPU, tf: str = TF_CPU) -> str:
@@ -302,10 +341,35 @@ def _first_sentence(col: str) -> str:
 def answer_follow_up(spark, root):
     """The answer's first sentence retrieves again and the prompt, here the question, is continued."""
     answered = rag.generate(_item_contexts(spark, root), "text").select("query_id", F.col("text").alias("prompt"), "answer")
-    again = steps.follow_up(text_index(spark, root), table(spark, root, "documents"), answered)
+    again = steps.follow_up(text_blocks(spark, root, CPU), table(spark, root, "documents"), answered)
     return again.select("query_id", "sentence", "continued", "answer")
 
 
+def _round_sql(r: int) -> str:
+    """One round of the loop over the queries that are left: s = sentence, t = its documents, fs = the state."""
+    return f"""sd{r} AS (SELECT * FROM (SELECT query_id, prompt, written, coalesce(list_filter(offered, lambda x: NOT list_contains(written, x))[1], '') AS sentence
+      FROM fs{r - 1}) WHERE sentence <> ''),
+    tp{r} AS (WITH qt AS (SELECT DISTINCT query_id, unnest({WORDS.replace('text', 'sentence')}) AS token FROM sd{r}), {bm25_sql(IDF_CPU, TF_CPU, by='query_id')}
+      SELECT * FROM {ranked_sql('m', 3, 'query_id', 'doc_id')}),
+    fs{r} AS (SELECT query_id, {r}::INTEGER AS round, sentence, coalesce(ids, '') AS doc_ids, prompt || sentence || coalesce({NL} || {NL}
+        || '[Additional Context from Retrieval]' || {NL} || more || {NL} || {NL} || '[Continue Answer]' || {NL}, '') AS prompt,
+        coalesce(offered, []) AS offered, list_append(written, sentence) AS written
+      FROM sd{r} LEFT JOIN (SELECT query_id, string_agg('[Doc ' || (rank + 1) || '] ' || substring(text, 1, 500), {NL} ORDER BY rank) AS more,
+        flatten(list(se ORDER BY rank)) AS offered, string_agg(doc_id, ',' ORDER BY rank) AS ids FROM tp{r} JOIN ds USING (doc_id) GROUP BY 1) USING (query_id))"""
+
+
+@query("sentence_loop", f"""WITH {CONTEXT}, ds AS (SELECT doc_id, text, {SENTENCES} AS se FROM documents),
+  fs0 AS (SELECT query_id, {PROMPT} AS prompt, coalesce(offered, []) AS offered, []::VARCHAR[] AS written FROM a LEFT JOIN (
+    SELECT query_id, flatten(list(se ORDER BY rank)) AS offered FROM top JOIN ds USING (doc_id) GROUP BY 1) USING (query_id)),
+  {", ".join(map(_round_sql, (1, 2, 3)))}
+  {" UNION ALL ".join(f"SELECT query_id, round, sentence, doc_ids, md5(prompt) AS digest FROM fs{r}" for r in (1, 2, 3))}""")
+def sentence_loop(spark, root):
+    """Answers written a sentence at a time from the documents, which are looked up anew after each."""
+    said = steps.sentence_loop(text_blocks(spark, root, CPU), table(spark, root, "documents"), item_queries(spark, root), 3)
+    return said.select("query_id", "round", "sentence", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("doc_ids"),
+                       F.md5(F.col("prompt").cast("binary")).alias("digest"))
+
+
 @query("rag_token_concat", f"""WITH {item_top(3)}, c AS (SELECT query_id, flatten(list(t ORDER BY rank)) AS more FROM top JOIN dt USING (doc_id) GROUP BY 1),
   j AS (SELECT item_id AS query_id, list_concat({WORDS}, coalesce(more, [])) AS t FROM benchmark LEFT JOIN c ON query_id = item_id)
   SELECT query_id, len(t)::INTEGER AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM j""")
@@ -334,7 +398,7 @@ def sentence_retrieval(spark, root):
     """After each sentence of a conversation, the three documents closest to it."""
     by = ["conv_id", "turn", "sentence_no"]
     terms = bm25.query_terms(sentences(spark, root), "sentence", by)
-    return top_documents(text_index(spark, root), terms, CPU, 3, by)
+    return top_documents(text_blocks(spark, root, CPU), terms, CPU, 3, by)
 
 
 @query("parsed_ids", """SELECT event_id, unnest(list_sort(list_distinct(list_filter(list_transform(string_split(l, ','),
@@ -354,17 +418,19 @@ def snake_case_names(spark, root):
     return table(spark, root, "part").select("p_partkey", tx.snake_case(name).alias("snake"))
 
 
-_QUOTED = "'"
+_LEXEMES_SQL = "regexp_extract_all(code, '" + tx.LEXEME.replace("'", "''") + "')"
 _OPS_SQL = ", ".join(
-    "sum(len(list_filter(regexp_extract_all(code, '" + tx.LEXEME.format(chr(92) + op).replace(_QUOTED, 2 * _QUOTED)
-    + rf"'), lambda x: x = '{op}=' OR regexp_matches(x, '^[\w)\]]'))))::BIGINT AS n_{n}" for n, op in tx.ARITHMETIC.items())
+    f"sum(len(list_filter(lex, lambda x, i: x = '{op}=' OR (x = '{op}' AND i > 1 AND i < len(lex) AND "
+    f"regexp_matches(lex[i - 1], '{tx.BEFORE}') AND regexp_matches(lex[i + 1], '{tx.AFTER}')))))::BIGINT AS n_{n}"
+    for n, op in tx.ARITHMETIC.items())
 _CALLS_SQL = ", ".join(
     rf"sum(len(regexp_extract_all(code, '\b({'|'.join(c)})\s*\(')))::BIGINT AS n_{n}_calls" for n, c in tx.MATH_CALLS.items())
 
 
 @query("operator_counts", r"""WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line FROM pages),
-  c AS (SELECT page_id, CASE WHEN regexp_matches(line, '^\s*//') THEN '' ELSE line END AS code FROM l)
-  SELECT page_id, @OPS, @CALLS FROM c GROUP BY page_id""".replace("@OPS", _OPS_SQL).replace("@CALLS", _CALLS_SQL))
+  c AS (SELECT page_id, CASE WHEN regexp_matches(line, '^\s*//') THEN '' ELSE line END AS code FROM l),
+  x AS (SELECT page_id, code, @LEXEMES AS lex FROM c)
+  SELECT page_id, @OPS, @CALLS FROM x GROUP BY page_id""".replace("@OPS", _OPS_SQL).replace("@LEXEMES", _LEXEMES_SQL).replace("@CALLS", _CALLS_SQL))
 def operator_counts(spark, root):
     """Arithmetic operators and math calls per page, counted line by line."""
     lines = table(spark, root, "pages").select("page_id", F.explode(F.split("html", "\n")).alias("line"))

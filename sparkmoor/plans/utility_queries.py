@@ -119,7 +119,7 @@ def model_sizes(spark, root):
     """Weights of a layer whose width and number of experts come from each part."""
     dim, n = F.col("p_size").cast("bigint") * 64, F.col("p_partkey") % 32 + 1
     lit = lambda x: F.lit(x).cast("bigint")
-    layer = sizes.expert_layer_params(dim, dim * 2, n, lit(1))
-    attention = sizes.attention_params(dim, lit(96), lit(48), n, lit(24), lit(8), lit(32))
+    layer = sizes.weights(sizes.expert_layer(dim, dim * 2, n, lit(1)))
+    attention = sizes.weights(sizes.latent_attention(dim, lit(96), lit(48), n, lit(24), lit(8), lit(32)))
     return table(spark, root, "part").select("p_partkey", layer.alias("layer"), attention.alias("attention"),
                                              rounded(sizes.gigabytes(layer + attention, 2)).alias("gib"))

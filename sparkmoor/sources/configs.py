@@ -1,4 +1,4 @@
-"""Readers and writers for rules, piecewise linear tables, profiles and summaries in JSON."""
+"""Readers and writers for rules and summaries in JSON."""
 
 from __future__ import annotations
 
@@ -16,12 +16,6 @@ class Rule(NamedTuple):
     devices: tuple[str, ...]
 
 
-class Segment(NamedTuple):
-    upper: float
-    slope: float
-    intercept: float
-
-
 def read_rules(spark: SparkSession, path: str, apis: list[str]) -> list[Rule]:
     """Schedule file: per call of ``apis`` a list of rules with sizes and devices, in order."""
     rule = ("array<struct<retrieved_data:bigint,memory:bigint,query:bigint,output:bigint,"
@@ -36,25 +30,6 @@ def read_rules(spark: SparkSession, path: str, apis: list[str]) -> list[Rule]:
     return rules
 
 
-def read_segments(spark: SparkSession, path: str) -> dict[str, list[Segment]]:
-    """Link file: per direction a list of (upperbound, slope, intercept)."""
-    part = "array<struct<upperbound:double,slope:double,intercept:double>>"
-    df = spark.read.option("multiLine", True).schema(f"gpu_to_fpga {part}, fpga_to_gpu {part}").json(path)
-    row = df.first()
-    return {d: [Segment(*s) for s in row[d]] for d in ("gpu_to_fpga", "fpga_to_gpu")}
-
-
-def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Stage profiles: (flops, bytes, latency_us, ridge_point, bottleneck, sizes)."""
-    schema = ("operation_counts struct<total_flops:bigint>, roofline struct<ridge_point:double,"
-              "estimated_latency_us:double,bottleneck:string>, memory_bytes bigint, "
-              "memory_transactions map<string,bigint>")
-    return spark.read.option("multiLine", True).schema(schema).json(path).select(
-        F.col("operation_counts.total_flops").alias("flops"), F.col("memory_bytes").alias("bytes"),
-        F.col("roofline.estimated_latency_us").alias("latency_us"), F.col("roofline.ridge_point").alias("ridge_point"),
-        F.col("roofline.bottleneck").alias("bottleneck"), F.col("memory_transactions").alias("sizes"))
-
-
 def write_ranked(df: DataFrame, order: str, path: str, n: int = 10) -> None:
     """The best ``n`` configurations as JSON lines, in order."""
     df.orderBy(order).limit(n).coalesce(1).write.mode("overwrite").json(path)
