@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.staging import salts_of
+from ..functions.staging import keyed_join, stage_counted
 from ..functions.vectors import as_matrix, collect_small, list_array, map_blocks, rounded, sum_vectors
 
 ROUTE_SCALE = 2.5
 # Expert weights up to this many numbers travel with the tasks; larger ones are joined.
 WEIGHT_LIMIT = 4_000_000
-TILE_ROWS = 256
+TILE_NUMBERS = 8_000_000   # of the tokens that a task holds
+BLOCK_ROWS = 256           # rows that are multiplied at a time
 
 WIDE = "token_id bigint, x array<double>, experts array<int>, weights array<double>"
 
@@ -167,16 +170,30 @@ def weight_arrays(weights: DataFrame, limit: int = WEIGHT_LIMIT) -> dict[int, tu
     return {e: tuple(np.array([r[c] for r in rs], np.float64) for c in ("w1", "w3", "w2")) for e, rs in of.items()}
 
 
-def _ffn(x: np.ndarray, w1: np.ndarray, w3: np.ndarray, w2: np.ndarray) -> np.ndarray:
-    return (_silu(x @ w1.T) * (x @ w3.T)) @ w2
+class Layer(NamedTuple):
+    """A feed-forward layer in two steps, so that its inner rows can be taken in blocks.
+
+    ``gate(W1 x, W3 x)`` gives the inner numbers, each by itself; ``finish(inner)`` gives what W2 is
+    applied to and a function of the outcome, from all inner numbers of a token.
+    """
+
+    gate: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    finish: Callable[[np.ndarray], tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]]
+
+    def __call__(self, x: np.ndarray, w1: np.ndarray, w3: np.ndarray, w2: np.ndarray) -> np.ndarray:
+        inner, after = self.finish(self.gate(x @ w1.T, x @ w3.T))
+        return after(inner @ w2)
+
+
+PLAIN = Layer(lambda a, b: _silu(a) * b, lambda inner: (inner, lambda y: y))
 
 
-def feed_forward(wide: DataFrame, weights: DataFrame, dim: int, limit: int = WEIGHT_LIMIT, layer=_ffn) -> DataFrame:
+def feed_forward(wide: DataFrame, weights: DataFrame, dim: int, limit: int = WEIGHT_LIMIT, layer: Layer = PLAIN) -> DataFrame:
     """sum over a token's experts of weight * W2 (silu(W1 x) * W3 x): (token_id, y).
 
     While the weights fit the limit every block of tokens evaluates its experts where it is.
-    Beyond it, tiles of tokens of one expert meet that expert's weights by a salted join,
-    and the parts are summed per token.  An expert without weights adds nothing.
+    Beyond it, tiles of tokens of one expert meet the rows of that expert's layer, and the parts
+    are summed per token.  An expert without weights adds nothing.
     """
     layers = weight_arrays(weights, limit)
     if layers is None:
@@ -197,47 +214,93 @@ def feed_forward(wide: DataFrame, weights: DataFrame, dim: int, limit: int = WEI
     return map_blocks(wide, block, "token_id bigint, y array<double>")
 
 
-def expert_parts(wide: DataFrame, weights: DataFrame, dim: int, layer=_ffn) -> DataFrame:
-    """Weighted output of each (token, expert): (token_id, expert_id, y)."""
-
-    def tiles(b: pa.RecordBatch) -> dict:
-        x, ids = as_matrix(b.column("x")), b.column("token_id").to_numpy()
-        chosen, w = as_matrix(b.column("experts"), np.int64), as_matrix(b.column("weights"))
-        out = {"expert": [], "ids": [], "w": [], "flat": []}
-        for e in np.unique(chosen):
-            row, slot = np.nonzero(chosen == e)
-            for a in range(0, len(row), TILE_ROWS):
-                r, s = row[a:a + TILE_ROWS], slot[a:a + TILE_ROWS]
-                out["expert"].append(e)
-                out["ids"].append(ids[r])
-                out["w"].append(w[r, s])
-                out["flat"].append(x[r].ravel())
-        for c, t in (("ids", pa.int64()), ("w", pa.float64()), ("flat", pa.float64())):
-            out[c] = pa.array(out[c], pa.list_(t))
-        return out
-
-    salts = salts_of(wide.sparkSession)
-    packed = map_blocks(wide, tiles, "expert int, ids array<bigint>, w array<double>, flat array<double>")
-    by_row = F.array_sort(F.collect_list(F.struct("row", "w1", "w3", "w2")))
-    flat = [F.flatten(F.col(f"rows.{c}")).alias(c) for c in ("w1", "w3", "w2")]
-    # one row per expert: its own layer, whatever the number of tokens
-    layers = weights.groupBy(F.col("expert").cast("int").alias("expert")).agg(by_row.alias("rows")).select(
-        "expert", *flat, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    salted = packed.withColumn("_salt", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(salts)).cast("int"))
-
-    def run(b: pa.RecordBatch) -> dict:
-        out = {"token_id": [], "expert_id": [], "y": []}
-        for i in range(b.num_rows):
-            ids, w, flat, *m = (b.column(c)[i].values.to_numpy() for c in ("ids", "w", "flat", "w1", "w3", "w2"))
-            y = layer(flat.reshape(-1, dim), *[a.reshape(-1, dim) for a in m]) * w[:, None]
-            out["token_id"].append(ids)
-            out["expert_id"].append(np.full(len(y), b.column("expert")[i].as_py(), np.int32))
-            out["y"].append(y)
-        return {"token_id": np.concatenate(out["token_id"]), "expert_id": np.concatenate(out["expert_id"]),
-                "y": list_array(np.concatenate(out["y"]))}
-
-    return map_blocks(salted.join(layers, ["expert", "_salt"]).drop("_salt"), run,
-                      "token_id bigint, expert_id int, y array<double>")
+PARTS = "token_id bigint, expert_id int, y array<double>"
+
+
+class _Tile:
+    """Tokens of one expert, past which the rows of its layer stream: first those of W1 and W3, which
+    fill the inner numbers, then those of W2."""
+
+    def __init__(self, expert: int, dim: int, layer: Layer):
+        self.expert, self.dim, self.layer = expert, dim, layer
+        self.ids, self.weight, self.x, self.inner = [], [], [], []
+        self.y: np.ndarray | None = None
+        self.at = 0
+
+    def add(self, kind: int, ids: np.ndarray, weight: np.ndarray, a: pa.Array, b: pa.Array) -> None:
+        if kind == 0:
+            self.ids.append(ids)
+            self.weight.append(weight)
+            self.x.append(as_matrix(a))
+        elif kind == 1 and self.x:
+            self.x = [np.concatenate(self.x)] if len(self.x) > 1 else self.x
+            self.inner.append(self.layer.gate(self.x[0] @ as_matrix(a).T, self.x[0] @ as_matrix(b).T))
+        elif kind == 2 and self.x:
+            if self.y is None:
+                self.inner, self.after = self.layer.finish(np.concatenate(self.inner, axis=1))
+                self.y = np.zeros((len(self.inner), self.dim))
+            w2 = as_matrix(a)
+            self.y += self.inner[:, self.at:self.at + len(w2)] @ w2
+            self.at += len(w2)
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        if self.y is not None:
+            y = self.after(self.y) * np.concatenate(self.weight)[:, None]
+            ids = np.concatenate(self.ids)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), self.expert, np.int32)), list_array(y)],
+                                             names=[f.split()[0] for f in PARTS.split(", ")])
+
+
+def expert_parts(wide: DataFrame, weights: DataFrame, dim: int, layer: Layer = PLAIN) -> DataFrame:
+    """Weighted output of each (token, expert): (token_id, expert_id, y).
+
+    The tokens of an expert are dealt into tiles of about ``TILE_NUMBERS`` numbers, as many as it has
+    use for, and the rows of its layer go to each tile.  No row is larger than two vectors, and no task
+    holds more than a tile of tokens and a block of rows.
+    """
+    rows = max(1, TILE_NUMBERS // dim)
+    pairs = wide.select("token_id", "x", F.explode(F.arrays_zip("experts", "weights")).alias("r")).select(
+        F.col("r.experts").alias("expert"), "token_id", F.col("r.weights").alias("w"), F.col("x").cast("array<double>").alias("x"))
+    own = weights.select(F.col("expert").cast("int").alias("expert"), "row", "w1", "w3", "w2")
+    loads = pairs.groupBy("expert").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("tiles"))
+    # one row per expert that has both tokens and weights
+    loads = stage_counted(loads.join(own.select("expert").distinct(), "expert"))
+    tile = F.pmod(F.xxhash64("token_id"), F.col("tiles")).cast("int")
+    none = F.lit(None).cast("array<double>")
+    asked = keyed_join(pairs, loads, ["expert"]).select(
+        "expert", tile.alias("tile"), F.lit(0).alias("kind"), F.col("token_id").alias("id"), "w", F.col("x").alias("a"), none.alias("b"))
+    held = _layer_rows(keyed_join(own, loads, ["expert"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at = None, None
+        for batch in batches:
+            expert, tile, kind = (batch.column(c).to_numpy() for c in ("expert", "tile", "kind"))
+            ids, w = batch.column("id").to_numpy(), batch.column("w").to_numpy()
+            new = np.diff(expert, prepend=-1) != 0
+            edges = np.flatnonzero(new | (np.diff(tile, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0))
+            for i, j in zip(edges, np.append(edges[1:], batch.num_rows)):
+                if at != (expert[i], tile[i]):
+                    if now is not None:
+                        yield from now.result()
+                    at, now = (expert[i], tile[i]), _Tile(int(expert[i]), dim, layer)
+                for a in range(i, j, BLOCK_ROWS):
+                    z = min(j, a + BLOCK_ROWS)
+                    now.add(int(kind[i]), ids[a:z], w[a:z], batch.column("a").slice(a, z - a), batch.column("b").slice(a, z - a))
+        if now is not None:
+            yield from now.result()
+
+    together = asked.unionByName(held).repartition("expert", "tile").sortWithinPartitions("expert", "tile", "kind", "id")
+    return together.mapInArrow(run, PARTS)
+
+
+def _layer_rows(weights: DataFrame) -> DataFrame:
+    """The rows of W1 and W3 (kind 1) and of W2 (kind 2) of each expert, once per tile of its tokens."""
+    double = lambda c: F.col(c).cast("array<double>")
+    kinds = F.array(F.struct(F.lit(1).alias("kind"), double("w1").alias("a"), double("w3").alias("b")),
+                    F.struct(F.lit(2).alias("kind"), double("w2").alias("a"), F.lit(None).cast("array<double>").alias("b")))
+    tiles = weights.select("expert", "row", kinds.alias("m"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    return tiles.select("expert", "row", "tile", F.explode("m").alias("m")).select(
+        "expert", "tile", "m.kind", F.col("row").cast("bigint").alias("id"), F.lit(0.0).alias("w"), "m.a", "m.b")
 
 
 def accumulate(parts: DataFrame) -> DataFrame:
@@ -262,12 +325,13 @@ def quantised_feed_forward(wide: DataFrame, weights: DataFrame, dim: int, x_scal
     """
     (s1, s3, s2), (h1, h3, h2) = w_scales, w_shifts
 
-    def layer(x: np.ndarray, w1: np.ndarray, w3: np.ndarray, w2: np.ndarray) -> np.ndarray:
-        inner = _silu((x @ w1.T) * s1 * x_scale + h1) * ((x @ w3.T) * s3 * x_scale + h3)
+    def gate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _silu(a * s1 * x_scale + h1) * (b * s3 * x_scale + h3)
+
+    def finish(inner: np.ndarray) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]:
         peak = np.abs(inner).max(axis=1, keepdims=True)
         scale = np.where(peak > 0, peak / 32767.0, 1.0)
-        q = np.clip(np.rint(inner * (1.0 / scale)), -32768, 32767)
-        return (q @ w2) * s2 * scale + h2
+        return np.clip(np.rint(inner * (1.0 / scale)), -32768, 32767), lambda y: y * s2 * scale + h2
 
-    found = feed_forward(wide, weights, dim, limit, layer)
+    found = feed_forward(wide, weights, dim, limit, Layer(gate, finish))
     return found.select("token_id", F.transform("y", rounded).alias("y"))

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import global_index
-from ..functions.staging import salts_of, stage_counted
-from ..functions.vectors import as_matrix, collect_small, doubles, map_blocks, np_rounded, rounded
-from .retrieve import WORD_BITS, threshold_bitmap, top_k
+from ..functions.staging import stage, stage_counted
+from ..functions.vectors import as_matrix, collect_small, dot, doubles, map_blocks, np_rounded, rounded
+from .retrieve import WORD_BITS, top_k
 
-# A query batch up to this many rows travels with the tasks; a larger one is joined in blocks.
+# A query batch up to this many rows travels with the tasks; a larger one visits tiles of the memory.
 QUERY_ROWS = 4096
-BLOCK_ROWS = 1024
+TILE_ROWS = 1 << 17
 CELLS = 4_000_000
 # Shares per query in which the best entries of all blocks are first reduced.
 SHARES = 64
@@ -68,7 +71,7 @@ def inner_products(memory: DataFrame, queries: DataFrame, limit: int = QUERY_ROW
     batch = _batch(queries, limit)
     memory = memory.select("mem_id", "vec")
     if batch is None:
-        return _paired_blocks(memory, queries, None, limit, np_rounded)
+        return over_visits(memory, queries, lambda ids, x, qids: _every(ids, np_rounded(x), qids), PAIR)
     qids, q = batch
 
     def block(b: pa.RecordBatch) -> dict:
@@ -93,7 +96,8 @@ def top_inner_products(memory: DataFrame, queries: DataFrame, k: int,
     batch = _batch(queries, limit)
     memory = memory.select("mem_id", "vec")
     if batch is None:
-        return top_k(_paired_blocks(memory, queries, k, limit, np_rounded), k, by=["query_id"], spread=SHARES)
+        best = over_visits(memory, queries, lambda ids, x, qids: _best(ids, np_rounded(x), qids, k), PAIR)
+        return top_k(best, k, by=["query_id"], spread=SHARES)
     qids, q = batch
     if len(qids) == 0:
         return top_k(memory.sparkSession.createDataFrame([], PAIR), k, by=["query_id"])
@@ -118,21 +122,14 @@ def threshold_words(memory: DataFrame, queries: DataFrame, threshold: float, inc
     """
     batch = _batch(queries, limit)
     if batch is None:
-        return threshold_bitmap(inner_products(memory, queries, limit), threshold, by=["query_id"],
-                                inclusive=inclusive)
+        found = over_visits(memory, queries, lambda ids, x, qids: _words(ids, np_rounded(x), qids, threshold, inclusive), WORDS)
+        return found.groupBy("query_id", "word").agg(F.bit_or("bits").alias("bits"))
     qids, q = batch
 
-    def words(ids: np.ndarray, x: np.ndarray) -> dict:
-        s = np_rounded(x[:, : q.shape[1]] @ q.T)
-        bit = np.left_shift(np.uint64(1), (ids % WORD_BITS).astype(np.uint64))
-        found, where = np.unique(ids // WORD_BITS, return_inverse=True)
-        out = np.zeros((len(found), len(qids)), np.uint64)
-        np.bitwise_or.at(out, where, np.where(s >= threshold if inclusive else s > threshold, bit[:, None], np.uint64(0)))
-        return {"query_id": np.tile(qids, len(found)), "word": np.repeat(found, len(qids)), "bits": out.view(np.int64).ravel()}
-
     def block(b: pa.RecordBatch) -> dict:
         x, ids = as_matrix(b.column("vec")), b.column("mem_id").to_numpy()
-        return _joined([words(ids[s], x[s]) for s in _spans(len(ids), len(qids))])
+        return _joined([_words(ids[s], np_rounded(x[s, : q.shape[1]] @ q.T), qids, threshold, inclusive)
+                        for s in _spans(len(ids), len(qids))])
 
     if len(qids) == 0:
         return memory.sparkSession.createDataFrame([], WORDS)
@@ -140,51 +137,61 @@ def threshold_words(memory: DataFrame, queries: DataFrame, threshold: float, inc
         F.bit_or("bits").alias("bits"))
 
 
-def _packed(df: DataFrame, id_col: str, vec: str, name: str) -> DataFrame:
-    """Rows packed into matrices of one Arrow batch each, inside their partition."""
+VISITS = "_tile int, _kind int, _id bigint, _vec array<double>"
 
-    def block(b: pa.RecordBatch) -> dict:
-        x = as_matrix(b.column(vec))
-        n = len(x)
-        spans = [(i, min(i + BLOCK_ROWS, n)) for i in range(0, n, BLOCK_ROWS)]
-        ids = b.column(id_col).to_numpy()
-        return {f"{name}_ids": pa.array([ids[a:z] for a, z in spans], pa.list_(pa.int64())),
-                f"{name}_flat": pa.array([x[a:z].ravel() for a, z in spans], pa.list_(pa.float64()))}
-
-    return map_blocks(df.select(id_col, vec), block,
-                      f"{name}_ids array<bigint>, {name}_flat array<double>")
 
+def over_visits(memory: DataFrame, queries: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray], dict],
+                schema: str, tile_rows: int = 0) -> DataFrame:
+    """``work(ids, scores, query_ids)`` on every tile of the memory and every block of queries.
 
-def _paired_blocks(memory: DataFrame, queries: DataFrame, k: int | None, limit: int, finish) -> DataFrame:
-    """Query batches too large for one task: tiles of memory meet tiles of queries.
-
-    Query rows are dealt into groups of about ``limit``; each memory tile is sent once per
-    group (equi-join on the group and a salt), multiplied there, and reduced to its best k.
+    For query batches of any size: the memory is dealt into tiles of about ``tile_rows`` entries and moves
+    once, and the queries visit each tile.  A task holds one tile, past which the queries stream in
+    blocks; the bytes shuffled are those of the memory and of the queries once per tile.
     """
-    groups = max(1, -(-queries.count() // limit))
-    salts = salts_of(memory.sparkSession)
-    q = queries.withColumn("_group", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
-    q = q.repartition(groups, "_group").sortWithinPartitions("_group")
-    tiles = _packed(q.select("query_id", doubles("q").alias("q")), "query_id", "q", "q")
-    # a tile is tied to its partition; number the tiles' groups by their first id
-    tiles = tiles.withColumn("_group", F.pmod(F.xxhash64(F.col("q_ids")[0]), F.lit(groups)))
-    tiles = tiles.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    mem = _packed(memory.select("mem_id", doubles("vec").alias("vec")), "mem_id", "vec", "m")
-    mem = (mem.withColumn("_group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
-           .withColumn("_salt", F.pmod(F.xxhash64(F.col("m_ids")[0]), F.lit(salts)).cast("int")))
-    pairs = mem.join(tiles, ["_group", "_salt"]).select("m_ids", "m_flat", "q_ids", "q_flat")
-
-    def block(b: pa.RecordBatch) -> dict:
-        parts = []
-        for r in b.to_pylist():
-            mids, qids = np.array(r["m_ids"]), np.array(r["q_ids"])
-            m = np.array(r["m_flat"]).reshape(len(mids), -1)
-            qm = np.array(r["q_flat"]).reshape(len(qids), -1)
-            s = finish(m[:, : qm.shape[1]] @ qm.T)
-            parts.append(_best(mids, s, qids, k or len(mids)))
-        return _joined(parts)
-
-    return map_blocks(pairs, block, PAIR)
+    tile_rows = tile_rows or TILE_ROWS
+    tiles = max(1, -(-memory.count() // tile_rows))
+    held = memory.select(F.pmod(F.xxhash64("mem_id"), F.lit(tiles)).cast("int").alias("_tile"), F.lit(0).alias("_kind"),
+                         F.col("mem_id").alias("_id"), doubles("vec").alias("_vec"))
+    guests = queries.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("_tile"), F.lit(1).alias("_kind"),
+                            F.col("query_id").alias("_id"), doubles("q").alias("_vec"))
+    names = [f.split()[0] for f in schema.split(", ")]
+    target = memory.sparkSession.createDataFrame([], schema).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(target)
+        at, parts, ids, mat = -1, [], np.zeros(0, np.int64), np.zeros((0, 0))
+        for batch in batches:
+            tile, kind = batch.column("_tile").to_numpy(), batch.column("_kind").to_numpy()
+            edges = np.flatnonzero((np.diff(tile, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0))
+            for a, z in zip(edges, np.append(edges[1:], len(tile))):
+                some, x = batch.column("_id").slice(a, z - a).to_numpy(), as_matrix(batch.column("_vec").slice(a, z - a))
+                if tile[a] != at:
+                    at, parts, ids = int(tile[a]), [], np.zeros(0, np.int64)
+                if kind[a] == 0:                    # the entries of a tile come first
+                    parts.append((some, x))
+                    continue
+                if parts:
+                    ids, mat, parts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), []
+                for span in _spans(len(some), len(ids)) if len(ids) else ():
+                    out = work(ids, mat[:, : x.shape[1]] @ x[span].T, some[span])
+                    yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) for n in names], names=names)
+
+    return held.unionByName(guests).repartition(tiles, "_tile").sortWithinPartitions("_tile", "_kind").mapInArrow(run, schema)
+
+
+def _every(ids: np.ndarray, scores: np.ndarray, query_ids: np.ndarray) -> dict:
+    return {"query_id": np.tile(query_ids, len(ids)), "mem_id": np.repeat(ids, len(query_ids)), "score": scores.ravel()}
+
+
+def _words(ids: np.ndarray, scores: np.ndarray, query_ids: np.ndarray, threshold: float, inclusive: bool) -> dict:
+    """The words that ``ids`` fall into, a bit per score that passes."""
+    bit = np.left_shift(np.uint64(1), (ids % WORD_BITS).astype(np.uint64))
+    found, where = np.unique(ids // WORD_BITS, return_inverse=True)
+    out = np.zeros((len(found), len(query_ids)), np.uint64)
+    np.bitwise_or.at(out, where, np.where(scores >= threshold if inclusive else scores > threshold, bit[:, None], np.uint64(0)))
+    return {"query_id": np.tile(query_ids, len(found)), "word": np.repeat(found, len(query_ids)), "bits": out.view(np.int64).ravel()}
 
 
 def integer_products(memory: DataFrame, queries: DataFrame, limit: int = QUERY_ROWS) -> DataFrame:
@@ -195,8 +202,8 @@ def integer_products(memory: DataFrame, queries: DataFrame, limit: int = QUERY_R
     batch = _batch(queries, limit)
     memory = memory.select("mem_id", doubles("vec").alias("vec"))
     if batch is None:
-        pairs = _paired_blocks(memory, queries, None, limit, lambda s: s)
-        return pairs.withColumn("score", F.col("score").cast("bigint"))
+        return over_visits(memory, queries, lambda ids, x, qids: _every(ids, x.astype(np.int64), qids),
+                           "query_id bigint, mem_id bigint, score bigint")
     qids, q = batch
 
     def block(b: pa.RecordBatch) -> dict:
@@ -208,6 +215,75 @@ def integer_products(memory: DataFrame, queries: DataFrame, limit: int = QUERY_R
     return map_blocks(memory, block, "query_id bigint, mem_id bigint, score bigint")
 
 
+# ---- exact top-k by bounds --------------------------------------------------------------
+
+OPENED = 4     # pages of a query that are opened first
+ROOM = 1e-5    # more than rounding can move a score
+
+
+class Opened(NamedTuple):
+    """The best entries (query_id, mem_id, score, rank), and the pages (query_id, page_id) that were opened."""
+
+    best: DataFrame
+    pages: DataFrame
+
+
+def top_by_bounds(entries: DataFrame, pages: DataFrame, queries: DataFrame, k: int) -> Opened:
+    """The exact ``k`` best entries of each query, of the pages that can hold one.
+
+    ``entries`` (mem_id, page_id, vec); ``pages`` (page_id, vmin, vmax), the extremes of their entries.  No
+    entry scores above sum_j max(q_j vmin_j, q_j vmax_j), which is the inner product of the positive and
+    the negative part of q with the page's maxima and minima.  The pages with the best bounds are opened
+    first; the k-th best score in them is a bar, and of the others only those are opened whose bound
+    reaches it.
+    """
+    part = lambda f: F.transform(doubles("q"), lambda x: f(x, F.lit(0.0)))
+    asked = queries.select("query_id", F.concat(part(F.greatest), part(F.least)).alias("q"))
+    corners = stage(pages.select(F.col("page_id").alias("mem_id"), F.concat(doubles("vmax"), doubles("vmin")).alias("vec")))
+    first = stage(top_inner_products(corners, asked, OPENED).select("query_id", F.col("mem_id").alias("page_id"), "score", "rank"))
+    seeds = stage(_score_pages(entries, queries, first.select("query_id", "page_id"), k))
+    bars = stage(seeds.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("bar")).select(
+        "query_id", F.when(F.col("n") >= k, F.col("bar") - ROOM).otherwise(F.lit(float("-inf"))).alias("bar")))
+    more = _reaching(corners, asked.join(bars, "query_id")).join(first.select("query_id", "page_id"), ["query_id", "page_id"], "left_anti")
+    more = stage(more)
+    best = top_k(seeds.unionByName(_score_pages(entries, queries, more, k)), k, by=["query_id"], spread=SHARES)
+    return Opened(best, first.select("query_id", "page_id").unionByName(more))
+
+
+def _reaching(corners: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, page_id) of the bounds that reach the query's bar; other bounds never leave their task."""
+    held = collect_small(asked.select("query_id", "q", "bar"), QUERY_ROWS)
+    if held is None:     # the bar is one more number of the query, and -1 one more of each page
+        longer = asked.select("query_id", F.concat(F.array("bar"), "q").alias("q"))
+        wide = corners.select("mem_id", F.concat(F.array(F.lit(-1.0)), "vec").alias("vec"))
+        return over_visits(wide, longer, _not_below, "query_id bigint, page_id bigint")
+    qids, bar = np.array([r["query_id"] for r in held], np.int64), np.array([r["bar"] for r in held], float)
+    q = np.array([r["q"] for r in held], float)
+
+    def block(b: pa.RecordBatch) -> dict:
+        ids, x = b.column("mem_id").to_numpy(), as_matrix(b.column("vec"))
+        at, of = np.nonzero(x[:, : q.shape[1]] @ q.T >= bar) if len(qids) else (np.zeros(0, int), np.zeros(0, int))
+        return {"query_id": qids[of], "page_id": ids[at]}
+
+    return map_blocks(corners, block, "query_id bigint, page_id bigint")
+
+
+def _not_below(ids: np.ndarray, scores: np.ndarray, query_ids: np.ndarray) -> dict:
+    at, of = np.nonzero(~(scores < 0))
+    return {"query_id": query_ids[of], "page_id": ids[at]}
+
+
+def _score_pages(entries: DataFrame, queries: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+    """(query_id, mem_id, score): the best k entries of each query in its chosen pages."""
+    wanted = stage_counted(chosen.join(queries.select("query_id", doubles("q").alias("q")), "query_id"))
+    side = F.broadcast(wanted.df) if wanted.broadcastable else wanted.df
+    scored = entries.join(side, "page_id").select("query_id", "mem_id", rounded(dot(F.col("q"), F.col("vec"))).alias("score"))
+    return top_k(scored, k, by=["query_id"], spread=SHARES).drop("rank")
+
+
+# ---- many heads ---------------------------------------------------------------------------
+
+
 def _over_heads(memory: DataFrame, heads: DataFrame, contribution) -> DataFrame:
     """(mem_id, score): the sum of ``contribution`` over all heads, of which at most QUERY_ROWS travel
     with the tasks at a time.  ``contribution(rows)`` makes a function from a batch to scores."""

@@ -132,6 +132,32 @@ def minmax_index(spark, root):
                 rounded(F.col("x.vmax").cast("double")).alias("vmax"))
 
 
+@query("topk_by_bounds", f"WITH {LABEL_Q}, {SCORES} SELECT query_id, mem_id, score, rank FROM {ranked_sql('s', 10)}")
+def topk_by_bounds(spark, root):
+    """The ten best entries per label, of the pages of eight whose extremes leave room for one."""
+    return _opened(spark, root).best
+
+
+@query("pages_opened", f"""WITH {LABEL_Q}, {SCORES}, x AS (SELECT vec_id // 8 AS page_id, d, min(v) AS lo, max(v) AS hi FROM el GROUP BY ALL),
+  qd AS (SELECT query_id, unnest(q) AS w, generate_subscripts(q, 1) - 1 AS d FROM q),
+  b AS (SELECT query_id, page_id, {r6('sum(greatest(w * lo, w * hi))')} AS bound FROM x JOIN qd USING (d) GROUP BY ALL),
+  o AS (SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY bound DESC, page_id) AS place, bound FROM b),
+  k AS (SELECT query_id, CASE WHEN count(*) >= 10 THEN min(score) - 0.00001 ELSE -1e300 END AS bar FROM (
+    SELECT s.query_id, score, mem_id FROM s JOIN o ON o.query_id = s.query_id AND page_id = mem_id // 8 WHERE place <= 4
+    QUALIFY row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, mem_id) <= 10) GROUP BY query_id)
+  SELECT query_id, count(*) AS n_pages FROM o JOIN k USING (query_id) WHERE place <= 4 OR bound >= bar GROUP BY query_id""")
+def pages_opened(spark, root):
+    """How many pages that took."""
+    return _opened(spark, root).pages.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_pages"))
+
+
+def _opened(spark, root):
+    cache = cache_rows(spark, root).select("pos", "k")
+    pages = memory.minmax_index(cache, PAGE, DIM).select(F.col("entry_id").alias("page_id"), "vmin", "vmax")
+    entries = cache.select(F.col("pos").alias("mem_id"), memory.page_of("pos", PAGE).alias("page_id"), F.col("k").alias("vec"))
+    return score.top_by_bounds(entries, pages, hold(label_queries(spark, root)).df, 10)
+
+
 @query("segment_memory", f"WITH {ELEMENTS} SELECT vec_id // 32 AS segment_id, ((vec_id % 32) // 16 * 64 + d)::INTEGER AS dim, "
        f"{r6('avg(v)')} AS value FROM el GROUP BY 1, 2")
 def segment_memory(spark, root):

@@ -609,3 +609,31 @@ def test_vocabulary_is_whole(spark):
     assert rows(bm25.pack_documents(numbered).select("row", "packed").orderBy("row")) == [(0, (2 << 32) + 21), (1, (255 << 32) + 70_005)]
     df = spark.createDataFrame([(0, 3), (70_005, 1)], "vocab_idx bigint, df bigint")
     assert bm25.first_ids(df).count() == 2 * 65536 and bm25.first_ids(df, 10).count() == 10
+
+
+def test_expert_layers_in_blocks(spark, monkeypatch):
+    """Tiles of tokens and blocks of rows, with a hot expert, against layers that are held whole."""
+    rng = np.random.default_rng(5)
+    tokens = [(t, rng.normal(size=6).tolist(), [0, 1 + t % 3], [0.5, 0.25]) for t in range(90)]
+    layers = [(e, r, *[rng.normal(size=6).tolist() for _ in range(3)]) for e in range(3) for r in range(11 + e)]
+    wide = spark.createDataFrame(tokens, experts.WIDE).repartition(3)
+    weights = spark.createDataFrame(layers, "expert int, row int, w1 array<double>, w3 array<double>, w2 array<double>").repartition(4)
+    monkeypatch.setattr(experts, "TILE_NUMBERS", 60)
+    monkeypatch.setattr(experts, "BLOCK_ROWS", 4)
+    for fn in (experts.feed_forward, lambda *a, **k: experts.quantised_feed_forward(*a, 0.1, (0.1, 0.2, 0.3), (0.0, 0.1, 0.0), **k)):
+        held, streamed = (sorted(fn(wide, weights, 6, limit=n).collect()) for n in (experts.WEIGHT_LIMIT, 1))
+        assert len(held) == 90 and np.allclose([r.y for r in held], [r.y for r in streamed])
+
+
+def test_a_large_layer_has_small_rows(spark):
+    """7168 inputs: no row of the plan is larger than two vectors."""
+    dim, rows = 7168, 40
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=dim)
+    w = rng.normal(size=(rows, 3, dim)) / 100
+    weights = spark.createDataFrame([(0, r, *[v.tolist() for v in w[r]]) for r in range(rows)],
+                                    "expert int, row int, w1 array<double>, w3 array<double>, w2 array<double>")
+    wide = spark.createDataFrame([(1, x.tolist(), [0], [2.0])], experts.WIDE)
+    got = experts.feed_forward(wide, weights, dim, limit=1).first().y
+    a, b = w[:, 0] @ x, w[:, 1] @ x
+    assert np.allclose(got, 2 * ((a / (1 + np.exp(-a)) * b) @ w[:, 2]))
