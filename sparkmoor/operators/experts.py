@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.staging import keyed_join, stage_counted
 from ..functions.vectors import as_matrix, collect_small, list_array, map_blocks, rounded, sum_vectors
+from .score import over_visits
 
 ROUTE_SCALE = 2.5
 # Expert weights up to this many numbers travel with the tasks; larger ones are joined.
@@ -70,18 +71,50 @@ def split_choice(z: np.ndarray, bias: np.ndarray, k: int,
     return chosen, np.where(total > 1e-12, w * scale / np.where(total > 1e-12, total, 1.0), 0.0)
 
 
-def gate_matrix(gate: DataFrame, limit: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """(expert, vec, bias) rows as a matrix and a bias vector, by expert."""
-    rows = collect_small(gate, limit)
+GATE_ROWS = 4096    # experts whose gate travels with the tasks; of more, tokens visit tiles
+GATE_TILE = 2048
+
+
+def gate_matrix(gate: DataFrame, limit: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """(expert, vec, bias) rows as a matrix and a bias vector, by expert; None above the limit."""
+    rows = collect_small(gate, limit or GATE_ROWS)
     if rows is None:
-        raise ValueError("too many experts for one gate")
+        return None
     rows = sorted(rows, key=lambda r: r["expert"])
     return np.array([r["vec"] for r in rows], np.float64), np.array([r["bias"] for r in rows], np.float64)
 
 
+def _biased(bias_and_rows: np.ndarray, shift_and_x: np.ndarray) -> np.ndarray:
+    """Two score matrices, one above the other: z less the token's shift, and the bias of each expert."""
+    z = bias_and_rows[:, 1:] @ shift_and_x[1:] - shift_and_x[0]
+    return np.concatenate([z, np.repeat(bias_and_rows[:, :1], z.shape[1], axis=1)])
+
+
+def _over_gate(tokens: DataFrame, gate: DataFrame, work, schema: str) -> DataFrame:
+    """``work(experts, z - shift, bias, tokens)`` on tiles of the gate; tokens (token_id, shift, x)."""
+    held = gate.select(F.col("expert").cast("bigint").alias("mem_id"),
+                       F.concat(F.array(F.col("bias").cast("double")), F.col("vec").cast("array<double>")).alias("vec"))
+    asked = tokens.select(F.col("token_id").alias("query_id"), F.concat(F.array("shift"), F.col("x").cast("array<double>")).alias("q"))
+
+    def split(ids: np.ndarray, both: np.ndarray, token_ids: np.ndarray) -> dict:
+        order = np.argsort(ids)          # experts in order, so that ties go to the lower one
+        return work(ids[order], both[: len(ids)][order], both[len(ids):][order], token_ids)
+
+    return over_visits(held, asked, split, schema, GATE_TILE, _biased)
+
+
 def gate_scores(tokens: DataFrame, gate: DataFrame) -> DataFrame:
     """sigmoid(x.w) + bias of every expert: (token_id, scores)."""
-    w, bias = gate_matrix(gate)
+    whole = gate_matrix(gate)
+    if whole is None:
+        def pieces(ids: np.ndarray, z: np.ndarray, bias: np.ndarray, token_ids: np.ndarray) -> dict:
+            lists = pa.array([ids] * len(token_ids), pa.list_(pa.int64()))
+            return {"token_id": token_ids, "experts": lists, "scores": list_array((_sigmoid(z) + bias).T)}
+
+        found = _over_gate(tokens.withColumn("shift", F.lit(0.0)), gate, pieces, "token_id bigint, experts array<bigint>, scores array<double>")
+        pairs = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("experts", "scores"))))   # one per expert
+        return found.groupBy("token_id").agg(F.transform(pairs, lambda p: p["scores"]).alias("scores"))
+    w, bias = whole
 
     def block(b: pa.RecordBatch) -> dict:
         return {"token_id": b.column("token_id"), "scores": list_array(_sigmoid(as_matrix(b.column("x")) @ w.T) + bias)}
@@ -89,12 +122,12 @@ def gate_scores(tokens: DataFrame, gate: DataFrame) -> DataFrame:
     return map_blocks(tokens.select("token_id", "x"), block, "token_id bigint, scores array<double>")
 
 
-def route(tokens: DataFrame, gate: DataFrame, choose) -> DataFrame:
+def route(tokens: DataFrame, gate: tuple[np.ndarray, np.ndarray], choose) -> DataFrame:
     """One row per token with its experts and weights; ``choose(z, bias)`` picks them.
 
     Routing is a row-wise map: nothing is shuffled.
     """
-    w, bias = gate_matrix(gate)
+    w, bias = gate
 
     def block(b: pa.RecordBatch) -> dict:
         x = as_matrix(b.column("x"))
@@ -105,13 +138,80 @@ def route(tokens: DataFrame, gate: DataFrame, choose) -> DataFrame:
     return map_blocks(tokens.select("token_id", "x"), block, WIDE)
 
 
+def _normalised(tokens: DataFrame, gate: DataFrame) -> DataFrame:
+    """Tokens with ``shift`` = log sum exp of their scores, from one partial sum per tile."""
+    def part(ids: np.ndarray, z: np.ndarray, bias: np.ndarray, token_ids: np.ndarray) -> dict:
+        top = z.max(axis=0)
+        return {"token_id": token_ids, "top": top, "total": np.exp(z - top).sum(axis=0)}
+
+    parts = _over_gate(tokens.withColumn("shift", F.lit(0.0)), gate, part, "token_id bigint, top double, total double")
+    tops = parts.groupBy("token_id").agg(F.max("top").alias("peak"), F.collect_list(F.struct("top", "total")).alias("parts"))
+    total = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["total"] * F.exp(p["top"] - F.col("peak")))
+    return tokens.join(tops.select("token_id", (F.col("peak") + F.log(total)).alias("shift")), "token_id")
+
+
+def _route_tiles(tokens: DataFrame, gate: DataFrame, groups: int, top_groups: int | None, k: int, mode: str,
+                 scale: float) -> DataFrame:
+    """Routing by a gate that is too large to travel: the best of each group in a tile, merged per token.
+
+    With ``top_groups`` the k best experts of the best groups, else the k best of every group.  Token ids
+    are unique.
+    """
+    tokens = tokens.select("token_id", F.col("x").cast("array<double>").alias("x"))
+    n = gate.count()
+    most = max(2, k)
+
+    def best(ids: np.ndarray, z: np.ndarray, bias: np.ndarray, token_ids: np.ndarray) -> dict:
+        plain = np.exp(z) if mode == "softmax" else _sigmoid(z)
+        biased, of = plain + bias, ids * groups // n
+        out = []
+        for g in np.unique(of):
+            rows = np.flatnonzero(of == g)
+            at = rows[_largest(biased[rows].T, most)]                       # (tokens, up to most)
+            t = np.arange(len(token_ids))[:, None]
+            out.append([np.repeat(token_ids, at.shape[1]), np.full(at.size, g), ids[at].ravel(), plain[at, t].ravel(), biased[at, t].ravel()])
+        return dict(zip(("token_id", "part", "expert", "plain", "biased"), map(np.concatenate, zip(*out))))
+
+    asked = _normalised(tokens, gate) if mode == "softmax" else tokens.withColumn("shift", F.lit(0.0))
+    found = _over_gate(asked, gate, best, "token_id bigint, part int, expert int, plain double, biased double")
+    in_part = Window.partitionBy("token_id", "part").orderBy(F.desc("biased"), "expert")
+    placed = found.withColumn("place", F.row_number().over(in_part)).where(F.col("place") <= most)
+    if top_groups is None:
+        chosen = placed.where(F.col("place") <= k).withColumn("slot", F.col("part") * k + F.col("place"))
+        weight = F.col("biased")
+    else:
+        if groups > 1:
+            two = F.sum(F.when(F.col("place") <= 2, F.col("biased"))).over(Window.partitionBy("token_id", "part"))
+            order = Window.partitionBy("token_id").orderBy(F.desc("two"), "part")
+            placed = placed.withColumn("two", two).withColumn("at", F.dense_rank().over(order)).where(F.col("at") <= top_groups)
+        everywhere = Window.partitionBy("token_id").orderBy(F.desc("biased"), "expert")
+        chosen = placed.withColumn("slot", F.row_number().over(everywhere)).where(F.col("slot") <= k)
+        weight = F.col("plain")
+    wide = chosen.groupBy("token_id").agg(F.array_sort(F.collect_list(F.struct("slot", "expert", weight.alias("w")))).alias("r"),
+                                          F.sum(weight).alias("total"))
+    if top_groups is None:
+        share = lambda w: F.when(F.col("total") > 1e-12, w * scale / F.col("total")).otherwise(0.0)
+    elif mode == "sigmoid":
+        share = lambda w: w / F.col("total") * scale
+    else:
+        share = lambda w: w * scale
+    return tokens.join(wide, "token_id").select("token_id", "x", F.transform("r", lambda r: r["expert"]).alias("experts"),
+                                                F.transform("r", lambda r: share(r["w"])).alias("weights"))
+
+
 def route_grouped(tokens: DataFrame, gate: DataFrame, groups: int, top_groups: int, k: int,
                   mode: str = "sigmoid") -> DataFrame:
-    return route(tokens, gate, lambda z, bias: grouped_choice(z, bias, groups, top_groups, k, mode))
+    whole = gate_matrix(gate)
+    if whole is None:
+        return _route_tiles(tokens, gate, groups, top_groups, k, mode, ROUTE_SCALE)
+    return route(tokens, whole, lambda z, bias: grouped_choice(z, bias, groups, top_groups, k, mode))
 
 
 def route_split(tokens: DataFrame, gate: DataFrame, k: int) -> DataFrame:
-    return route(tokens, gate, lambda z, bias: split_choice(z, bias, k))
+    whole = gate_matrix(gate)
+    if whole is None:
+        return _route_tiles(tokens, gate, 2, None, k, "sigmoid", ROUTE_SCALE)
+    return route(tokens, whole, lambda z, bias: split_choice(z, bias, k))
 
 
 def routes(wide: DataFrame) -> DataFrame:

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import warnings
+from bisect import bisect_right, insort
+from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,35 +118,96 @@ def context_length(memory: DataFrame, segment: int, entries: int) -> DataFrame:
 # ---- edits: ids stay dense ----------------------------------------------------------
 
 
-def _bounds(memory: DataFrame, idx: int, id_col: str) -> None:
-    if idx < 0 or not memory.where(F.col(id_col) == idx).limit(1).count():
-        raise IndexError(f"no entry {idx}")
+class Edits(NamedTuple):
+    """Edits of a memory with the ids 0..n-1, noted and carried out together.
+
+    What is stored keeps its place: entries of the memory by their id, inserted ones behind them.  A
+    deletion adds one number to a sorted list; the dense id of a stored entry is its place less the
+    deletions before it, and the entry with a dense id is found by halving.  Any number of edits takes
+    one count, one numbering of what was inserted, and one pass over the memory.  The driver holds one
+    number per deletion.
+    """
+
+    memory: DataFrame
+    log: tuple[tuple[str, object], ...] = ()
+    id_col: str = "mem_id"
+
+    def insert(self, vectors: DataFrame) -> Edits:
+        """Append ``vectors`` (ordered by their own ids) behind the last entry."""
+        return self._replace(log=(*self.log, ("insert", vectors)))
+
+    def delete(self, idx: int) -> Edits:
+        """Remove one entry; later ids move down by one."""
+        return self._replace(log=(*self.log, ("delete", idx)))
+
+    def pop_last(self) -> Edits:
+        return self._replace(log=(*self.log, ("pop", None)))
+
+    def apply(self) -> DataFrame:
+        """The edited memory.  An id that does not exist at its turn raises an IndexError."""
+        inserts = [v for what, v in self.log if what == "insert"]
+        counted = [d.select(F.lit(i).alias("i"), F.col(self.id_col).cast("long").alias("id"))
+                   for i, d in enumerate([self.memory, *inserts])]
+        last = F.when(F.col("i") == 0, F.max("id") + 1).otherwise(F.count(F.lit(1)))   # an id may have many rows
+        sizes = dict(reduce(DataFrame.unionByName, counted).groupBy("i").agg(last.alias("n")).collect())
+        stored, deleted, at = sizes.get(0, 0), [], 0
+        for what, value in self.log:
+            if what == "insert":
+                at += 1
+                stored += sizes.get(at, 0)
+                continue
+            alive = stored - len(deleted)
+            idx = alive - 1 if what == "pop" else value
+            if not 0 <= idx < alive:
+                raise IndexError("memory is empty" if what == "pop" else f"no entry {idx}")
+            before = bisect_right(range(len(deleted)), idx, key=lambda j: deleted[j] - j)
+            insort(deleted, idx + before)
+        rows = self.memory
+        if inserts:
+            n = sizes.get(0, 0)
+            batches = [v.select(F.lit(i).alias("_batch"), *self.memory.columns) for i, v in enumerate(inserts)]
+            numbered = global_index(reduce(DataFrame.unionByName, batches), ["_batch", self.id_col], "_at")
+            rows = rows.unionByName(numbered.withColumn(self.id_col, (F.col("_at") + n).cast(dict(rows.dtypes)[self.id_col]))
+                                    .select(*self.memory.columns))
+        return _without(rows, self.id_col, np.array(deleted, np.int64)) if deleted else rows
+
+
+def _without(rows: DataFrame, id_col: str, deleted: np.ndarray) -> DataFrame:
+    """Rows but the deleted ones, whose ids close the gaps: a pass without a shuffle."""
+    held = rows.sparkSession.sparkContext.broadcast(deleted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone = held.value
+        for batch in batches:
+            ids = batch.column(id_col).to_numpy()
+            before = np.searchsorted(gone, ids)
+            keep = gone[np.minimum(before, len(gone) - 1)] != ids
+            dense = pa.array((ids - before)[keep], batch.schema.field(id_col).type)
+            left = batch.filter(pa.array(keep))
+            yield left.set_column(left.schema.get_field_index(id_col), id_col, dense)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def edit(memory: DataFrame, id_col: str = "mem_id") -> Edits:
+    return Edits(memory, (), id_col)
 
 
 def insert(memory: DataFrame, vectors: DataFrame, id_col: str = "mem_id") -> DataFrame:
-    """Append ``vectors`` (ordered by their own ids) behind the last entry."""
-    last = memory.agg(F.max(id_col)).first()[0]
-    start = 0 if last is None else last + 1
-    moved = global_index(vectors, [id_col], "_at").withColumn(id_col, F.col("_at") + start)
-    return memory.unionByName(moved.select(*memory.columns))
+    return edit(memory, id_col).insert(vectors).apply()
 
 
 def pop_last(memory: DataFrame, id_col: str = "mem_id") -> DataFrame:
-    last = memory.agg(F.max(id_col)).first()[0]
-    if last is None:
-        raise IndexError("memory is empty")
-    return memory.where(F.col(id_col) < last)
+    return edit(memory, id_col).pop_last().apply()
 
 
 def delete(memory: DataFrame, idx: int, id_col: str = "mem_id") -> DataFrame:
-    """Remove one entry; later ids move down by one (a projection, no shuffle)."""
-    _bounds(memory, idx, id_col)
-    return memory.where(F.col(id_col) != idx).withColumn(
-        id_col, F.when(F.col(id_col) > idx, F.col(id_col) - 1).otherwise(F.col(id_col)))
+    return edit(memory, id_col).delete(idx).apply()
 
 
 def get(memory: DataFrame, idx: int, id_col: str = "mem_id") -> DataFrame:
-    _bounds(memory, idx, id_col)
+    if idx < 0 or not memory.where(F.col(id_col) == idx).limit(1).count():
+        raise IndexError(f"no entry {idx}")
     return memory.where(F.col(id_col) == idx)
 
 

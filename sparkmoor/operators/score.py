@@ -141,12 +141,13 @@ VISITS = "_tile int, _kind int, _id bigint, _vec array<double>"
 
 
 def over_visits(memory: DataFrame, queries: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray], dict],
-                schema: str, tile_rows: int = 0) -> DataFrame:
+                schema: str, tile_rows: int = 0, product=np.matmul) -> DataFrame:
     """``work(ids, scores, query_ids)`` on every tile of the memory and every block of queries.
 
     For query batches of any size: the memory is dealt into tiles of about ``tile_rows`` entries and moves
     once, and the queries visit each tile.  A task holds one tile, past which the queries stream in
-    blocks; the bytes shuffled are those of the memory and of the queries once per tile.
+    blocks; the bytes shuffled are those of the memory and of the queries once per tile.  ``product`` makes
+    the scores from the tile's rows and the queries' columns.
     """
     tile_rows = tile_rows or TILE_ROWS
     tiles = max(1, -(-memory.count() // tile_rows))
@@ -175,7 +176,7 @@ def over_visits(memory: DataFrame, queries: DataFrame, work: Callable[[np.ndarra
                 if parts:
                     ids, mat, parts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), []
                 for span in _spans(len(some), len(ids)) if len(ids) else ():
-                    out = work(ids, mat[:, : x.shape[1]] @ x[span].T, some[span])
+                    out = work(ids, product(mat[:, : x.shape[1]], x[span].T), some[span])
                     yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) for n in names], names=names)
 
     return held.unionByName(guests).repartition(tiles, "_tile").sortWithinPartitions("_tile", "_kind").mapInArrow(run, schema)

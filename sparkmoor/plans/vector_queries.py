@@ -174,7 +174,7 @@ def memory_edits(spark, root):
     """Delete entry 3, append the label means, drop the last entry."""
     held = vectors(spark, root).select("mem_id", F.col("vec").cast("array<double>").alias("vec"))
     more = label_queries(spark, root).select(F.col("query_id").alias("mem_id"), F.col("q").alias("vec"))
-    edited = memory.pop_last(memory.insert(memory.delete(held, 3), more))
+    edited = memory.edit(held).delete(3).insert(more).pop_last().apply()
     return edited.select("mem_id", rounded(total(F.col("vec"))).alias("content"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sparkmoor.functions import ordering, quant, staging, vectors
 from sparkmoor.functions import text as tx
 from sparkmoor.functions.staging import Staged, stage_counted
-from sparkmoor.operators import bm25, decoding, experts, ngram, rag, ranking, score, sizes, sparse, utility
+from sparkmoor.operators import bm25, decoding, experts, memory, ngram, rag, ranking, score, sizes, sparse, utility
 from sparkmoor.plans import steps
 from sparkmoor.sources import configs, corpus
 
@@ -637,3 +637,51 @@ def test_a_large_layer_has_small_rows(spark):
     got = experts.feed_forward(wide, weights, dim, limit=1).first().y
     a, b = w[:, 0] @ x, w[:, 1] @ x
     assert np.allclose(got, 2 * ((a / (1 + np.exp(-a)) * b) @ w[:, 2]))
+
+
+def test_many_edits(spark):
+    """A hundred edits at once, against a list."""
+    rng, held, log = random.Random(8), list(range(40)), memory.edit(
+        spark.createDataFrame([(i, [float(i)]) for i in range(40)], "mem_id bigint, vec array<double>"))
+    fresh = 1000
+    for _ in range(100):
+        what = rng.choice(["delete", "delete", "insert", "pop"])
+        if what == "insert":
+            n = rng.randrange(0, 4)
+            log = log.insert(spark.createDataFrame([(n - i, [float(fresh + n - i)]) for i in range(n)], "mem_id bigint, vec array<double>"))
+            held += [fresh + 1 + i for i in range(n)]
+            fresh += n
+        elif held and what == "delete":
+            i = rng.randrange(len(held))
+            log, _ = log.delete(i), held.pop(i)
+        elif held:
+            log, _ = log.pop_last(), held.pop()
+    got = {r.mem_id: r.vec[0] for r in log.apply().collect()}
+    assert [got[i] for i in range(len(got))] == held
+    with pytest.raises(IndexError):
+        log.delete(len(held)).apply()
+
+
+@pytest.mark.parametrize("mode", ["sigmoid", "softmax"])
+def test_gates_over_tiles(spark, mode, monkeypatch):
+    """Ten thousand experts, and few in tiles of seven: as the dense choice."""
+    rng = np.random.default_rng(9)
+    for n, groups, tile in ((10_000, 8, 2048), (48, 6, 7)):
+        gate = [(e, rng.normal(size=4).round(3).tolist(), float(rng.normal() / 10 if mode == "sigmoid" else rng.normal() / n)) for e in range(n)]
+        tokens = [(t, rng.normal(size=4).round(3).tolist()) for t in range(12)]
+        w, bias = np.array([g[1] for g in gate]), np.array([g[2] for g in gate])
+        z = np.array([x for _, x in tokens]) @ w.T
+        gates = spark.createDataFrame(gate, "expert int, vec array<double>, bias double").repartition(3)
+        asked = spark.createDataFrame(tokens, "token_id bigint, x array<double>")
+        monkeypatch.setattr(experts, "GATE_ROWS", 40)
+        monkeypatch.setattr(experts, "GATE_TILE", tile)
+        got = experts.route_grouped(asked, gates, groups, 3, 5, mode).orderBy("token_id").collect()
+        chosen, weights = experts.grouped_choice(z, bias, groups, 3, 5, mode)
+        assert [r.experts for r in got] == chosen.tolist() and np.allclose([r.weights for r in got], weights)
+        if mode == "sigmoid":
+            got = experts.route_split(asked, gates, 5).orderBy("token_id").collect()
+            chosen, weights = experts.split_choice(z, bias, 5)
+            assert [r.experts for r in got] == chosen.tolist() and np.allclose([r.weights for r in got], weights)
+            got = experts.gate_scores(asked, gates).orderBy("token_id").collect()
+            assert np.allclose([r.scores for r in got], 1 / (1 + np.exp(-z)) + bias)
+        monkeypatch.undo()
