@@ -34,11 +34,12 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashOf, fresh, join_checked, pieces, stage
+from .common import HashOf, fresh, join_checked, pieces, small_enough, stage
 from .graph import connected
 
 BUCKET_BITS, SLICE_BITS = 24, 16
@@ -230,18 +231,109 @@ def find_links(docs: list[Member], params: Params) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def groups_of(classes: DataFrame, params: Params) -> DataFrame:
+MAP_BITS = 28           # of a bitmap that thins rows before they are shuffled
+
+
+def bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """Bits set at the lowest ``MAP_BITS`` bits of the numbers of a column: a fixed size, whatever the column."""
+    piece = 1 << 16     # bytes
+
+    def emit(places: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for k, bits in places.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(bits.tobytes(), 1)])],
+                                             names=["slice", "bits"])
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = np.unique(batch.column(0).to_numpy().view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+            for k, some in zip(*_runs(at >> 19, at)):
+                bits = held.setdefault(int(k), np.zeros(piece, np.uint8))
+                np.bitwise_or.at(bits, (some & (8 * piece - 1)) >> 3, np.left_shift(1, some & 7).astype(np.uint8))
+        yield from emit(held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, b in zip(batch.column(0).to_pylist(), batch.column(1)):
+                bits = np.frombuffer(zlib.decompress(b.as_py()), np.uint8)
+                held[k] = held[k] | bits if k in held else bits
+        yield from emit(held)
+
+    fields, tasks = "slice int, bits binary", int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    for k, b in df.select(column).mapInArrow(collect, fields).repartition(tasks, "slice").mapInArrow(merge, fields).collect():
+        out[k * piece:(k + 1) * piece] = np.frombuffer(zlib.decompress(b), np.uint8)
+    return out
+
+
+def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    ids, starts = np.unique(keys, return_index=True)
+    return ids, np.split(values, starts[1:])
+
+
+def _set(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    at = (numbers.view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def thinned(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """(node, n, gram) of ``rows`` (node, n, prefix) whose n-grams may be in ``kept``: what cannot is left
+    out where it is, so that only the n-grams of groups, and few others, are shuffled to meet them."""
+    bits = rows.sparkSession.sparkContext.broadcast(bitmap(kept, "gram"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bits.value
+        for batch in batches:
+            prefix = batch.column("prefix")
+            flat = prefix.flatten().to_numpy()
+            of = np.repeat(np.arange(len(prefix)), np.diff(prefix.offsets.to_numpy()))
+            some = np.flatnonzero(_set(held, flat))
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(of[some])), batch.column("n").take(pa.array(of[some])),
+                                              pa.array(flat[some])], names=["node", "n", "gram"])
+
+    return rows.select("node", "n", "prefix").mapInArrow(run, "node long, n long, gram long")
+
+
+def one_per_class(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, n, prefix) of every class: a row of ``signed`` that has no copy stays where it is, and of the
+    copies the class' own one is taken."""
+    several = stage(classes.where("copies > 1").select("digest", "node", "rep"))
+    rows = signed.where("n > 0").select("doc_id", "text_hash", "digest", "node", "n", "prefix")
+    own = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("text_hash") == F.col("rep.text_hash"))
+    if small_enough(several, 96):
+        met = rows.join(F.broadcast(several.drop("node")), "digest", "left")
+        alone, copied = met.where("rep IS NULL"), met.where(own)
+    else:
+        bits = rows.sparkSession.sparkContext.broadcast(bitmap(several, "node"))
+
+        @F.pandas_udf("boolean")
+        def may_have_copies(nodes: pd.Series) -> pd.Series:
+            return pd.Series(_set(bits.value, nodes.to_numpy(np.int64)))
+
+        marked = rows.withColumn("copied", may_have_copies("node"))
+        met = marked.where("copied").join(several.drop("node"), "digest", "left")
+        alone = marked.where("NOT copied").unionByName(met.where("rep IS NULL").drop("rep"))
+        copied = met.where(own)
+    # rows may repeat id and text
+    return alone.select("node", "n", "prefix").unionByName(copied.dropDuplicates(["digest"]).select("node", "n", "prefix"))
+
+
+def groups_of(signed: DataFrame, classes: DataFrame, params: Params) -> DataFrame:
     """(gram, node): groups of two or more classes that share a prefix n-gram.
 
     Left out are members whose size none of the others comes near, and groups with the members of
     another one.
     """
-    rows = classes.select("node", "n", F.explode("prefix").alias("gram"))
+    prefixes = one_per_class(signed, classes)
+    rows = prefixes.select("node", "n", F.explode("prefix").alias("gram"))
+    # nodes are digests, so their lowest, their highest and their parity tell the members of a group
     shared = rows.groupBy("gram").agg(
         F.count(F.lit(1)).alias("size"), F.min("node").alias("low"), F.max("node").alias("high"),
-        F.bit_xor(F.xxhash64("node")).alias("mark")).where("size > 1")
+        F.bit_xor("node").alias("mark")).where("size > 1")
     kept = stage(shared.groupBy("size", "low", "high", "mark").agg(F.min("gram").alias("gram")).select("gram"))
-    members = stage(join_checked(rows, kept, ["gram"], "inner"))
+    rows = rows if small_enough(kept, 8) else thinned(prefixes, kept)
+    members = stage(join_checked(rows, kept, ["gram"], "inner", row_bytes=8))
     # sizes that are near enough fall into the same or neighbouring steps of this scale
     step = F.floor(F.log("n") / float(np.log(100 / params.percent)) + 1e-6) if params.percent < 100 else F.col("n")
     members = members.select("node", "gram", step.cast("long").alias("step"))
@@ -312,14 +404,14 @@ def _visits(members: DataFrame, homes: DataFrame, found: DataFrame, heads: bool)
     return guests.select(*names).unionByName(hosts.select(*names))
 
 
-def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, params: Params) -> DataFrame:
+def links(signed: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, params: Params) -> DataFrame:
     """(a, b) verified links between classes, enough to connect all that similar pairs connect.
 
     First the residents of each home are compared, so that most near copies are of one component;
     then the heads of components visit the homes of others, and then all members that may still have
     a link to a component that is not their own.
     """
-    members = stage(groups_of(classes, params))
+    members = stage(groups_of(signed, classes, params))
     homes = stage(homes_of(members, classes))
     fetched = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     texts = stage(join_checked(fetched, homes.select("digest", "rep"), (F.col("h") == F.col("rep.text_hash"))
@@ -342,9 +434,8 @@ def similar_classes(signed: DataFrame, docs: DataFrame, doc_id: str = "doc_id",
     """(digest, component_id) of the classes that have copies or links; ``signed`` is written."""
     classes = stage(signed.where("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"),
-        F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("node").alias("node"),
-        F.first("prefix").alias("prefix")))
-    joined = stage(connected(links(classes, docs, doc_id, text, params)).withColumnRenamed("node", "digest"))
+        F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("node").alias("node")))
+    joined = stage(connected(links(signed, classes, docs, doc_id, text, params)).withColumnRenamed("node", "digest"))
     named = join_checked(classes.select("digest", "class_id", "copies"), joined, ["digest"], "left") \
         .where("copies > 1 OR root IS NOT NULL")
     named = stage(named.withColumn("root", F.coalesce("root", "digest")))

@@ -471,13 +471,50 @@ def copies():
     return out + [(300 + i, f"x{i % 3} y z") for i in range(12)] + [(400, "a b"), (401, "A B"), (402, ""), (403, None)]
 
 
-@pytest.mark.parametrize("members", [1000, 30])
-def test_components_of_copies(spark, members, monkeypatch):
+@pytest.mark.parametrize("members, small", [(1000, True), (30, False)])
+def test_components_of_copies(spark, members, small, monkeypatch):
+    """In one block and by broadcasts; and in many blocks, with rows thinned by bitmaps."""
     monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", members)
+    if not small:
+        monkeypatch.setattr(jaccard, "small_enough", lambda *a: False)
     got = jaccard.near_duplicates(spark.createDataFrame(copies(), "doc_id long, text string"))
     same(rows(got.drop("text_hash")), brute.components(copies()))
 
 
+def test_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MAP_BITS", 22)
+    rng = np.random.default_rng(1)
+    numbers = rng.integers(-2**63, 2**63 - 1, 5000)
+    df = spark.createDataFrame([(int(x),) for x in numbers], "x long").repartition(3)
+    bits = jaccard.bitmap(df, "x")
+    assert jaccard._set(bits, numbers).all() and jaccard._set(bits, rng.integers(-2**63, 2**63 - 1, 5000)).mean() < 0.01
+    assert not jaccard.bitmap(df.limit(0), "x").any()
+
+
+def test_texts_move_little(spark):
+    """A cluster of near copies: a member goes to its home and to few others, whatever it has in common."""
+    import random
+
+    rng, base = random.Random(5), [f"b{i}" for i in range(300)]
+    docs = []
+    for i in range(1500):
+        w = list(base)
+        for _ in range(rng.randrange(1, 8)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    signed = jaccard.stage(jaccard.signatures(df))
+    classes = jaccard.stage(signed.where("n > 0").groupBy("digest").agg(
+        F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"),
+        F.first("n").alias("n"), F.first("node").alias("node")))
+    members = jaccard.stage(jaccard.groups_of(signed, classes, jaccard.Params()))
+    homes = jaccard.stage(jaccard.homes_of(members, classes))
+    assert members.count() > 10 * classes.count() and homes.count() <= classes.count()
+    found = jaccard.stage(jaccard.links(signed, classes, df, "doc_id", "text", jaccard.Params()))
+    visits = jaccard._visits(members, homes, found, False)
+    assert visits.where("visitor").count() < 2 * classes.count()
+
+
 def test_near_copies_of_odd_rows(spark, odd, none):
     got = rows(jaccard.near_duplicates(odd).select("doc_id", "n_shingles", "component_id"))
     unique = {d: c for d, _, c in got}
