@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.staging import Staged
 from ..functions.vectors import rounded
+from ..functions.staging import new_folder
 from ..operators import sizes, sparse, utility
+from ..sources import configs
 from ..sources.tables import table
 from .registry import query, r6
 
@@ -111,6 +113,26 @@ def best_setting(spark, root):
     return utility.best_setting(table(spark, root, "events"), "event_type", "value", "event_id")
 
 
+@query("ranked_settings", f"""WITH m AS (SELECT user_id, count(*) AS n_runs, {r6('avg(value)')} AS mean FROM events GROUP BY 1)
+  SELECT user_id, n_runs, mean FROM m ORDER BY mean, user_id LIMIT 10""")
+def ranked_settings(spark, root):
+    """The ten settings with the lowest means, kept as JSON lines and read back."""
+    means = table(spark, root, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_runs"), rounded(F.avg("value")).alias("mean"))
+    path = new_folder(spark, "ranked")
+    configs.write_ranked(means, ["mean", "user_id"], path)
+    return spark.read.schema(means.schema).json(path)
+
+
+@query("summary_file", f"""SELECT event_type, count(*) AS n, min(ts)::VARCHAR AS first_ts, {r6('sum(value)')} AS total FROM events GROUP BY 1""")
+def summary_file(spark, root):
+    """A summary per type, kept as JSON and read back."""
+    summary = table(spark, root, "events").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").cast("string").alias("first_ts"), rounded(F.sum("value")).alias("total"))
+    path = new_folder(spark, "summary")
+    configs.write_metadata(summary, path)
+    return spark.read.schema(summary.schema).json(path)
+
+
 @query("model_sizes", f"""WITH d AS (SELECT p_partkey, p_size::BIGINT * 64 AS dim, p_partkey % 32 + 1 AS n FROM part),
   c AS (SELECT *, n * 3 * dim * (2 * dim) + 3 * dim * (1 * 2 * dim) + n * dim AS layer,
     dim * 96 + 96 * n * (24 + 8) + dim * (48 + 8) + 48 * n * (24 + 32) + n * 32 * dim AS attention FROM d)

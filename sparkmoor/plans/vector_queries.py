@@ -5,13 +5,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.staging import hold
-from ..functions.vectors import mean_vectors, rounded, total, unpack
+from ..functions.vectors import (as_matrix, collect_small, doubles, map_blocks, mean_vectors, np_rounded, rounded, total,
+                                 unpack)
 from ..operators import attention, memory, retrieve, score
 from ..sources.tables import table
+from . import steps
 from .registry import query, r6, sql_matrix
 
 DIM = 64
@@ -132,6 +135,33 @@ def minmax_index(spark, root):
                 rounded(F.col("x.vmax").cast("double")).alias("vmax"))
 
 
+@steps.register("score", "city_block")
+def city_block(held: DataFrame, query: DataFrame) -> DataFrame:
+    """Less the sum of absolute differences: a step that the library does not have by itself."""
+    rows = collect_small(query.select("query_id", doubles("q").alias("q")), score.QUERY_ROWS)   # a query for each label
+    ids, q = np.array([r["query_id"] for r in rows]), np.array([r["q"] for r in rows])
+
+    def block(b: pa.RecordBatch) -> dict:
+        x = as_matrix(b.column("vec"))
+        far = np.stack([np.abs(x - one).sum(axis=1) for one in q], axis=1)
+        return {"query_id": np.tile(ids, len(x)), "mem_id": np.repeat(b.column("mem_id").to_numpy(), len(ids)), "score": np_rounded(-far.ravel())}
+
+    return map_blocks(held, block, score.PAIR)
+
+
+@query("custom_steps", f"""WITH {LABEL_Q}, qd AS (SELECT query_id, unnest(q) AS w, generate_subscripts(q, 1) - 1 AS d FROM q),
+  s AS (SELECT query_id, vec_id AS mem_id, {r6('-sum(abs(v - w))')} AS score FROM el JOIN qd USING (d) GROUP BY ALL)
+  SELECT query_id, mem_id, rank, label FROM {ranked_sql('s', 5)} JOIN (SELECT vec_id AS mem_id, label FROM embeddings) USING (mem_id)""")
+def custom_steps(spark, root):
+    """A flow with a scoring step of one's own, known by its name, and the other steps replaced one by one."""
+    data = table(spark, root, "embeddings").select(F.col("vec_id").alias("mem_id"), F.col("embedding").alias("vec"), "label")
+    flow = steps.MemoryFlow(build=lambda d: d.select("mem_id", "vec"), score="city_block",
+                            retrieve=lambda s: retrieve.top_k(s, 1, by=["query_id"]), apply=lambda d, q, i: i)
+    flow = flow.with_steps(retrieve=lambda s: retrieve.top_k(s, 5, by=["query_id"]),
+                           apply=lambda d, q, i: i.join(d.select("mem_id", "label"), "mem_id"))
+    return flow.build_and_apply(data, label_queries(spark, root)).select("query_id", "mem_id", "rank", "label")
+
+
 @query("topk_by_bounds", f"WITH {LABEL_Q}, {SCORES} SELECT query_id, mem_id, score, rank FROM {ranked_sql('s', 10)}")
 def topk_by_bounds(spark, root):
     """The ten best entries per label, of the pages of eight whose extremes leave room for one."""

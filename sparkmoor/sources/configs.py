@@ -30,7 +30,7 @@ def read_rules(spark: SparkSession, path: str, apis: list[str]) -> list[Rule]:
     return rules
 
 
-def write_ranked(df: DataFrame, order: str, path: str, n: int = 10) -> None:
+def write_ranked(df: DataFrame, order: str | list[str], path: str, n: int = 10) -> None:
     """The best ``n`` configurations as JSON lines, in order."""
     df.orderBy(order).limit(n).coalesce(1).write.mode("overwrite").json(path)
 

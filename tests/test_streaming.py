@@ -84,3 +84,41 @@ def test_cut_off_frames(spark):
     assert [(r.path, bytes(r.rest)) for r in rest] == [("a", whole[:100])]
     joined = spark.createDataFrame([("b", bytearray(bytes(rest[0].rest) + second))], "path string, content binary")
     assert [r.sender_ns for r in frames.decode_frames(joined).collect()] == [7]
+
+
+def test_frames_across_files_and_restarts(spark, tmp_path):
+    """Frames that are cut at the end of a file go on in the next one, and arrive once."""
+    import struct
+
+    from sparkmoor.streaming import spool
+
+    def frame(i):
+        return struct.pack(">Q64i", i, *range(-i, 64 - i))
+
+    folder, out, state = tmp_path / "spool", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+
+    def run():
+        q = spool.spooled_frames(spark, str(folder), 3).writeStream.format("parquet").option("checkpointLocation", state) \
+            .trigger(availableNow=True).start(out)
+        q.awaitTermination()
+        return sorted((r.sender_ns, tuple(r.ids), r.file, r.byte) for r in spark.read.schema(spool.SCHEMA).parquet(out).collect())
+
+    whole = b"".join(map(frame, range(10)))
+    size = len(frame(0))
+    want = [(i, tuple(range(-i, 64 - i))) for i in range(10)]
+    (folder / "_part").write_bytes(b"not there yet")
+    (folder / "a").write_bytes(whole[:2 * size + 100])          # the third frame is cut off
+    assert [r[:2] for r in run()] == want[:2]
+    assert [r[:2] for r in run()] == want[:2]                   # nothing new
+    (folder / "b").write_bytes(whole[2 * size + 100:2 * size + 150])    # still cut off
+    assert [r[:2] for r in run()] == want[:2]
+    (folder / "c").write_bytes(whole[2 * size + 150:5 * size])
+    assert [r[:2] for r in run()] == want[:5]
+    with open(folder / "c", "ab") as f:                         # the last file grows
+        f.write(whole[5 * size:7 * size + 1])
+    (folder / "d").write_bytes(b"")
+    (folder / "a").unlink()
+    (folder / "e").write_bytes(whole[7 * size + 1:])
+    got = run()
+    assert [r[:2] for r in got] == want and got[2][2:] == ("a", 2 * size) and got[7][2:] == ("c", 7 * size - (2 * size + 150))
