@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -89,10 +91,13 @@ def row_ids(hashed: DataFrame, sizes: list[list[int]], table_rows: int | None =
     return hashed.withColumn("rows", moved).drop("heads")
 
 
-def lookup(addressed: DataFrame, keys: list[str], table: DataFrame, dim: int,
-           limit: int = TABLE_LIMIT) -> DataFrame:
+def lookup(addressed: DataFrame, keys: list[str], table: DataFrame, dim: int, limit: int = TABLE_LIMIT,
+           work: Callable[[np.ndarray], dict] | None = None, fields: str = "flat array<float>") -> DataFrame:
     """Embedding rows of every head, side by side: (keys..., flat).  A row that the table lacks is zero.
 
+    ``work`` turns a matrix of such rows into the columns ``fields``, so that what is projected or
+    summed up next never leaves its block as a whole.
+
     A table within the limit is gathered inside the blocks.  A larger one is joined on the row
     id, rows of frequent n-grams apart, and regrouped per position (one row per head).
     """
@@ -111,18 +116,23 @@ def lookup(addressed: DataFrame, keys: list[str], table: DataFrame, dim: int,
             at = as_matrix(b.column("rows"), np.int64)
             place = np.searchsorted(ids, at)
             known = np.append(ids, -1)[place] == at
-            return {**{c: b.column(c) for c in keys},
-                    "flat": list_array(matrix[np.where(known, place, len(ids))].reshape(len(at), -1))}
+            flat = matrix[np.where(known, place, len(ids))].reshape(len(at), -1)
+            return {**{c: b.column(c) for c in keys}, **(work(flat) if work else {"flat": list_array(flat)})}
 
         schema = ", ".join(f"{c} {types[c]}" for c in keys)
-        return map_blocks(addressed.select(*keys, "rows"), block, f"{schema}, flat array<float>")
+        return map_blocks(addressed.select(*keys, "rows"), block, f"{schema}, {fields}")
     asked = addressed.select(*keys, F.posexplode("rows").alias("head", "row_id"))
     found = keyed_join(asked, Staged(staged.df, TOO_MANY), ["row_id"])
     parts = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("head", "vec"))).alias("parts"))
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
     places = F.sequence(F.lit(0), F.col("n") - 1)
-    return addressed.select(*keys, F.size("rows").alias("n")).join(parts, keys, "left").select(
+    flat = addressed.select(*keys, F.size("rows").alias("n")).join(parts, keys, "left").select(
         *keys, F.flatten(F.transform(places, lambda h: F.coalesce(F.try_element_at("parts", h), zero))).alias("flat"))
+    if work is None:
+        return flat
+    schema = ", ".join(f"{c} {t}" for c, t in flat.dtypes if c in keys)
+    return map_blocks(flat, lambda b: {**{c: b.column(c) for c in keys}, **work(as_matrix(b.column("flat"), np.float32))},
+                      f"{schema}, {fields}")
 
 
 def gated_value(df: DataFrame, keys: list[str], groups: int, dim: int, key_norm: np.ndarray,

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.text import token_id, tokens
-from ..functions.vectors import (dot, rms_norm, rounded, signed_sqrt_gate, total, unpack,
+from ..functions.vectors import (dot, np_rounded, rms_norm, rounded, signed_sqrt_gate, unpack,
                                  vector_literal)
 from ..operators import memory, ngram
 from ..sources.tables import spread_out, table
@@ -61,9 +61,11 @@ def ngram_lookup(spark, root):
     held = table(spark, root, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
     hashed = ngram.ngram_hash(token_sequences(spark, root), KEYS, FACTORS, SIZES, PAD)
     keys = [*KEYS, "pos"]
-    flat = ngram.lookup(ngram.row_ids(hashed, SIZES, held.count()), keys, held, DIM)
-    return flat.select(*keys, F.size("flat").alias("width"),
-                       rounded(total(F.col("flat").cast("array<double>"))).alias("content"))
+
+    def content(flat):
+        return {"width": np.full(len(flat), flat.shape[1], np.int32), "content": np_rounded(flat.sum(axis=1, dtype=np.float64))}
+
+    return ngram.lookup(ngram.row_ids(hashed, SIZES, held.count()), keys, held, DIM, work=content, fields="width int, content double")
 
 
 G, D, SEQ = 4, 8, 128

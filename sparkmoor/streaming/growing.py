@@ -17,7 +17,7 @@ SCORES = "seq_id bigint, round int, pos bigint, score bigint"
 class KeyStore(StatefulProcessor):
     """Keeps the keys of a sequence by slot; each round overwrites the slot of its group.
 
-    State is bounded by the length of a sequence; rows of a sequence arrive in order.
+    State is bounded by the length of a sequence; rows may arrive in any order within a micro-batch.
     """
 
     def __init__(self, past: int):
@@ -28,9 +28,9 @@ class KeyStore(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = {s[0]: np.array(k[0]) for s, k in self.keys.iterator()} if self.keys.exists() else {}
-        out = []
-        for frame in rows:
-            for r in frame.sort_values("at").itertuples():
+        out, frames = [], [f for f in rows if len(f)]   # what a micro-batch has of the sequence
+        if frames:
+            for r in pd.concat(frames).sort_values("at").itertuples():
                 slot = int(r.at) if r.at < self.past else self.past + (int(r.at) - self.past) // GROUP
                 held[slot] = np.asarray(r.k, np.float64)
                 self.keys.updateValue((slot,), (held[slot].tolist(),))
