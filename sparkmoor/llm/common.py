@@ -77,12 +77,16 @@ def join_checked(big: DataFrame, small: DataFrame, on: list[str] | Column, how:
 
 
 class HashOf(dict):
-    """64-bit hashes of words; forgets all of them when it has grown too large."""
+    """64-bit hashes of words; forgets all of them when it has grown beyond ``most``."""
+
+    def __init__(self, most: int = 1_000_000) -> None:
+        super().__init__()
+        self.most = most
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > self.most:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

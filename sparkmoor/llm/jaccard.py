@@ -34,7 +34,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +43,7 @@ from .graph import connected
 
 BUCKET_BITS, SLICE_BITS = 24, 16
 BLOCK_MEMBERS, BLOCK_GRAMS = 1000, 1_000_000
+WORDS_HELD = 250_000    # words whose hashes a task remembers
 SIGNATURE = "doc_id long, text_hash long, n long, digest binary, node long, prefix array<bigint>"
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK = re.compile(rb"[\x09-\x0d ]")
@@ -95,7 +95,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def gram_levels(docs: DataFrame, text: str, width: int) -> np.ndarray:
     """For each hashed bucket a byte that rises with the number of n-grams counted there."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, hash_of = np.zeros(1 << BUCKET_BITS, np.uint32), HashOf()
+        counts, hash_of = np.zeros(1 << BUCKET_BITS, np.uint32), HashOf(WORDS_HELD)
         for batch in batches:
             for t in batch.column(0):
                 at = gram_set(t.as_py(), width, hash_of) >> np.uint64(64 - BUCKET_BITS)
@@ -130,7 +130,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", para
     levels = docs.sparkSession.sparkContext.broadcast(gram_levels(docs.select(text), text, params.width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_of, level = HashOf(), levels.value
+        hash_of, level = HashOf(WORDS_HELD), levels.value
         for whole in batches:
             for batch in pieces(whole):
                 sizes, digests, nodes, prefixes = [], [], [], []
@@ -231,7 +231,7 @@ def find_links(docs: list[Member], params: Params) -> list[tuple[bytes, bytes]]:
     return out
 
 
-MAP_BITS = 28           # of a bitmap that thins rows before they are shuffled
+MAP_BITS = 27           # of a bitmap that thins rows before they are shuffled
 
 
 def bitmap(df: DataFrame, column: str) -> np.ndarray:
@@ -307,9 +307,9 @@ def one_per_class(signed: DataFrame, classes: DataFrame) -> DataFrame:
     else:
         bits = rows.sparkSession.sparkContext.broadcast(bitmap(several, "node"))
 
-        @F.pandas_udf("boolean")
-        def may_have_copies(nodes: pd.Series) -> pd.Series:
-            return pd.Series(_set(bits.value, nodes.to_numpy(np.int64)))
+        @F.arrow_udf("boolean")
+        def may_have_copies(nodes: pa.Array) -> pa.Array:
+            return pa.array(_set(bits.value, nodes.to_numpy()))
 
         marked = rows.withColumn("copied", may_have_copies("node"))
         met = marked.where("copied").join(several.drop("node"), "digest", "left")
@@ -359,7 +359,7 @@ def homes_of(members: DataFrame, classes: DataFrame) -> DataFrame:
 def _compared(texts: DataFrame, placed: DataFrame, by: list[str], params: Params) -> DataFrame:
     """(a, b): links found in each of the tasks ``by`` of ``placed`` (digest, visitor, size, root, ...)."""
     def run(table: pa.Table) -> pa.Table:
-        hash_of = HashOf()
+        hash_of = HashOf(WORDS_HELD)
         here = [Member(d, gram_set(t.as_py(), params.width, hash_of), v, (s, r))
                 for d, v, s, r, t in zip(*[table.column(c).to_pylist() for c in ("digest", "visitor", "size", "root")],
                                          table.column("t"))]
@@ -407,9 +407,9 @@ def _visits(members: DataFrame, homes: DataFrame, found: DataFrame, heads: bool)
 def links(signed: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, params: Params) -> DataFrame:
     """(a, b) verified links between classes, enough to connect all that similar pairs connect.
 
-    First the residents of each home are compared, so that most near copies are of one component;
-    then the heads of components visit the homes of others, and then all members that may still have
-    a link to a component that is not their own.
+    First the residents of each home are compared, so that most near copies are of one component.  Then
+    all members that may still have a link to another component visit its homes; where these are
+    many, one head of each component goes before them.
     """
     members = stage(groups_of(signed, classes, params))
     homes = stage(homes_of(members, classes))
@@ -423,10 +423,15 @@ def links(signed: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, t
         "digest", "gram", "block", F.lit(False).alias("visitor"), F.lit(0).cast("long").alias("size"),
         F.lit(b"").alias("root"))
     found = stage(_compared(texts, residents, ["gram", "block"], params))
-    for heads in (True, False):
-        visits = _visits(members, homes, found, heads)
-        found = stage(found.unionByName(_compared(texts, visits, ["gram", "block", "part"], params)))
-    return found
+    visits = stage(_visits(members, homes, found, False))
+    if visits.where("visitor").count() > homes.count() // 4:   # many: let the heads merge what they can first
+        found = _after(found, texts, _visits(members, homes, found, True), params)
+        visits = stage(_visits(members, homes, found, False))
+    return _after(found, texts, visits, params)
+
+
+def _after(found: DataFrame, texts: DataFrame, visits: DataFrame, params: Params) -> DataFrame:
+    return stage(found.unionByName(_compared(texts, visits, ["gram", "block", "part"], params)))
 
 
 def similar_classes(signed: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text",

@@ -510,7 +510,7 @@ def test_texts_move_little(spark):
     members = jaccard.stage(jaccard.groups_of(signed, classes, jaccard.Params()))
     homes = jaccard.stage(jaccard.homes_of(members, classes))
     assert members.count() > 10 * classes.count() and homes.count() <= classes.count()
-    found = jaccard.stage(jaccard.links(signed, classes, df, "doc_id", "text", jaccard.Params()))
+    found = jaccard.links(signed, classes, df, "doc_id", "text", jaccard.Params())
     visits = jaccard._visits(members, homes, found, False)
     assert visits.where("visitor").count() < 2 * classes.count()
 
