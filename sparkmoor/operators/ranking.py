@@ -71,7 +71,7 @@ class Plan(NamedTuple):
 def plan_blocks(blocks: Blocks, terms: DataFrame, by: list[str]) -> Plan:
     """Bounds of every (query, block) that has a token of the query, and the best blocks of each."""
     weighted = weighted_terms(blocks.index, terms, blocks.formula)
-    named = stage_counted(weighted.df.select(F.struct(*by).alias("q"), "token", "idf"))
+    named = Staged(weighted.df.select(F.struct(*by).alias("q"), "token", "idf"), weighted.rows)
     # an extreme counts only if it helps: a document of the block may lack the token
     best = F.greatest(F.lit(0.0), F.col("idf") * F.when(F.col("idf") > 0, F.col("high")).otherwise(F.col("low")))
     # queries and blocks may repeat a token each

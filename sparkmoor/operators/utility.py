@@ -75,3 +75,39 @@ def best_setting(runs: DataFrame, setting: str, value: str, order: str, warmup:
     means = stage(means)
     fastest = means.agg(F.min("mean")).scalar()
     return means.select(setting, "n_runs", "mean", (F.col("mean") == fastest).alias("is_best"))
+
+
+# What a source line is scanned for: strings and comments, which are passed over, heads of classes, the word
+# that marks an overridden step, openings with the word before them, closings, and ends of statements.
+SCANNED = r"""\"[^\"]*\"|'[^']*'|//.*|(?:class|struct)\s+\w+|\boverride\b|[\w.#-]*\s*\{|\}|;"""
+CLASS_NAME, WORD_BEFORE = r"^(?:class|struct)\s+(\w+)$", r"^([\w.#-]*)\s*\{$"
+
+
+def source_blocks(lines: DataFrame, file: str, line_no: str = "line_no", line: str = "line") -> DataFrame:
+    """Blocks in braces of source files, across lines: (file, at, name, is_class, depth, line_no, last_line, n_overrides).
+
+    ``at`` numbers what was found in a file, ``name`` is the class whose head stands before the brace, or the
+    word there, and ``n_overrides`` counts the overridden steps down to its end.  Depth is a running sum
+    of openings and closings; on one level they alternate, so a block ends with the next row of its
+    level.  A block that is not closed ends with null.  Windows run over one file.
+    """
+    found = lines.select(file, line_no, F.posexplode(F.regexp_extract_all(line, F.lit(SCANNED), F.lit(0))).alias("_no", "lexeme"))
+    lexeme = F.col("lexeme")
+    found = found.where(~lexeme.rlike("^[\"'/]")).withColumns({
+        "opens": lexeme.rlike(WORD_BEFORE), "closes": lexeme == "}", "_head": F.nullif(F.regexp_extract(lexeme, CLASS_NAME, 1), F.lit(""))})
+    order = Window.partitionBy(file).orderBy(line_no, "_no")
+    border = F.when(F.col("opens") | F.col("closes") | (lexeme == ";"), 1).otherwise(0)
+    marked = found.select(
+        file, line_no, "lexeme", "opens", "closes", "_head", (F.row_number().over(order) - 1).cast("int").alias("at"),
+        F.sum(F.when(F.col("opens"), 1).when(F.col("closes"), -1).otherwise(0)).over(order).cast("int").alias("depth"),
+        F.coalesce(F.sum(border).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_statement"),
+        F.sum(F.when(lexeme == "override", 1).otherwise(0)).over(order).alias("_so_far"))
+    headed = marked.withColumn("_class", F.min("_head").over(Window.partitionBy(file, "_statement")))
+    level = F.col("depth") + F.when(F.col("opens"), 0).otherwise(1)
+    braces = headed.where(F.col("opens") | F.col("closes")).withColumn("_level", level)
+    same = Window.partitionBy(file, "_level").orderBy("at")
+    ended = braces.select("*", F.lead(line_no).over(same).alias("last_line"), F.lead("_so_far").over(same).alias("_then"))
+    return ended.where("opens").select(
+        file, "at", F.coalesce("_class", F.regexp_extract("lexeme", WORD_BEFORE, 1)).alias("name"),
+        F.col("_class").isNotNull().alias("is_class"), "depth", line_no, "last_line",
+        (F.col("_then") - F.col("_so_far")).alias("n_overrides"))

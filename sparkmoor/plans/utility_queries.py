@@ -113,6 +113,29 @@ def best_setting(spark, root):
     return utility.best_setting(table(spark, root, "events"), "event_type", "value", "event_id")
 
 
+_SCANNED = utility.SCANNED.replace("'", "''")
+
+
+@query("source_blocks", rf"""WITH t AS (SELECT page_id, regexp_replace(html, '([;>])', '\1' || chr(10), 'g') AS html FROM pages),
+  l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) - 1 AS line_no FROM t),
+  x AS (SELECT page_id, line_no, unnest(regexp_extract_all(line, '{_SCANNED}')) AS lexeme, generate_subscripts(regexp_extract_all(line, '{_SCANNED}'), 1) AS no FROM l),
+  m AS (SELECT *, regexp_matches(lexeme, '{utility.WORD_BEFORE}') AS opens, lexeme = '}}' AS closes, nullif(regexp_extract(lexeme, '{utility.CLASS_NAME}', 1), '') AS head
+    FROM x WHERE NOT regexp_matches(lexeme, '^["''/]')),
+  d AS (SELECT page_id, line_no, lexeme, opens, closes, head, row_number() OVER w - 1 AS "at", sum(CASE WHEN opens THEN 1 WHEN closes THEN -1 ELSE 0 END) OVER w AS depth,
+    coalesce(sum(CASE WHEN opens OR closes OR lexeme = ';' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY line_no, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS statement,
+    sum(CASE WHEN lexeme = 'override' THEN 1 ELSE 0 END) OVER w AS so_far FROM m WINDOW w AS (PARTITION BY page_id ORDER BY line_no, no)),
+  h AS (SELECT *, min(head) OVER (PARTITION BY page_id, statement) AS class FROM d),
+  e AS (SELECT *, lead(line_no) OVER s AS last_line, lead(so_far) OVER s AS after FROM (
+    SELECT *, depth + CASE WHEN opens THEN 0 ELSE 1 END AS level FROM h WHERE opens OR closes) WINDOW s AS (PARTITION BY page_id, level ORDER BY "at"))
+  SELECT page_id, "at"::INTEGER AS "at", coalesce(class, regexp_extract(lexeme, '{utility.WORD_BEFORE}', 1)) AS name, class IS NOT NULL AS is_class,
+    depth::INTEGER AS depth, line_no::INTEGER AS line_no, last_line::INTEGER AS last_line, (after - so_far)::BIGINT AS n_overrides FROM e WHERE opens""")
+def source_blocks(spark, root):
+    """Blocks in braces of the pages, whose tags and statements are lines here."""
+    broken = F.regexp_replace("html", "([;>])", "$1\n")
+    lines = table(spark, root, "pages").select("page_id", F.posexplode(F.split(broken, "\n")).alias("line_no", "line"))
+    return utility.source_blocks(lines, "page_id")
+
+
 @query("ranked_settings", f"""WITH m AS (SELECT user_id, count(*) AS n_runs, {r6('avg(value)')} AS mean FROM events GROUP BY 1)
   SELECT user_id, n_runs, mean FROM m ORDER BY mean, user_id LIMIT 10""")
 def ranked_settings(spark, root):

@@ -685,3 +685,12 @@ def test_gates_over_tiles(spark, mode, monkeypatch):
             got = experts.gate_scores(asked, gates).orderBy("token_id").collect()
             assert np.allclose([r.scores for r in got], 1 / (1 + np.exp(-z)) + bias)
         monkeypatch.undo()
+
+
+def test_source_blocks(spark):
+    source = ["class A : public Step {", "  void run() override {", "    if (x) { y = \"}\"; }  // }", "  }", "  void test() override;", "};",
+              "struct B", "{", "  int f() { return 1; }", "};", "void g() {"]
+    lines = spark.createDataFrame([("a.h", i, s) for i, s in enumerate(source)], "file string, line_no int, line string")
+    got = sorted(map(tuple, utility.source_blocks(lines, "file").drop("at").collect()), key=lambda r: r[4])
+    assert got == [("a.h", "A", True, 1, 0, 5, 2), ("a.h", "", False, 2, 1, 3, 0), ("a.h", "", False, 3, 2, 2, 0),
+                   ("a.h", "B", True, 1, 7, 9, 0), ("a.h", "", False, 2, 8, 8, 0), ("a.h", "", False, 1, 10, None, None)]
