@@ -491,13 +491,14 @@ def test_bitmap(spark, monkeypatch):
     assert not jaccard.bitmap(df.limit(0), "x").any()
 
 
-def test_texts_move_little(spark):
+def test_texts_move_little(spark, monkeypatch):
     """A cluster of near copies: a member goes to its home and to few others, whatever it has in common."""
     import random
 
+    monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", 150)
     rng, base = random.Random(5), [f"b{i}" for i in range(300)]
     docs = []
-    for i in range(1500):
+    for i in range(500):
         w = list(base)
         for _ in range(rng.randrange(1, 8)):
             w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
