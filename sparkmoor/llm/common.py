@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -95,6 +96,15 @@ class HashOf(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, n)
 
 
+def give_back() -> None:
+    """Return memory that a task has freed to the system, for the tasks that come after it in this worker."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):   # not the C library that keeps freed memory
+        pass
+
+
 def ascii_lower(text: str) -> str:
     """Lower-case A-Z and nothing else."""
     return text.translate(_LOWER)
@@ -103,5 +113,5 @@ def ascii_lower(text: str) -> str:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 NAME = re.compile(r"[A-Za-z_]\w*")
 
-__all__ = ["BLANKS", "HashOf", "ascii_lower", "fresh", "join_checked", "per_row", "pieces", "small_enough",
+__all__ = ["BLANKS", "HashOf", "ascii_lower", "fresh", "give_back", "join_checked", "per_row", "pieces", "small_enough",
            "stage", "words_of"]

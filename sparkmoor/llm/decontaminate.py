@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import global_index
 from ..functions.staging import new_folder
-from .common import join_checked, stage
+from .common import give_back, join_checked, stage
 
-BLOCK_WORDS, BLOCK_DOCS = 1 << 21, 1 << 16
+BLOCK_WORDS, BLOCK_DOCS = 1 << 20, 1 << 16
 CHUNK = 100_000   # phrases searched at a time
 ROWS = 20_000     # index rows in one Arrow batch
 INDEX = ("block string, term string, n long, postings binary, doc_keys array<string>, doc_starts array<int>, "
@@ -145,6 +145,8 @@ def build_index(docs: DataFrame, path: str | None = None, key: str = "doc_id", t
                 block.add(k, words)
         if block.keys:
             yield from block.rows(f"{part}-{n}")
+        del block
+        give_back()
 
     docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).mapInArrow(run, INDEX) \
         .write.parquet(path)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashOf, fresh, join_checked, pieces, small_enough, stage
+from .common import HashOf, fresh, give_back, join_checked, pieces, small_enough, stage
 from .graph import connected
 
 BUCKET_BITS, SLICE_BITS = 24, 16
@@ -104,6 +104,8 @@ def gram_levels(docs: DataFrame, text: str, width: int) -> np.ndarray:
             if part.any():
                 packed = zlib.compress(np.minimum(part, 65535).astype(np.uint16).tobytes(), 1)
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed])], names=["slice", "counts"])
+        del counts, hash_of
+        give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -151,6 +153,8 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", para
                     [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                      pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))],
                     names=[f.split()[0] for f in SIGNATURE.split(", ")])
+        del hash_of
+        give_back()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
                        F.xxhash64(text).alias("text_hash")).mapInArrow(run, SIGNATURE)
@@ -364,6 +368,9 @@ def _compared(texts: DataFrame, placed: DataFrame, by: list[str], params: Params
                 for d, v, s, r, t in zip(*[table.column(c).to_pylist() for c in ("digest", "visitor", "size", "root")],
                                          table.column("t"))]
         found = find_links(here, params)
+        if len(here) >= BLOCK_MEMBERS // 4:
+            del here, hash_of
+            give_back()
         return pa.table({"a": pa.array([x[0] for x in found], pa.binary()),
                          "b": pa.array([x[1] for x in found], pa.binary())})
 
