@@ -298,6 +298,8 @@ def _search_chunk(spark: SparkSession, index: DataFrame, texts: DataFrame, near:
              pa.array(begin.astype(np.int32)), pa.array(stop.astype(np.int32))],
             names=["phrase", "exact", "start", "stop"])
         edges = np.searchsorted(of[order], np.arange(len(keys) + 1)).astype(np.int32)
+        lists.clear()
+        give_back()
         return pa.table({"block": pa.array([block] * len(keys)), "ord": pa.array(np.arange(len(keys), dtype=np.int64)),
                          "doc_key": pa.array(keys, pa.string()), "n_words": pa.array(lengths),
                          "spans": pa.ListArray.from_arrays(pa.array(edges), spans)})

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_checked, pieces, stage
+from .common import give_back, join_checked, pieces, stage
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -174,6 +174,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPA
     names = [f.split()[0] for f in FIELDS.split(", ")] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()    # what earlier tasks of this worker have left
         encode, part, ranks = encoder(tokenizer).encode, TaskContext.get().partitionId(), Counter()
         for whole in batches:
             for batch in pieces(whole, 2 << 20):
