@@ -2,7 +2,7 @@
 
 import brute
 import numpy as np
-from conftest import DOC, ODD
+from conftest import DOC
 
 import corpus_pipeline
 from sparkmoor.llm import tokens
@@ -80,7 +80,7 @@ def test_odd_rows_and_an_empty_table(spark, root, odd, none):
             table = corpus_pipeline.stage(step(spark, table, root))
             assert table.columns == start.columns, name
         left = {r["doc_id"] for r in table.collect()}
-        assert left <= {d for d, *_ in ODD} and (start is odd) == bool(left)
+        assert not left    # nearly all rows of host "a" fail, so at a rate of 0.81 it loses 11, 12 and 13 as well
         assert corpus_pipeline.STAGES[-1][1](spark, table, root).count() >= len(left)
 
 
