@@ -171,8 +171,11 @@ def as_matrix(column: pa.Array | pa.ChunkedArray, dtype=np.float64) -> np.ndarra
     return flat.reshape(len(column), int(lengths[0]))
 
 
-def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """Run ``fn`` on every Arrow batch of every partition; rows stay where they are."""
+def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | Iterator[dict]], schema: str) -> DataFrame:
+    """Run ``fn`` on every Arrow batch of every partition; rows stay where they are.
+
+    Where a batch becomes much larger than it was, ``fn`` gives its result in pieces.
+    """
     target = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -181,10 +184,11 @@ def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                out = fn(batch)
-                cols = [pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], pa.Array)
-                        else out[f.name].cast(f.type) for f in arrow]
-                yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+                result = fn(batch)
+                for out in [result] if isinstance(result, dict) else result:
+                    cols = [pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], pa.Array)
+                            else out[f.name].cast(f.type) for f in arrow]
+                    yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
     return df.mapInArrow(run, target)
 

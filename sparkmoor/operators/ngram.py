@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ VOCAB_SIZE = 129280
 TABLE_FACTOR = 5
 # Embedding tables up to this many numbers travel with the tasks; larger ones are joined.
 TABLE_LIMIT = 4_000_000
+# Positions that are hashed at a time: a position becomes a number per head, and a batch of long sequences has millions.
+PIECE = 16_384
 TOO_MANY = 1 << 62
 
 
@@ -51,27 +54,28 @@ def ngram_hash(df: DataFrame, keys: list[str], factors: list[int], sizes: list[l
 
     mix_n = xor over k < n of id[t-k] * factor[k], ids before the start being ``pad_id``;
     hash = mix_n mod size.  ``bits`` cuts the products to that many bits.  A sequence is one
-    row, so shifting needs no window and no shuffle.
+    row, so shifting needs no window and no shuffle; only a piece of a batch is as wide as its hashes.
     """
     types = dict(df.dtypes)
     flat_sizes = [np.array(s, np.int64) for s in sizes]
 
-    def block(b: pa.RecordBatch) -> dict:
+    def block(b: pa.RecordBatch) -> Iterator[dict]:
         col = b.column(ids)
-        x = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        lengths = np.array([len(v) if v.is_valid else 0 for v in col], np.int64)
-        row = np.repeat(np.arange(len(lengths)), lengths)
-        pos = np.arange(len(x)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        mix, heads = None, []
-        for k, factor in enumerate(factors):
-            shifted = x if k == 0 else np.where(pos >= k, np.roll(x, k), pad_id)
-            part = shifted * np.int64(factor)
-            mix = part if mix is None else mix ^ part
-            if k:
-                cut = mix & np.int64((1 << bits) - 1) if bits else mix
-                heads.append(cut[:, None] % flat_sizes[k - 1])
-        out = {c: b.column(c).take(pa.array(row)) for c in keys}
-        return {**out, "pos": pos, "heads": list_array(np.concatenate(heads, axis=1))}
+        x = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+        ends = np.cumsum(pc.list_value_length(col).fill_null(0).to_numpy(), dtype=np.int64)
+        for a in range(0, len(x), PIECE):
+            at = np.arange(a, min(a + PIECE, len(x)))
+            row = np.searchsorted(ends, at, side="right")
+            pos = at - np.append(0, ends)[row]
+            mix, heads = None, []
+            for k, factor in enumerate(factors):
+                part = np.where(pos >= k, x[at - k], pad_id) * np.int64(factor)
+                mix = part if mix is None else mix ^ part
+                if k:
+                    cut = mix & np.int64((1 << bits) - 1) if bits else mix
+                    heads.append(cut[:, None] % flat_sizes[k - 1])
+            out = {c: b.column(c).take(pa.array(row)) for c in keys}
+            yield {**out, "pos": pos, "heads": list_array(np.concatenate(heads, axis=1))}
 
     schema = ", ".join(f"{c} {types[c]}" for c in keys)
     return map_blocks(df.select(*keys, F.col(ids).cast("array<bigint>").alias(ids)), block,
@@ -92,24 +96,33 @@ def row_ids(hashed: DataFrame, sizes: list[list[int]], table_rows: int | None =
 
 
 def lookup(addressed: DataFrame, keys: list[str], table: DataFrame, dim: int, limit: int = TABLE_LIMIT,
-           work: Callable[[np.ndarray], dict] | None = None, fields: str = "flat array<float>") -> DataFrame:
+           work: Callable[[np.ndarray], dict] | None = None, fields: str = "flat array<float>",
+           each: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Embedding rows of every head, side by side: (keys..., flat).  A row that the table lacks is zero.
 
     ``work`` turns a matrix of such rows into the columns ``fields``, so that what is projected or
-    summed up next never leaves its block as a whole.
+    summed up next never leaves its block as a whole.  Where that can begin with the table's rows one by one,
+    ``each`` turns a matrix of them into rows of ``dim`` doubles, which are looked up in their place: the
+    table is read once, and neither the tasks nor a join get more of it than those.
 
     A table within the limit is gathered inside the blocks.  A larger one is joined on the row
     id, rows of frequent n-grams apart, and regrouped per position (one row per head).
     """
-    vec = F.col("vec").cast("array<float>").alias("vec")
-    staged = stage_counted(table.select("row_id", vec))
+    kind = "float" if each is None else "double"
+    number = np.float32 if each is None else np.float64
+    table = table.select("row_id", F.col("vec").cast("array<float>").alias("vec"))
+    if each is not None:
+        row_id = dict(table.dtypes)["row_id"]
+        table = map_blocks(table, lambda b: {"row_id": b.column("row_id"), "vec": list_array(each(as_matrix(b.column("vec"), np.float32)))},
+                           f"row_id {row_id}, vec array<double>")
+    staged = stage_counted(table)
     if staged.rows * dim <= limit:
         held = staged.df.toArrow()
         ids = held.column("row_id").to_numpy()
         order = np.argsort(ids)
         ids = ids[order]
-        matrix = np.concatenate([as_matrix(held.column("vec"), np.float32).reshape(-1, dim)[order],
-                                 np.zeros((1, dim), np.float32)])   # the last row stands for all that are lacking
+        matrix = np.concatenate([as_matrix(held.column("vec"), number).reshape(-1, dim)[order],
+                                 np.zeros((1, dim), number)])   # the last row stands for all that are lacking
         types = dict(addressed.dtypes)
 
         def block(b: pa.RecordBatch) -> dict:
@@ -124,14 +137,14 @@ def lookup(addressed: DataFrame, keys: list[str], table: DataFrame, dim: int, li
     asked = addressed.select(*keys, F.posexplode("rows").alias("head", "row_id"))
     found = keyed_join(asked, Staged(staged.df, TOO_MANY), ["row_id"])
     parts = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("head", "vec"))).alias("parts"))
-    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    zero = F.array_repeat(F.lit(0.0).cast(kind), dim)
     places = F.sequence(F.lit(0), F.col("n") - 1)
     flat = addressed.select(*keys, F.size("rows").alias("n")).join(parts, keys, "left").select(
         *keys, F.flatten(F.transform(places, lambda h: F.coalesce(F.try_element_at("parts", h), zero))).alias("flat"))
     if work is None:
         return flat
     schema = ", ".join(f"{c} {t}" for c, t in flat.dtypes if c in keys)
-    return map_blocks(flat, lambda b: {**{c: b.column(c) for c in keys}, **work(as_matrix(b.column("flat"), np.float32))},
+    return map_blocks(flat, lambda b: {**{c: b.column(c) for c in keys}, **work(as_matrix(b.column("flat"), number))},
                       f"{schema}, {fields}")
 
 

@@ -62,10 +62,13 @@ def ngram_lookup(spark, root):
     hashed = ngram.ngram_hash(token_sequences(spark, root), KEYS, FACTORS, SIZES, PAD)
     keys = [*KEYS, "pos"]
 
-    def content(flat):
-        return {"width": np.full(len(flat), flat.shape[1], np.int32), "content": np_rounded(flat.sum(axis=1, dtype=np.float64))}
+    def row_sums(rows):
+        return rows.sum(axis=1, dtype=np.float64, keepdims=True)
 
-    return ngram.lookup(ngram.row_ids(hashed, SIZES, held.count()), keys, held, DIM, work=content, fields="width int, content double")
+    def content(sums):
+        return {"width": np.full(len(sums), sums.shape[1] * DIM, np.int32), "content": np_rounded(sums.sum(axis=1))}
+
+    return ngram.lookup(ngram.row_ids(hashed, SIZES, held.count()), keys, held, 1, work=content, fields="width int, content double", each=row_sums)
 
 
 G, D, SEQ = 4, 8, 128
