@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,6 +221,12 @@ class Formula(NamedTuple):
         norm = F.lit(1.0 - self.b) + F.lit(self.b) * dl / F.lit(mean_len) if self.b else F.lit(1.0)
         return tf * F.lit(self.k1 + 1.0 if self.numerator else 1.0) / (tf + F.lit(self.k1) * norm)
 
+    def weights(self, tf: np.ndarray, dl: np.ndarray, mean_len: float) -> np.ndarray:
+        """``weight`` of arrays."""
+        tf = (np.minimum(tf, self.tf_limit) if self.tf_limit else tf).astype(np.float64)
+        norm = (1.0 - self.b) + self.b * dl / mean_len if self.b else 1.0
+        return tf * (self.k1 + 1.0 if self.numerator else 1.0) / (tf + self.k1 * norm)
+
 
 # Fixed parameters of the three forms.
 CPU = Formula(k1=1.2, b=0.75, idf_plus_one=True, numerator=True)
@@ -238,12 +245,18 @@ def query_terms(queries: DataFrame, text: str = "text", by: list[str] | None = N
 
 
 def weighted_terms(index: Index, terms: DataFrame, formula: Formula) -> Staged:
-    """Query terms with their idf, staged: terms no document has are dropped."""
-    held = stage_counted(terms)
-    wanted = Staged(held.df.select("token").distinct(), held.rows)
-    df = doc_freq(keyed_join(index.terms, wanted, ["token"]))
+    """Query terms with their idf, staged: terms no document has are dropped.
+
+    Frequencies combine before they are shuffled, so postings never move to meet the terms.
+    """
+    held = stage(terms)
+    wanted = stage_counted(held.select("token").distinct())
+    if wanted.broadcastable:
+        df = doc_freq(index.terms.join(F.broadcast(wanted.df), "token", "left_semi"))
+    else:
+        df = doc_freq(index.terms).join(wanted.df, "token", "left_semi")
     idf = df.select("token", formula.idf(F.col("df").cast("double"), index.n_docs).alias("idf"))
-    return stage_counted(held.df.join(idf, "token"))
+    return stage_counted(keyed_join(held, stage_counted(idf), ["token"]))
 
 
 def score_weighted(index: Index, postings: DataFrame, weighted: Staged, formula: Formula,

@@ -46,8 +46,8 @@ def text_index(spark: SparkSession, root: str) -> Index:
 
 
 def text_blocks(spark: SparkSession, root: str, formula: bm25.Formula) -> Blocks:
-    """Block-max postings, which belong to the index as its vocabulary does."""
-    return _once(spark, root, f"blocks-{formula}", lambda: block_postings(text_index(spark, root), formula))
+    """Documents as rows, which belong to the index as its vocabulary does and fit every formula."""
+    return _once(spark, root, "blocks", lambda: block_postings(text_index(spark, root), formula))._replace(formula=formula)
 
 
 def vocabulary(spark: SparkSession, root: str) -> Staged:

@@ -1,9 +1,11 @@
 """What must not grow: pieces of blocks, what is shuffled and what a task holds."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 
-from sparkmoor.operators import ngram
+from sparkmoor.operators import bm25, ngram, ranking
 
 
 def rows(df):
@@ -46,3 +48,27 @@ def test_hashes_leave_in_pieces(monkeypatch):
         two = ids[0] * factors[0] ^ ids[1] * factors[1]
         three = two ^ ids[2] * factors[2]
         assert at[s, p] == [two % 7, two % 11, three % 13, three % 17]
+
+
+def test_ranking_moves_documents_once(spark, monkeypatch):
+    """What is shuffled and written for many queries does not grow with pairs of queries and blocks of documents."""
+    r = random.Random(3)
+    common = [f"c{i}" for i in range(12)]
+    data = [(i, " ".join(r.choices(common, k=15) + [f"x{r.randrange(300)}"])) for i in range(700)]
+    index = bm25.build_index(spark.createDataFrame(data, "doc_id bigint, text string"))
+    asked = spark.createDataFrame([(q, " ".join(r.sample(common, 4) + [f"x{q}", "nowhere"])) for q in range(250)], "query_id bigint, text string")
+    terms = bm25.query_terms(asked)
+    want = rows(bm25.rank_documents(bm25.score_documents(index, terms, bm25.CPU), 3, ["query_id"]).select("query_id", "doc_id", "score", "rank"))
+    written = []
+    counted, staged = ranking.stage_counted, ranking.stage
+    monkeypatch.setattr(ranking, "stage_counted", lambda df: written.append(counted(df)) or written[-1])
+    monkeypatch.setattr(ranking, "stage", lambda df: written.append(staged(df)) or written[-1])
+    monkeypatch.setattr(ranking, "DRIVER_ROWS", 4096, raising=False)
+    assert rows(ranking.top_documents(index, terms, bm25.CPU, 3)) == want
+    assert max(getattr(w, "df", w).count() for w in written) <= 700
+    monkeypatch.setattr(ranking, "DRIVER_ROWS", 0)
+    monkeypatch.setattr(ranking, "TILE_DOCS", 200)
+    monkeypatch.setattr(ranking, "CELLS", 1000)
+    for formula in (bm25.CPU, bm25.PACKED):
+        want = rows(bm25.rank_documents(bm25.score_documents(index, terms, formula), 3, ["query_id"]).select("query_id", "doc_id", "score", "rank"))
+        assert rows(ranking.top_documents(index, terms, formula, 3)) == want
