@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashOf, join_checked, per_row, pieces, small_enough, stage
+from .common import HashOf, give_back, join_checked, per_row, pieces, small_enough, stage
 from .decontaminate import phrase_words
 from .language import in_fold
 
@@ -46,6 +46,7 @@ MODEL_ROWS = 1_000_000
 MASK_BITS, MASK_SLICE = 26, 1 << 16   # bits of the mask of pairs, bytes of its slices
 RATIO_DIGITS = 4
 START = 0  # stands before the first word
+PIECE, WORDS_HELD = 4 << 20, 250_000   # bytes of text that are taken apart at a time, words whose hashes a task holds
 
 
 def _pairs(texts, hash_of: HashOf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,9 +65,9 @@ def pair_counts(labelled: DataFrame) -> DataFrame:
     """(v, w, toxic, ordinary) of the word pairs of ``labelled`` (text, label), added up in each batch
     before they are shuffled, and written."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_of = HashOf()
+        hash_of = HashOf(WORDS_HELD)
         for whole in batches:
-            for batch in pieces(whole, 16 << 20):
+            for batch in pieces(whole, PIECE):
                 of, v, w = _pairs(batch.column(0), hash_of)
                 if not len(of):
                     continue
@@ -76,6 +77,7 @@ def pair_counts(labelled: DataFrame) -> DataFrame:
                 first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v[first]), pa.array(w[first]), pa.array(np.add.reduceat(one, first))], names=["v", "w", "n"])
+        give_back()
 
     # the halves are parted before they are added up, as the sums may take more than 32 bits
     return stage(labelled.select("text", "label").mapInArrow(run, "v long, w long, n long").groupBy("v", "w").agg(
@@ -130,9 +132,9 @@ def with_contexts(labelled: DataFrame, pairs: DataFrame) -> DataFrame:
     mask = labelled.sparkSession.sparkContext.broadcast(_mask(pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_of, bits = HashOf(), mask.value
+        hash_of, bits = HashOf(WORDS_HELD), mask.value
         for whole in batches:
-            for batch in pieces(whole, 16 << 20):
+            for batch in pieces(whole, PIECE):
                 of, v, w = _pairs(batch.column(0), hash_of)
                 at = _places(v, w)
                 hit = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
@@ -144,6 +146,7 @@ def with_contexts(labelled: DataFrame, pairs: DataFrame) -> DataFrame:
                 u, v, w, label = u[order], v[order], w[order], label[order]
                 new = np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (u[1:] != u[:-1]) | (label[1:] != label[:-1])])
                 yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (v, w, u, 1 << label)], names=["v", "w", "u", "of"])
+        give_back()
 
     seen = labelled.select("text", "label").mapInArrow(run, "v long, w long, u long, of long") \
         .groupBy("v", "w", "u").agg(F.bit_or("of").alias("of"))
@@ -283,7 +286,7 @@ def _ratio_by_joins(docs: DataFrame, model: Model, name: str, text: str, rest: l
     rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_of = HashOf()
+        hash_of = HashOf(WORDS_HELD)
         for whole in batches:
             for batch in pieces(whole):
                 of, v, w = _pairs(batch.column(1), hash_of)

@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from sparkmoor.llm import toxicity
 from sparkmoor.operators import bm25, ngram, ranking
 
 
@@ -72,3 +74,24 @@ def test_ranking_moves_documents_once(spark, monkeypatch):
     for formula in (bm25.CPU, bm25.PACKED):
         want = rows(bm25.rank_documents(bm25.score_documents(index, terms, formula), 3, ["query_id"]).select("query_id", "doc_id", "score", "rank"))
         assert rows(ranking.top_documents(index, terms, formula, 3)) == want
+
+
+def test_pairs_are_counted_in_small_pieces(monkeypatch):
+    taken, sizes = [], []
+
+    class Frame:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            taken.append(run)
+            raise LookupError
+
+    with pytest.raises(LookupError):
+        toxicity.pair_counts(Frame())
+    pairs = toxicity._pairs
+    monkeypatch.setattr(toxicity, "_pairs", lambda texts, held: sizes.append(texts.nbytes) or pairs(texts, held))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a bc " * 100_000] * 20), pa.array([0, 1] * 10)], names=["text", "label"])
+    found = [row for part in taken[0](iter([batch])) for row in part.to_pylist()]
+    assert max(sizes) <= 5 << 20
+    assert sum(row["n"] & 0xFFFFFFFF for row in found) == sum(row["n"] >> 32 for row in found) == 10 * 200_000
