@@ -45,6 +45,7 @@ def per_row(df: DataFrame, make: Callable[[], Callable[[list], list[tuple]]], in
     names = [*df.columns, *added.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         work = make()
         for batch in batches:
             for part in pieces(batch):
@@ -105,6 +106,17 @@ def give_back() -> None:
         pass
 
 
+lasting: dict = {}   # what a worker remembers beyond the end of a task
+
+
+def let_go() -> None:
+    """At the start of a task that has no use for what others remember: forget it, so that the memory of
+    stages does not add up in a worker."""
+    if lasting:
+        lasting.clear()
+        give_back()
+
+
 def ascii_lower(text: str) -> str:
     """Lower-case A-Z and nothing else."""
     return text.translate(_LOWER)
@@ -113,5 +125,5 @@ def ascii_lower(text: str) -> str:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 NAME = re.compile(r"[A-Za-z_]\w*")
 
-__all__ = ["BLANKS", "HashOf", "ascii_lower", "fresh", "give_back", "join_checked", "per_row", "pieces", "small_enough",
-           "stage", "words_of"]
+__all__ = ["BLANKS", "HashOf", "ascii_lower", "fresh", "give_back", "join_checked", "lasting", "let_go", "per_row", "pieces",
+           "small_enough", "stage", "words_of"]

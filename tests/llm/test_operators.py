@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkmoor.llm import (decontaminate, graph, jaccard, language, packing, pii, quality, repair, tokens, toxicity,
+from sparkmoor.llm import (common, decontaminate, graph, jaccard, language, packing, pii, quality, repair, tokens, toxicity,
                            url_filter, warc)
 from sparkmoor.llm.catalog import QUERIES, SQL
 
@@ -214,6 +214,34 @@ def test_added_tokens(name):
     mixed()
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_keeps_what_comes_again(name, monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_PIECES", 700)
+    enc = tokens.Encoder(tokens.vocabulary(name))
+    learned, asked = [], []
+    learn, put_words = enc._learn, enc._put_words
+    monkeypatch.setattr(enc, "_learn", lambda p: (learned.extend(p), learn(p)))
+    monkeypatch.setattr(enc, "_put_words", lambda w: (asked.extend(w), put_words(w)))
+    often = " ".join(f"Again{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    for k in range(12):
+        text = f"{often} " + " ".join(f"Once{''.join(chr(97 + int(c)) for c in str(100 * k + i))}," for i in range(100))
+        assert enc.encode([text, None])[0].tolist() == enc.library.encode(text, add_special_tokens=False).ids
+        assert len(enc.places) <= 700 + 500
+    assert sum("Againab" in p for p in learned) == 1
+    assert enc.encode(["so Word WORD wOrd"])[0].tolist() == enc.library.encode("so Word WORD wOrd", add_special_tokens=False).ids
+    assert sum("word" in w.lower() for w in asked) == (1 if enc.folds else 3)
+
+
+def test_tasks_let_go_of_encoders(spark, docs):
+    table = spark.createDataFrame([(1, "one two"), (2, "three")], "doc_id long, text string")
+    assert packing.tokenised(table, "byte_bpe_50k.json", 0).count() == 2
+    left = common.per_row(table, lambda: lambda texts: [(len(common.lasting),) for _ in texts], ["text"], "n long")
+    tokens.encoder("byte_bpe_50k.json")
+    assert common.lasting and {r["n"] for r in left.collect()} == {0}
+    common.let_go()
+    assert not common.lasting
+
+
 def test_added_tokens_in_shards_and_sequences(spark):
     from tokenizers import Tokenizer
 
