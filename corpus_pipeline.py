@@ -22,6 +22,7 @@ from sparkmoor.sources.tables import table
 
 
 NEAR = jaccard.Params(width=5, percent=80)
+BATCH_ROWS = 1024   # documents that go to a Python worker at a time, and that both sides hold at once
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _left: dict[str, list[str]] = {}   # by application, folders that the last stage's result is made of
@@ -31,6 +32,9 @@ def tidy(step: Stage) -> Stage:
     """Before a stage, delete what the one before left, unless its result has not been written yet."""
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship_package(spark)
+        size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(size, "10000")) <= BATCH_ROWS:
+            spark.conf.set(size, str(BATCH_ROWS))
         app = spark.sparkContext.applicationId
         drop_folders(spark, _left.pop(app, []), docs)
         with recorded() as paths:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import global_index
 from ..functions.staging import new_folder
-from .common import give_back, join_checked, stage
+from .common import give_back, join_checked, let_go, stage
 
 BLOCK_WORDS, BLOCK_DOCS = 1 << 20, 1 << 16
 CHUNK = 100_000   # phrases searched at a time
@@ -135,6 +135,7 @@ def build_index(docs: DataFrame, path: str | None = None, key: str = "doc_id", t
     path = path or new_folder(spark, "postings")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         part, n, block = TaskContext.get().partitionId(), 0, _Block()
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):

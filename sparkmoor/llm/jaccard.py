@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashOf, fresh, give_back, join_checked, pieces, small_enough, stage
+from .common import HashOf, fresh, give_back, join_checked, let_go, pieces, small_enough, stage
 from .graph import connected
 
 BUCKET_BITS, SLICE_BITS = 24, 16
@@ -95,6 +95,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def gram_levels(docs: DataFrame, text: str, width: int) -> np.ndarray:
     """For each hashed bucket a byte that rises with the number of n-grams counted there."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         counts, hash_of = np.zeros(1 << BUCKET_BITS, np.uint32), HashOf(WORDS_HELD)
         for batch in batches:
             for t in batch.column(0):
@@ -132,6 +133,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", para
     levels = docs.sparkSession.sparkContext.broadcast(gram_levels(docs.select(text), text, params.width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         hash_of, level = HashOf(WORDS_HELD), levels.value
         for whole in batches:
             for batch in pieces(whole):

@@ -45,6 +45,18 @@ def test_run(spark, root):
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count()
 
 
+def test_batches_are_small(spark, root):
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "10000")
+    corpus_pipeline.host_quality(spark, spark.read.parquet(f"{root}/documents.parquet"), root)
+    assert int(spark.conf.get(size)) == corpus_pipeline.BATCH_ROWS
+    spark.conf.set(size, "7")
+    corpus_pipeline.host_quality(spark, spark.read.parquet(f"{root}/documents.parquet"), root)
+    assert spark.conf.get(size) == "7"
+    spark.conf.set(size, before)
+
+
 def near_copies(n=60):
     """Texts, and copies of them whose sets of five-word runs are 0.80 to 0.88 alike."""
     import random
