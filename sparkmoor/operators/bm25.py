@@ -83,9 +83,10 @@ def doc_freq(postings: DataFrame) -> DataFrame:
     return postings.where(F.col("token").isNotNull()).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def vocabulary(postings: DataFrame) -> DataFrame:
-    """Dense token ids in token order: (token, df, vocab_idx)."""
-    return global_index(doc_freq(postings), ["token"], "vocab_idx")
+def vocabulary(postings: DataFrame, frequencies: DataFrame | None = None) -> DataFrame:
+    """Dense token ids in token order: (token, df, vocab_idx).  ``frequencies`` (token, df) spare the counting
+    of postings where they are known."""
+    return global_index(doc_freq(postings) if frequencies is None else frequencies, ["token"], "vocab_idx")
 
 
 def numeric_token(token: Column) -> Column:

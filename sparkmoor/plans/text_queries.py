@@ -36,13 +36,17 @@ def _state(spark: SparkSession, root: str) -> tuple:
     return tuple(files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime").cast("string")).first())
 
 
-def text_index(spark: SparkSession, root: str) -> Index:
+def text_bundle(spark: SparkSession, root: str) -> bundle.Bundle:
     def make():
         tag = hashlib.md5(f"{spark.sparkContext.applicationId}:{root}:{_state(spark, root)}".encode()).hexdigest()
         docs = spread_out(table(spark, root, "documents").select("doc_id", "text"))
-        return bundle.open_or_create(docs, f"{shared_dir(spark)}/index-{tag}").index
+        return bundle.open_or_create(docs, f"{shared_dir(spark)}/index-{tag}")
+
+    return _once(spark, root, "bundle", make)
 
-    return _once(spark, root, "index", make)
+
+def text_index(spark: SparkSession, root: str) -> Index:
+    return _once(spark, root, "index", lambda: text_bundle(spark, root).index)
 
 
 def text_blocks(spark: SparkSession, root: str, formula: bm25.Formula) -> Blocks:
@@ -51,8 +55,9 @@ def text_blocks(spark: SparkSession, root: str, formula: bm25.Formula) -> Blocks
 
 
 def vocabulary(spark: SparkSession, root: str) -> Staged:
-    return _once(spark, root, "vocab",
-                 lambda: stage_counted(bm25.vocabulary(text_index(spark, root).postings)))
+    """Numbered from the frequencies that the bundle keeps, so the postings are not counted again."""
+    held = text_bundle(spark, root)
+    return _once(spark, root, "vocab", lambda: stage_counted(bm25.vocabulary(held.index.postings, held.doc_freq())))
 
 
 def numbered(spark: SparkSession, root: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 
 from sparkmoor.llm import toxicity
 from sparkmoor.operators import bm25, ngram, ranking
+from sparkmoor.plans import text_queries
 
 
 def rows(df):
@@ -95,3 +96,12 @@ def test_pairs_are_counted_in_small_pieces(monkeypatch):
     found = [row for part in taken[0](iter([batch])) for row in part.to_pylist()]
     assert max(sizes) <= 5 << 20
     assert sum(row["n"] & 0xFFFFFFFF for row in found) == sum(row["n"] >> 32 for row in found) == 10 * 200_000
+
+
+def test_vocabulary_does_not_count_again(spark, root, monkeypatch):
+    """The frequencies that an index keeps are numbered; its postings are not read for that."""
+    counted = dict(rows(bm25.doc_freq(text_queries.text_index(spark, root).postings)))
+    monkeypatch.setattr(text_queries, "_held", {})
+    monkeypatch.setattr(bm25, "doc_freq", lambda *a: pytest.fail("postings are counted again"))
+    got = rows(text_queries.vocabulary(spark, root).df.select("vocab_idx", "token", "df"))
+    assert got == [(i, t, counted[t]) for i, t in enumerate(sorted(counted, key=str.encode))]
