@@ -77,6 +77,26 @@ def test_ranking_moves_documents_once(spark, monkeypatch):
         assert rows(ranking.top_documents(index, terms, formula, 3)) == want
 
 
+def test_rounds_of_tiles_spare_documents(spark, monkeypatch):
+    """Many queries: later tiles give only what reaches the bars of earlier ones, and the best are the same."""
+    r = random.Random(11)
+    data = [(i, " ".join(r.choices([f"c{i}" for i in range(20)], k=12) + [f"x{r.randrange(60)}" for _ in range(r.randrange(4))])) for i in range(900)]
+    index = bm25.build_index(spark.createDataFrame(data, "doc_id bigint, text string"))
+    words = [" ".join([f"c{r.randrange(20)}", f"x{r.randrange(60)}", f"x{r.randrange(70)}"][: 1 + q % 3]) for q in range(300)] + ["", "nowhere"]
+    asked = spark.createDataFrame([(q if q else None, w) for q, w in enumerate(words)], "query_id bigint, text string")
+    terms = bm25.query_terms(asked)
+    monkeypatch.setattr(ranking, "DRIVER_ROWS", 0)
+    for name, value in (("TILE_DOCS", 40), ("SEED_DOCS", 100), ("CELLS", 4000), ("PACK", 50), ("SLOTS", 4)):
+        monkeypatch.setattr(ranking, name, value, raising=False)
+    sent, top_k = [], ranking.top_k
+    monkeypatch.setattr(ranking, "top_k", lambda scores, *a, **b: sent.append(scores.count()) or top_k(scores, *a, **b))
+    for formula in (bm25.CPU, bm25.PACKED):
+        sent.clear()
+        want = bm25.rank_documents(bm25.score_documents(index, terms, formula), 3, ["query_id"]).select("query_id", "doc_id", "score", "rank")
+        assert rows(ranking.top_documents(index, terms, formula, 3).fillna(-1, "query_id")) == rows(want.fillna(-1, "query_id"))
+        assert formula.idf_plus_one is False or sum(sent) < 300 * 3 * 10    # 24 tiles
+
+
 def test_pairs_are_counted_in_small_pieces(monkeypatch):
     taken, sizes = [], []
 
