@@ -98,6 +98,45 @@ def test_rounds_of_tiles_spare_documents(spark, monkeypatch):
         assert formula.idf_plus_one is False or sum(sent) < 300 * 3 * 10    # 24 tiles
 
 
+def test_bars_rise_inside_a_tile(monkeypatch):
+    """Without a bar, most documents of a tile are never scored in full, and the best of every query are found."""
+    r = random.Random(5)
+    words = [f"c{i}" for i in range(40)]
+    texts = [Counter(r.choices(words, [1 / (i + 1) for i in range(40)], k=r.randrange(5, 60)) + [f"x{r.randrange(400)}"]) for _ in range(3000)]
+    texts[7:40] = [texts[7]] * 33                           # copies, of which those with the lowest ids count
+    docs = pa.RecordBatch.from_pylist([{"doc_id": 9000 - i, "dl": sum(t.values()), "tokens": [*t], "tfs": [*t.values()]} for i, t in enumerate(texts)],
+                                      pa.schema([("doc_id", pa.int64()), ("dl", pa.int32()), ("tokens", pa.list_(pa.string())), ("tfs", pa.list_(pa.int32()))]))
+    mean = sum(sum(t.values()) for t in texts) / len(texts)
+    tile = ranking.make_tile([docs], bm25.CPU, mean, 32_000_000)
+    asked = [[*dict.fromkeys(r.choices(words, k=1 + q % 9) + [f"x{r.randrange(500)}"] * (q % 2))] for q in range(200)] + [[*texts[7]]]
+    code = {t: i for i, t in enumerate(tile.tokens.to_pylist())}
+    df = Counter(w for t in texts for w in t)
+    flat = [(q, code[w], float(np.log(1 + (3000 - df[w] + 0.5) / (df[w] + 0.5)))) for q, ws in enumerate(asked) for w in ws if w in code]
+    q, codes, idf = (np.array(x) for x in zip(*flat))
+    scored, scores_of = [], ranking._scores_of
+    monkeypatch.setattr(ranking, "_scores_of", lambda *a: scored.append(len(a[-1])) or scores_of(*a), raising=False)
+    weight = [{w: bm25.CPU.weights(np.array([n]), np.array([sum(t.values())]), mean)[0] for w, n in t.items()} for t in texts]
+    for k in (1, 3):
+        want = []
+        for i in range(len(asked)):
+            mine = [(c, v) for j, c, v in flat if j == i]
+            found = [(-round(sum(v * w[tile.tokens[c].as_py()] for c, v in mine if tile.tokens[c].as_py() in w), 6), 9000 - d) for d, w in enumerate(weight)]
+            want += [(i, d, -s) for s, d in sorted(found)[:k] if s < 0]
+        got = sorted((int(a), int(d), float(s)) for a, d, s in zip(*ranking.above_bars(tile, q, codes, idf, np.zeros(len(asked)), k)))
+        assert [g[:2] for g in got] == sorted(w[:2] for w in want)
+        assert np.allclose([g[2] for g in got], [w[2] for w in sorted(want)], atol=2e-6)
+    assert 0 < sum(scored) < 2 * len(asked) * 300           # of 3,000
+
+
+def test_kept_frequencies_are_not_counted_again(spark, root, monkeypatch):
+    """Many sentences are weighed with the frequencies of the index."""
+    index = text_queries.text_index(spark, root)
+    terms = spark.createDataFrame([(1, "the"), (2, "of"), (2, "nowhere")], "query_id bigint, token string")
+    want = rows(bm25.weighted_terms(index._replace(frequencies=None), terms, bm25.CPU).df.select("query_id", "token", "idf"))
+    monkeypatch.setattr(bm25, "doc_freq", lambda *a: pytest.fail("postings are counted again"))
+    assert rows(bm25.weighted_terms(index, terms, bm25.CPU).df.select("query_id", "token", "idf")) == want != []
+
+
 def test_whole_documents_are_not_shuffled(spark, monkeypatch):
     """Only documents that a batch of postings cuts are put together by a shuffle."""
     data = [(i, " ".join(f"w{(i * j) % 97}" for j in range(1, 40))) for i in range(600)]
